@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from resonarium.llm.simhash import op6_simhash
+from resonarium.llm.substring import op3_substring
 
-QUERIES = {"op6_simhash": op6_simhash}
+QUERIES = {"op3_substring": op3_substring, "op6_simhash": op6_simhash}
 SQL: dict[str, str] = {}
