@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from resonarium.llm.decontaminate import op9_decontaminate
+from resonarium.llm.langid import op2_langid
 from resonarium.llm.simhash import op6_simhash
 from resonarium.llm.substring import op3_substring
 
-QUERIES = {"op3_substring": op3_substring, "op6_simhash": op6_simhash}
+QUERIES = {"op2_langid": op2_langid, "op3_substring": op3_substring, "op6_simhash": op6_simhash, "op9_decontaminate": op9_decontaminate}
 SQL: dict[str, str] = {}
