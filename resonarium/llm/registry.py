@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from resonarium.llm.decontaminate import op9_decontaminate
 from resonarium.llm.langid import op2_langid
+from resonarium.llm.mixing import OP4_SQL, op4_mixing
+from resonarium.llm.pii import op8_pii
 from resonarium.llm.simhash import op6_simhash
 from resonarium.llm.substring import op3_substring
 
-QUERIES = {"op2_langid": op2_langid, "op3_substring": op3_substring, "op6_simhash": op6_simhash, "op9_decontaminate": op9_decontaminate}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_langid": op2_langid,
+    "op3_substring": op3_substring,
+    "op4_mixing": op4_mixing,
+    "op6_simhash": op6_simhash,
+    "op8_pii": op8_pii,
+    "op9_decontaminate": op9_decontaminate,
+}
+SQL = {"op4_mixing": OP4_SQL}
