@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from resonarium.llm.decontaminate import op9_decontaminate
+from resonarium.llm.embeddings import op1_embeddings
 from resonarium.llm.langid import op2_langid
 from resonarium.llm.mixing import OP4_SQL, op4_mixing
 from resonarium.llm.pii import op8_pii
 from resonarium.llm.simhash import op6_simhash
 from resonarium.llm.substring import op3_substring
+from resonarium.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_embeddings": op1_embeddings,
     "op2_langid": op2_langid,
     "op3_substring": op3_substring,
     "op4_mixing": op4_mixing,
     "op6_simhash": op6_simhash,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
+    "op10_warc": op10_warc,
 }
-SQL = {"op4_mixing": OP4_SQL}
+SQL = {"op4_mixing": OP4_SQL, "op10_warc": OP10_SQL}
