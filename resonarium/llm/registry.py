@@ -7,6 +7,7 @@ from resonarium.llm.embeddings import op1_embeddings
 from resonarium.llm.langid import op2_langid
 from resonarium.llm.mixing import OP4_SQL, op4_mixing
 from resonarium.llm.pii import op8_pii
+from resonarium.llm.sharding import op7_sharding
 from resonarium.llm.simhash import op6_simhash
 from resonarium.llm.substring import op3_substring
 from resonarium.llm.warc import OP10_SQL, op10_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_substring": op3_substring,
     "op4_mixing": op4_mixing,
     "op6_simhash": op6_simhash,
+    "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
