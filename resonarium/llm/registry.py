@@ -5,6 +5,7 @@ from __future__ import annotations
 from resonarium.llm.decontaminate import op9_decontaminate
 from resonarium.llm.embeddings import op1_embeddings
 from resonarium.llm.langid import op2_langid
+from resonarium.llm.lines import op5_lines
 from resonarium.llm.mixing import OP4_SQL, op4_mixing
 from resonarium.llm.pii import op8_pii
 from resonarium.llm.sharding import op7_sharding
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_substring": op3_substring,
     "op4_mixing": op4_mixing,
+    "op5_lines": op5_lines,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
