@@ -21,7 +21,7 @@ def event_grid(spark: SparkSession, sf_dir: str, minutes: int = 60, days: int =
     n = days * 1440 // minutes
     rows = events.select(F.col("event_type").alias("channel"), F.floor(since).cast("long").alias("idx"), "value").where(F.col("idx").between(0, n - 1))
     filled = rows.groupBy("channel", "idx").agg((F.sum("value") if agg == "sum" else F.count("*").cast("double")).alias("value"))
-    grid = rows.select("channel").distinct().select("channel", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("idx"))
+    grid = rows.select("channel").distinct().select("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("idx"))
     return grid.join(filled, ["channel", "idx"], "left").select(F.lit("events").alias("recording"), "channel", "idx", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
