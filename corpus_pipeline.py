@@ -23,8 +23,8 @@ LEAST_SCORE = 0.25
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     train = docs.where(F.col("doc_id").isNotNull() & ~langid.held_out("doc_id"))
-    judged = langid.predict(docs, langid.profiles(train))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = langid.predict(docs, langid.profiles(train), names_out=("_lang", "_score"))
+    return judged.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

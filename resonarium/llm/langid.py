@@ -159,8 +159,8 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pr
     return {k: [g for _, g in sorted(v)] for k, v in sorted(out.items())}
 
 
-def predict(docs: DataFrame, learned: dict[str, list[int]], text_col: str = "text", profile: int = PROFILE) -> DataFrame:
-    """docs with lang_pred and score added."""
+def predict(docs: DataFrame, learned: dict[str, list[int]], text_col: str = "text", profile: int = PROFILE, names_out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score added, under names that docs must not have yet."""
     ship(docs.sparkSession)
     names = sorted(learned)
     known = np.unique(np.array([g for v in learned.values() for g in v], np.int64))
@@ -206,7 +206,7 @@ def predict(docs: DataFrame, learned: dict[str, list[int]], text_col: str = "tex
 
     rows = docs.select(F.col(text_col).alias("text"), *(docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)))
     out = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(schema.fields[1:])) + ", lang_pred string, score double"
-    return rows.mapInArrow(run, out).toDF(*docs.columns, "lang_pred", "score")
+    return rows.mapInArrow(run, out).toDF(*docs.columns, *names_out)
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:

@@ -73,13 +73,13 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     inner = inner.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     cut = inner.where((F.col("before") < F.col("left")) & (F.col("left") <= F.col("before") + F.col("words")))
     cut = cut.select(F.col("source").alias("s"), F.struct("key", "size").alias("cut"), F.floor((F.col("left") - F.col("before")) / F.col("alike")).cast("long").alias("part"))
-    cuts = scratch.save(aims.join(cut, aims["source"].eqNullSafe(F.col("s")), "left").select(F.col("source").alias("_s"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "epochs", "cut", "part"))
+    cuts = scratch.save(aims.join(cut, aims["source"].eqNullSafe(F.col("s")), "left").select(F.col("source").alias("_mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("epochs").alias("_mix_epochs"), F.col("cut").alias("_mix_cut"), F.col("part").alias("_mix_part")))
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
     own = F.struct(F.col("_mix_key").alias("key"), F.col("mix_size").alias("size"))
-    more = F.when(F.col("cut").isNull(), 0).when(own < F.col("cut"), F.col("mix_size")).when(own == F.col("cut"), F.col("part")).otherwise(0)
-    joined = named.join(cuts, named[source_col].eqNullSafe(F.col("_s")))
-    return joined.withColumn("mix_taken", F.col("epochs") * F.col("mix_size") + more).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken")
+    more = F.when(F.col("_mix_cut").isNull(), 0).when(own < F.col("_mix_cut"), F.col("mix_size")).when(own == F.col("_mix_cut"), F.col("_mix_part")).otherwise(0)
+    joined = named.join(cuts, named[source_col].eqNullSafe(F.col("_mix_source")))
+    return joined.withColumn("mix_taken", F.col("_mix_epochs") * F.col("mix_size") + more).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken")
 
 
 def emit(docs: DataFrame, assigned: DataFrame, text_col: str = "text") -> DataFrame:
