@@ -32,7 +32,7 @@ def adjusted(df: DataFrame, p: str, keys: list[str], method: str = "BH", name: s
     if method == "none":
         return df.withColumn(name, F.col(p))
     if method == "bonferroni":
-        return df.withColumn(name, F.least(F.lit(1.0), F.col(p) * m))
+        return df.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * m)))
     if method == "hommel":
         schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
