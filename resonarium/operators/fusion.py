@@ -215,15 +215,26 @@ def association_p(df: DataFrame, x: str, y: str, which: str = "rv", id_col: str
     return surrogate_summary(rows.withColumn("k", F.lit(0)), ["k"]).select(F.col("observed").alias("statistic"), "p_value")
 
 
+def average_ranks(df: DataFrame, column: str, slices: int = 1024) -> DataFrame:
+    """Rows (column, rank): ranks of distinct values, ties averaged. Values are cut into equal slices of their range, so no task sorts them all."""
+    span = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+    width = ((span["hi"] or 0.0) - (span["lo"] or 0.0)) / slices or 1.0
+    counts = df.groupBy(column).agg(F.count("*").alias("m")).withColumn("slice", F.floor((F.col(column) - (span["lo"] or 0.0)) / width))
+    below = counts.groupBy("slice").agg(F.sum("m").alias("n")).withColumn("below", F.sum("n").over(Window.orderBy("slice")) - F.col("n"))
+    inside = F.sum("m").over(Window.partitionBy("slice").orderBy(column))
+    return counts.join(below.select("slice", "below"), "slice").select(column, (F.col("below") + inside - (F.col("m") - 1) / 2).alias("rank"))
+
+
 def representational_similarity(df: DataFrame, blocks: list[str], id_col: str = "obs_id", method: str = "euclidean", compare: str = "spearman") -> DataFrame:
     """Rows (block_x, block_y, similarity) of the blocks' distance matrices, below the diagonal."""
     d = _distances(df, blocks, id_col, method).where("i > j")
     cols = [f"d{k}" for k in range(len(blocks))]
     if compare == "spearman":
-        for c in cols:  # average rank of ties: rank among distinct values by counts, so no window holds all pairs
-            counts = d.groupBy(c).agg(F.count("*").alias("_m"))
-            cum = counts.withColumn("_r", F.sum("_m").over(Window.orderBy(c)) - (F.col("_m") - 1) / 2)
-            d = d.join(cum.select(F.col(c), F.col("_r").alias(f"r{c}")), c)
+        from resonarium.session import Scratch
+
+        d = Scratch(df.sparkSession, "ranks").save(d)  # read once for each block and once for the join
+        for c in cols:
+            d = d.join(average_ranks(d, c).withColumnRenamed("rank", f"r{c}"), c)
         cols = [f"r{c}" for c in cols]
     elif compare != "pearson":
         raise ValueError(f"unknown comparison {compare!r}")

@@ -236,6 +236,10 @@ def test_fusion_matches_matrices(spark, blocks):
     assert np.isclose(fusion.distance_correlation(df, "a", "b").first()["dcor"], dcor)
     low = np.tril_indices(60, -1)
     assert np.isclose(fusion.representational_similarity(df, ["a", "b"], compare="pearson").first()["similarity"], np.corrcoef(dist(a)[low], dist(b)[low])[0, 1])
+    ties = spark.createDataFrame([(float(v),) for v in (1, 2, 2, 9, 9, 9, 4)], "v double")
+    assert {r["v"]: r["rank"] for r in fusion.average_ranks(ties, "v").collect()} == {1.0: 1.0, 2.0: 2.5, 4.0: 4.0, 9.0: 6.0}
+    order = lambda v: np.argsort(np.argsort(v))
+    assert np.isclose(fusion.representational_similarity(df, ["a", "b"]).first()["similarity"], np.corrcoef(order(dist(a)[low]), order(dist(b)[low]))[0, 1])
     cor = lambda m: 1 - np.corrcoef(m)
     assert np.isclose(fusion.representational_similarity(df, ["a", "b"], method="correlation", compare="pearson").first()["similarity"], np.corrcoef(cor(a)[low], cor(b)[low])[0, 1])
     assert fusion.association_p(df, "a", "b", "rv", permutations=19).first()["p_value"] == 1 / 20
