@@ -80,10 +80,10 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     merged = F.map_concat(F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(update, k)), update)
     rows = rows.withColumn("status", status).withColumn("good", F.col("status").isin("resolved", "unverified"))
     rows = rows.select("record_id", "url_key", F.col("found.record_id").alias("target_id"), "status", F.when(F.col("good"), merged).alias("headers"), F.when(F.col("good"), F.col("found.record_id")).alias("_from"))
-    # rows that take no body keep a key of their own, so that they are not all dealt to one task
-    rows = rows.withColumn("_none", F.col("_from").isNull()).withColumn("_from", F.coalesce("_from", "record_id"))
-    bodies = records.where("kind = 'response'").select(F.col("record_id").alias("_from"), F.lit(False).alias("_none"), "body").dropDuplicates(["_from"])
-    return rows.join(bodies, ["_from", "_none"], "left").drop("_from", "_none")
+    # rows that take no body have a key of their own, so that they are not all dealt to one task
+    rows = rows.withColumn("_key", F.struct(F.coalesce("_from", "record_id").alias("id"), F.col("_from").isNull().alias("none"))).drop("_from")
+    bodies = records.where("kind = 'response'").select(F.struct(F.col("record_id").alias("id"), F.lit(False).alias("none")).alias("_key"), "body").dropDuplicates(["_key"])
+    return rows.join(bodies, "_key", "left").drop("_key")
 
 
 #: Time from a page's capture to its later revisit, and from an early revisit to the capture.
