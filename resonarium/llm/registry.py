@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from resonarium.llm.decontaminate import op9_decontaminate
+from resonarium.llm.decontaminate import OP9_SQL, op9_decontaminate
 from resonarium.llm.embeddings import op1_embeddings
 from resonarium.llm.langid import op2_langid
 from resonarium.llm.lines import op5_lines
@@ -10,7 +10,7 @@ from resonarium.llm.mixing import OP4_SQL, op4_mixing
 from resonarium.llm.pii import op8_pii
 from resonarium.llm.sharding import op7_sharding
 from resonarium.llm.simhash import op6_simhash
-from resonarium.llm.substring import op3_substring
+from resonarium.llm.substring import OP3_SQL, op3_substring
 from resonarium.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
 }
-SQL = {"op4_mixing": OP4_SQL, "op10_warc": OP10_SQL}
+SQL = {"op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL}

@@ -147,3 +147,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).withColumnRenamed("id", "doc_id")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+n AS (SELECT doc_id, i.i AS i, array_to_string(w[i.i:i.i + 19], ' ') AS k FROM d, unnest(range(1, len(w) - 18)) i(i)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM n),
+g AS (SELECT DISTINCT doc_id, i + j.range AS p FROM r CROSS JOIN range(20) j WHERE nth > 1),
+t AS (SELECT d.doc_id, p.p AS p, w[p.p] AS word FROM d, unnest(range(1, len(w) + 1)) p(p)),
+k AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.p) AS kept, COUNT(*) AS n FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.p = t.p WHERE g.p IS NULL GROUP BY t.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - COALESCE(k.n, 0))::BIGINT AS n_removed, sha256(COALESCE(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
