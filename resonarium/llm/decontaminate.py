@@ -316,3 +316,18 @@ def search(index: DataFrame, names: list[str], groups: list[Phrases]) -> DataFra
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.drop("items").withColumnRenamed("id", "doc_id")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+s AS (SELECT *, LEAST(13, len(w)) AS size FROM b WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id::VARCHAR AS item, size, array_to_string(w[i.i:i.i + size - 1], ' ') AS k FROM s, unnest(range(1, len(w) - size + 2)) i(i)),
+n AS (SELECT doc_id, z.size AS size, i.i AS i, array_to_string(w[i.i:i.i + z.size - 1], ' ') AS k FROM d JOIN (SELECT DISTINCT size FROM q) z ON len(w) >= z.size, unnest(range(1, len(w) - z.size + 2)) i(i)),
+m AS (SELECT n.doc_id, n.i, n.size, q.item FROM n JOIN q ON q.k = n.k AND q.size = n.size),
+h AS (SELECT doc_id, COUNT(DISTINCT p.p) AS n_hit FROM m, unnest(range(i, i + size)) p(p) GROUP BY doc_id),
+t AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, COALESCE(h.n_hit, 0)::BIGINT AS n_hit, COALESCE(t.n_items, 0)::BIGINT AS n_items, sha256(COALESCE(t.items, '')) AS items_sha256,
+  COALESCE(h.n_hit, 0) > 0 AND 20 * COALESCE(h.n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
