@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from resonarium.llm import kernels as K
 from resonarium.session import Scratch, ship
 
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 WINDOW = 13
 #: Bytes of benchmark text searched for in one pass over the index, at most; larger benchmarks take several passes.
 SLICE_BYTES = 16_000_000

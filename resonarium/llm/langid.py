@@ -27,7 +27,7 @@ from resonarium.llm import kernels as K
 from resonarium.session import ship
 
 PROFILE = 400
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 _TABLES: dict[str, np.ndarray] = {}
 UNI, BI = np.int64(0x1FFFFF), np.int64(0x1FFFFE)  # above all code points: mark the shorter n-grams
 
@@ -145,7 +145,7 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", pr
                 for k in np.unique(group):
                     total.setdefault(names[k], []).append((plain[group == k], counts[group == k]))
                 held += len(grams)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield from rows()
                     total, held = {}, 0
         yield from rows()
