@@ -1,27 +1,21 @@
 """Line dedup: fuzzy lines by MinHash, exact Jaccard, distributed components.
 
 Only DataFrame functions. Lines are compared trimmed and in lower case. Equal
-lines are one line from the start. A line's signature is a one-permutation
-MinHash of character shingles anchored at word starts (the first eight
-characters of a word with the first four of the next; in lines whose runs
-between blanks average over 16 characters, as in scripts that have none, eight
-characters from every character on): the least hash in each of 16 ranges, an
-empty range borrowing from the next. Two ranges make a band; lines that agree in one of eight bands, and in
-seven ranges or more, are candidates. Candidates are confirmed by the exact
-Jaccard similarity of all their five-character shingles, links are closed by
-star contraction, and of each component only the first line stays (smallest
-doc_id, null last, then line number).
-
-A pair of similarity s in the anchored shingles agrees in a band with
-probability s**2, so at 0.8 a pair is missed with probability 3e-4. Bands of up
-to `small` distinct lines compare all pairs. In larger ones lines are sorted
-once more into the buckets of each further band they share; where even those
-are large, the lines agree in four ranges of 16, and each is compared with the
-bucket's most frequent line and with its neighbours in the order of size.
-
-Each line is first confirmed against its likeliest candidate alone; of the
-other candidates only those that would join two components are left to confirm,
-which gives the same components for far fewer comparisons.
+lines are one line from the start. Similarity is the Jaccard measure of the
+sets of five-character shingles, and the same shingles make the sketch: 80
+MinHashes, four to a band. Lines that agree in one of 20 bands are candidates;
+at similarity s a band agrees with probability s**4, so at 0.8 a pair is missed
+with probability 3e-5. Candidates are confirmed by their exact similarity,
+links are closed by star contraction, and of each component only the first line
+stays (smallest doc_id, null last, then line number).
+
+Each line is first confirmed against one likely candidate: the most frequent
+line or the next in order of size of a bucket. After that all pairs of a bucket
+that lie in different components are compared, whatever its size: buckets of
+more than `cell` lines are cut into parts, and every line meets every part. A
+pair is spared the exact measure only where that can't reach the threshold (the
+numbers of shingles differ too much), or where more of 64 bits, one of each
+MinHash, differ than happens to a pair at the threshold with probability 1e-9.
 
 Defined results: blank lines stay; a null text is one blank line; a line of
 fewer than five characters is a single shingle; rows alike in id and text are
@@ -30,14 +24,16 @@ one document and get the same result; further columns are ignored.
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from resonarium.llm.graph import components
 from resonarium.session import Scratch
 
-SIMILARITY, SHINGLE, SMALL, RANGES = 0.8, 5, 16, 16
-WIDTH, NEXT, LONG, LEAST_AGREE = 8, 4, 16, 7
+SIMILARITY, SHINGLE, CELL = 0.8, 5, 512
+BANDS, WIDTH, BITS = 20, 4, 64
 
 
 def normal(line: Column) -> Column:
@@ -58,55 +54,67 @@ def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("h", F.when(F.col("norm") != "", F.xxhash64("norm")))
 
 
-def with_signature(rows: DataFrame) -> DataFrame:
-    """Adds sig: for each of 16 ranges the upper half of its least hash; null for a blank line.
-
-    Arrays that a lambda reads are columns of their own and are also read
-    outside of it, so that the optimizer does not compute them again inside.
+def sketches(lines: DataFrame) -> DataFrame:
+    """Rows (h, runs, bits, bands): number of distinct shingles, a bit of each of 64 MinHashes, and the bands' keys. lines: h, norm."""
+    runs = F.array_distinct(F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+    each = F.explode(F.when(F.length("norm") > SHINGLE, runs).otherwise(F.array("norm")))
+    rows = lines.select("h", "norm").repartition("h").select("h", each.alias("g")).select("h", F.xxhash64("g").alias("g"))
+    least = rows.groupBy("h").agg(F.count("*").cast("int").alias("runs"), *(F.min(F.xxhash64("g", F.lit(k))).alias(f"m{k}") for k in range(BANDS * WIDTH)))
+    bits = F.lit(0).cast("long")
+    for k in range(BITS):
+        bits = bits.bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(1).cast("long")), k))
+    keys = (F.xxhash64(F.lit(j), *(F.col(f"m{WIDTH * j + i}") for i in range(WIDTH))) for j in range(BANDS))
+    return least.select("h", "runs", bits.alias("bits"), F.array(*keys).alias("bands"))
+
+
+def most_apart(similarity: float) -> int:
+    """Number of bits, of 64, that a pair of this similarity exceeds in differing with probability 1e-9 at most."""
+    p, left = (1 - similarity) / 2, 1.0
+    for m in range(BITS):
+        left -= comb(BITS, m) * p**m * (1 - p) ** (BITS - m)
+        if left <= 1e-9:
+            return m
+    return BITS
+
+
+def buckets(sketch: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (key, h, times, runs, bits, held, chief, prev) of the bands' buckets of two lines or more."""
+    keyed = sketch.select("h", "times", "runs", "bits", F.explode("bands").alias("key"))
+    whole, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("runs", "h")
+    rows = keyed.withColumns({"prev": F.lag("h").over(order), "held": F.count("*").over(whole), "chief": F.max(F.struct("times", "h")).over(whole)["h"]})
+    return scratch.save(rows.where("held > 1").select("key", "h", "runs", "bits", "held", "chief", "prev"))
+
+
+def likely(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """One pair (a, b) for each line of a bucket: of its buckets' chiefs and its neighbours the one with most bits alike."""
+    met = F.explode(F.array("chief", "prev")).alias("o")
+    found = rows.select("h", "bits", met).where("o is not null and o != h").distinct()
+    found = found.join(sketch.select(F.col("h").alias("o"), F.col("bits").alias("with")), "o")
+    alike = F.struct(-F.bit_count(F.col("bits").bitwiseXOR(F.col("with"))), "o")
+    best = found.groupBy("h").agg(F.max_by("o", alike).alias("o"))
+    return best.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+
+
+def across(rows: DataFrame, roots: DataFrame, similarity: float, cell: int) -> DataFrame:
+    """Distinct pairs (a, b, ra, rb) of lines of one bucket and two components (ra, rb their roots). roots: node, root.
+
+    In each bucket the members outside of its largest component meet all
+    members; these are dealt over parts of `cell` lines, to each of which the
+    former are sent.
     """
-    rows = rows.withColumn("_w", F.when(F.col("h").isNotNull(), F.split("norm", " ")))
-    pieces = F.flatten(F.transform("_w", lambda w: F.when(F.length(w) > WIDTH, F.regexp_extract_all(w, F.lit(f"(?s)(?=(.{{{WIDTH}}}))"), F.lit(1))).otherwise(F.array(w))))
-    rows = rows.withColumn("_w", F.when(F.length("norm") > LONG * F.size("_w"), pieces).otherwise(F.col("_w")))
-    shingle = lambda w, i: F.xxhash64(F.left(w, F.lit(WIDTH)), F.left(F.get("_w", i + 1), F.lit(NEXT)))
-    rows = rows.withColumn("_s", F.when(F.size("_w") > 0, F.sort_array(F.transform("_w", shingle))))
-    top = lambda x: F.shiftright(x, 60)  # noqa: E731  -8 to 7
-    rows = rows.withColumn("_heads", F.when(F.size("_s") > 0, F.filter("_s", lambda x, i: (i == 0) | (top(x) != top(F.get("_s", i - 1))))))
-    first = lambda b: F.coalesce(F.get(F.filter("_heads", lambda x: top(x) >= b), F.lit(0)), F.get("_heads", F.lit(0)))
-    sig = F.transform(F.sequence(F.lit(-8), F.lit(7)), lambda b: F.shiftright(first(b), 32).cast("int"))
-    return rows.withColumn("sig", F.when(F.size("_heads") > 0, sig)).drop("_w", "_s", "_heads")
-
-
-def bands() -> Column:
-    return F.array(*(F.xxhash64(F.lit(j), F.get("sig", F.lit(2 * j)), F.get("sig", F.lit(2 * j + 1))) for j in range(RANGES // 2)))
-
-
-def all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of members (key, h, ...) of one key."""
-    left = members.select("key", F.col("h").alias("a"))
-    return left.join(members.select("key", F.col("h").alias("b")), "key").where("a < b").select("a", "b")
-
-
-def candidates(lines: DataFrame, scratch: Scratch, small: int = SMALL) -> DataFrame:
-    """Distinct pairs (a, b, agree) of lines to be compared. lines: h, sig, times, size."""
-    keyed = lines.select("h", F.explode(bands()).alias("key"))
-    held = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    first = scratch.save(keyed.join(held, "key"))
-    found = all_pairs(first.where(F.col("held") <= small))
-    large = first.where(F.col("held") > small).join(lines.select("h", "times", "size", bands().alias("bands")), "h")
-    again = large.select("h", "times", "size", "key", F.explode("bands").alias("more")).where("more != key")
-    again = again.select("h", "times", "size", F.xxhash64(F.least("key", "more"), F.greatest("key", "more")).alias("key")).distinct()
-    twice = again.groupBy("key").agg(F.count("*").alias("held"), F.max_by("h", F.struct("times", "h")).alias("chief")).where("held > 1")
-    second = scratch.save(again.join(twice, "key"))
-    found = found.union(all_pairs(second.where(F.col("held") <= small)))
-    dense = second.where(F.col("held") > small)
-    found = found.union(dense.where("h != chief").select("h", "chief"))
-    # a bucket of any size is dealt out over 64 parts, each in its own order of size
-    order = Window.partitionBy("key", F.pmod(F.xxhash64("h"), F.lit(64))).orderBy("size", "h")
-    found = found.union(dense.select(F.col("h"), F.lag("h").over(order).alias("b")).where("b is not null"))
-    found = found.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sig = lambda n: lines.select(F.col("h").alias(n), F.col("sig").alias(f"s{n}"))
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    return found.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", agree.alias("agree")).where(F.col("agree") >= LEAST_AGREE)
+    named = rows.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    sums = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    mixed = named.join(sums.where("roots > 1"), "key").withColumn("parts", F.ceil(F.col("held") / cell).cast("int"))
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("h", "runs", "bits", "root")]
+    left = mixed.select("key", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), "main", *side("a"))
+    right = mixed.where("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *side("b"))
+    both = left.join(right, ["key", "part"]).where("root_a != root_b and (root_a = main or h_a < h_b)")
+    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
+    both = both.where((apart <= most_apart(similarity)) & (F.least("runs_a", "runs_b") >= similarity * F.greatest("runs_a", "runs_b")))
+    first = F.col("h_a") < F.col("h_b")
+    turned = lambda c: [F.when(first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")), F.when(first, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))]
+    (a, b), (ra, rb) = turned("h"), turned("root")
+    return both.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb")).distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, keep: list[str] = ("a", "b")) -> DataFrame:
@@ -120,34 +128,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, keep: list[
     return both.where(F.get(close, F.lit(0))).select(*keep)
 
 
-def joined(pairs: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+def joined(sketch: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float, cell: int) -> DataFrame:
     """Rows (node, root) of the components of all confirmed pairs."""
-    ends = pairs.select("a", "b", "agree", F.col("a").alias("h")).union(pairs.select("a", "b", "agree", F.col("b").alias("h")))
-    best = ends.groupBy("h").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    sure = scratch.save(confirmed(best, texts, similarity))
-    roots = scratch.save(components(sure, scratch))
-    side = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}"))
-    rest = pairs.join(best, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = rest.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra != rb").select("a", "b", "ra", "rb")
-    more = confirmed(rest, texts, similarity, ["ra", "rb"])
-    upper = components(more, scratch, "ra", "rb")
+    rows = buckets(sketch, scratch)
+    roots = scratch.save(components(scratch.save(confirmed(likely(rows, sketch), texts, similarity)), scratch))
+    rest = scratch.save(across(rows, roots, similarity, cell))
+    upper = components(confirmed(rest, texts, similarity, ["ra", "rb"]), scratch, "ra", "rb")
     ids = roots.union(upper.join(roots.select("node"), "node", "left_anti"))  # lines that only the second step links
     moved = ids.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     return moved.select("node", F.coalesce("top", "root").alias("root"))
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """Rows (doc, n_lines, gone): for each distinct document the numbers of the lines that go; doc: xxhash64 of id and text."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    seen = scratch.save(with_signature(exploded(docs, id_col, text_col)).select("doc", "id", "no", "h", "sig", F.length("norm").alias("size")))
+    every_line = exploded(docs, id_col, text_col)
+    seen = scratch.save(every_line.select("doc", "id", "no", "h"))
     place = F.struct(F.col("id").isNull().alias("x"), "id", "doc", "no")
-    lines = scratch.save(seen.where("h is not null").groupBy("h").agg(F.count("*").alias("times"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.min(place).alias("place")))
-    pairs = scratch.save(candidates(lines.where("sig is not null").select("h", "times", "size", "sig"), scratch, small))
-    asked = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    texts = exploded(docs, id_col, text_col).select("h", "norm").where("h is not null").join(asked, "h", "left_semi")
-    texts = scratch.save(texts.groupBy("h").agg(F.first("norm").alias("norm")))
-    roots = joined(pairs, texts, scratch, similarity).withColumnRenamed("node", "h")
+    lines = scratch.save(seen.where("h is not null").groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("place")))
+    texts = scratch.save(every_line.where("h is not null").groupBy("h").agg(F.first("norm").alias("norm")))
+    sketch = scratch.save(sketches(texts).join(lines.select("h", "times"), "h"))
+    roots = joined(sketch, texts, scratch, similarity, cell).withColumnRenamed("node", "h")
     named = lines.select("h", "place", "times").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     least = named.groupBy("root").agg(F.min("place").alias("first"), F.sum("times").alias("all")).where(F.col("all") > 1)
     doomed = named.join(least, "root").select("h", "first")

@@ -312,6 +312,31 @@ def test_lines_match_brute_force(spark):
     assert lines.removed(docs_of(spark, [])).count() == 0
 
 
+def test_lines_of_a_family_without_a_centre(spark):
+    rng = random.Random(4)
+    texts = ["posted by admin on march %04d" % k for k in rng.sample(range(1000, 10000), 300)]
+    for k in range(0, 240, 3):  # chains of lines of which only neighbours are near
+        texts.append("copyright " + "".join("%x" % (k // 3 + j) for j in range(30)) + " all rights reserved")
+    df = docs_of(spark, texts)
+    want = plain_lines(list(enumerate(texts)))
+    for cell in (lines.CELL, 50):
+        assert sum(len(r["gone"]) for r in lines.removed(df, cell=cell).collect()) == sum(g for _, g in want.values())
+
+
+def test_short_lines_with_edits_are_found(spark):
+    rng = random.Random(6)
+    letters, texts, sets = "abcdefghijklmnopqrstuvwxyz ", [], lambda x: {x[k : k + 5] for k in range(len(x) - 4)}
+    while len(texts) < 1200:
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(25, 60))).strip()
+        b = list(a)
+        for _ in range(rng.randint(1, 2)):
+            b[rng.choice([0, 1, -1, -2, rng.randrange(len(a))])] = rng.choice(letters[:-1])
+        x, y = sets(a), sets("".join(b))
+        if a != "".join(b) and len(x & y) >= 0.8 * len(x | y):
+            texts += [a, "".join(b)]
+    assert sum(len(r["gone"]) for r in lines.removed(docs_of(spark, texts)).collect()) == len(texts) // 2
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
