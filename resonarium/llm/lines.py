@@ -59,7 +59,9 @@ def sketches(lines: DataFrame) -> DataFrame:
     runs = F.array_distinct(F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
     each = F.explode(F.when(F.length("norm") > SHINGLE, runs).otherwise(F.array("norm")))
     rows = lines.select("h", "norm").repartition("h").select("h", each.alias("g")).select("h", F.xxhash64("g").alias("g"))
-    least = rows.groupBy("h").agg(F.count("*").cast("int").alias("runs"), *(F.min(F.xxhash64("g", F.lit(k))).alias(f"m{k}") for k in range(BANDS * WIDTH)))
+    rows = rows.select("h", *(F.xxhash64("g", F.lit(k)).alias(f"v{k}") for k in range(0, BANDS * WIDTH, 2)))
+    half = lambda k: F.shiftrightunsigned(f"v{k - 1}", 32) if k % 2 else F.col(f"v{k}").bitwiseAND(F.lit(0xFFFFFFFF))  # noqa: E731  a hash serves two
+    least = rows.groupBy("h").agg(F.count("*").cast("int").alias("runs"), *(F.min(half(k)).alias(f"m{k}") for k in range(BANDS * WIDTH)))
     bits = F.lit(0).cast("long")
     for k in range(BITS):
         bits = bits.bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(1).cast("long")), k))
@@ -78,19 +80,26 @@ def most_apart(similarity: float) -> int:
 
 
 def buckets(sketch: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (key, h, times, runs, bits, held, chief, prev) of the bands' buckets of two lines or more."""
-    keyed = sketch.select("h", "times", "runs", "bits", F.explode("bands").alias("key"))
+    """Rows (key, h, runs, bits, held, chief, prev) of the bands' buckets of two lines or more."""
+    keyed = sketch.select(F.explode("bands").alias("key"), "h")
     whole, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("runs", "h")
-    rows = keyed.withColumns({"prev": F.lag("h").over(order), "held": F.count("*").over(whole), "chief": F.max(F.struct("times", "h")).over(whole)["h"]})
-    return scratch.save(rows.where("held > 1").select("key", "h", "runs", "bits", "held", "chief", "prev"))
+    rows = keyed.withColumn("held", F.count("*").over(whole)).where("held > 1").join(sketch.select("h", "times", "runs", "bits"), "h")
+    rows = rows.withColumns({"prev": F.lag("h").over(order), "chief": F.max(F.struct("times", "h")).over(whole)["h"]})
+    return scratch.save(rows.select("key", "h", "runs", "bits", "held", "chief", "prev"))
 
 
-def likely(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+def may_reach(similarity: float, a: str, b: str) -> Column:
+    """Whether the counts of shingles and the bits of sides a and b allow for the similarity."""
+    apart = F.bit_count(F.col(f"bits{a}").bitwiseXOR(F.col(f"bits{b}")))
+    return (apart <= most_apart(similarity)) & (F.least(f"runs{a}", f"runs{b}") >= similarity * F.greatest(f"runs{a}", f"runs{b}"))
+
+
+def likely(rows: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
     """One pair (a, b) for each line of a bucket: of its buckets' chiefs and its neighbours the one with most bits alike."""
     met = F.explode(F.array("chief", "prev")).alias("o")
-    found = rows.select("h", "bits", met).where("o is not null and o != h").distinct()
-    found = found.join(sketch.select(F.col("h").alias("o"), F.col("bits").alias("with")), "o")
-    alike = F.struct(-F.bit_count(F.col("bits").bitwiseXOR(F.col("with"))), "o")
+    found = rows.select("h", "runs", "bits", met).where("o is not null and o != h").distinct()
+    found = found.join(sketch.select(F.col("h").alias("o"), F.col("runs").alias("runs_o"), F.col("bits").alias("bits_o")), "o").where(may_reach(similarity, "", "_o"))
+    alike = F.struct(-F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_o"))), "o")
     best = found.groupBy("h").agg(F.max_by("o", alike).alias("o"))
     return best.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
 
@@ -109,8 +118,7 @@ def across(rows: DataFrame, roots: DataFrame, similarity: float, cell: int) -> D
     left = mixed.select("key", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), "main", *side("a"))
     right = mixed.where("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *side("b"))
     both = left.join(right, ["key", "part"]).where("root_a != root_b and (root_a = main or h_a < h_b)")
-    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
-    both = both.where((apart <= most_apart(similarity)) & (F.least("runs_a", "runs_b") >= similarity * F.greatest("runs_a", "runs_b")))
+    both = both.where(may_reach(similarity, "_a", "_b"))
     first = F.col("h_a") < F.col("h_b")
     turned = lambda c: [F.when(first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")), F.when(first, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))]
     (a, b), (ra, rb) = turned("h"), turned("root")
@@ -131,7 +139,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, keep: list[
 def joined(sketch: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float, cell: int) -> DataFrame:
     """Rows (node, root) of the components of all confirmed pairs."""
     rows = buckets(sketch, scratch)
-    roots = scratch.save(components(scratch.save(confirmed(likely(rows, sketch), texts, similarity)), scratch))
+    roots = scratch.save(components(scratch.save(confirmed(likely(rows, sketch, similarity), texts, similarity)), scratch))
     rest = scratch.save(across(rows, roots, similarity, cell))
     upper = components(confirmed(rest, texts, similarity, ["ra", "rb"]), scratch, "ra", "rb")
     ids = roots.union(upper.join(roots.select("node"), "node", "left_anti"))  # lines that only the second step links
