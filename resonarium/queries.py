@@ -553,7 +553,7 @@ def block_bootstrap_ci(spark, sf_dir):
 
 @query()
 def surrogate_matrix(spark, sf_dir):
-    return inference.surrogate_matrix_test(hourly(spark, sf_dir), registry.statistic("coherence", SR, nperseg=SEG), 19, "phase").drop("recording")
+    return inference.surrogate_matrix_test(hourly(spark, sf_dir), registry.statistic("coherence", SR, nperseg=SEG), surrogate="phase").drop("recording")
 
 
 @query()

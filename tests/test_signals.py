@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -205,6 +207,19 @@ def test_inference_does_not_depend_on_partitions(spark, pair):
         inference.surrogate_test(df, stat, 5, "none")
 
 
+def test_surrogate_matrix_query_finds_a_coupled_pair(spark, tmp_path):
+    from resonarium import queries
+
+    rng, start = np.random.default_rng(3), datetime.datetime(2024, 1, 1)
+    common, rows = rng.standard_normal(720), []
+    for k in range(720):
+        for name, v in (("a", common[k]), ("b", common[k] + 0.2 * rng.standard_normal()), ("c", rng.standard_normal())):
+            rows.append((start + datetime.timedelta(hours=k), name, float(v)))
+    spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, value double").write.parquet(f"file://{tmp_path}/events.parquet")
+    got = {(r["channel_x"], r["channel_y"]): r for r in queries.QUERIES["surrogate_matrix"](spark, f"file://{tmp_path}").collect()}
+    assert got["a", "b"]["significant"] and got["a", "b"]["p_value"] == 1 / 200
+
+
 def test_adjustments_match_arrays(spark):
     from resonarium.functions.resampling import adjust
 
