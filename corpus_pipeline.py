@@ -4,14 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns the next stage's documents,
 which are written as Parquet and read again in between. Stages keep documents
 that nothing speaks against: only the decision named at a stage takes rows out.
 
-Null doc_ids: such rows can't be named by the decisions of the second and third
-stage and pass them. Rows of one doc_id share these stages' decisions; the
-second keeps one of them. Extra columns travel along.
+The second and third stage write every row with a number of its own and join
+their decisions by it, so null and repeated doc_ids are judged like any other.
+Of near copies the row of the smallest doc_id stays, null last. Extra columns
+travel along.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resonarium.llm import decontaminate, langid, mixing, sharding, simhash
@@ -19,6 +20,12 @@ from resonarium.session import Scratch
 
 #: Documents whose language is `und`, or whose distance leaves a lower score than this, are rejected.
 LEAST_SCORE = 0.25
+ROW = "_pipeline_row"
+
+
+def numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
+    """docs, written with a number for each row, so that recomputed tasks see the same ones."""
+    return Scratch(spark, name).save(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +35,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.classes(docs)
-    stays = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(stays, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    named = named.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = numbered(spark, docs, "copies")
+    found = simhash.classes(rows, ROW).select(F.col("id").alias(ROW), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", F.xxhash64(*docs.columns).alias("h"), ROW)
+    ranked = rows.select(ROW, place.alias("place")).join(found, ROW)
+    stays = ranked.groupBy("component_id").agg(F.min("place").alias("place")).select(F.col(f"place.{ROW}").alias(ROW))
+    return rows.join(stays, ROW, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated and id is not null").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(spark, docs, "judged")
+    found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW)
+    bad = found.where("contaminated").select(F.col("id").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

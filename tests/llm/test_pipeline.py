@@ -54,6 +54,18 @@ def test_stages_take_empty_tables_and_odd_rows(spark, folder):
         now.count()
 
 
+def test_null_and_repeated_ids_are_judged_by_row(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id in (3, 5, 7, 103)")
+    no_id = F.lit(None).cast("long")
+    copy = docs.where("doc_id = 3").withColumn("doc_id", no_id)
+    shared = docs.where("doc_id = 5").withColumn("doc_id", F.lit(7).cast("long"))  # 7 twice, with different texts
+    a = corpus_pipeline.near_duplicates(spark, docs.where("doc_id != 5").unionByName(copy).unionByName(shared), folder)
+    assert sorted((r["doc_id"] for r in a.collect()), key=str) == [103, 3, 7, 7]
+    dirty = docs.where("doc_id = 103")
+    b = corpus_pipeline.decontamination(spark, docs.unionByName(dirty.withColumn("doc_id", no_id)).unionByName(dirty.withColumn("doc_id", F.lit(3).cast("long"))), folder)
+    assert sorted(r["doc_id"] for r in b.collect()) == [3, 5, 7]
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "mix", "shards"]
     assert len(registry.QUERIES) == 10 and set(registry.SQL) <= set(registry.QUERIES)
