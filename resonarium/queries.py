@@ -146,7 +146,7 @@ def elastic_align(spark, sf_dir):
 def srvf_mean(spark, sf_dir):
     daily = hourly(spark, sf_dir).groupBy("channel", (F.col("idx") % 24).alias("hour")).agg(F.avg("value").alias("v"))
     curves = daily.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct("hour", "v"))).alias("c")).select(F.col("channel").alias("curve"), F.col("c.v").alias("y"))
-    return align.srvf_mean(curves, 3)[1].select("curve", F.size("aligned").alias("n"))
+    return align.srvf_mean(curves)[1].select("curve", F.size("aligned").alias("n"))
 
 
 # ---- spectra ---------------------------------------------------------------
@@ -338,7 +338,7 @@ def leida_dwell(spark, sf_dir):
 
 @query()
 def leida_states(spark, sf_dir):
-    return phase.leida_states(hourly(spark, sf_dir), SR, BAND, kind="fft", nstart=2).groupBy("state").agg(F.count("*").alias("n"))
+    return phase.leida_states(hourly(spark, sf_dir), SR, BAND, kind="fft").groupBy("state").agg(F.count("*").alias("n"))
 
 
 # ---- phase-amplitude coupling ----------------------------------------------
@@ -490,7 +490,7 @@ def wavelet_plv(spark, sf_dir):
 
 @query()
 def xwt(spark, sf_dir):
-    return wavelet.cross_wavelet(hourly(spark, sf_dir), SR, [0.5, 1, 2], n_surrogates=20).groupBy("channel_x", "channel_y", "frequency").agg(F.avg(F.col("significant").cast("double")).alias("share"), F.max("level").alias("level"))
+    return wavelet.cross_wavelet(hourly(spark, sf_dir), SR, [0.5, 1, 2]).groupBy("channel_x", "channel_y", "frequency").agg(F.avg(F.col("significant").cast("double")).alias("share"), F.max("level").alias("level"))
 
 
 @query()
@@ -558,12 +558,12 @@ def surrogate_matrix(spark, sf_dir):
 
 @query()
 def surrogate_iaaft(spark, sf_dir):
-    return inference.surrogate_test(hourly(spark, sf_dir), registry.statistic("crosscorrelation", SR, max_lag=10), 19, "iaaft").drop("recording")
+    return inference.surrogate_test(hourly(spark, sf_dir), registry.statistic("crosscorrelation", SR, max_lag=10), surrogate="iaaft").drop("recording")
 
 
 @query()
 def bootstrap_plv(spark, sf_dir):
-    return inference.bootstrap_ci(hourly(spark, sf_dir), registry.statistic("plv", SR, band=BAND, kind="fft"), 39).drop("recording")
+    return inference.bootstrap_ci(hourly(spark, sf_dir), registry.statistic("plv", SR, band=BAND, kind="fft")).drop("recording")
 
 
 def _pvalues(spark, sf_dir):
@@ -609,7 +609,7 @@ def hommel_adjust(spark, sf_dir):
 
 def _blocks(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id is not null and embedding is not null")
-    at = {"a": (1, 8), "b": (17, 6), "c": (33, 4), "a1": (1, 2), "b1": (17, 2)}
+    at = {"a": (1, 16), "b": (17, 16), "c": (33, 16), "d": (49, 16), "a1": (1, 2), "b1": (17, 2)}
     return e.select(F.col("vec_id").alias("obs_id"), *(F.slice("embedding", i, n).cast("array<double>").alias(k) for k, (i, n) in at.items()))
 
 
@@ -670,17 +670,17 @@ def deviation_index_1d(spark, sf_dir):
 @query()
 def deviation_index(spark, sf_dir):
     b = _blocks(spark, sf_dir)
-    return fusion.deviation_index(b, b, "a", {"low": (0, 4), "high": (4, 8)})
+    return fusion.deviation_index(b, b, "a", {"low": (0, 8), "high": (8, 16)})
 
 
 @query()
 def jive(spark, sf_dir):
-    return fusion.jive(_blocks(spark, sf_dir), ["a", "b", "c"])[1]
+    return fusion.jive(_blocks(spark, sf_dir), ["a", "b", "c", "d"])[1]
 
 
 @query()
 def mfa(spark, sf_dir):
-    return fusion.multiple_factor_analysis(_blocks(spark, sf_dir), ["a", "b", "c"])[1].select("factor", "eigenvalue", "explained")
+    return fusion.multiple_factor_analysis(_blocks(spark, sf_dir), ["a", "b", "c", "d"])[1].select("factor", "eigenvalue", "explained")
 
 
 @query()
@@ -703,7 +703,7 @@ def pls(spark, sf_dir):
 def coupled_nmf(spark, sf_dir):
     b = _blocks(spark, sf_dir)
     pos = b.select("obs_id", F.transform("a", lambda v: F.abs(v)).alias("a"), F.transform("b", lambda v: F.abs(v)).alias("b"))
-    return fusion.coupled_nmf(pos, "a", "b", 2, n_restart=2, max_iter=100).select("restart", "vaf", "iterations")
+    return fusion.coupled_nmf(pos, "a", "b", 2).select("restart", "vaf", "iterations")
 
 
 @query()

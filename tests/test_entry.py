@@ -36,3 +36,10 @@ def test_query(spark, name):
     got, want = (d[cols].sort_values(cols).reset_index(drop=True) for d in (got, want))
     for c in cols:
         assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna()) | (abs(got[c] - want[c]) < 2e-6 if got[c].dtype.kind == "f" else False)).all(), c
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_reference_queries_take_whole_blocks_and_all_starts(spark):
+    first = queries._blocks(spark, DATA).first()
+    assert [len(first[k]) for k in "abcd"] == [16] * 4
+    assert queries.QUERIES["coupled_nmf"](spark, DATA).count() == 5
