@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resonarium.llm import kernels as K
@@ -73,19 +73,29 @@ def each_block(batches) -> Iterator[tuple[int, Block, list]]:
             yield row[0].as_py(), Block(row[1].as_py(), row[2].as_py(), row[3].as_py()), row[4:]
 
 
-def ask(asked: Callable[[Block, list], list[np.ndarray]], blocks: DataFrame, verdict: Callable, parts: int) -> DataFrame:
+#: Bytes of fingerprints in a bucket, about, of which one task holds all.
+BUCKET_BYTES = 8_000_000
+
+
+def parts_for(blocks: DataFrame, fingerprint_bytes: Column) -> int:
+    """Number of buckets for a question; fingerprint_bytes: how many bytes a block may send."""
+    total = blocks.agg(F.sum(fingerprint_bytes).cast("long")).first()[0] or 0
+    return max(4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+
+
+def ask(entries: Callable, blocks: DataFrame, verdict: Callable, parts: int, width: int = 8) -> DataFrame:
     """Rows (block, answer): packed fingerprints of the block for which `verdict` holds.
 
-    asked(block, more) gives sorted distinct fingerprints and, if the question
-    needs one, a column of int64 of the same length. verdict(fingerprints,
-    values, owners) gets all entries of a bucket in order of fingerprint and
-    gives a mask. Buckets are as many as `parts`; one holds the share 1/parts of
-    all blocks' distinct fingerprints.
+    entries(batches) yields each block's number with its sorted distinct
+    fingerprints and, if the question needs one, a column of int64 of the same
+    length. verdict(fingerprints, values, owners) gets all entries of a bucket
+    in order of fingerprint and gives a mask. Buckets are as many as `parts`;
+    one holds the share 1/parts of all blocks' distinct fingerprints. width: how
+    many low bytes of a fingerprint are sent; the others are zero.
     """
 
     def send(batches):
-        for number, block, more in each_block(batches):
-            found = asked(block, more)
+        for number, found in entries(batches):
             fps = found[0]
             if not len(fps):
                 continue
@@ -93,7 +103,8 @@ def ask(asked: Callable[[Block, list], list[np.ndarray]], blocks: DataFrame, ver
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
             keep = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
-            cols = [[c[order[cuts[k] : cuts[k + 1]]].tobytes() for k in keep] for c in found]
+            fps = fps[order].view(np.uint8).reshape(-1, 8)[:, :width]
+            cols = [[fps[cuts[k] : cuts[k + 1]].tobytes() for k in keep], *([c[order[cuts[k] : cuts[k + 1]]].tobytes() for k in keep] for c in found[1:])]
             if len(cols) == 2:  # ids of one block lie close together
                 cols[1] = [pa.compress(x, codec="zstd", asbytes=True) for x in cols[1]]
             else:
@@ -102,7 +113,7 @@ def ask(asked: Callable[[Block, list], list[np.ndarray]], blocks: DataFrame, ver
 
     def reply(table: pa.Table) -> pa.Table:
         numbers = np.asarray(table.column("block"))
-        each = [np.frombuffer(x, np.uint64) for x in table.column("fps").to_pylist()]
+        each = [widened(x, width) for x in table.column("fps").to_pylist()]
         sizes = np.array([len(x) for x in each])
         fps = np.concatenate(each)
         vals = table.column("vals").to_pylist()
@@ -121,6 +132,13 @@ def ask(asked: Callable[[Block, list], list[np.ndarray]], blocks: DataFrame, ver
     return sent.groupBy("bucket").applyInArrow(reply, "block long, answer binary")
 
 
+def widened(packed: bytes, width: int) -> np.ndarray:
+    """Fingerprints of which the low `width` bytes are given."""
+    out = np.zeros((len(packed) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
 def answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """Blocks with the list of their answers, one for each bucket that has any."""
     return blocks.join(answers.groupBy("block").agg(F.collect_list("answer").alias("answers")), "block", "left")

@@ -1,76 +1,227 @@
 """Line dedup: fuzzy lines by MinHash, exact Jaccard, distributed components.
 
-Only DataFrame functions. Lines are compared trimmed and in lower case. Equal
-lines are one line from the start. Similarity is the Jaccard measure of the
-sets of five-character shingles, and the same shingles make the sketch: 80
-MinHashes, four to a band. Lines that agree in one of 20 bands are candidates;
-at similarity s a band agrees with probability s**4, so at 0.8 a pair is missed
-with probability 3e-5. Candidates are confirmed by their exact similarity,
-links are closed by star contraction, and of each component only the first line
-stays (smallest doc_id, null last, then line number).
-
-Each line is first confirmed against one likely candidate: the most frequent
-line or the next in order of size of a bucket. After that all pairs of a bucket
-that lie in different components are compared, whatever its size: buckets of
-more than `cell` lines are cut into parts, and every line meets every part. A
-pair is spared the exact measure only where that can't reach the threshold (the
-numbers of shingles differ too much), or where more of 64 bits, one of each
-MinHash, differ than happens to a pair at the threshold with probability 1e-9.
+Lines are compared trimmed of blanks and in lower case. Equal lines are one
+line from the start. Similarity is the Jaccard measure of the sets of
+five-character shingles, and the same shingles make the sketch: one hash of
+each shingle deals them to 192 bins, the least of a bin is its MinHash, and an
+empty bin borrows that of another bin chosen by a fixed rule, which both lines
+of a pair follow. Six MinHashes make a band; lines that agree in one of 32
+bands are candidates. At similarity s a band agrees with probability s**6, so
+at 0.8 a pair is missed with probability 6e-5. Candidates are confirmed by
+their exact similarity, links are closed by star contraction, and of each
+component only the first line stays (smallest doc_id, null last, then line
+number).
+
+The texts are read once, into blocks: the distinct lines of a run of documents
+with their sketches, written to the shared folder. Only bands that different
+lines share are taken out of them as rows; a line that a third of all rows hold
+costs one entry a block. Each candidate is first confirmed against one likely
+partner: the most frequent line of a bucket or the next in order of size. After
+that all pairs of a bucket that lie in different components are compared,
+whatever its size: buckets of more than `cell` lines are cut into parts, and
+every line meets every part. A pair is spared the exact measure only where the
+numbers of shingles rule a link out, or where more of 128 bits, one each
+of as many MinHashes, differ than happens to a pair at the threshold with probability 1e-9.
 
 Defined results: blank lines stay; a null text is one blank line; a line of
 fewer than five characters is a single shingle; rows alike in id and text are
-one document and get the same result; further columns are ignored.
+one document and get the same result; further columns are ignored. Lines are
+told apart by 64-bit XXH3: n distinct lines hold two that are taken for one
+with probability n**2 / 2**65.
 """
 
 from __future__ import annotations
 
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from resonarium.llm import kernels as K
+from resonarium.llm.blocks import LAST, answered, ask, parts_for, widened
 from resonarium.llm.graph import components
-from resonarium.session import Scratch
+from resonarium.session import Scratch, ship
 
 SIMILARITY, SHINGLE, CELL = 0.8, 5, 512
-BANDS, WIDTH, BITS = 20, 4, 64
-
-
-def normal(line: Column) -> Column:
-    return F.lower(F.trim(line))
-
-
-def shingles(chars: Column) -> Column:
-    """Hashes of all runs of five characters of an array of characters, repeats included; a shorter line is one run."""
-    runs = F.transform(F.slice(chars, F.lit(1), F.greatest(F.lit(1), F.size(chars) - SHINGLE + 1)), lambda c, i: F.xxhash64(c, *(F.get(chars, i + k) for k in range(1, SHINGLE))))
-    return runs
-
-
-def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc, id, no, norm, h): each line with its number and the hash of its normal form, null where blank."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.xxhash64(F.col(id_col), text).alias("doc"), F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
-    rows = rows.select("doc", "id", "no", normal(F.col("line")).alias("norm"))
-    return rows.withColumn("h", F.when(F.col("norm") != "", F.xxhash64("norm")))
-
-
-def sketches(lines: DataFrame) -> DataFrame:
-    """Rows (h, runs, bits, bands): number of distinct shingles, a bit of each of 64 MinHashes, and the bands' keys. lines: h, norm."""
-    runs = F.array_distinct(F.regexp_extract_all("norm", F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-    each = F.explode(F.when(F.length("norm") > SHINGLE, runs).otherwise(F.array("norm")))
-    rows = lines.select("h", "norm").repartition("h").select("h", each.alias("g")).select("h", F.xxhash64("g").alias("g"))
-    rows = rows.select("h", *(F.xxhash64("g", F.lit(k)).alias(f"v{k}") for k in range(0, BANDS * WIDTH, 2)))
-    half = lambda k: F.shiftrightunsigned(f"v{k - 1}", 32) if k % 2 else F.col(f"v{k}").bitwiseAND(F.lit(0xFFFFFFFF))  # noqa: E731  a hash serves two
-    least = rows.groupBy("h").agg(F.count("*").cast("int").alias("runs"), *(F.min(half(k)).alias(f"m{k}") for k in range(BANDS * WIDTH)))
-    bits = F.lit(0).cast("long")
-    for k in range(BITS):
-        bits = bits.bitwiseOR(F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(1).cast("long")), k))
-    keys = (F.xxhash64(F.lit(j), *(F.col(f"m{WIDTH * j + i}") for i in range(WIDTH))) for j in range(BANDS))
-    return least.select("h", "runs", bits.alias("bits"), F.array(*keys).alias("bands"))
+WIDTH, BANDS, BITS = 6, 32, 128
+BINS = WIDTH * BANDS
+#: Lines of fewer shingles borrow so many MinHashes that their bits are few independent ones; FEW_APART of them may differ.
+FEW, FEW_APART = 64, 56
+SLICE_BYTES = 2_000_000
+#: Distinct lines and characters that are sketched at once.
+SKETCH_LINES, SKETCH_CHARS = 1 << 18, 1 << 21
+LOW = np.uint64((1 << 44) - 1)
+#: Bytes of a band's key that are kept.
+KEY_BYTES = 6
+
+_RNG = np.random.Generator(np.random.PCG64(20240311))
+_ODD = _RNG.integers(0, 2**63, SHINGLE + WIDTH + BINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLACE, BAND, BORROW = _ODD[:SHINGLE], _ODD[SHINGLE : SHINGLE + WIDTH], _ODD[SHINGLE + WIDTH :]
+
+
+def normal(line: str) -> str:
+    return line.strip(" ").lower()
+
+
+def scattered(h: np.ndarray) -> np.ndarray:
+    """Spreads the high bits of a sum over all bits, twice."""
+    return K.mixed(K.mixed(h))
+
+
+def code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of lines one after another, each padded to a shingle at least, and their offsets."""
+    sizes = np.array([max(SHINGLE, len(x)) for x in lines], np.int64)
+    text = "".join(x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def starts_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where all shingles begin, and the line of each."""
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.arange(len(owner))
+    ok = at + SHINGLE <= offsets[1:][owner]
+    return at[ok], owner[ok]
+
+
+def minima(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """MinHashes (lines x BINS, all filled) and numbers of distinct shingles."""
+    cps, offsets = code_points(lines)
+    x = cps.astype(np.uint64)
+    n = len(x) - SHINGLE + 1
+    h = scattered(sum(x[k : k + n] * PLACE[k] for k in range(SHINGLE)))
+    at, owner = starts_of(offsets)
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(44)) | (h[at] >> np.uint64(20)))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    place = ((keys >> np.uint64(44)) * np.uint64(BINS) + ((keys & LOW) * np.uint64(BINS) >> np.uint64(44))).astype(np.int64)  # line and bin
+    first = np.concatenate([[True], place[1:] != place[:-1]])
+    out = np.full((len(lines), BINS), -1, np.int64)
+    out.ravel()[place[first]] = (keys[first] & LOW).astype(np.int64)
+    runs = np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=len(lines))
+    own = out.copy()
+    row, col = np.nonzero(out < 0)
+    turn = np.uint64(0)
+    while len(row):
+        turn += np.uint64(1)
+        pick = (K.mixed(BORROW[col] * turn) % np.uint64(BINS)).astype(np.int64)
+        got = own[row, pick]
+        out[row, col] = got
+        row, col = row[got < 0], col[got < 0]
+    return out, runs
+
+
+def sketched(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """runs (lines), bits (lines x 2) and band keys (lines x BANDS)."""
+    runs, bits, bands = [], [], []
+    i = 0
+    while i < len(lines):
+        j, used = i, 0
+        while j < len(lines) and j - i < SKETCH_LINES and (j == i or used + len(lines[j]) <= SKETCH_CHARS):
+            used += len(lines[j])
+            j += 1
+        least, n = minima(lines[i:j])
+        runs.append(n)
+        bits.append(np.packbits((least[:, :BITS] & 1).astype(np.uint8), axis=1).view(np.int64))
+        of_band = least.astype(np.uint64).reshape(len(least), BANDS, WIDTH)
+        bands.append(scattered((of_band * BAND).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) >> np.uint64(64 - 8 * KEY_BYTES))
+        i = j
+    if not lines:
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, BANDS), np.uint64)
+    return np.concatenate(runs), np.concatenate(bits), np.concatenate(bands)
+
+
+BLOCK = "block long, ids array<long>, docs binary, counts binary, lines binary, h binary, runs binary, bits binary, bands binary, payload binary"
+
+
+def doc_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def line_blocks(docs: DataFrame, id_col: str, text_col: str, size: int = SLICE_BYTES) -> DataFrame:
+    """Rows of BLOCK: for each document its id, key and number of lines, for each line its hash (0 where blank), and the distinct lines with their sketches."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        import xxhash
+        from pyspark import TaskContext
+
+        task, n = TaskContext.get().partitionId() << 32, 0
+        for b in K.batch_slices(batches, "text", size):
+            place: dict[str, int] = {}
+            numbers, counts = [], []
+            for text in b.column(1).to_pylist():
+                each = [normal(x) for x in (text or "").split("\n")]
+                numbers.extend([place.setdefault(x, len(place)) if x else -1 for x in each])
+                counts.append(len(each))
+            lines = list(place)
+            h = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) or 1 for x in lines] + [0], np.uint64)
+            runs, bits, bands = sketched(lines)
+            cells = [[task + n], [b.column(0).to_pylist()], [b.column(2).to_numpy(zero_copy_only=False).tobytes()], [np.array(counts, np.int32).tobytes()], [h[np.array(numbers, np.int64)].tobytes()]]
+            cells += [[h[:-1].tobytes()], [runs.astype(np.int32).tobytes()], [bits.tobytes()], [bands.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()], [pa.compress("\n".join(lines).encode("utf-8", "surrogatepass"), codec="zstd", asbytes=True)]]
+            size_of = sum(len(x.encode("utf-8", "surrogatepass")) for x in lines) + max(0, len(lines) - 1)
+            cells[-1] = [size_of.to_bytes(8, "little") + cells[-1][0]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=["block", "ids", "docs", "counts", "lines", "h", "runs", "bits", "bands", "payload"])
+            n += 1
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), doc_key(id_col, text_col).alias("doc")).mapInArrow(run, BLOCK)
+
+
+def rows_of(batches):
+    for b in batches:
+        for r in range(b.num_rows):
+            yield [b.column(k)[r].as_py() for k in range(b.num_columns)]
+
+
+def shared_bands(blocks: DataFrame, parts: int) -> DataFrame:
+    """Rows (block, answer): the band keys of a block that different lines have, there or in another block."""
+
+    def entries(batches):
+        for block, h, bands in rows_of(batches):
+            lines = np.repeat(np.frombuffer(h, np.uint64), BANDS)
+            keys = widened(bands, KEY_BYTES)
+            order = np.argsort(keys, kind="stable")
+            keys, short = keys[order], (lines[order] & np.uint64(0xFFFF)).astype(np.int64)
+            head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+            at = np.flatnonzero(head)
+            several = np.diff(np.concatenate([at, [len(keys)]])) > 1
+            yield block, [keys[at], np.where(several, -1, short[at])]
+
+    def verdict(keys, values, owners):
+        if not len(keys):
+            return np.zeros(0, bool)
+        head = np.concatenate([[True], keys[1:] != keys[:-1]])
+        at, run = np.flatnonzero(head), np.cumsum(head) - 1
+        low, high = np.minimum.reduceat(values, at), np.maximum.reduceat(values, at)
+        return ((low < 0) | (low != high))[run]
+
+    return ask(entries, blocks.select("block", "h", "bands"), verdict, parts, KEY_BYTES)
+
+
+MEMBER = "key long, h long, runs int, lo long, hi long"
+
+
+def members(blocks: DataFrame, shared: DataFrame) -> DataFrame:
+    """Rows of MEMBER: each line under each of its shared band keys, once a block."""
+
+    def run(batches):
+        for h, runs, bits, bands, answers in rows_of(batches):
+            wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in answers]))
+            keys = widened(bands, KEY_BYTES).reshape(-1, BANDS)
+            found = np.searchsorted(wanted, keys)
+            found[found == len(wanted)] = 0
+            line, band = np.nonzero(wanted[found] == keys)
+            both = np.frombuffer(bits, np.int64).reshape(-1, 2)[line]
+            cols = [keys[line, band].view(np.int64), np.frombuffer(h, np.int64)[line], np.frombuffer(runs, np.int32)[line], both[:, 0], both[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "h", "runs", "lo", "hi"])
+
+    rows = answered(blocks.select("block", "h", "runs", "bits", "bands"), shared).where("answers is not null")
+    return rows.select("h", "runs", "bits", "bands", "answers").mapInArrow(run, MEMBER).distinct()
 
 
 def most_apart(similarity: float) -> int:
-    """Number of bits, of 64, that a pair of this similarity exceeds in differing with probability 1e-9 at most."""
+    """Number of bits that a pair of this similarity exceeds in differing with probability 1e-9 at most."""
     p, left = (1 - similarity) / 2, 1.0
     for m in range(BITS):
         left -= comb(BITS, m) * p**m * (1 - p) ** (BITS - m)
@@ -79,28 +230,31 @@ def most_apart(similarity: float) -> int:
     return BITS
 
 
-def buckets(sketch: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (key, h, runs, bits, held, chief, prev) of the bands' buckets of two lines or more."""
-    keyed = sketch.select(F.explode("bands").alias("key"), "h")
-    whole, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("runs", "h")
-    rows = keyed.withColumn("held", F.count("*").over(whole)).where("held > 1").join(sketch.select("h", "times", "runs", "bits"), "h")
-    rows = rows.withColumns({"prev": F.lag("h").over(order), "chief": F.max(F.struct("times", "h")).over(whole)["h"]})
-    return scratch.save(rows.select("key", "h", "runs", "bits", "held", "chief", "prev"))
+def buckets(member: DataFrame, times: DataFrame, cell: int) -> DataFrame:
+    """member with held, chief and prev: the size of a bucket, its most frequent line, and the next smaller line of the same part of it."""
+    named = member.join(times, "h")
+    sums = named.groupBy("key").agg(F.count("*").alias("held"), F.max(F.struct("times", "h")).alias("chief")).where("held > 1")
+    rows = member.join(sums.select("key", "held", F.col("chief.h").alias("chief")), "key")
+    part = F.pmod(F.xxhash64("h"), F.ceil(F.col("held") / cell)).cast("int")
+    order = Window.partitionBy("key", "part").orderBy("runs", "h")
+    return rows.withColumn("part", part).withColumn("prev", F.lag("h").over(order)).drop("part")
 
 
 def may_reach(similarity: float, a: str, b: str) -> Column:
     """Whether the counts of shingles and the bits of sides a and b allow for the similarity."""
-    apart = F.bit_count(F.col(f"bits{a}").bitwiseXOR(F.col(f"bits{b}")))
-    return (apart <= most_apart(similarity)) & (F.least(f"runs{a}", f"runs{b}") >= similarity * F.greatest(f"runs{a}", f"runs{b}"))
+    apart = F.bit_count(F.col(f"lo{a}").bitwiseXOR(F.col(f"lo{b}"))) + F.bit_count(F.col(f"hi{a}").bitwiseXOR(F.col(f"hi{b}")))
+    least, most = F.least(f"runs{a}", f"runs{b}"), F.greatest(f"runs{a}", f"runs{b}")
+    return (least >= similarity * most) & (apart <= F.when(least < FEW, max(FEW_APART, most_apart(similarity))).otherwise(most_apart(similarity)))
 
 
-def likely(rows: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
+def likely(rows: DataFrame, similarity: float) -> DataFrame:
     """One pair (a, b) for each line of a bucket: of its buckets' chiefs and its neighbours the one with most bits alike."""
     met = F.explode(F.array("chief", "prev")).alias("o")
-    found = rows.select("h", "runs", "bits", met).where("o is not null and o != h").distinct()
-    found = found.join(sketch.select(F.col("h").alias("o"), F.col("runs").alias("runs_o"), F.col("bits").alias("bits_o")), "o").where(may_reach(similarity, "", "_o"))
-    alike = F.struct(-F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_o"))), "o")
-    best = found.groupBy("h").agg(F.max_by("o", alike).alias("o"))
+    found = rows.select("h", "runs", "lo", "hi", met).where("o is not null and o != h").distinct()
+    others = rows.select(F.col("h").alias("o"), F.col("runs").alias("runs_o"), F.col("lo").alias("lo_o"), F.col("hi").alias("hi_o")).distinct()
+    found = found.join(others, "o").where(may_reach(similarity, "", "_o"))
+    apart = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo_o"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi_o")))
+    best = found.groupBy("h").agg(F.max_by("o", F.struct(-apart, "o")).alias("o"))
     return best.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
 
 
@@ -114,7 +268,7 @@ def across(rows: DataFrame, roots: DataFrame, similarity: float, cell: int) -> D
     named = rows.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     sums = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
     mixed = named.join(sums.where("roots > 1"), "key").withColumn("parts", F.ceil(F.col("held") / cell).cast("int"))
-    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("h", "runs", "bits", "root")]
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("h", "runs", "lo", "hi", "root")]
     left = mixed.select("key", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), "main", *side("a"))
     right = mixed.where("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *side("b"))
     both = left.join(right, ["key", "part"]).where("root_a != root_b and (root_a = main or h_a < h_b)")
@@ -125,57 +279,152 @@ def across(rows: DataFrame, roots: DataFrame, similarity: float, cell: int) -> D
     return both.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb")).distinct()
 
 
+def texts_of(pairs: DataFrame, homes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (h, norm) of all lines in `pairs`, each from one block that has it. homes: h, home."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(homes, "h")
+    wanted = wanted.groupBy(F.col("home").alias("block")).agg(F.collect_list("h").alias("wanted"))  # of one block's lines
+
+    def run(batches):
+        for h, payload, want in rows_of(batches):
+            lines = pa.decompress(payload[8:], decompressed_size=int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
+            at = {x: k for k, x in enumerate(np.frombuffer(h, np.int64).tolist())}
+            yield pa.RecordBatch.from_arrays([pa.array(want, pa.int64()), pa.array([lines[at[x]].decode("utf-8", "surrogatepass") for x in want], pa.string())], names=["h", "norm"])
+
+    return blocks.select("block", "h", "payload").join(wanted, "block").select("h", "payload", "wanted").mapInArrow(run, "h long, norm string")
+
+
+def close(left: list[str], right: list[str], similarity: float) -> np.ndarray:
+    """Which pairs of lines have at least this Jaccard measure, by their exact sets of shingles."""
+    n = len(left)
+    cps, offsets = code_points([*left, *right])
+    alphabet, symbol = np.unique(cps, return_inverse=True)
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    if bits * SHINGLE > 63:
+        if n > 1:
+            return np.concatenate([close(left[: n // 2], right[: n // 2], similarity), close(left[n // 2 :], right[n // 2 :], similarity)])
+        x, y = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (left[0], right[0]))
+        return np.array([len(x & y) >= similarity * len(x | y)])
+    size = len(symbol) - SHINGLE + 1
+    code = np.zeros(size, np.int64)
+    for k in range(SHINGLE):
+        code = (code << bits) | symbol[k : k + size]
+    at, owner = starts_of(offsets)
+    _, rank = np.unique(code[at], return_inverse=True)
+    wide = np.int64(max(1, len(at)))
+    one = np.unique((owner % n) * wide * 2 + rank * 2 + (owner >= n))  # pair, shingle, side
+    pair, shingle = one // (2 * wide), one >> 1
+    both = np.concatenate([shingle[1:] == shingle[:-1], [False]])
+    alike = np.bincount(pair[both], minlength=n)
+    whole = np.bincount(pair, minlength=n) - alike
+    return alike >= similarity * whole
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, keep: list[str] = ("a", "b")) -> DataFrame:
     """Pairs of at least `similarity` by the Jaccard measure of all their shingles. texts: h, norm."""
     sized = lambda n: texts.select(F.col("h").alias(n), F.col("norm").alias(f"t{n}"))
-    both = pairs.join(sized("a"), "a").join(sized("b"), "b")
-    # lambdas over one element, so that characters and shingles of each side are made once
-    chars = F.array(F.struct(F.split("ta", "").alias("x"), F.split("tb", "").alias("y")))
-    sets = F.transform(chars, lambda p: F.struct(shingles(p["x"]).alias("x"), shingles(p["y"]).alias("y")))
-    close = F.transform(sets, lambda p: F.size(F.array_intersect(p["x"], p["y"])) >= similarity * F.size(F.array_union(p["x"], p["y"])))
-    return both.where(F.get(close, F.lit(0))).select(*keep)
+    both = pairs.join(sized("a"), "a").join(sized("b"), "b").select("ta", "tb", *keep)
+
+    def run(batches):
+        for b in batches:
+            left, right = b.column(0).to_pylist(), b.column(1).to_pylist()
+            sizes = np.cumsum([len(x) + len(y) for x, y in zip(left, right)])
+            i = 0
+            while i < len(left):
+                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + SKETCH_CHARS, side="right")))
+                yes = close(left[i:j], right[i:j], similarity)
+                if yes.any():
+                    got = b.slice(i, j - i).filter(pa.array(yes))
+                    yield pa.RecordBatch.from_arrays(got.columns[2:], names=list(keep))
+                i = j
+
+    return both.mapInArrow(run, ", ".join(f"{c} long" for c in keep))
 
 
-def joined(sketch: DataFrame, texts: DataFrame, scratch: Scratch, similarity: float, cell: int) -> DataFrame:
+def joined(member: DataFrame, homes: DataFrame, blocks: DataFrame, scratch: Scratch, similarity: float, cell: int) -> DataFrame:
     """Rows (node, root) of the components of all confirmed pairs."""
-    rows = buckets(sketch, scratch)
-    roots = scratch.save(components(scratch.save(confirmed(likely(rows, sketch, similarity), texts, similarity)), scratch))
+    rows = scratch.save(buckets(member, homes.select("h", "times"), cell))
+    first = scratch.save(likely(rows, similarity))
+    roots = scratch.save(components(confirmed(first, texts_of(first, homes.select("h", "home"), blocks), similarity), scratch))
     rest = scratch.save(across(rows, roots, similarity, cell))
-    upper = components(confirmed(rest, texts, similarity, ["ra", "rb"]), scratch, "ra", "rb")
+    found = confirmed(rest, texts_of(rest, homes.select("h", "home"), blocks), similarity, ["ra", "rb"])
+    upper = components(found, scratch, "ra", "rb")
     ids = roots.union(upper.join(roots.select("node"), "node", "left_anti"))  # lines that only the second step links
     moved = ids.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     return moved.select("node", F.coalesce("top", "root").alias("root"))
 
 
+def places(blocks: DataFrame) -> DataFrame:
+    """Rows (block, h, n, place): each line of a block with its count and first place there; place: (null id, id, doc, no)."""
+
+    def run(batches):
+        for block, ids, docs, counts, lines in rows_of(batches):
+            h, counts = np.frombuffer(lines, np.int64), np.frombuffer(counts, np.int32)
+            doc = np.repeat(np.arange(len(counts)), counts)
+            no = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+            keys = np.array([LAST if x is None else x for x in ids], np.int64)[doc]
+            null = np.array([x is None for x in ids], bool)[doc]
+            name = np.frombuffer(docs, np.int64)[doc]
+            order = np.lexsort((no, name, keys, null, h))
+            order = order[h[order] != 0]
+            if not len(order):
+                continue
+            s = h[order]
+            head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            n, at = np.diff(np.concatenate([head, [len(s)]])), order[head]
+            cols = [np.full(len(at), block), s[head], n, null[at], keys[at], name[at], no[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["block", "h", "n", "x", "id", "doc", "no"])
+
+    rows = blocks.select("block", "ids", "docs", "counts", "lines").mapInArrow(run, "block long, h long, n long, x boolean, id long, doc long, no long")
+    return rows.select("block", "h", "n", F.struct("x", "id", "doc", "no").alias("place"))
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
-    """Rows (doc, n_lines, gone): for each distinct document the numbers of the lines that go; doc: xxhash64 of id and text."""
+    """Rows (id, doc, n_lines, gone), one for each row of docs: the numbers of the lines that go; doc: xxhash64 of id and text."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    every_line = exploded(docs, id_col, text_col)
-    seen = scratch.save(every_line.select("doc", "id", "no", "h"))
-    place = F.struct(F.col("id").isNull().alias("x"), "id", "doc", "no")
-    lines = scratch.save(seen.where("h is not null").groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("place")))
-    texts = scratch.save(every_line.where("h is not null").groupBy("h").agg(F.first("norm").alias("norm")))
-    sketch = scratch.save(sketches(texts).join(lines.select("h", "times"), "h"))
-    roots = joined(sketch, texts, scratch, similarity, cell).withColumnRenamed("node", "h")
-    named = lines.select("h", "place", "times").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    blocks = scratch.save(line_blocks(docs, id_col, text_col))
+    found = scratch.save(places(blocks))
+    lines = scratch.save(found.groupBy("h").agg(F.sum("n").alias("times"), F.min("block").alias("home"), F.min("place").alias("place")))
+    member = scratch.save(members(blocks, shared_bands(blocks, parts_for(blocks, F.octet_length("bands")))))
+    roots = joined(member, lines.select("h", "times", "home"), blocks, scratch, similarity, cell).withColumnRenamed("node", "h")
+    named = scratch.save(lines.select("h", "place", "times").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
     least = named.groupBy("root").agg(F.min("place").alias("first"), F.sum("times").alias("all")).where(F.col("all") > 1)
-    doomed = named.join(least, "root").select("h", "first")
-    gone = seen.select("doc", "id", "no", "h").join(doomed, "h").where(place != F.col("first")).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("gone"))
-    every = seen.groupBy("doc").agg((F.max("no") + 1).cast("long").alias("n_lines"))
-    return every.join(gone, "doc", "left").select("doc", "n_lines", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    doomed = named.join(least, "root").select("h", "first.*")
+    verdict = found.select("block", "h").join(doomed, "h").groupBy("block").agg(F.collect_list(F.struct("h", "id", "doc", "no")).alias("doomed"))  # of one block's lines
+
+    def run(batches):
+        for ids, docs, counts, lines, told in rows_of(batches):
+            h, counts, name = np.frombuffer(lines, np.int64), np.frombuffer(counts, np.int32), np.frombuffer(docs, np.int64)
+            doc = np.repeat(np.arange(len(counts)), counts)
+            no = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+            gone = np.zeros(len(h), bool)
+            if told:
+                t = np.array(sorted((r["h"], r["id"], r["doc"], r["no"]) for r in told), np.int64)
+                at = np.searchsorted(t[:, 0], h)
+                at[at == len(t)] = 0
+                keys = np.array([LAST if x is None else x for x in ids], np.int64)
+                first = t[at]
+                gone = (first[:, 0] == h) & ~((first[:, 1] == keys[doc]) & (first[:, 2] == name[doc]) & (first[:, 3] == no))
+            cuts = np.searchsorted(doc[gone], np.arange(len(counts) + 1))
+            offsets = pa.array(cuts, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(name), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(no[gone].astype(np.int32)))], names=["id", "doc", "n_lines", "gone"]
+            )
+
+    rows = blocks.select("block", "ids", "docs", "counts", "lines").join(verdict, "block", "left")
+    return rows.select("ids", "docs", "counts", "lines", "doomed").mapInArrow(run, "id long, doc long, n_lines long, gone array<int>")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with their texts rid of the lines that go; texts that lose all lines become empty, nulls stay null."""
-    found = removed(docs, id_col, text_col, **how)
-    named = docs.withColumn("_doc", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    rows = named.join(found, F.col("_doc") == F.col("doc"))
-    return rows.select(*(F.when(F.size("gone") > 0, kept).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    own = [f"c{k}" for k in range(len(docs.columns))]  # names that clash with none of ours
+    named = docs.toDF(*own).select("*", doc_key(own[docs.columns.index(id_col)], text := own[docs.columns.index(text_col)]).alias("doc"))
+    found = removed(docs, id_col, text_col, **how).where(F.size("gone") > 0).select("doc", "gone").dropDuplicates(["doc"])
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    rows = named.join(found, "doc", "left")
+    return rows.select(*(F.when(F.col("gone").isNotNull(), kept).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in own)).toDF(*docs.columns)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    named = docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("doc"))
-    return named.join(removed(docs), "doc").select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.transform("gone", lambda x: x.cast("string")), ",").alias("removed_lines"))
+    found = removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.transform("gone", lambda x: x.cast("string")), ",").alias("removed_lines"))

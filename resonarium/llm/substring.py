@@ -24,9 +24,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from resonarium.llm import kernels as K
-from resonarium.llm.blocks import BLOCK_BYTES, Block, among, answered, ask, each_block, make_blocks, unpack
+from resonarium.llm.blocks import BLOCK_BYTES, Block, among, answered, ask, each_block, make_blocks, parts_for, unpack
 from resonarium.session import Scratch
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -69,20 +70,22 @@ class Parsed:
 
 
 def anchors_asked(window: int):
-    def asked(block: Block, more: list) -> list[np.ndarray]:
-        return [np.unique(Parsed(block, window).anchors()[1])]
+    def entries(batches):
+        for number, block, _ in each_block(batches):
+            yield number, [np.unique(Parsed(block, window).anchors()[1])]
 
-    return asked
+    return entries
 
 
 def windows_asked(window: int):
-    def asked(block: Block, more: list) -> list[np.ndarray]:
-        p = Parsed(block, window)
-        at, fps = p.candidates(unpack(more[0]))
-        uniq, first = np.unique(fps, return_index=True)  # the first is the one of least id, as texts are in that order
-        return [uniq, block.keys[p.row[at[first]]]]
+    def entries(batches):
+        for number, block, more in each_block(batches):
+            p = Parsed(block, window)
+            at, fps = p.candidates(unpack(more[0]))
+            uniq, first = np.unique(fps, return_index=True)  # the first is the one of least id, as texts are in that order
+            yield number, [uniq, block.keys[p.row[at[first]]]]
 
-    return asked
+    return entries
 
 
 def shared(fps: np.ndarray, values, owners: np.ndarray) -> np.ndarray:
@@ -120,8 +123,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         raise ValueError(f"a window has {PERIOD + 1} words at least")
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    parts = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = scratch.save(make_blocks(docs, id_col, text_col, block_bytes))
+    parts = parts_for(blocks, F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))  # a word of five letters and a blank sends 8 bytes at most with one of its windows
     repeated = scratch.save(ask(anchors_asked(window), blocks, shared, parts))
     earlier = scratch.save(ask(windows_asked(window), answered(blocks, repeated), later, parts))
     scratch.drop(repeated)

@@ -454,3 +454,23 @@ def test_shards_round_trip(spark, tmp_path):
     empty = sharding.ShardStore(spark, f"file://{tmp_path}/e")
     empty.append(df.where("false"))
     assert empty.compact() == 1 and empty.read().count() == 0
+
+
+def test_lines_of_long_words_and_shared_heads(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = []
+    for n, size, edits in ((6, 10, 1), (5, 15, 1), (8, 9, 1), (12, 8, 2)):
+        for _ in range(60):
+            a = [word(size) for _ in range(n)]
+            b = list(a)
+            for k in rng.sample(range(n), edits):
+                b[k] = rng.choice("0123456789") + b[k][1:]
+            texts += [" ".join(a), " ".join(b)]
+    heads = [word(8) for _ in range(6)]
+    for _ in range(200):  # a family that shares the heads of its words
+        a = [h + word(7) for h in heads]
+        texts += [" ".join(a), " ".join([*a[:-1], a[-1][:-1] + "9"])]
+    want = sum(g for _, g in plain_lines(list(enumerate(texts))).values())
+    got = sum(len(r["gone"]) for r in lines.removed(docs_of(spark, texts)).collect())
+    assert want > 300 and 0.99 * want <= got <= want
