@@ -72,6 +72,17 @@ class Scratch:
         self._keep = [*getattr(self, "_keep", []), out]
         return out
 
+    def save_by(self, df: DataFrame, key: str) -> DataFrame:
+        """Like save, in buckets of `key`, so that joins by this one column don't shuffle the table."""
+        self.n += 1
+        path, name = f"{self.root}/{self.n}", f"scratch_{uuid.uuid4().hex}"
+        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+        out = self.spark.table(name)
+        self.paths[id(out)], self._tables = path, [*getattr(self, "_tables", []), name]
+        self._keep = [*getattr(self, "_keep", []), out]
+        return out
+
     def path_of(self, df: DataFrame) -> str:
         return self.paths[id(df)]
 
@@ -89,6 +100,8 @@ class Scratch:
     def clear(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
+                for name in getattr(self, "_tables", []):
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
                 self._delete(self.root)
         except Exception:  # the session has ended already; nothing left to clean with
             pass
