@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,52 +85,69 @@ def parts_for(blocks: DataFrame, fingerprint_bytes: Column) -> int:
 
 
 def ask(entries: Callable, blocks: DataFrame, verdict: Callable, parts: int, width: int = 8) -> DataFrame:
-    """Rows (block, answer): packed fingerprints of the block for which `verdict` holds.
-
-    entries(batches) yields each block's number with its sorted distinct
-    fingerprints and, if the question needs one, a column of int64 of the same
-    length. verdict(fingerprints, values, owners) gets all entries of a bucket
-    in order of fingerprint and gives a mask. Buckets are as many as `parts`;
-    one holds the share 1/parts of all blocks' distinct fingerprints. width: how
-    many low bytes of a fingerprint are sent; the others are zero.
+    """Rows (block, answer[, vals]): packed fingerprints of the block for which `verdict` holds, with their values.
+
+    entries(batches) yields each block's number with its distinct fingerprints
+    and, if the question needs one, a column of int64 of the same length, and
+    may add a second such pair that needs no verdict and comes back as it is.
+    verdict(fingerprints, values, owners) gets all entries of a bucket in order
+    of fingerprint and gives a mask. Buckets are as many as `parts`; one holds
+    the share 1/parts of all blocks' distinct fingerprints. width: how many low
+    bytes of a fingerprint are sent; the others are zero.
     """
+    names = ["bucket", "block", "fps", "vals", "sure"]
+    packed = lambda x: pa.compress(x, codec="zstd", asbytes=True)  # noqa: E731  values of one block lie close together
 
     def send(batches):
-        for number, found in entries(batches):
+        for number, found, *sure in entries(batches):
             fps = found[0]
-            if not len(fps):
-                continue
             bucket = (K.mixed(fps) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
-            keep = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
-            fps = fps[order].view(np.uint8).reshape(-1, 8)[:, :width]
-            cols = [[fps[cuts[k] : cuts[k + 1]].tobytes() for k in keep], *([c[order[cuts[k] : cuts[k + 1]]].tobytes() for k in keep] for c in found[1:])]
-            if len(cols) == 2:  # ids of one block lie close together
-                cols[1] = [pa.compress(x, codec="zstd", asbytes=True) for x in cols[1]]
+            keep = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+            narrow = fps[order].view(np.uint8).reshape(-1, 8)[:, :width]
+            cols = [[narrow[cuts[k] : cuts[k + 1]].tobytes() for k in keep]]
+            if len(found) == 2:
+                values = found[1][order]
+                cols.append([packed(values[cuts[k] : cuts[k + 1]].tobytes()) for k in keep])
             else:
                 cols.append([None] * len(keep))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([number] * len(keep), pa.int64()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["bucket", "block", "fps", "vals"])
+            flags = [False] * len(keep)
+            if sure and len(sure[0][0]):
+                keep, flags = [*keep, number % parts], [*flags, True]
+                cols[0].append(sure[0][0].view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
+                cols[1].append(packed(sure[0][1].tobytes()))
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([number] * len(keep), pa.int64()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(flags)], names=names)
 
     def reply(table: pa.Table) -> pa.Table:
+        sure = table.filter(table.column("sure"))
+        table = table.filter(pa.compute.invert(table.column("sure")))
         numbers = np.asarray(table.column("block"))
         each = [widened(x, width) for x in table.column("fps").to_pylist()]
-        sizes = np.array([len(x) for x in each])
-        fps = np.concatenate(each)
+        sizes = np.array([len(x) for x in each], np.int64)
+        fps = np.concatenate([np.zeros(0, np.uint64), *each])
         vals = table.column("vals").to_pylist()
-        values = np.concatenate([np.frombuffer(pa.decompress(x, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64) for x, n in zip(vals, sizes)]) if vals[0] is not None else None
+        values = np.concatenate([np.frombuffer(pa.decompress(x, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64) for x, n in zip(vals, sizes.tolist())]) if vals and vals[0] is not None else None
         owner = np.repeat(np.arange(len(each)), sizes)
         order = np.argsort(fps)
         fps, owner = fps[order], owner[order]
-        yes = verdict(fps, None if values is None else values[order], owner)
-        fps, owner = fps[yes], owner[yes]
+        values = None if values is None else values[order]
+        yes = verdict(fps, values, owner)
+        fps, owner, values = fps[yes], owner[yes], None if values is None else values[yes]
         order = np.argsort(owner, kind="stable")
         fps, cuts = fps[order], np.searchsorted(owner[order], np.arange(len(each) + 1))
-        keep = [k for k in range(len(each)) if cuts[k] < cuts[k + 1]]
-        return pa.table({"block": pa.array(numbers[keep] if keep else [], pa.int64()), "answer": pa.array([fps[cuts[k] : cuts[k + 1]].tobytes() for k in keep], pa.binary())})
+        keep = np.flatnonzero(cuts[1:] > cuts[:-1])
+        cols = [numbers[keep].tolist() + sure.column("block").to_pylist(), [fps[cuts[k] : cuts[k + 1]].tobytes() for k in keep] + [widened(x, width).tobytes() for x in sure.column("fps").to_pylist()]]
+        if values is None:
+            cols.append([None] * len(cols[0]))
+        else:
+            values = values[order]
+            cols.append([packed(values[cuts[k] : cuts[k + 1]].tobytes()) for k in keep] + sure.column("vals").to_pylist())
+        return pa.table({"block": pa.array(cols[0], pa.int64()), "answer": pa.array(cols[1], pa.binary()), "vals": pa.array(cols[2], pa.binary())})
 
-    sent = blocks.mapInArrow(send, "bucket int, block long, fps binary, vals binary")
-    return sent.groupBy("bucket").applyInArrow(reply, "block long, answer binary")
+    sent = blocks.mapInArrow(send, "bucket int, block long, fps binary, vals binary, sure boolean")
+    return sent.groupBy("bucket").applyInArrow(reply, "block long, answer binary, vals binary")
 
 
 def widened(packed: bytes, width: int) -> np.ndarray:
@@ -140,7 +158,7 @@ def widened(packed: bytes, width: int) -> np.ndarray:
 
 
 def answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks with the list of their answers, one for each bucket that has any."""
+    """Blocks (saved by block) with the list of their answers, one for each bucket that has any."""
     return blocks.join(answers.groupBy("block").agg(F.collect_list("answer").alias("answers")), "block", "left")
 
 

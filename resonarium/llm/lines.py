@@ -12,10 +12,10 @@ their exact similarity, links are closed by star contraction, and of each
 component only the first line stays (smallest doc_id, null last, then line
 number).
 
-The texts are read once, into blocks: the distinct lines of a run of documents
-with their sketches, written to the shared folder. Only bands that different
-lines share are taken out of them as rows; a line that a third of all rows hold
-costs one entry a block. Each candidate is first confirmed against one likely
+The texts are read once, into blocks: the distinct lines of a run of documents,
+written to the shared folder. Each block asks which of its bands different lines
+share; only those become rows, and a line or a band that a third of all rows
+hold costs one entry a block. Each candidate is first confirmed against one likely
 partner: the most frequent line of a bucket or the next in order of size. After
 that all pairs of a bucket that lie in different components are compared,
 whatever its size: buckets of more than `cell` lines are cut into parts, and
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from resonarium.llm import kernels as K
-from resonarium.llm.blocks import LAST, answered, ask, parts_for, widened
+from resonarium.llm.blocks import LAST, ask, parts_for
 from resonarium.llm.graph import components
 from resonarium.session import Scratch, ship
 
@@ -54,7 +54,7 @@ SLICE_BYTES = 2_000_000
 SKETCH_LINES, SKETCH_CHARS = 1 << 18, 1 << 21
 LOW = np.uint64((1 << 44) - 1)
 #: Bytes of a band's key that are kept.
-KEY_BYTES = 6
+KEY_BYTES = 5
 
 _RNG = np.random.Generator(np.random.PCG64(20240311))
 _ODD = _RNG.integers(0, 2**63, SHINGLE + WIDTH + BINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,7 +131,7 @@ def sketched(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(runs), np.concatenate(bits), np.concatenate(bands)
 
 
-BLOCK = "block long, ids array<long>, docs binary, counts binary, lines binary, h binary, runs binary, bits binary, bands binary, payload binary"
+BLOCK = "block long, ids array<long>, docs binary, counts binary, lines binary, h binary, payload binary"
 
 
 def doc_key(id_col: str, text_col: str) -> Column:
@@ -139,7 +139,7 @@ def doc_key(id_col: str, text_col: str) -> Column:
 
 
 def line_blocks(docs: DataFrame, id_col: str, text_col: str, size: int = SLICE_BYTES) -> DataFrame:
-    """Rows of BLOCK: for each document its id, key and number of lines, for each line its hash (0 where blank), and the distinct lines with their sketches."""
+    """Rows of BLOCK: for each document its id, key and number of lines, for each line its hash (0 where blank), and the distinct lines with their hashes."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -156,13 +156,11 @@ def line_blocks(docs: DataFrame, id_col: str, text_col: str, size: int = SLICE_B
                 counts.append(len(each))
             lines = list(place)
             h = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) or 1 for x in lines] + [0], np.uint64)
-            runs, bits, bands = sketched(lines)
-            cells = [[task + n], [b.column(0).to_pylist()], [b.column(2).to_numpy(zero_copy_only=False).tobytes()], [np.array(counts, np.int32).tobytes()], [h[np.array(numbers, np.int64)].tobytes()]]
-            cells += [[h[:-1].tobytes()], [runs.astype(np.int32).tobytes()], [bits.tobytes()], [bands.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()], [pa.compress("\n".join(lines).encode("utf-8", "surrogatepass"), codec="zstd", asbytes=True)]]
-            size_of = sum(len(x.encode("utf-8", "surrogatepass")) for x in lines) + max(0, len(lines) - 1)
-            cells[-1] = [size_of.to_bytes(8, "little") + cells[-1][0]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 8]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=["block", "ids", "docs", "counts", "lines", "h", "runs", "bits", "bands", "payload"])
+            body = "\n".join(lines).encode("utf-8", "surrogatepass")
+            cells = [task + n, b.column(0).to_pylist(), b.column(2).to_numpy(zero_copy_only=False).tobytes(), np.array(counts, np.int32).tobytes(), h[np.array(numbers, np.int64)].tobytes(), h[:-1].tobytes()]
+            cells.append(len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True))
+            kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=["block", "ids", "docs", "counts", "lines", "h", "payload"])
             n += 1
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), doc_key(id_col, text_col).alias("doc")).mapInArrow(run, BLOCK)
@@ -174,50 +172,57 @@ def rows_of(batches):
             yield [b.column(k)[r].as_py() for k in range(b.num_columns)]
 
 
+def lines_of(payload: bytes) -> list[str]:
+    """The distinct lines of a block."""
+    size = int.from_bytes(payload[:8], "little")
+    return pa.decompress(payload[8:], decompressed_size=size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") if size else []
+
+
 def shared_bands(blocks: DataFrame, parts: int) -> DataFrame:
-    """Rows (block, answer): the band keys of a block that different lines have, there or in another block."""
+    """Rows (block, answer, vals): band keys that different lines have, and the numbers of the block's lines that have them, above 16 other bits."""
 
     def entries(batches):
-        for block, h, bands in rows_of(batches):
-            lines = np.repeat(np.frombuffer(h, np.uint64), BANDS)
-            keys = widened(bands, KEY_BYTES)
+        for block, h, payload in rows_of(batches):
+            keys = sketched(lines_of(payload))[2].ravel()
+            line = np.repeat(np.arange(len(keys) // BANDS), BANDS)
             order = np.argsort(keys, kind="stable")
-            keys, short = keys[order], (lines[order] & np.uint64(0xFFFF)).astype(np.int64)
+            keys, line = keys[order], line[order]
             head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
             at = np.flatnonzero(head)
             several = np.diff(np.concatenate([at, [len(keys)]])) > 1
-            yield block, [keys[at], np.where(several, -1, short[at])]
+            # 16 bits of the line's hash tell lines of different blocks apart; -1 says that the block has several
+            short = np.where(several, -1, (np.frombuffer(h, np.uint64)[line[at]] >> np.uint64(48)).astype(np.int64) >> 1)
+            yield block, [keys[at], (line[at] << 16) | (short & 0xFFFF)], [keys[~head], line[~head] << 16]
 
     def verdict(keys, values, owners):
         if not len(keys):
             return np.zeros(0, bool)
         head = np.concatenate([[True], keys[1:] != keys[:-1]])
-        at, run = np.flatnonzero(head), np.cumsum(head) - 1
-        low, high = np.minimum.reduceat(values, at), np.maximum.reduceat(values, at)
-        return ((low < 0) | (low != high))[run]
+        at, run, short = np.flatnonzero(head), np.cumsum(head) - 1, values & 0xFFFF
+        low, high = np.minimum.reduceat(short, at), np.maximum.reduceat(short, at)
+        return ((high == 0xFFFF) | (low != high))[run]
 
-    return ask(entries, blocks.select("block", "h", "bands"), verdict, parts, KEY_BYTES)
+    return ask(entries, blocks.select("block", "h", "payload"), verdict, parts, KEY_BYTES)
 
 
 MEMBER = "key long, h long, runs int, lo long, hi long"
 
 
 def members(blocks: DataFrame, shared: DataFrame) -> DataFrame:
-    """Rows of MEMBER: each line under each of its shared band keys, once a block."""
+    """Rows of MEMBER: each line under each of its shared band keys."""
 
     def run(batches):
-        for h, runs, bits, bands, answers in rows_of(batches):
-            wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in answers]))
-            keys = widened(bands, KEY_BYTES).reshape(-1, BANDS)
-            found = np.searchsorted(wanted, keys)
-            found[found == len(wanted)] = 0
-            line, band = np.nonzero(wanted[found] == keys)
-            both = np.frombuffer(bits, np.int64).reshape(-1, 2)[line]
-            cols = [keys[line, band].view(np.int64), np.frombuffer(h, np.int64)[line], np.frombuffer(runs, np.int32)[line], both[:, 0], both[:, 1]]
+        for h, payload, told in rows_of(batches):
+            keys = np.concatenate([np.frombuffer(x["answer"], np.uint64) for x in told])
+            line = np.concatenate([np.frombuffer(pa.decompress(x["vals"], decompressed_size=len(x["answer"]), codec="zstd", asbytes=True), np.int64) for x in told]) >> 16
+            lines = lines_of(payload)
+            wanted, place = np.unique(line, return_inverse=True)
+            runs, bits, _ = sketched([lines[k] for k in wanted.tolist()])
+            cols = [keys.view(np.int64), np.frombuffer(h, np.int64)[line], runs.astype(np.int32)[place], bits[place, 0], bits[place, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "h", "runs", "lo", "hi"])
 
-    rows = answered(blocks.select("block", "h", "runs", "bits", "bands"), shared).where("answers is not null")
-    return rows.select("h", "runs", "bits", "bands", "answers").mapInArrow(run, MEMBER).distinct()
+    told = shared.groupBy("block").agg(F.collect_list(F.struct("answer", "vals")).alias("told"))
+    return blocks.select("block", "h", "payload").join(told, "block").select("h", "payload", "told").mapInArrow(run, MEMBER).distinct()
 
 
 def most_apart(similarity: float) -> int:
@@ -286,9 +291,9 @@ def texts_of(pairs: DataFrame, homes: DataFrame, blocks: DataFrame) -> DataFrame
 
     def run(batches):
         for h, payload, want in rows_of(batches):
-            lines = pa.decompress(payload[8:], decompressed_size=int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
+            lines = lines_of(payload)
             at = {x: k for k, x in enumerate(np.frombuffer(h, np.int64).tolist())}
-            yield pa.RecordBatch.from_arrays([pa.array(want, pa.int64()), pa.array([lines[at[x]].decode("utf-8", "surrogatepass") for x in want], pa.string())], names=["h", "norm"])
+            yield pa.RecordBatch.from_arrays([pa.array(want, pa.int64()), pa.array([lines[at[x]] for x in want], pa.string())], names=["h", "norm"])
 
     return blocks.select("block", "h", "payload").join(wanted, "block").select("h", "payload", "wanted").mapInArrow(run, "h long, norm string")
 
@@ -382,10 +387,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """Rows (id, doc, n_lines, gone), one for each row of docs: the numbers of the lines that go; doc: xxhash64 of id and text."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    blocks = scratch.save(line_blocks(docs, id_col, text_col))
+    blocks = scratch.save_by(line_blocks(docs, id_col, text_col), "block")
     found = scratch.save(places(blocks))
     lines = scratch.save(found.groupBy("h").agg(F.sum("n").alias("times"), F.min("block").alias("home"), F.min("place").alias("place")))
-    member = scratch.save(members(blocks, shared_bands(blocks, parts_for(blocks, F.octet_length("bands")))))
+    member = scratch.save(members(blocks, shared_bands(blocks, parts_for(blocks, F.octet_length("h") * BANDS))))
     roots = joined(member, lines.select("h", "times", "home"), blocks, scratch, similarity, cell).withColumnRenamed("node", "h")
     named = scratch.save(lines.select("h", "place", "times").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
     least = named.groupBy("root").agg(F.min("place").alias("first"), F.sum("times").alias("all")).where(F.col("all") > 1)

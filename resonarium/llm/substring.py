@@ -123,7 +123,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         raise ValueError(f"a window has {PERIOD + 1} words at least")
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    blocks = scratch.save(make_blocks(docs, id_col, text_col, block_bytes))
+    blocks = scratch.save_by(make_blocks(docs, id_col, text_col, block_bytes), "block")
     parts = parts_for(blocks, F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))  # a word of five letters and a blank sends 8 bytes at most with one of its windows
     repeated = scratch.save(ask(anchors_asked(window), blocks, shared, parts))
     earlier = scratch.save(ask(windows_asked(window), answered(blocks, repeated), later, parts))
