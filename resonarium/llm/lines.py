@@ -20,8 +20,8 @@ partner: the most frequent line of a bucket or the next in order of size. After
 that all pairs of a bucket that lie in different components are compared,
 whatever its size: buckets of more than `cell` lines are cut into parts, and
 every line meets every part. A pair is spared the exact measure only where the
-numbers of shingles rule a link out, or where more of 128 bits, one each
-of as many MinHashes, differ than happens to a pair at the threshold with probability 1e-9.
+numbers of shingles rule a link out, or where more of 192 bits, one of each
+MinHash, differ than happens to a pair at the threshold with probability 1e-9.
 
 Defined results: blank lines stay; a null text is one blank line; a line of
 fewer than five characters is a single shingle; rows alike in id and text are
@@ -45,10 +45,10 @@ from resonarium.llm.graph import components
 from resonarium.session import Scratch, ship
 
 SIMILARITY, SHINGLE, CELL = 0.8, 5, 512
-WIDTH, BANDS, BITS = 6, 32, 128
+WIDTH, BANDS = 6, 32
 BINS = WIDTH * BANDS
 #: Lines of fewer shingles borrow so many MinHashes that their bits are few independent ones; FEW_APART of them may differ.
-FEW, FEW_APART = 64, 56
+FEW, FEW_APART = 64, 84
 SLICE_BYTES = 2_000_000
 #: Distinct lines and characters that are sketched at once.
 SKETCH_LINES, SKETCH_CHARS = 1 << 18, 1 << 21
@@ -112,7 +112,7 @@ def minima(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketched(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """runs (lines), bits (lines x 2) and band keys (lines x BANDS)."""
+    """runs (lines), bits (lines x 3) and band keys (lines x BANDS)."""
     runs, bits, bands = [], [], []
     i = 0
     while i < len(lines):
@@ -122,12 +122,12 @@ def sketched(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             j += 1
         least, n = minima(lines[i:j])
         runs.append(n)
-        bits.append(np.packbits((least[:, :BITS] & 1).astype(np.uint8), axis=1).view(np.int64))
+        bits.append(np.packbits((least & 1).astype(np.uint8), axis=1).view(np.int64))
         of_band = least.astype(np.uint64).reshape(len(least), BANDS, WIDTH)
         bands.append(scattered((of_band * BAND).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) >> np.uint64(64 - 8 * KEY_BYTES))
         i = j
     if not lines:
-        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros((0, BANDS), np.uint64)
+        return np.zeros(0, np.int64), np.zeros((0, 3), np.int64), np.zeros((0, BANDS), np.uint64)
     return np.concatenate(runs), np.concatenate(bits), np.concatenate(bands)
 
 
@@ -205,7 +205,7 @@ def shared_bands(blocks: DataFrame, parts: int) -> DataFrame:
     return ask(entries, blocks.select("block", "h", "payload"), verdict, parts, KEY_BYTES)
 
 
-MEMBER = "key long, h long, runs int, lo long, hi long"
+MEMBER = "key long, h long, runs int, lo long, mid long, hi long"
 
 
 def members(blocks: DataFrame, shared: DataFrame) -> DataFrame:
@@ -218,8 +218,8 @@ def members(blocks: DataFrame, shared: DataFrame) -> DataFrame:
             lines = lines_of(payload)
             wanted, place = np.unique(line, return_inverse=True)
             runs, bits, _ = sketched([lines[k] for k in wanted.tolist()])
-            cols = [keys.view(np.int64), np.frombuffer(h, np.int64)[line], runs.astype(np.int32)[place], bits[place, 0], bits[place, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "h", "runs", "lo", "hi"])
+            cols = [keys.view(np.int64), np.frombuffer(h, np.int64)[line], runs.astype(np.int32)[place], *(bits[place, k] for k in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "h", "runs", "lo", "mid", "hi"])
 
     told = shared.groupBy("block").agg(F.collect_list(F.struct("answer", "vals")).alias("told"))
     return blocks.select("block", "h", "payload").join(told, "block").select("h", "payload", "told").mapInArrow(run, MEMBER).distinct()
@@ -228,11 +228,11 @@ def members(blocks: DataFrame, shared: DataFrame) -> DataFrame:
 def most_apart(similarity: float) -> int:
     """Number of bits that a pair of this similarity exceeds in differing with probability 1e-9 at most."""
     p, left = (1 - similarity) / 2, 1.0
-    for m in range(BITS):
-        left -= comb(BITS, m) * p**m * (1 - p) ** (BITS - m)
+    for m in range(BINS):
+        left -= comb(BINS, m) * p**m * (1 - p) ** (BINS - m)
         if left <= 1e-9:
             return m
-    return BITS
+    return BINS
 
 
 def buckets(member: DataFrame, times: DataFrame, cell: int) -> DataFrame:
@@ -245,9 +245,14 @@ def buckets(member: DataFrame, times: DataFrame, cell: int) -> DataFrame:
     return rows.withColumn("part", part).withColumn("prev", F.lag("h").over(order)).drop("part")
 
 
+def bits_apart(a: str, b: str) -> Column:
+    lo, mid, hi = (F.bit_count(F.col(c + a).bitwiseXOR(F.col(c + b))) for c in ("lo", "mid", "hi"))
+    return lo + mid + hi
+
+
 def may_reach(similarity: float, a: str, b: str) -> Column:
     """Whether the counts of shingles and the bits of sides a and b allow for the similarity."""
-    apart = F.bit_count(F.col(f"lo{a}").bitwiseXOR(F.col(f"lo{b}"))) + F.bit_count(F.col(f"hi{a}").bitwiseXOR(F.col(f"hi{b}")))
+    apart = bits_apart(a, b)
     least, most = F.least(f"runs{a}", f"runs{b}"), F.greatest(f"runs{a}", f"runs{b}")
     return (least >= similarity * most) & (apart <= F.when(least < FEW, max(FEW_APART, most_apart(similarity))).otherwise(most_apart(similarity)))
 
@@ -255,11 +260,10 @@ def may_reach(similarity: float, a: str, b: str) -> Column:
 def likely(rows: DataFrame, similarity: float) -> DataFrame:
     """One pair (a, b) for each line of a bucket: of its buckets' chiefs and its neighbours the one with most bits alike."""
     met = F.explode(F.array("chief", "prev")).alias("o")
-    found = rows.select("h", "runs", "lo", "hi", met).where("o is not null and o != h").distinct()
-    others = rows.select(F.col("h").alias("o"), F.col("runs").alias("runs_o"), F.col("lo").alias("lo_o"), F.col("hi").alias("hi_o")).distinct()
+    found = rows.select("h", "runs", "lo", "mid", "hi", met).where("o is not null and o != h").distinct()
+    others = rows.select(F.col("h").alias("o"), F.col("runs").alias("runs_o"), F.col("lo").alias("lo_o"), F.col("mid").alias("mid_o"), F.col("hi").alias("hi_o")).distinct()
     found = found.join(others, "o").where(may_reach(similarity, "", "_o"))
-    apart = F.bit_count(F.col("lo").bitwiseXOR(F.col("lo_o"))) + F.bit_count(F.col("hi").bitwiseXOR(F.col("hi_o")))
-    best = found.groupBy("h").agg(F.max_by("o", F.struct(-apart, "o")).alias("o"))
+    best = found.groupBy("h").agg(F.max_by("o", F.struct(-bits_apart("", "_o"), "o")).alias("o"))
     return best.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
 
 
@@ -273,7 +277,7 @@ def across(rows: DataFrame, roots: DataFrame, similarity: float, cell: int) -> D
     named = rows.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     sums = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
     mixed = named.join(sums.where("roots > 1"), "key").withColumn("parts", F.ceil(F.col("held") / cell).cast("int"))
-    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("h", "runs", "lo", "hi", "root")]
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("h", "runs", "lo", "mid", "hi", "root")]
     left = mixed.select("key", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), "main", *side("a"))
     right = mixed.where("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *side("b"))
     both = left.join(right, ["key", "part"]).where("root_a != root_b and (root_a = main or h_a < h_b)")
@@ -300,28 +304,41 @@ def texts_of(pairs: DataFrame, homes: DataFrame, blocks: DataFrame) -> DataFrame
 
 def close(left: list[str], right: list[str], similarity: float) -> np.ndarray:
     """Which pairs of lines have at least this Jaccard measure, by their exact sets of shingles."""
-    n = len(left)
-    cps, offsets = code_points([*left, *right])
-    alphabet, symbol = np.unique(cps, return_inverse=True)
-    bits = max(1, int(len(alphabet) - 1).bit_length())
+    place: dict[str, int] = {}
+    sides = [np.array([place.setdefault(x, len(place)) for x in side], np.int64) for side in (left, right)]
+    cps, offsets = code_points(list(place))
+    seen = np.zeros(0x110000, np.int64)
+    seen[cps] = 1
+    bits = max(1, int(seen.sum() - 1).bit_length())
     if bits * SHINGLE > 63:
+        n = len(left)
         if n > 1:
             return np.concatenate([close(left[: n // 2], right[: n // 2], similarity), close(left[n // 2 :], right[n // 2 :], similarity)])
         x, y = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (left[0], right[0]))
         return np.array([len(x & y) >= similarity * len(x | y)])
+    symbol = (np.cumsum(seen) - 1)[cps]
     size = len(symbol) - SHINGLE + 1
     code = np.zeros(size, np.int64)
     for k in range(SHINGLE):
         code = (code << bits) | symbol[k : k + size]
     at, owner = starts_of(offsets)
-    _, rank = np.unique(code[at], return_inverse=True)
-    wide = np.int64(max(1, len(at)))
-    one = np.unique((owner % n) * wide * 2 + rank * 2 + (owner >= n))  # pair, shingle, side
-    pair, shingle = one // (2 * wide), one >> 1
-    both = np.concatenate([shingle[1:] == shingle[:-1], [False]])
-    alike = np.bincount(pair[both], minlength=n)
-    whole = np.bincount(pair, minlength=n) - alike
-    return alike >= similarity * whole
+    code = code[at]
+    known = np.sort(code)
+    known = known[np.concatenate([[True], known[1:] != known[:-1]])]
+    wide = np.int64(len(known))
+    sets = np.sort(owner * wide + np.searchsorted(known, code))
+    sets = sets[np.concatenate([[True], sets[1:] != sets[:-1]])]
+    of_line, shingle = sets // wide, sets % wide
+    cuts = np.searchsorted(of_line, np.arange(len(place) + 1))
+    sizes = np.diff(cuts)
+    both = []
+    for side in sides:  # shingles of each pair's line, under the number of the pair
+        n = sizes[side]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        both.append(np.repeat(np.arange(len(side)), n) * wide + shingle[np.repeat(cuts[side], n) + inner])
+    both = np.sort(np.concatenate(both))
+    alike = np.bincount(both[:-1][both[1:] == both[:-1]] // wide, minlength=len(left))
+    return alike >= similarity * (sizes[sides[0]] + sizes[sides[1]] - alike)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, keep: list[str] = ("a", "b")) -> DataFrame:
