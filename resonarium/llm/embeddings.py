@@ -45,6 +45,11 @@ def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (signs * (1 << np.arange(bits))).sum(2).astype(np.uint16)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest components near 1: exact, and norms neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def packed(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """Rows (id, label, vec): the vector's doubles as bytes, null where it can link with nothing."""
     ship(vectors.sparkSession)
@@ -73,6 +78,7 @@ def keyed(reps: DataFrame, bits: int, tables: int) -> DataFrame:
             for size in np.unique(sizes):
                 which = np.flatnonzero(sizes == size)
                 x = np.frombuffer(b"".join(raw[i] for i in which), np.float64).reshape(len(which), -1)
+                x = scaled(x)
                 keys = signatures(x / np.linalg.norm(x, axis=1)[:, None], bits, tables)
                 n = len(which)
                 yield pa.RecordBatch.from_arrays(
@@ -85,7 +91,7 @@ def keyed(reps: DataFrame, bits: int, tables: int) -> DataFrame:
 
 def compare(a: list, b: list, same: bool, tab: int, threshold: float, bits: int, tables: int):
     """Links between two lists of (node, n, vec): linked nodes with the number of vectors each gains, and a forest of links."""
-    x, y = (np.frombuffer(b"".join(v for _, _, v in side), np.float64).reshape(len(side), -1) for side in (a, b))
+    x, y = (scaled(np.frombuffer(b"".join(v for _, _, v in side), np.float64).reshape(len(side), -1)) for side in (a, b))
     cos = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
     near = cos >= threshold
     if same:
