@@ -12,7 +12,9 @@ Manifests list files, so what the driver holds grows with the number of shards
 (at 128 MB a shard some 8 thousand entries a TB), not with the rows.
 
 Defined results: rows of any content are kept as they are, repeated ones too;
-an empty arrival commits a version without new files.
+an empty arrival commits a version without new files; where the rows have a
+column of the name of one that `read` adds, the added one gets underscores at
+its end until its name is free.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resonarium.session import shared_dir
+from resonarium.session import Scratch
 
 TARGET, FANOUT, ARRIVAL_ROWS = 64_000_000, 4, 2_000
 #: Shards up to which the table of shards is broadcast when it is joined to rows.
@@ -40,6 +42,12 @@ class Shard:
     rows: int
 
 
+def free(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
@@ -136,24 +144,32 @@ class ShardStore:
         own.read.schema(self.schema).parquet(*(s.path for s in shards)).write.option("compression", "zstd").parquet(path)
         return self._written(path)
 
-    def compact(self, target: int = TARGET, fanout: int = FANOUT, most_rounds: int = 20) -> int:
-        """Merges tiers until none is full; returns the version. A round is one commit."""
-        for _ in range(most_rounds):
+    def compact(self, target: int = TARGET, fanout: int = FANOUT) -> int:
+        """Merges tiers until none is full; returns the version. A round is one commit and leaves fewer files.
+
+        A tier whose files are packed as well as it goes is left alone, and the next one is looked at.
+        """
+        settled: set[frozenset[str]] = set()
+        while True:
             base = (self.versions() or [0])[-1]
-            due = self.plan(target, fanout)
-            if not due:
-                break
             before = self.manifest(base)
-            tier, old = next(iter(due.items()))
+            due = [v for v in self.plan(target, fanout).values() if frozenset(s.path for s in v) not in settled]
+            if not due:
+                return base
+            old, gone = due[0], frozenset(s.path for s in due[0])
             new = self._merged(old, target)
             if len(new) >= len(old):
-                break  # packed as well as it goes
-            gone = {s.path for s in old}
+                settled.add(gone)
+                self._remove(new)
+                continue
             try:
                 self.commit([s for s in before if s.path not in gone] + new, base)
             except Conflict:
-                continue  # an arrival came first; the next round plans anew
-        return (self.versions() or [0])[-1]
+                self._remove(new)  # an arrival came first; the next round plans anew
+
+    def _remove(self, shards: list[Shard]) -> None:
+        for s in shards:
+            self._fs().delete(self._path(s.path), False)
 
     def expire(self, keep: int = 1) -> None:
         """Removes manifests but the newest `keep`, and data files that none of those lists."""
@@ -176,19 +192,21 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame:
         """Rows of a version, with shard (its number in the manifest), shard_rows and shard_bytes."""
         shards = self.manifest(version)
-        told = self.spark.createDataFrame([(s.path, k, s.rows, s.bytes) for k, s in enumerate(shards)], "_path string, shard int, shard_rows long, shard_bytes long")
+        own = self.schema.fieldNames()
+        path, *added = (free(c, own) for c in ("_path", "shard", "shard_rows", "shard_bytes"))
+        told = self.spark.createDataFrame([(s.path, k, s.rows, s.bytes) for k, s in enumerate(shards)], "p string, k int, r long, b long").toDF(path, *added)
         if len(shards) <= BROADCAST_SHARDS:
             told = F.broadcast(told)
         if not shards:
-            return self.spark.createDataFrame([], self.schema).withColumns({"shard": F.lit(None).cast("int"), "shard_rows": F.lit(None).cast("long"), "shard_bytes": F.lit(None).cast("long")})
-        rows = self.spark.read.schema(self.schema).parquet(*(s.path for s in shards)).withColumn("_path", F.col("_metadata.file_path"))
-        return rows.join(told, "_path").drop("_path")
+            return self.spark.createDataFrame([], self.schema).withColumns({c: F.lit(None).cast(t) for c, t in zip(added, ("int", "long", "long"))})
+        rows = self.spark.read.schema(self.schema).parquet(*(s.path for s in shards))
+        return rows.withColumn(path, rows.metadataColumn("_metadata")["file_path"]).join(told, path).select(*(F.col(f"`{c}`") for c in (*own, *added)))
 
 
 def shard(docs: DataFrame, arrivals: int = 4, id_col: str = "doc_id", target: int = TARGET, fanout: int = FANOUT) -> ShardStore:
     """A store of docs, taken in as `arrivals` arrivals by hash of the id, compacted and without stale files."""
     spark = docs.sparkSession
-    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store = ShardStore(spark, Scratch(spark, "shards").root)  # goes when the session ends
     part = F.pmod(F.xxhash64(id_col), F.lit(arrivals))
     for k in range(arrivals):
         store.append(docs.where(part == k))
