@@ -23,12 +23,27 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
+#: Characters of an account number by country (ISO 13616).
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG YE", 25: "AO CV GW LY MZ PT ST", 26: "IR IS TR", 27: "BF BI BJ CF CG CM DJ EG FR GA GQ GR HN IT KM MC MG MR SM TD", 28: "AL AZ BY CI CY DO GT HU LB MA ML NE NI PL SN SV TG",
+    29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(size: int) -> str:
+    """Pattern of the account numbers of `size` characters, in groups of four with a blank before each or not."""
+    fours, rest = divmod(size - 4, 4)
+    tail = rf"\x20?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{LENGTHS[size].replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}{tail}"
+
+
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_HOST}++(?:\.{_HOST}++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(map(_account, sorted(LENGTHS))) + r")(?![A-Za-z0-9])",
 }
 #: A text without a match of this has none of the kind; quicker to tell.
 NEEDS = {"email": lambda t: t.contains("@"), "phone": lambda t: t.contains("+")}
@@ -159,4 +174,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda x: x["rank"] < len(BASE))
-    return found.select(F.col("id").alias("doc_id"), *map(count, BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda x: F.round(x["score"], 2).cast("string")), ",")  # one for each of spans
+    return found.select(F.col("id").alias("doc_id"), *map(count, BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), scores.alias("scores"))
