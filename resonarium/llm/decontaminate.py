@@ -30,7 +30,8 @@ from resonarium.session import Scratch, ship
 SHARD_BYTES = 2_000_000
 WINDOW = 13
 #: Bytes of benchmark text searched for in one pass over the index, at most; larger benchmarks take several passes.
-SLICE_BYTES = 16_000_000
+#: What is sent to tasks holds 13 terms of 8 bytes for each window, some 35 MB for this many bytes.
+SLICE_BYTES = 1_000_000
 
 BETWEEN = np.ones(256, bool)
 BETWEEN[0x30:0x3A] = BETWEEN[0x61:0x7B] = False
@@ -183,11 +184,10 @@ def phrase_starts(shard: Shard, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_matches(shard: Shard, terms: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the rarest of `terms` in this shard round which all others stand within `span` words of the same document."""
-    which = shard.find(np.unique(terms))
+    """Positions of the first of `terms` round which all others stand within `span` words of the same document."""
+    which = shard.find(terms)
     if not len(which) or (which < 0).any():
         return np.zeros(0, np.int64)
-    which = which[np.argsort(shard.counts[which], kind="stable")]
     at, _ = shard.lists(which[:1])
     for k in which[1:]:
         other, _ = shard.lists(np.array([k]))
@@ -201,8 +201,14 @@ def near_matches(shard: Shard, terms: np.ndarray, span: int) -> np.ndarray:
 
 
 def proximity(index: DataFrame, queries: list[str], span: int) -> DataFrame:
-    """Rows (query, id, position): where all words of a query stand within `span` words of its rarest."""
+    """Rows (query, id, position): where all words of a query stand within `span` words of its rarest.
+
+    The rarest word is that of fewest occurrences in the whole index, of equal
+    ones the first in the query, so matches don't depend on the shards.
+    """
     codes = [terms_of(pa.array([q]))[0] for q in queries]
+    counts = term_counts(index, np.concatenate(codes)) if codes else {}
+    codes = [np.array(sorted(dict.fromkeys(c.tolist()), key=lambda t: counts.get(t, 0)), np.uint64) for c in codes]
 
     def run(batches):
         for s in shards_of(batches):

@@ -1,8 +1,10 @@
 """Array kernels over Arrow text columns: words, word fingerprints, window fingerprints.
 
-All work on the raw UTF-8 bytes of many texts at once. Fingerprints are 64-bit
-polynomial sums of fixed random values, so equal sequences always agree and
-different ones agree with probability near 2**-57 a pair.
+All work on the raw UTF-8 bytes of many texts at once. Fingerprints of words of
+up to LONG bytes and of windows are 64-bit polynomial sums of fixed random
+values, those of longer words are XXH3: equal sequences always agree, different
+ones with probability near 2**-57 a pair. (Sums lose a bit with each doubling of
+the length, so they are not used for long words.)
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes of a word, above which its fingerprint is no polynomial sum.
+LONG = 64
+
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 P = np.uint64(int(_RNG.integers(0, 2**61)) * 8 + 3)
@@ -82,7 +87,13 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     sums[0] = 0
     np.cumsum(BYTE_CODE[data] * powers(P, n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * powers(P_INV, n)[starts]
-    return mixed(h + (ends - starts).astype(np.uint64))
+    out = mixed(h + (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        import xxhash
+
+        out[long] = [xxhash.xxh3_64_intdigest(data[i:j].tobytes()) for i, j in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
 
 
 def window_codes(codes: np.ndarray, size: int) -> np.ndarray:
