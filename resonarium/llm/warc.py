@@ -1,6 +1,7 @@
 """WARC not-modified revisits: as-of join to the latest earlier full response.
 
-Records of one canonical URL are cut into `SLICES` equal slices of time. Within
+Records of one canonical URL are cut into `SLICES` slices of time, at quantiles
+of all records' times, so that an outlier does not put the others into one. Within
 a slice a window finds the latest earlier response; across slices a second
 window runs over one row a slice. So a URL that holds a third of all records is
 spread over many tasks, and bodies take part only in the last join, by record.
@@ -14,7 +15,9 @@ Defined results (status): `resolved`; `unverified` where no validator is on
 both sides (resolved all the same); `mismatch` where the validator differs
 (no body); `unresolved` where no earlier response exists or the URL or time is
 null. Earlier means a smaller time, or an equal time and a smaller record id.
-Repeated records give repeated rows; further columns are ignored.
+Repeated records give repeated rows; of responses alike in time and id the one
+of the greatest digest counts, and of those alike in digest too the least body;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +48,21 @@ def weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def time_cuts(records: DataFrame, slices: int) -> list[int]:
+    """Quantiles of the times: as many numbers as slices, whatever the records."""
+    at = [k / slices for k in range(1, slices)]
+    return (records.agg(F.percentile_approx("ts", at, 10 * slices).alias("cuts")).first()["cuts"] or []) if at else []
+
+
+def slice_of(ts: Column, cuts: list[int]) -> Column:
+    """How many of the ascending `cuts` are at most ts, by halving."""
+    if not cuts:
+        return F.lit(0)
+    known = F.array(*map(F.lit, cuts))
+    steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda k, s: F.when(F.get(known, k + s - 1) <= ts, k + s).otherwise(k))
+
+
 def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """Resolves the revisits among `records`.
 
@@ -53,18 +71,16 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     Returns (record_id, url_key, target_id, status, headers, body) for each revisit.
     """
     seen = records.select("record_id", "kind", "ts", "digest", "headers", canonical(F.col("url")).alias("url_key"))
-    span = records.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1")).first()
-    t0, width = (span["t0"] or 0), max(1, ((span["t1"] or 0) - (span["t0"] or 0)) // slices + 1)
-    seen = seen.withColumn("slice", F.floor((F.col("ts") - t0) / width).cast("int"))
+    seen = seen.withColumn("slice", slice_of(F.col("ts"), time_cuts(records, slices)))
     usable = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
     told = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "digest", "headers"))
     timed = seen.where(usable).withColumn("full", told)
-    lasts = timed.where("kind = 'response'").groupBy("url_key", "slice").agg(F.max(F.struct("ts", "record_id")).alias("k"), F.max_by("full", F.struct("ts", "record_id")).alias("last"))
+    lasts = timed.where("kind = 'response'").groupBy("url_key", "slice").agg(F.max_by("full", F.struct("ts", "record_id", "digest")).alias("last"))
     # one row a slice that has any record: the response before it
-    slots = timed.groupBy("url_key", "slice").agg(F.lit(1).alias("one")).join(lasts.drop("k"), ["url_key", "slice"], "left")
+    slots = timed.groupBy("url_key", "slice").agg(F.lit(1).alias("one")).join(lasts, ["url_key", "slice"], "left")
     earlier = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = slots.select("url_key", "slice", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
-    inside = Window.partitionBy("url_key", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("url_key", "slice").orderBy("ts", "record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     near = timed.withColumn("near", F.last("full", ignorenulls=True).over(inside)).where("kind = 'revisit'")
     met = near.join(carried, ["url_key", "slice"]).withColumn("found", F.coalesce("near", "carried"))
     lost = seen.where(~usable & (F.col("kind") == "revisit")).withColumn("found", F.lit(None).cast(met.schema["found"].dataType))
@@ -79,10 +95,11 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     update = F.map_filter(F.coalesce(new, F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(update, k)), update)
     rows = rows.withColumn("status", status).withColumn("good", F.col("status").isin("resolved", "unverified"))
-    rows = rows.select("record_id", "url_key", F.col("found.record_id").alias("target_id"), "status", F.when(F.col("good"), merged).alias("headers"), F.when(F.col("good"), F.col("found.record_id")).alias("_from"))
+    rows = rows.select("record_id", "url_key", F.col("found.record_id").alias("target_id"), "status", F.when(F.col("good"), merged).alias("headers"), F.when(F.col("good"), F.col("found.record_id")).alias("_from"), F.coalesce("found.digest", F.lit("")).alias("_digest"))
     # rows that take no body have a key of their own, so that they are not all dealt to one task
-    rows = rows.withColumn("_key", F.struct(F.coalesce("_from", "record_id").alias("id"), F.col("_from").isNull().alias("none"))).drop("_from")
-    bodies = records.where("kind = 'response'").select(F.struct(F.col("record_id").alias("id"), F.lit(False).alias("none")).alias("_key"), "body").dropDuplicates(["_key"])
+    rows = rows.withColumn("_key", F.struct(F.coalesce("_from", "record_id").alias("id"), "_digest", F.col("_from").isNull().alias("none"))).drop("_from", "_digest")
+    bodies = records.where("kind = 'response'").select(F.struct(F.col("record_id").alias("id"), F.coalesce("digest", F.lit("")).alias("_digest"), F.lit(False).alias("none")).alias("_key"), "body")
+    bodies = bodies.groupBy("_key").agg(F.min("body").alias("body"))
     return rows.join(bodies, "_key", "left").drop("_key")
 
 
