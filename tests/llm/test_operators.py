@@ -474,3 +474,75 @@ def test_lines_of_long_words_and_shared_heads(spark):
     want = sum(g for _, g in plain_lines(list(enumerate(texts))).values())
     got = sum(len(r["gone"]) for r in lines.removed(docs_of(spark, texts)).collect())
     assert want > 300 and 0.99 * want <= got <= want
+
+
+def test_clashing_columns_of_a_shard_store(spark, tmp_path):
+    df = spark.createDataFrame([(k, "t", 7, "p", "r") for k in range(10)], "doc_id long, text string, shard int, _path string, shard_rows string")
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(df)
+    got = store.read()
+    assert got.columns == [*df.columns, "shard_", "shard_rows_", "shard_bytes"]
+    assert got.select(*df.columns).exceptAll(df).count() == 0 and got.count() == 10
+
+
+def test_compaction_of_several_tiers(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s")
+    noise = F.sha2(F.col("doc_id").cast("string"), 512)
+    for k in range(4):
+        store.append(spark.range(6000).select(F.col("id").alias("doc_id"), noise.alias("text")).repartition(1), rows_each=6000)
+    for k in range(8):
+        store.append(spark.range(40).select(F.col("id").alias("doc_id"), noise.alias("text")).repartition(1))
+    tiers = {store.tier(s.bytes, 1_000_000, 4) for s in store.manifest()}
+    assert len(tiers) == 2
+    files = lambda: [p for p in (tmp_path / "s" / "data").rglob("*.parquet")]
+    store.compact(target=1_000_000)
+    assert not store.plan(1_000_000) and store.read().count() == 24320
+    store.expire()
+    assert len(files()) == len(store.manifest())
+
+
+def test_revisits_of_repeated_record_ids(spark):
+    rows = [
+        (1, "response", "http://x.org/", 10, {"etag": '"a"'}, "d1", "one"),
+        (1, "response", "http://x.org/", 10, {"etag": '"b"'}, "d2", "two"),
+        (1, "response", "http://x.org/", 10, {"etag": '"b"'}, "d2", "more"),
+        (2, "revisit", "http://x.org/", 11, {}, "d2", None),
+        (2, "revisit", "http://x.org/", 11, {}, "d2", None),
+        (3, "revisit", "http://x.org/", 11, {}, "d1", None),
+    ]
+    rows += [(k, "response", "http://y.org/", 10**12, {}, None, "far") for k in range(4, 6)]  # an outlier in time
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], RECORDS)
+    for table in (df, df.repartition(5)):
+        got = sorted((r["record_id"], r["status"], r["body"]) for r in warc.resolve(table).select("record_id", "status", F.coalesce("body", F.lit("")).alias("body")).collect())
+        assert got == [(2, "resolved", "more"), (2, "resolved", "more"), (3, "mismatch", "")]
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [(0, [2e-170, 1e-175], 0), (1, [1e-170, 0.0], 0), (2, [1e200, 1e200], 0), (3, [3e200, 3e200], 0), (4, [5e-324, 0.0], 0), (5, [0.0, 1.7e308], 0)]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (1, 2), 3: (1, 2), 4: (2, 0), 5: (0, 5)}
+
+
+def test_account_numbers_beside_other_words(spark):
+    texts = ["BE68539007547034 PAID", "pay BE68 5390 0754 7034 OK", "BE68539007547034.", "XX68539007547034", "BE685390075470341", "NO9386011117947"]
+    found = {r["id"]: [(s["text"], round(s["score"], 2)) for s in r["spans"] if s["kind"] == "iban"] for r in pii.find(docs_of(spark, texts)).collect()}
+    assert found == {0: [("BE68539007547034", 0.9)], 1: [("BE68 5390 0754 7034", 0.9)], 2: [("BE68539007547034", 0.9)], 3: [], 4: [], 5: [("NO9386011117947", 0.9)]}
+
+
+def test_proximity_does_not_depend_on_shards(spark):
+    docs = docs_of(spark, ["cat dog", "dog x x cat dog", "cat y y y y y y dog", "dog dog dog", "x cat"])
+    found = [sorted((r["id"], r["position"]) for r in decontaminate.proximity(decontaminate.build_index(d, size=size), ["cat dog"], 2).collect()) for d in (docs.coalesce(1), docs.repartition(5)) for size in (1, 10**6)]
+    assert found[0] == [(0, 0), (1, 3)] and all(f == found[0] for f in found)
+
+
+def test_long_words_of_like_bytes_stay_apart():
+    word = "ab"
+    for _ in range(11):
+        word = word + word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    from resonarium.llm import kernels
+
+    text = f"{word} {other}".encode()
+    starts, ends, _ = kernels.word_bounds(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    codes = kernels.word_codes(np.frombuffer(text, np.uint8), starts, ends)
+    assert codes[0] != codes[1]

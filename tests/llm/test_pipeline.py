@@ -69,3 +69,14 @@ def test_null_and_repeated_ids_are_judged_by_row(spark, folder):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "mix", "shards"]
     assert len(registry.QUERIES) == 10 and set(registry.SQL) <= set(registry.QUERIES)
+
+
+def test_extra_columns_of_any_name_travel_along(spark, folder):
+    names = ["_lang", "_score", "_nth", "mix_size", "_mix_key", "shard", "_path", "lang_pred", "fp", "component_id", "_pipeline_row"]
+    now = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 8").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    table = now
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, folder)
+        assert now.columns[: len(table.columns)] == table.columns
+    assert now.columns[len(table.columns) :] == ["shard_", "shard_rows", "shard_bytes"]
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in now.collect() for n in names)
