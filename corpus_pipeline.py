@@ -7,11 +7,16 @@ that nothing speaks against: only the decision named at a stage takes rows out.
 The second and third stage write every row with a number of its own and join
 their decisions by it, so null and repeated doc_ids are judged like any other.
 Of near copies the row of the smallest doc_id stays, null last. Extra columns
-travel along.
+travel along, whatever their names: stages see them under names of no operator.
+Where one is called like a column that the last stage adds, the added one gets
+underscores at its end.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +28,35 @@ LEAST_SCORE = 0.25
 ROW = "_pipeline_row"
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plain_names(stage: Callable) -> Callable:
+    """The stage with the documents' further columns under other names while it works."""
+
+    @wraps(stage)
+    def run_it(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inner = {c: c if c in OWN else f"extra{k}" for k, c in enumerate(docs.columns)}
+        back = {v: k for k, v in inner.items()}
+        out = stage(spark, docs.toDF(*inner.values()), sf_dir)
+        return out.toDF(*(back[c] for c in out.columns))
+
+    return run_it
+
+
 def numbered(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
     """docs, written with a number for each row, so that recomputed tasks see the same ones."""
     return Scratch(spark, name).save(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+@plain_names
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     train = docs.where(F.col("doc_id").isNotNull() & ~langid.held_out("doc_id"))
     judged = langid.predict(docs, langid.profiles(train), names_out=("_lang", "_score"))
     return judged.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+@plain_names
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(spark, docs, "copies")
     found = simhash.classes(rows, ROW).select(F.col("id").alias(ROW), "component_id")
@@ -43,6 +66,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(stays, ROW, "left_semi").select(*docs.columns)
 
 
+@plain_names
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(spark, docs, "judged")
     found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ROW)
@@ -50,6 +74,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(bad, ROW, "left_anti").select(*docs.columns)
 
 
+@plain_names
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.emit(docs, mixing.assign(docs))
 
