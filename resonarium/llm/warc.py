@@ -54,13 +54,13 @@ def time_cuts(records: DataFrame, slices: int) -> list[int]:
     return (records.agg(F.percentile_approx("ts", at, 10 * slices).alias("cuts")).first()["cuts"] or []) if at else []
 
 
-def slice_of(ts: Column, cuts: list[int]) -> Column:
-    """How many of the ascending `cuts` are at most ts, by halving."""
-    if not cuts:
-        return F.lit(0)
-    known = F.array(*map(F.lit, cuts))
-    steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
-    return F.aggregate(steps, F.lit(0), lambda k, s: F.when(F.get(known, k + s - 1) <= ts, k + s).otherwise(k))
+def sliced(df: DataFrame, cuts: list[int]) -> DataFrame:
+    """df with slice: how many of the ascending `cuts` are at most ts, by halving; one projection a step."""
+    df, known = df.withColumn("slice", F.lit(0)), F.array(*map(F.lit, cuts)).cast("array<long>")
+    for k in range(len(cuts).bit_length() - 1, -1, -1):
+        step = 1 << k
+        df = df.withColumn("slice", F.when(F.get(known, F.col("slice") + step - 1) <= F.col("ts"), F.col("slice") + step).otherwise(F.col("slice")))
+    return df
 
 
 def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
@@ -71,7 +71,7 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     Returns (record_id, url_key, target_id, status, headers, body) for each revisit.
     """
     seen = records.select("record_id", "kind", "ts", "digest", "headers", canonical(F.col("url")).alias("url_key"))
-    seen = seen.withColumn("slice", slice_of(F.col("ts"), time_cuts(records, slices)))
+    seen = sliced(seen, time_cuts(records, slices))
     usable = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
     told = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "digest", "headers"))
     timed = seen.where(usable).withColumn("full", told)
