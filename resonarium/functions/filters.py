@@ -199,16 +199,21 @@ def to_rate(x: np.ndarray, sr: float, target: float, method: str = "linear", kin
     raise ValueError(f"unknown method {method!r}")
 
 
+def at_rate(y, sr_y: float, sr_x: float, kind: str = "butter") -> np.ndarray:
+    """A signal of rate sr_y at rate sr_x: low-passed first where it is faster, then linear in time."""
+    y = np.asarray(y, float)
+    if sr_x < sr_y:
+        y = lowpass(y, 0.9 * sr_x / 2, sr_y, kind=kind)
+    span = (len(y) - 1) / sr_y
+    return np.interp(np.linspace(0, span, half_even(span * sr_x) + 1), np.arange(len(y)) / sr_y, y)
+
+
 def match_pair(x, y, sr_x: float, sr_y: float, kind: str = "butter") -> tuple[np.ndarray, np.ndarray]:
     """y at the rate of x, both cut to the shorter length; signals of equal rate are left as they are."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     if sr_x == sr_y:
         return x, y
-    if sr_x < sr_y:
-        y = lowpass(y, 0.9 * sr_x / 2, sr_y, kind=kind)
-    span = (len(y) - 1) / sr_y
-    n = half_even(span * sr_x) + 1
-    y = np.interp(np.linspace(0, span, n), np.arange(len(y)) / sr_y, y)
+    y = at_rate(y, sr_y, sr_x, kind)
     m = min(len(x), len(y))
     return x[:m], y[:m]
 

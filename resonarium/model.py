@@ -73,7 +73,10 @@ class SignalSet:
         )
 
     def slice(self, modalities: list[str] | None = None, tmin: float | None = None, tmax: float | None = None) -> SignalSet:
-        """Members and the time range [tmin, tmax] in seconds, both ends included; indices start at 0 again."""
+        """Members and the time range [tmin, tmax] in seconds, both ends included; indices start at 0 again.
+
+        A range beyond a member's samples is an error; finding that out takes one pass over indices.
+        """
         if tmin is not None and tmax is not None and tmin >= tmax:
             raise ValueError("tmin must be below tmax")
         channels = self.channels
@@ -86,8 +89,11 @@ class SignalSet:
         if tmin is not None or tmax is not None:
             # one range for each modality, written as plain predicates so that it reaches the scan
             rates = {r["modality"]: r["sr"] for r in channels.groupBy("modality").agg(F.first("sr").alias("sr")).collect()}
+            ends = {r["modality"]: r["last"] for r in samples.groupBy("modality").agg(F.max("idx").alias("last")).collect()}
             parts = []
             for name, sr in sorted(rates.items()):
+                if ends.get(name) is not None and (((tmin or 0.0) * sr) // 1 > ends[name] or (tmax is not None and (tmax * sr) // 1 < 0)):
+                    raise ValueError(f"the time range lies outside of {name!r}")
                 first = max(0, int(((tmin or 0.0) * sr) // 1))
                 part = samples.where((F.col("modality") == name) & (F.col("idx") >= first))
                 if tmax is not None:

@@ -102,7 +102,7 @@ def merge_sets(a: SignalSet, b: SignalSet, name: str = "merged", prefix: tuple[s
         raise ValueError("the rates differ; align them first")
     if stats[0][1] != stats[1][1]:
         raise ValueError("the lengths differ")
-    label = lambda s, p: s.channels.withColumn("channel", F.concat(F.lit(p), "channel")).withColumn("label", F.concat(F.lit(p), F.coalesce("label", "channel"))).withColumn("modality", F.lit(name))
+    label = lambda s, p: s.channels.withColumns({"label": F.concat(F.lit(p), F.coalesce("label", "channel")), "channel": F.concat(F.lit(p), "channel")}).withColumn("modality", F.lit(name))
     channels = label(a, prefix[0]).unionByName(label(b, prefix[1]), allowMissingColumns=True)
     samples = merge(a.samples.withColumn("modality", F.lit(name)), b.samples.withColumn("modality", F.lit(name)), prefix)
     return SignalSet(samples.select(*SAMPLES), channels.select(*CHANNELS, *(c for c in channels.columns if c not in CHANNELS)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from resonarium.functions import fusion as M
 from resonarium.functions.resampling import rng_of
-from resonarium.operators.packed import centred, gram, local_frame, map_rows, project
+from resonarium.operators.packed import centred, correlation, gram, local_frame, map_rows, project
 
 
 def block_sizes(df: DataFrame, blocks: list[str]) -> list[int]:
@@ -239,7 +239,7 @@ def representational_similarity(df: DataFrame, blocks: list[str], id_col: str =
     elif compare != "pearson":
         raise ValueError(f"unknown comparison {compare!r}")
     pairs = [(i, j) for i in range(len(blocks)) for j in range(i + 1, len(blocks))]
-    one = d.agg(*(F.corr(cols[i], cols[j]).alias(f"s{i}_{j}") for i, j in pairs))
+    one = d.agg(*(correlation(cols[i], cols[j]).alias(f"s{i}_{j}") for i, j in pairs))
     return one.select(F.explode(F.array(*(F.struct(F.lit(blocks[i]).alias("block_x"), F.lit(blocks[j]).alias("block_y"), F.col(f"s{i}_{j}").alias("similarity")) for i, j in pairs))).alias("z")).select("z.*")
 
 

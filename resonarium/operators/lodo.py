@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from resonarium.operators.packed import local_frame
+from resonarium.operators.packed import correlation, local_frame
 from resonarium.session import ship
 
 EPS = 1e-12
@@ -162,7 +162,7 @@ def lodo(df: DataFrame, outcome: str, site: str, features: list[str], family: st
     if family == "gaussian":
         err = F.col("y") - F.col("raw")
         flat = (F.coalesce(F.stddev_samp("y"), F.lit(0.0)) == 0) | (F.coalesce(F.stddev_samp("raw"), F.lit(0.0)) == 0)
-        m = told.groupBy("site").agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), F.when(~flat, F.pow(F.corr("y", "raw"), 2)).alias("r2"))
+        m = told.groupBy("site").agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), F.when(~flat, F.pow(correlation("y", "raw"), 2)).alias("r2"))
     else:
         told = told.withColumn("p", 1 / (1 + F.exp(-F.col("raw")))).withColumn("hit", (F.col("p") >= threshold).cast("double"))
         pos, neg = F.col("y") == 1, F.col("y") == 0

@@ -34,11 +34,19 @@ def bands_of(centres, width: float, sr: float) -> list[tuple[float, float, float
     return out
 
 
-def bank(packed: DataFrame, bands: list[tuple[float, float, float]], sr: float, what: str, order: int = 4, kind: str = "butter", keep: list[str] = ("recording", "channel")) -> DataFrame:
-    """Rows (keep, centre, idx, v): phase or envelope of each band. Each (signal, band) is a row of its own for the kernel."""
+def slow_phase(x: np.ndarray, low: float, high: float, slow: tuple[float, float], sr: float, order: int, kind: str) -> np.ndarray:
+    """Phase of the part of an envelope that lies in the band `slow`."""
+    env = np.abs(filters.band_analytic(x, low, high, sr, order, kind))
+    return np.angle(filters.band_analytic(env - env.mean(), float(slow[0]), float(slow[1]), sr, order, kind))
+
+
+def bank(packed: DataFrame, bands: list[tuple[float, float, float]], sr: float, what: str, order: int = 4, kind: str = "butter", keep: list[str] = ("recording", "channel"), slow: tuple[float, float] | None = None) -> DataFrame:
+    """Rows (keep, centre, idx, v): phase, envelope, or slow (the phase of the envelope's part in the band `slow`) of each band. Each (signal, band) is a row of its own for the kernel."""
     spec = F.explode(F.array(*(F.struct(F.lit(float(c)).alias("c"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for c, a, b in bands))).alias("band")
 
     def kernel(x, centre, low, high, **_):
+        if what == "slow":
+            return {"v": slow_phase(x, low, high, slow, sr, order, kind)}
         z = filters.band_analytic(x, low, high, sr, order, kind)
         return {"v": np.angle(z) if what == "phase" else np.abs(z)}
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -84,6 +84,11 @@ def ordered_pairs(signals: DataFrame, columns: list[str], within: list[str] = ("
     return left.join(right, list(within)).where("channel_x != channel_y" if both else "channel_x < channel_y")
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Aggregate: Pearson's correlation, null where a side is constant (corr itself ends the job there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def gram(rows: DataFrame, features: str, extra: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
     """Sums of products, sums and count of an array column: one partial matrix a task, then p*p sums."""
     ship(rows.sparkSession)

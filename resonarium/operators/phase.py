@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resonarium.functions import filters
-from resonarium.operators.packed import map_rows, pack
+from resonarium.operators.packed import correlation, map_rows, pack
 
 PAIR = ["recording", "channel_x", "channel_y"]
 EPS = float(np.finfo(float).eps)
@@ -44,9 +44,10 @@ def _cross() -> tuple[Column, Column]:
 
 
 def _unit() -> tuple[Column, Column]:
-    re, im = _cross()
-    size = F.hypot(re, im)
-    return F.when(size > 0, re / size).otherwise(1.0), F.when(size > 0, im / size).otherwise(0.0)
+    """Cosine and sine of the difference of phases; the phase of a zero is 0."""
+    sx, sy = F.hypot("ax", "bx"), F.hypot("ay", "by")
+    (cx, dx), (cy, dy) = ((F.when(s > 0, F.col(a) / s).otherwise(1.0), F.when(s > 0, F.col(b) / s).otherwise(0.0)) for s, a, b in ((sx, "ax", "bx"), (sy, "ay", "by")))
+    return cx * cy + dx * dy, dx * cy - cx * dy
 
 
 def synchrony(samples: DataFrame, sr: float, band: tuple[float, float], order: int = 4, kind: str = "butter") -> DataFrame:
@@ -63,7 +64,7 @@ def synchrony(samples: DataFrame, sr: float, band: tuple[float, float], order: i
     rows = rows.groupBy(*PAIR).agg(
         F.count("*").alias("n"), F.avg("c").alias("mc"), F.avg("s").alias("ms"), F.avg(F.signum("s")).alias("sg"),
         F.sum("im").alias("si"), F.sum(F.abs("im")).alias("sa"), F.sum(F.col("im") ** 2).alias("sq"),
-        F.coalesce(F.corr("ex", "fy"), F.lit(0.0)).alias("r1"), F.coalesce(F.corr("ey", "fx"), F.lit(0.0)).alias("r2"),
+        F.coalesce(correlation("ex", "fy"), F.lit(0.0)).alias("r1"), F.coalesce(correlation("ey", "fx"), F.lit(0.0)).alias("r2"),
     )
     n = F.col("n")
     den = F.pow(F.col("sa"), 2) - F.col("sq")
@@ -72,7 +73,7 @@ def synchrony(samples: DataFrame, sr: float, band: tuple[float, float], order: i
         *PAIR, "n", F.hypot("mc", "ms").alias("plv"), F.abs("sg").alias("pli"),
         F.when(F.col("sa") > 0, F.abs("si") / F.col("sa")).alias("wpli"), F.when(den > 0, (F.pow("si", 2) - F.col("sq")) / den).alias("wpli_debiased"),
         F.when(free > 0, F.abs(F.col("ms") / F.sqrt(free))).otherwise(0.0).alias("ciplv"),
-        (((F.pow(F.col("mc") * n, 2) + F.pow(F.col("ms") * n, 2)) - n) / (n * (n - 1))).alias("ppc"),
+        F.try_divide((F.pow(F.col("mc") * n, 2) + F.pow(F.col("ms") * n, 2)) - n, n * (n - 1)).alias("ppc"),
         ((F.when(F.isnan("r1"), 0.0).otherwise(F.col("r1")) + F.when(F.isnan("r2"), 0.0).otherwise(F.col("r2"))) / 2).alias("aec"),
     )
 
@@ -116,7 +117,7 @@ def leida_vectors(samples: DataFrame, sr: float, band: tuple[float, float], orde
     w = Window.partitionBy("recording", "idx")
     t = 0.5 * F.atan2(2 * F.sum(F.col("c") * F.col("s")).over(w), F.sum(F.col("c") ** 2 - F.col("s") ** 2).over(w))
     rows = unit.withColumn("t", t).withColumn("u", F.col("c") * F.cos("t") + F.col("s") * F.sin("t"))
-    rows = rows.withColumn("u", F.col("u") / F.sqrt(F.sum(F.col("u") ** 2).over(w)))
+    rows = rows.withColumn("u", F.coalesce(F.try_divide("u", F.sqrt(F.sum(F.col("u") ** 2).over(w))), F.lit(0.0)))
     flip = F.sum(F.when(F.col("u") > 0, 1).when(F.col("u") < 0, -1).otherwise(0)).over(w) < 0
     return rows.select("recording", "idx", "channel", F.when(flip, -F.col("u")).otherwise(F.col("u")).alias("v"))
 

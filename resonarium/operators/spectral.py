@@ -10,68 +10,81 @@ from resonarium.functions import filters, spectra
 from resonarium.operators.packed import map_rows, ordered_pairs, pack
 
 
-def segment_spectra(samples: DataFrame, nperseg: int = 256, noverlap: int | None = None, win="hann", tapers: np.ndarray | None = None, demean: bool = False) -> DataFrame:
-    """Rows (recording, channel, seg, re, im, power): half spectra of complete windowed segments.
+def lengths(samples: DataFrame, common: bool) -> DataFrame:
+    """Rows (recording, channel, n): each channel's number of samples, or that of its recording's shortest channel."""
+    n = samples.groupBy("recording", "channel").agg((F.max("idx") + 1).alias("n"))
+    return n.withColumn("n", F.min("n").over(Window.partitionBy("recording"))) if common else n
+
+
+def segment_spectra(samples: DataFrame, nperseg: int = 256, noverlap: int | None = None, win="hann", demean: bool = False, common: bool = True) -> DataFrame:
+    """Rows (recording, channel, seg, size, energy, re, im): half spectra of complete windowed segments, their length and the window's sum of squares.
 
     Samples are sent to the segments that own them, so a long signal is spread
-    over its segments; signals shorter than nperseg need nperseg lowered.
+    over its segments. A signal shorter than nperseg is one segment of its own
+    length. common: channels of a recording are cut to the shortest first, as
+    pairs of them need.
     """
     step = nperseg - (nperseg // 2 if noverlap is None else min(noverlap, nperseg - 1))
-    idx = F.col("idx")
-    first = F.greatest(F.lit(0), F.ceil((idx - nperseg + 1) / step)).cast("long")
-    owned = samples.withColumn("seg", F.explode(F.sequence(first, F.floor(idx / step).cast("long"))))
-    rows = owned.groupBy("recording", "channel", "seg").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("value").alias("v")))).alias("_s")).where(F.size("_s") == nperseg)
-    w = filters.window(win, nperseg)
-
-    def kernel(recording, channel, seg, x):
+    idx, short = F.col("idx"), F.col("n") < nperseg
+    rows = samples.join(lengths(samples, common), ["recording", "channel"]).where(idx < F.col("n")).withColumn("size", F.least(F.lit(nperseg), F.col("n")).cast("int"))
+    first = F.when(short, 0).otherwise(F.greatest(F.lit(0), F.ceil((idx - nperseg + 1) / step))).cast("long")
+    last = F.when(short, 0).otherwise(F.floor(idx / step)).cast("long")
+    owned = rows.withColumn("seg", F.explode(F.sequence(first, last)))
+    rows = owned.groupBy("recording", "channel", "seg", "size").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("value").alias("v")))).alias("_s")).where(F.size("_s") == F.col("size"))
+    known: dict[int, np.ndarray] = {}
+
+    def kernel(recording, channel, seg, size, x):
+        w = known.setdefault(len(x), filters.window(win, len(x)))
         z = np.fft.rfft((x - x.mean() if demean else x) * w)
-        return {"re": z.real, "im": z.imag}
+        return {"energy": float((w**2).sum()), "re": z.real, "im": z.imag}
 
-    return map_rows(rows.select("recording", "channel", "seg", F.col("_s.v").alias("x")), kernel, "re array<double>, im array<double>", ["recording", "channel", "seg"])
+    return map_rows(rows.select("recording", "channel", "seg", "size", F.col("_s.v").alias("x")), kernel, "energy double, re array<double>, im array<double>", ["recording", "channel", "seg", "size"])
 
 
-def _scale(nperseg: int, sr: float, win="hann") -> float:
-    return 1.0 / (sr * float((filters.window(win, nperseg) ** 2).sum()))
+def _last_bin() -> Column:
+    return F.floor(F.col("size") / 2)
 
 
-def _doubled(nperseg: int) -> Column:
-    """2 for the bins between the first and the last."""
-    last = nperseg // 2
-    return F.when((F.col("bin") == 0) | (F.col("bin") == last), 1.0).otherwise(2.0)
+def _density(sr: float) -> Column:
+    """What makes a mean of products a one-sided density: bins between the first and the last count twice."""
+    twice = F.when((F.col("bin") == 0) | (F.col("bin") == _last_bin()), 1.0).otherwise(2.0)
+    return F.coalesce(F.try_divide(twice, sr * F.col("energy")), F.lit(0.0))
 
 
-def _frequency(nperseg: int, sr: float) -> Column:
-    return F.col("bin") * (sr / 2) / (nperseg // 2)
+def _frequency(sr: float) -> Column:
+    return F.coalesce(F.try_divide(F.col("bin") * (sr / 2), _last_bin()), F.lit(0.0))
 
 
 def welch_psd(samples: DataFrame, sr: float, nperseg: int = 256, noverlap: int | None = None, win="hann") -> DataFrame:
     """Rows (recording, channel, bin, frequency, psd)."""
-    s = segment_spectra(samples, nperseg, noverlap, win)
-    rows = s.select("recording", "channel", F.posexplode(F.zip_with("re", "im", lambda a, b: a * a + b * b)).alias("bin", "p"))
-    rows = rows.groupBy("recording", "channel", "bin").agg(F.avg("p").alias("p"))
-    return rows.select("recording", "channel", "bin", _frequency(nperseg, sr).alias("frequency"), (F.col("p") * _doubled(nperseg) * _scale(nperseg, sr, win)).alias("psd"))
+    s = segment_spectra(samples, nperseg, noverlap, win, common=False)
+    rows = s.select("recording", "channel", "size", "energy", F.posexplode(F.zip_with("re", "im", lambda a, b: a * a + b * b)).alias("bin", "p"))
+    rows = rows.groupBy("recording", "channel", "bin").agg(F.avg("p").alias("p"), F.max("size").alias("size"), F.max("energy").alias("energy"))
+    return rows.select("recording", "channel", "bin", _frequency(sr).alias("frequency"), (F.col("p") * _density(sr)).alias("psd"))
 
 
 def pair_sums(s: DataFrame) -> DataFrame:
-    """Rows (recording, channel_x, channel_y, bin, n, re, im, xx, yy): means over segments for all pairs, from spectra made once a channel."""
-    pairs = ordered_pairs(s, ["re", "im"], ["recording", "seg"])
+    """Rows (recording, channel_x, channel_y, bin, n, size, energy, re, im, xx, yy): means over segments for all pairs, from spectra made once a channel."""
+    pairs = ordered_pairs(s, ["re", "im", "size", "energy"], ["recording", "seg"])
     zipped = F.arrays_zip("re_x", "im_x", "re_y", "im_y")
-    rows = pairs.select("recording", "channel_x", "channel_y", F.posexplode(zipped).alias("bin", "z"))
+    rows = pairs.select("recording", "channel_x", "channel_y", "size_x", "energy_x", F.posexplode(zipped).alias("bin", "z"))
     a, b, c, d = (F.col(f"z.{k}") for k in ("re_x", "im_x", "re_y", "im_y"))
     return rows.groupBy("recording", "channel_x", "channel_y", "bin").agg(
-        F.count("*").alias("n"), F.avg(a * c + b * d).alias("re"), F.avg(b * c - a * d).alias("im"), F.avg(a * a + b * b).alias("xx"), F.avg(c * c + d * d).alias("yy")
-    )
+        F.count("*").alias("n"), F.max("size_x").alias("size"), F.max("energy_x").alias("energy"),
+        F.avg(a * c + b * d).alias("re"), F.avg(b * c - a * d).alias("im"), F.avg(a * a + b * b).alias("xx"), F.avg(c * c + d * d).alias("yy"),
+    )
 
 
 def cross_spectrum(samples: DataFrame, sr: float, nperseg: int = 256, noverlap: int | None = None, win="hann") -> DataFrame:
     """Rows (recording, channel_x, channel_y, bin, frequency, re, im, magnitude, phase)."""
-    k = _doubled(nperseg) * _scale(nperseg, sr, win)
-    rows = pair_sums(segment_spectra(samples, nperseg, noverlap, win)).withColumn("re", F.col("re") * k).withColumn("im", F.col("im") * k)
-    return rows.select("recording", "channel_x", "channel_y", "bin", _frequency(nperseg, sr).alias("frequency"), "re", "im", F.hypot("re", "im").alias("magnitude"), F.atan2("im", "re").alias("phase"))
+    rows = pair_sums(segment_spectra(samples, nperseg, noverlap, win)).withColumn("k", _density(sr)).withColumn("re", F.col("re") * F.col("k")).withColumn("im", F.col("im") * F.col("k"))
+    return rows.select("recording", "channel_x", "channel_y", "bin", _frequency(sr).alias("frequency"), "re", "im", F.hypot("re", "im").alias("magnitude"), F.atan2("im", "re").alias("phase"))
 
 
 def coherence_of(sums: DataFrame, kind: str = "magnitude") -> DataFrame:
-    re, im = F.col("re") / F.sqrt(F.col("xx") * F.col("yy")), F.col("im") / F.sqrt(F.col("xx") * F.col("yy"))
+    """sums with coherence and confidence; coherence is null where a channel has no power."""
+    root = F.sqrt(F.col("xx") * F.col("yy"))
+    re, im = F.col("re") / root, F.col("im") / root
     if kind == "magnitude":
         value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), re * re + im * im))
     elif kind == "imaginary":
@@ -81,14 +94,14 @@ def coherence_of(sums: DataFrame, kind: str = "magnitude") -> DataFrame:
     else:
         raise ValueError(f"unknown coherence {kind!r}")
     limit = F.when(F.col("n") <= 1, 1.0).otherwise(1 - F.pow(F.lit(0.05), 1 / F.greatest(F.col("n") - 1, F.lit(1))))
-    return sums.withColumn("coherence", value).withColumn("confidence", limit)
+    return sums.withColumn("coherence", F.when(root > 0, value)).withColumn("confidence", limit)
 
 
 def coherence(samples: DataFrame, sr: float, nperseg: int = 256, noverlap: int | None = None, kind: str = "magnitude", freq_range: tuple[float, float] | None = None, method: str = "welch") -> DataFrame:
     """Rows (recording, channel_x, channel_y, bin, frequency, coherence, confidence) for every pair of channels."""
     if method != "welch":
         raise ValueError("only welch is offered here; see multitaper_coherence")
-    rows = coherence_of(pair_sums(segment_spectra(samples, nperseg, noverlap)), kind).withColumn("frequency", _frequency(nperseg, sr))
+    rows = coherence_of(pair_sums(segment_spectra(samples, nperseg, noverlap)), kind).withColumn("frequency", _frequency(sr))
     if freq_range is not None:
         rows = rows.where(F.col("frequency").between(*freq_range))
     return rows.select("recording", "channel_x", "channel_y", "bin", "frequency", "coherence", "confidence")
@@ -106,18 +119,18 @@ def coherence_matrix(samples: DataFrame, sr: float, nperseg: int = 256, noverlap
 
 
 def phase_slope_index(samples: DataFrame, sr: float, band: tuple[float, float], nperseg: int = 256, noverlap: int | None = None, normalize: bool = True) -> DataFrame:
-    """Rows (recording, channel_x, channel_y, psi); above 0 where x leads."""
+    """Rows (recording, channel_x, channel_y, psi); above 0 where x leads, null where a channel has no power in a bin of the band."""
     if band[0] >= band[1]:
         raise ValueError("the band's lower edge must be below the upper one")
-    rows = pair_sums(segment_spectra(samples, nperseg, noverlap)).withColumn("frequency", _frequency(nperseg, sr)).where(F.col("frequency").between(*band))
-    root = F.sqrt(F.col("xx") * F.col("yy"))
-    rows = rows.select("recording", "channel_x", "channel_y", "bin", (F.col("re") / root).alias("re"), (F.col("im") / root).alias("im"))
+    rows = pair_sums(segment_spectra(samples, nperseg, noverlap)).withColumn("frequency", _frequency(sr)).where(F.col("frequency").between(*band))
+    root, dead = F.sqrt(F.col("xx") * F.col("yy")), F.lit(float("nan"))
+    rows = rows.select("recording", "channel_x", "channel_y", "bin", F.when(root > 0, F.col("re") / root).otherwise(dead).alias("re"), F.when(root > 0, F.col("im") / root).otherwise(dead).alias("im"))
     w = Window.partitionBy("recording", "channel_x", "channel_y").orderBy("bin")
     rows = rows.withColumn("re2", F.lead("re").over(w)).withColumn("im2", F.lead("im").over(w)).where("re2 is not null")
     # the phase of x times conjugate y rises with frequency where x leads
     num = F.sum(F.col("re") * F.col("im2") - F.col("im") * F.col("re2"))
     den = F.sum(F.hypot("re", "im") * F.hypot("re2", "im2"))
-    return rows.groupBy("recording", "channel_x", "channel_y").agg((num / den if normalize else num).alias("psi"))
+    return rows.groupBy("recording", "channel_x", "channel_y").agg((F.try_divide(num, den) if normalize else num).alias("psi")).withColumn("psi", F.when(~F.isnan("psi"), F.col("psi")))
 
 
 def multitaper_psd(samples: DataFrame, sr: float, nw: float = 4, k: int | None = None) -> DataFrame:

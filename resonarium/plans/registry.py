@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from resonarium.functions import directed as D
 from resonarium.functions import filters, spectra
 from resonarium.model import SignalSet
-from resonarium.operators import directed, pac, phase, spectral, timedom, wavelet
+from resonarium.operators import directed, pac, pairs, phase, spectral, timedom, wavelet
 from resonarium.operators.packed import pack
 
 PAIR = ["recording", "channel_x", "channel_y"]
@@ -67,17 +67,18 @@ def _pac_run(samples: DataFrame, sr: float, **a) -> DataFrame:
     """The phase of x and the envelope of y for each pair, both banks made once a channel."""
     order, kind = a.get("order", 4), a.get("kind", "butter")
     method, n_bins = a.get("method", "tort"), a.get("n_bins", 18)
-    if method == "plv":
-        raise ValueError("use pac.phase_amplitude_coupling for plv")
     p, b = a.get("phase_band", (4, 8)), a.get("amp_band", (30, 80))
     packed = pack(samples)
     ph = pac.bank(packed, [(sum(p) / 2, *map(float, p))], sr, "phase", order, kind).select("recording", F.col("channel").alias("channel_x"), "idx", F.col("v").alias("phase"))
-    am = pac.bank(packed, [(sum(b) / 2, *map(float, b))], sr, "envelope", order, kind).select("recording", F.col("channel").alias("channel_y"), "idx", F.col("v").alias("amp"))
+    am = pac.bank(packed, [(sum(b) / 2, *map(float, b))], sr, "envelope" if method != "plv" else "slow", order, kind, slow=p).select("recording", F.col("channel").alias("channel_y"), "idx", F.col("v").alias("amp"))
     return pac.strength(ph.join(am, ["recording", "idx"]).where("channel_x < channel_y"), PAIR, method, n_bins)
 
 
 def _pac_stat(x, y, sr, phase_band=(4, 8), amp_band=(30, 80), method="tort", n_bins=18, order=4, kind="butter") -> float:
     p, b = [(0.0, *map(float, phase_band))], [(0.0, *map(float, amp_band))]
+    if method == "plv":
+        phi = np.angle(filters.band_analytic(x, *p[0][1:], sr, order, kind))
+        return float(abs(np.exp(1j * (phi - pac.slow_phase(y, *b[0][1:], phase_band, sr, order, kind))).mean()))
     return float(pac.grid_arrays(x, y, p, b, sr, method, n_bins, order, kind)[0, 0])
 
 
@@ -132,6 +133,22 @@ def coupling_matrix(samples: DataFrame, sr: float, name: str = "coherence", **ar
     return m.scalar(m.run(samples, sr, **args))
 
 
+def coupling_between(s: SignalSet, modality_x: str, modality_y: str, name: str = "coherence", channels_x: list[str] | None = None, channels_y: list[str] | None = None, match: str = "butter", **args) -> DataFrame:
+    """The full result of a method for all pairs of a channel of x and a channel of y, two members of any rates."""
+    samples, sr = pairs.matched(s, modality_x, modality_y, channels_x, channels_y, match)
+    if name in ("dtf", "pdc"):
+        rows = method(name).run(pairs.one_recording_a_pair(samples), sr, **args).where("source != target")
+        return rows.withColumn("recording", F.lit(f"{modality_x}|{modality_y}"))
+    return pairs.between(method(name).run(samples, sr, **args))
+
+
+def coupling_matrix_between(s: SignalSet, modality_x: str, modality_y: str, name: str = "coherence", channels_x: list[str] | None = None, channels_y: list[str] | None = None, match: str = "butter", **args) -> DataFrame:
+    """Rows (recording, channel_x, channel_y, value): `coupling_between` summed up."""
+    m = method(name)
+    rows = coupling_between(s, modality_x, modality_y, name, channels_x, channels_y, match, **args)
+    return pairs.between(m.scalar(rows)) if name in ("dtf", "pdc") else m.scalar(rows)
+
+
 def statistic(name: str, sr: float, **args) -> Callable[[np.ndarray, np.ndarray], float]:
     """The scalar of two arrays, for surrogate_test and bootstrap_ci; offered for every method."""
     f = method(name).stat
@@ -154,4 +171,4 @@ def coupling_analysis_cached(s: SignalSet, modality: str, sr: float, name: str =
     return result, s.with_result(key, result), False
 
 
-__all__ = ["METHODS", "coupling_analysis", "coupling_analysis_cached", "coupling_matrix", "fingerprint", "method", "statistic"]
+__all__ = ["METHODS", "coupling_analysis", "coupling_analysis_cached", "coupling_between", "coupling_matrix_between", "coupling_matrix", "fingerprint", "method", "statistic"]
