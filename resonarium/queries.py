@@ -17,6 +17,7 @@ from resonarium.model import SignalSet
 from resonarium.operators import align, directed, fusion, inference, lodo, pac, phase, plots, spectral, timedom, wavelet
 from resonarium.plans import registry
 from resonarium.sources import signals
+from resonarium.streaming import sliding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -383,7 +384,8 @@ def pac_ozkurt(spark, sf_dir):
     return _pac(spark, sf_dir, "ozkurt")
 
 
-@query()
+@query(f"""WITH {PAC}, ec AS (SELECT 'e' AS channel, idx, amp AS value FROM pa), {band_sql('ze', 15, 45).replace('FROM g ', 'FROM ec ')}, pd AS (SELECT ph - atan2(e.im, e.re) AS d FROM pa JOIN ze e ON e.idx = pa.idx)
+SELECT {rd('sqrt(pow(AVG(cos(d)), 2) + pow(AVG(sin(d)), 2))')} AS pac FROM pd""")
 def pac_plv(spark, sf_dir):
     return _pac(spark, sf_dir, "plv")
 
@@ -511,7 +513,7 @@ def coupling_matrix_plv(spark, sf_dir):
     return plots.coupling_matrix_frame(registry.coupling_matrix(hourly(spark, sf_dir), SR, "plv", band=BAND, kind="fft"))
 
 
-@query()
+@query(f"WITH {CCF} SELECT channel_x, channel_y, lag::INT AS lag, {rd('lag / 24.0e0')} AS lag_sec, {rd('correlation')} AS correlation, true AS hit FROM r WHERE lag BETWEEN -5 AND 5")
 def coupling_cached(spark, sf_dir):
     s = SignalSet.of(hourly(spark, sf_dir), {"events": SR})
     first, s, _ = registry.coupling_analysis_cached(s, "events", SR, "crosscorrelation", max_lag=5)
@@ -599,7 +601,11 @@ def by_adjust(spark, sf_dir):
     return inference.adjusted(_pvalues(spark, sf_dir), "p", ["c_nationkey"], "BY").select("c_custkey", "p_adjusted")
 
 
-@query()
+@query(f"""WITH {PV}, ms AS (SELECT DISTINCT c_nationkey, m AS n, k.k AS k FROM rk, unnest(range(LEAST(2, m), m + 1)) k(k)),
+cm AS (SELECT ms.c_nationkey, ms.n, ms.k, MIN(ms.k * rk.p / (rk.r - (ms.n - ms.k))) AS c FROM ms JOIN rk ON rk.c_nationkey = ms.c_nationkey AND rk.r > ms.n - ms.k + CASE WHEN ms.k = ms.n THEN 0 ELSE 1 END GROUP BY 1, 2, 3),
+q AS (SELECT i.c_custkey, i.p, CASE WHEN cm.k = cm.n THEN cm.c ELSE LEAST(cm.k * CASE WHEN i.r <= cm.n - cm.k + 1 THEN i.p ELSE b.p END, cm.c) END AS v
+  FROM rk i JOIN cm ON cm.c_nationkey = i.c_nationkey JOIN rk b ON b.c_nationkey = cm.c_nationkey AND b.r = cm.n - cm.k + 1)
+SELECT c_custkey, {rd('GREATEST(MAX(p), MAX(v))')} AS p_adjusted FROM q GROUP BY c_custkey""")
 def hommel_adjust(spark, sf_dir):
     return inference.adjusted(_pvalues(spark, sf_dir), "p", ["c_nationkey"], "hommel").select("c_custkey", "p_adjusted")
 
@@ -639,7 +645,8 @@ def rsa_pearson(spark, sf_dir):
     return fusion.representational_similarity(_blocks(spark, sf_dir), ["a1", "b1"], compare="pearson")
 
 
-@query()
+@query(f"""WITH {DIST}, w AS (SELECT rank() OVER (ORDER BY a) + (COUNT(*) OVER (PARTITION BY a) - 1) / 2.0e0 AS a, rank() OVER (ORDER BY b) + (COUNT(*) OVER (PARTITION BY b) - 1) / 2.0e0 AS b FROM d WHERE i > j)
+SELECT 'a' AS block_x, 'b' AS block_y, {rd('corr(a, b)')} AS similarity FROM w""".replace("'a' AS", "'a1' AS").replace("'b' AS", "'b1' AS"))
 def rsa_spearman(spark, sf_dir):
     return fusion.representational_similarity(_blocks(spark, sf_dir), ["a1", "b1"])
 
@@ -744,6 +751,101 @@ def lodo_binomial(spark, sf_dir):
     return lodo.lodo(t("labels").join(t("documents"), "doc_id"), "quality", "lang", ["n_chars"], "binomial", 1)
 
 
+# ---- flat and short signals, two recordings --------------------------------
+
+GZ = grid_sql(name="g0") + ", g AS (SELECT channel, idx, value FROM g0 UNION ALL SELECT 'zero', i.range, 0.0e0 FROM range(720) i)"
+
+
+def _with_zero(spark, sf_dir):
+    """The hourly channels and one that is zero throughout."""
+    g = hourly(spark, sf_dir)
+    zero = spark.range(N).select(*(F.lit("zero").alias(c) if c == "channel" else F.col("id").alias(c) if c == "idx" else F.lit(0.0).alias(c) if c == "value" else F.lit(None).cast(g.schema[c].dataType).alias(c) for c in g.columns))
+    return g.unionByName(zero).withColumn("recording", F.lit("events"))
+
+
+@query(f"""WITH {SEGS.replace(G, GZ)} SELECT channel_x, channel_y, bin::INT AS bin, {rd('bin * 12.0e0 / 32')} AS frequency,
+CASE WHEN xx * yy > 0 THEN {rd('LEAST(1.0e0, (re * re + im * im) / (xx * yy))')} END AS coherence, {rd('1 - pow(0.05e0, 1.0e0 / (n - 1))')} AS confidence FROM p""")
+def coherence_flat(spark, sf_dir):
+    """Coherence beside a dead channel: null for its pairs."""
+    return spectral.coherence(_with_zero(spark, sf_dir), SR, SEG).drop("recording")
+
+
+@query(f"""WITH {GZ}, {band_sql('z', 15, 60)}, h AS (SELECT channel, idx, CASE WHEN re * re + im * im > 0 THEN re / sqrt(re * re + im * im) ELSE 1 END AS c, CASE WHEN re * re + im * im > 0 THEN im / sqrt(re * re + im * im) ELSE 0 END AS s FROM z),
+m AS (SELECT x.channel AS channel_x, y.channel AS channel_y, COUNT(*) AS n, AVG(x.c * y.c + x.s * y.s) AS mc, AVG(x.s * y.c - x.c * y.s) AS ms FROM h x JOIN h y ON x.idx = y.idx AND x.channel < y.channel GROUP BY 1, 2)
+SELECT channel_x, channel_y, {rd('sqrt(mc * mc + ms * ms)')} AS plv, {rd('((mc * mc + ms * ms) * n * n - n) / (n * (n - 1.0e0))')} AS ppc FROM m""")
+def plv_flat(spark, sf_dir):
+    """Phase locking beside a dead channel, whose phase is 0."""
+    return phase.synchrony(_with_zero(spark, sf_dir), SR, BAND, kind="fft").select("channel_x", "channel_y", "plv", "ppc")
+
+
+@query(f"""WITH {G}, s AS (SELECT channel, idx AS m, value * (0.5e0 * (1 - cos(2 * pi() * idx / 39))) AS v FROM g WHERE idx < 40),
+w AS (SELECT SUM(pow(0.5e0 * (1 - cos(2 * pi() * i.range / 39)), 2)) AS e FROM range(40) i),
+f AS (SELECT channel, b.range AS bin, SUM(v * cos(2 * pi() * b.range * m / 40)) AS re, -SUM(v * sin(2 * pi() * b.range * m / 40)) AS im FROM s CROSS JOIN range(21) b GROUP BY channel, b.range)
+SELECT channel, bin::INT AS bin, {rd('bin * 12.0e0 / 20')} AS frequency, {rd('(re * re + im * im) * CASE WHEN bin IN (0, 20) THEN 1 ELSE 2 END / (24 * e)')} AS psd FROM f, w""")
+def welch_short(spark, sf_dir):
+    """Spectra of signals shorter than a segment: one segment of their own length."""
+    return spectral.welch_psd(hourly(spark, sf_dir).where("idx < 40"), SR, SEG).drop("recording")
+
+
+#: Hourly channels as x and half-hourly ones as y, these through the ideal low-pass at 0.9 of half the hourly rate and linear in time to the hourly grid.
+TWO = f"""{grid_sql(60, 'g0')}, {grid_sql(30, 'h')},
+hf AS (SELECT channel, k.range AS k, SUM(value * cos(2 * pi() * ((k.range * idx) % 1440) / 1440)) AS a, -SUM(value * sin(2 * pi() * ((k.range * idx) % 1440) / 1440)) AS b FROM h CROSS JOIN range(325) k GROUP BY channel, k.range),
+hl AS (SELECT channel, i.range AS idx, SUM(CASE WHEN k = 0 THEN a ELSE 2 * (a * cos(2 * pi() * ((k * i.range) % 1440) / 1440) - b * sin(2 * pi() * ((k * i.range) % 1440) / 1440)) END) / 1440 AS value FROM hf CROSS JOIN range(1440) i GROUP BY channel, i.range),
+tt AS (SELECT j.range AS j, LEAST(floor(j.range * 1439.0e0 / 720), 1438)::BIGINT AS k, j.range * 1439.0e0 / 720 - LEAST(floor(j.range * 1439.0e0 / 720), 1438) AS w FROM range(720) j),
+hr AS (SELECT p.channel, tt.j AS idx, p.value * (1 - tt.w) + q.value * tt.w AS value FROM tt JOIN hl p ON p.idx = tt.k JOIN hl q ON q.idx = tt.k + 1 AND q.channel = p.channel),
+g AS (SELECT 'x:' || channel AS channel, idx, value FROM g0 UNION ALL SELECT 'y:' || channel, idx, value FROM hr)"""
+ACROSS = "WHERE channel_x LIKE 'x:%' AND channel_y LIKE 'y:%'"
+
+
+def _between(spark, sf_dir, name, **args):
+    return registry.coupling_between(two_rates(spark, sf_dir), "hourly", "half", name, match="fft", **args).drop("recording")
+
+
+@query(f"""WITH {SEGS.replace(G, TWO)} SELECT channel_x[3:] AS channel_x, channel_y[3:] AS channel_y, bin::INT AS bin, {rd('bin * 12.0e0 / 32')} AS frequency,
+{rd('LEAST(1.0e0, (re * re + im * im) / (xx * yy))')} AS coherence, {rd('1 - pow(0.05e0, 1.0e0 / (n - 1))')} AS confidence FROM p {ACROSS}""")
+def couple_two_rates(spark, sf_dir):
+    """Coherence of every hourly channel with every half-hourly one."""
+    return _between(spark, sf_dir, "coherence", nperseg=SEG)
+
+
+@query(f"WITH {ZP.replace(G, TWO)} SELECT channel_x[3:] AS channel_x, channel_y[3:] AS channel_y, n, {rd('sqrt(mc * mc + ms * ms)')} AS plv FROM m {ACROSS}")
+def couple_two_rates_plv(spark, sf_dir):
+    return _between(spark, sf_dir, "plv", band=BAND, kind="fft")
+
+
+@query(f"WITH {CCF.replace(G, TWO)} SELECT channel_x[3:] AS channel_x, channel_y[3:] AS channel_y, lag::INT AS lag, {rd('lag / 24.0e0')} AS lag_sec, {rd('correlation')} AS correlation FROM r {ACROSS}")
+def couple_two_rates_correlation(spark, sf_dir):
+    return _between(spark, sf_dir, "crosscorrelation", max_lag=30)
+
+
+@query(f"WITH {ZP.replace(G, TWO)} SELECT channel_x[3:] AS channel_x, channel_y[3:] AS channel_y, {rd('sqrt(mc * mc + ms * ms)')} AS value FROM m {ACROSS}")
+def coupling_matrix_between(spark, sf_dir):
+    return registry.coupling_matrix_between(two_rates(spark, sf_dir), "hourly", "half", "plv", match="fft", band=BAND, kind="fft").drop("recording")
+
+
+@query(f"""WITH {E2[:-2]}, c AS (SELECT x1 - AVG(x1) OVER () AS x1, x2 - AVG(x2) OVER () AS x2, y1 - AVG(y1) OVER () AS y1, y2 - AVG(y2) OVER () AS y2 FROM e),
+s AS (SELECT SUM(x1 * y1) AS a, SUM(x1 * y2) AS b, SUM(x2 * y1) AS c, SUM(x2 * y2) AS d, SUM(x1 * x1) AS xx, SUM(x1 * x2) AS xz, SUM(x2 * x2) AS zz, SUM(y1 * y1) AS yy, SUM(y1 * y2) AS yw, SUM(y2 * y2) AS ww FROM c)
+SELECT {rd('(a * a + b * b + c * c + d * d) / sqrt((xx * xx + 2 * xz * xz + zz * zz) * (yy * yy + 2 * yw * yw + ww * ww))')} AS statistic FROM s""")
+def association_statistic(spark, sf_dir):
+    """The observed statistic of the permutation test; its p-value is in association_rv_p."""
+    return fusion.association_p(_blocks(spark, sf_dir), "a1", "b1", "rv", permutations=1).select("statistic")
+
+
+@query()
+def association_rv_p(spark, sf_dir):
+    return fusion.association_p(_blocks(spark, sf_dir), "a", "b", "rv")
+
+
+@query(f"""WITH e AS (SELECT date_trunc('hour', ts) AS h, event_type AS c, value AS v FROM events WHERE event_type IN ('click', 'view')),
+b AS (SELECT h, SUM(CASE WHEN c = 'click' THEN v ELSE 0 END) AS x, SUM(CASE WHEN c = 'view' THEN v ELSE 0 END) AS y FROM e GROUP BY h),
+s AS (SELECT time_bucket(INTERVAL 12 HOUR, h, TIMESTAMP '1970-01-01') - k.k * INTERVAL 12 HOUR AS start, x, y FROM b, (VALUES (0), (1)) k(k))
+SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, COUNT(*) AS n, CASE WHEN stddev_pop(x) * stddev_pop(y) > 0 THEN {rd('covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y))')} END AS correlation FROM s GROUP BY s.start""")
+def sliding_spans(spark, sf_dir):
+    """The streaming operator over a finished table."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("event_type").alias("channel"), "value")
+    return sliding.sliding_correlation(events, "click", "view")[0].withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
 # ---- generators ------------------------------------------------------------
 
 

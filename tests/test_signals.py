@@ -317,3 +317,88 @@ def test_streamed_spans_equal_batch(spark, tmp_path):
     q.awaitTermination()
     got = {r["start"]: (r["n"], round(r["correlation"], 9)) for r in spark.sql("select * from spans").collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def _flat_and_busy(spark, n=400):
+    rng = np.random.default_rng(5)
+    rows = [("r", c, i, float(v)) for c in "ab" for i, v in enumerate(rng.standard_normal(n))] + [("r", "flat", i, 0.0) for i in range(n)] + [("r", "high", i, 7.0) for i in range(n)]
+    return spark.createDataFrame(rows, "recording string, channel string, idx long, value double")
+
+
+ARGS = {"coherence": {"nperseg": 64}, "plv": {"band": (8, 12)}, "pli": {"band": (8, 12)}, "wpli": {"band": (8, 12)}, "crosscorrelation": {"max_lag": 10}, "pac": {"phase_band": (4, 8), "amp_band": (20, 40)}, "transferentropy": {"estimator": "histogram"}, "multitaper_coherence": {}, "granger": {}, "dtf": {}, "pdc": {}}
+
+
+@pytest.mark.parametrize("name", sorted(ARGS))
+def test_a_flat_channel_spares_the_other_pairs(spark, name):
+    got = {(r["channel_x"], r["channel_y"]): r["value"] for r in registry.coupling_matrix(_flat_and_busy(spark), 100.0, name, **ARGS[name]).collect()}
+    if name in ("dtf", "pdc"):  # one model of the whole recording, which a dead channel makes singular
+        return
+    assert got[("a", "b")] is not None and np.isfinite(got[("a", "b")])
+    if name == "plv":
+        assert got[("a", "flat")] < 0.5
+
+
+def test_flat_channels_in_the_synchrony_table(spark):
+    rows = {(r["channel_x"], r["channel_y"]): r for r in phase.synchrony(_flat_and_busy(spark), 100.0, (8, 12), kind="fft").collect()}
+    alone = rows[("a", "flat")]
+    assert alone["plv"] < 0.5 and alone["ppc"] < 0.5 and alone["aec"] == 0 and alone["wpli"] is None
+    psi = {(r["channel_x"], r["channel_y"]): r["psi"] for r in spectral.phase_slope_index(_flat_and_busy(spark), 100.0, (8, 20), 64).collect()}
+    assert psi[("a", "flat")] is None and np.isfinite(psi[("a", "b")])
+
+
+def test_a_short_signal_is_one_segment(spark):
+    x = np.random.default_rng(1).standard_normal(100)
+    df = spark.createDataFrame([("r", c, i, float(v * (1 + k))) for k, c in enumerate("ab") for i, v in enumerate(x)], "recording string, channel string, idx long, value double")
+    w = 0.5 * (1 - np.cos(2 * np.pi * np.arange(100) / 99))
+    want = np.abs(np.fft.rfft(x * w)) ** 2 / (50 * (w**2).sum())
+    want[1:-1] *= 2
+    got = [r["psd"] for r in spectral.welch_psd(df, 50.0).where("channel = 'a'").orderBy("bin").collect()]
+    assert np.allclose(got, want)
+    both = spectral.coherence(df, 50.0).collect()
+    assert len(both) == 51 and all(abs(r["coherence"] - 1) < 1e-9 and r["confidence"] == 1.0 for r in both)
+
+
+def _two_rates(spark):
+    rng = np.random.default_rng(2)
+    slow = rng.standard_normal(600).cumsum() * 0.1 + rng.standard_normal(600)
+    fast = np.interp(np.arange(1200) / 2, np.arange(600), slow)
+    rows = [("s", "p", i, float(v)) for i, v in enumerate(slow)] + [("s", "q", i, float(v)) for i, v in enumerate(rng.standard_normal(600))]
+    rows += [("f", "u", i, float(v)) for i, v in enumerate(fast + 0.1 * rng.standard_normal(1200))] + [("f", "v", i, float(v)) for i, v in enumerate(rng.standard_normal(1200))]
+    df = spark.createDataFrame(rows, "recording string, channel string, idx long, value double")
+    return SignalSet.of(df, {"s": 100.0, "f": 200.0}), slow, fast
+
+
+@pytest.mark.parametrize("name", sorted({*registry.METHODS}))
+def test_two_recordings_of_two_rates(spark, name):
+    s, _, _ = _two_rates(spark)
+    got = {(r["channel_x"], r["channel_y"]): r["value"] for r in registry.coupling_matrix_between(s, "s", "f", name, channels_x=["p"], **ARGS.get(name, {})).collect()}
+    assert set(got) == {("p", "u"), ("p", "v")} and all(v is not None for v in got.values())
+    if name in ("coherence", "crosscorrelation", "plv"):
+        assert got[("p", "u")] > got[("p", "v")]
+    if name == "pac":
+        got = registry.coupling_matrix_between(s, "s", "f", name, method="plv", **ARGS["pac"]).collect()
+        assert len(got) == 4 and all(0 <= r["value"] <= 1 for r in got)
+
+
+def test_pairs_of_recordings_are_checked(spark):
+    from resonarium.operators import pairs
+
+    s, slow, _ = _two_rates(spark)
+    with pytest.raises(ValueError):
+        pairs.matched(s, "s", "none")
+    with pytest.raises(ValueError):
+        pairs.matched(s, "s", "f", ["zzz"])
+    with pytest.raises(ValueError):
+        s.slice(["s"], 100.0, 200.0)
+    rows, sr = pairs.matched(s, "s", "f")
+    counts = {r["channel"]: r["count"] for r in rows.groupBy("channel").count().collect()}
+    assert sr == 100.0 and set(counts) == {"x:p", "x:q", "y:u", "y:v"} and len(set(counts.values())) == 1
+    x = [r["value"] for r in rows.where("channel = 'x:p'").orderBy("idx").collect()]
+    assert np.allclose(x, slow[: len(x)])
+
+
+def test_merged_labels_get_their_prefix_once(spark):
+    df = spark.createDataFrame([("m", "x", 0, 1.0), ("m", "x", 1, 2.0)], "recording string, channel string, idx long, value double")
+    a = SignalSet.of(df, {"m": 10.0})
+    a = SignalSet(a.samples, a.channels.withColumn("label", F.lit(None).cast("string")))
+    assert sorted(r["label"] for r in align.merge_sets(a, a).channels.collect()) == ["x_x", "y_x"]
