@@ -63,23 +63,26 @@ def boot_rows(samples: DataFrame, starts: DataFrame, block: int, n: int) -> Data
     return at.join(samples, "idx").drop("idx")
 
 
+#: Replicates that one task row draws from a pair of signals.
+CHUNK = 25
 Stat = Callable[[np.ndarray, np.ndarray], float]
 
 
 def _replicates(samples: DataFrame, n: int, statistic: Stat, draw: Callable, seed: int) -> DataFrame:
-    """Rows (pair, rep, stat); rep -1 is the observed one."""
-    rows = ordered_pairs(pack(samples), ["x"]).withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))
+    """Rows (pair, rep, stat); rep -1 is the observed one. A pair's signals are sent once for each CHUNK replicates."""
+    rows = ordered_pairs(pack(samples), ["x"]).withColumn("first", F.explode(F.sequence(F.lit(-1), F.lit(max(-1, n - 1)), F.lit(CHUNK))))
     spark = samples.sparkSession
-    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, *PAIR, "rep")
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, *PAIR, "first")
 
-    def kernel(x_x, x_y, rep, **_):
+    def kernel(x_x, x_y, first, **_):
         m = min(len(x_x), len(x_y))
-        x, y = x_x[:m], x_y[:m]
-        if rep >= 0:
-            x, y = draw(x, y, R.rng_of(seed, rep))
-        return {"stat": float(statistic(x, y))}
+        for rep in range(first, min(first + CHUNK, n)):
+            x, y = x_x[:m], x_y[:m]
+            if rep >= 0:
+                x, y = draw(x, y, R.rng_of(seed, rep))
+            yield {"rep": rep, "stat": float(statistic(x, y))}
 
-    return map_rows(rows, kernel, "stat double", [*PAIR, "rep"])
+    return map_rows(rows, kernel, "rep int, stat double", PAIR)
 
 
 def surrogate_test(samples: DataFrame, statistic: Stat, n_surrogates: int = 199, surrogate: str = "phase", seed: int = 0) -> DataFrame:
