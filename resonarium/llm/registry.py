@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from resonarium.llm.decontaminate import OP9_SQL, op9_decontaminate
-from resonarium.llm.embeddings import op1_embeddings
+from resonarium.llm.embeddings import OP1_SQL, op1_embeddings
 from resonarium.llm.langid import op2_langid
 from resonarium.llm.lines import op5_lines
 from resonarium.llm.mixing import OP4_SQL, op4_mixing
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
 }
-SQL = {"op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL}
+SQL = {"op1_embeddings": OP1_SQL, "op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL}

@@ -404,6 +404,21 @@ def test_embeddings_match_brute_force(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_sql_says_the_same(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((20, 16))
+    rows = [(k, (base[k % 20] + rng.standard_normal(16) * 0.06).tolist(), int(k % 20 % 3)) for k in range(120)] + [(200 + k, base[5].tolist(), 2) for k in range(5)]
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] + [1.0] * 15, 1), (303, [None] + [1.0] * 15, 1), (304, base[0].tolist(), None), (305, [], 1), (306, base[0][:8].tolist(), 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.op1_embeddings(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got == sorted(con.execute(embeddings.OP1_SQL).fetchall())
+    assert any(n for _, n, *_ in got) and any(not kept for *_, kept in got)
+
+
 RECORDS = "record_id long, kind string, url string, ts long, headers map<string,string>, digest string, body string, status string, slice int"
 
 
