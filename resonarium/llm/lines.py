@@ -18,10 +18,13 @@ share; only those become rows, and a line or a band that a third of all rows
 hold costs one entry a block. Each candidate is first confirmed against one likely
 partner: the most frequent line of a bucket or the next in order of size. After
 that all pairs of a bucket that lie in different components are compared,
-whatever its size: buckets of more than `cell` lines are cut into parts, and
-every line meets every part. A pair is spared the exact measure only where the
-numbers of shingles rule a link out, or where more of 192 bits, one of each
-MinHash, differ than happens to a pair at the threshold with probability 1e-9.
+whatever its size. Those of a bucket of at most `few` lines become rows; a pair
+is spared the exact measure only where the numbers of shingles rule a link out,
+or where more of 192 bits, one of each MinHash, differ than happens to a pair at
+the threshold with probability 1e-9. Larger buckets are dealt over cells of
+about `cell` lines and CELL_CHARS characters a side, whose exact measures come
+from shingle counts of the whole cell at once; only a forest of a cell's links
+leaves it, so a family of n lines gives rows in proportion to n.
 
 Defined results: blank lines stay; a null text is one blank line; a line of
 fewer than five characters is a single shingle; rows alike in id and text are
@@ -32,6 +35,7 @@ with probability n**2 / 2**65.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
@@ -44,7 +48,11 @@ from resonarium.llm.blocks import LAST, ask, parts_for
 from resonarium.llm.graph import components
 from resonarium.session import Scratch, ship
 
-SIMILARITY, SHINGLE, CELL = 0.8, 5, 512
+SIMILARITY, SHINGLE, CELL = 0.8, 5, 2048
+#: Lines of a bucket whose pairs become rows; characters of a side of a cell.
+FEW_LINES, CELL_CHARS = 64, 1_000_000
+#: Pairs of lines that share a shingle: counted one by one up to so many a shingle, by matrix product beyond, in so many columns, pairs or rows at once.
+LISTED, COLUMNS, LISTED_AT_ONCE, ROWS = 1 << 14, 1024, 1 << 20, 256
 WIDTH, BANDS = 6, 32
 BINS = WIDTH * BANDS
 #: Lines of fewer shingles borrow so many MinHashes that their bits are few independent ones; FEW_APART of them may differ.
@@ -267,20 +275,19 @@ def likely(rows: DataFrame, similarity: float) -> DataFrame:
     return best.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
 
 
-def across(rows: DataFrame, roots: DataFrame, similarity: float, cell: int) -> DataFrame:
-    """Distinct pairs (a, b, ra, rb) of lines of one bucket and two components (ra, rb their roots). roots: node, root.
-
-    In each bucket the members outside of its largest component meet all
-    members; these are dealt over parts of `cell` lines, to each of which the
-    former are sent.
-    """
+def divided(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows of the buckets whose lines lie in several components, with root and main, the largest component. roots: node, root."""
     named = rows.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     sums = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    mixed = named.join(sums.where("roots > 1"), "key").withColumn("parts", F.ceil(F.col("held") / cell).cast("int"))
+    return named.join(sums.where("roots > 1").select("key", "main"), "key")
+
+
+def across(mixed: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b, ra, rb) of lines of one small bucket and two components (ra, rb their roots)."""
     side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("h", "runs", "lo", "mid", "hi", "root")]
-    left = mixed.select("key", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), "main", *side("a"))
-    right = mixed.where("root != main").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *side("b"))
-    both = left.join(right, ["key", "part"]).where("root_a != root_b and (root_a = main or h_a < h_b)")
+    left = mixed.select("key", "main", *side("a"))
+    right = mixed.where("root != main").select("key", *side("b"))
+    both = left.join(right, "key").where("root_a != root_b and (root_a = main or h_a < h_b)")
     both = both.where(may_reach(similarity, "_a", "_b"))
     first = F.col("h_a") < F.col("h_b")
     turned = lambda c: [F.when(first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")), F.when(first, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))]
@@ -288,9 +295,13 @@ def across(rows: DataFrame, roots: DataFrame, similarity: float, cell: int) -> D
     return both.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb")).distinct()
 
 
-def texts_of(pairs: DataFrame, homes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows (h, norm) of all lines in `pairs`, each from one block that has it. homes: h, home."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(homes, "h")
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("h"))
+
+
+def texts_of(named: DataFrame, homes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (h, norm) of the lines in `named` (h), each from one block that has it. homes: h, home."""
+    wanted = named.distinct().join(homes, "h")
     wanted = wanted.groupBy(F.col("home").alias("block")).agg(F.collect_list("h").alias("wanted"))  # of one block's lines
 
     def run(batches):
@@ -302,25 +313,20 @@ def texts_of(pairs: DataFrame, homes: DataFrame, blocks: DataFrame) -> DataFrame
     return blocks.select("block", "h", "payload").join(wanted, "block").select("h", "payload", "wanted").mapInArrow(run, "h long, norm string")
 
 
-def close(left: list[str], right: list[str], similarity: float) -> np.ndarray:
-    """Which pairs of lines have at least this Jaccard measure, by their exact sets of shingles."""
-    place: dict[str, int] = {}
-    sides = [np.array([place.setdefault(x, len(place)) for x in side], np.int64) for side in (left, right)]
-    cps, offsets = code_points(list(place))
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The distinct shingles of each line: line and number of the shingle, in order of both, and how many numbers there are."""
+    cps, offsets = code_points(lines)
     seen = np.zeros(0x110000, np.int64)
     seen[cps] = 1
-    bits = max(1, int(seen.sum() - 1).bit_length())
-    if bits * SHINGLE > 63:
-        n = len(left)
-        if n > 1:
-            return np.concatenate([close(left[: n // 2], right[: n // 2], similarity), close(left[n // 2 :], right[n // 2 :], similarity)])
-        x, y = ({s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (left[0], right[0]))
-        return np.array([len(x & y) >= similarity * len(x | y)])
+    letters = int(seen.sum())
     symbol = (np.cumsum(seen) - 1)[cps]
     size = len(symbol) - SHINGLE + 1
-    code = np.zeros(size, np.int64)
-    for k in range(SHINGLE):
-        code = (code << bits) | symbol[k : k + size]
+    code, most = symbol[:size], letters
+    for k in range(1, SHINGLE):
+        if most * letters >= 2**63:  # many letters: number the heads anew
+            known, code = np.unique(code, return_inverse=True)
+            most = len(known)
+        code, most = code * letters + symbol[k : k + size], most * letters
     at, owner = starts_of(offsets)
     code = code[at]
     known = np.sort(code)
@@ -328,7 +334,14 @@ def close(left: list[str], right: list[str], similarity: float) -> np.ndarray:
     wide = np.int64(len(known))
     sets = np.sort(owner * wide + np.searchsorted(known, code))
     sets = sets[np.concatenate([[True], sets[1:] != sets[:-1]])]
-    of_line, shingle = sets // wide, sets % wide
+    return sets // wide, sets % wide, len(known)
+
+
+def close(left: list[str], right: list[str], similarity: float) -> np.ndarray:
+    """Which pairs of lines have at least this Jaccard measure, by their exact sets of shingles."""
+    place: dict[str, int] = {}
+    sides = [np.array([place.setdefault(x, len(place)) for x in side], np.int64) for side in (left, right)]
+    of_line, shingle, wide = shingle_sets(list(place))
     cuts = np.searchsorted(of_line, np.arange(len(place) + 1))
     sizes = np.diff(cuts)
     both = []
@@ -341,6 +354,105 @@ def close(left: list[str], right: list[str], similarity: float) -> np.ndarray:
     return alike >= similarity * (sizes[sides[0]] + sizes[sides[1]] - alike)
 
 
+def close_sides(left: list[str], right: list[str], similarity: float) -> Iterator[np.ndarray]:
+    """Which of all left x right pairs have at least this Jaccard measure: what `close` says, counted shingle by shingle. Masks of ROWS lines of the left."""
+    of_line, shingle, wide = shingle_sets(left + right)
+    sizes = np.bincount(of_line, minlength=len(left) + len(right))
+    order = np.argsort(shingle, kind="stable")
+    line, shingle = of_line[order], shingle[order]
+    first = line < len(left)
+    lines, kinds, counts = [line[first], line[~first] - len(left)], [shingle[first], shingle[~first]], []
+    for kind in kinds:
+        counts.append(np.bincount(kind, minlength=wide))
+    begin = [np.cumsum(n) - n for n in counts]
+    work = counts[0] * counts[1]
+    alike = np.zeros((len(left), len(right)), np.int32)
+    dense = np.flatnonzero(work > LISTED)
+    column = np.full(wide, -1)
+    column[dense] = np.arange(len(dense))
+    for i in range(0, len(dense), COLUMNS):
+        n, held = min(COLUMNS, len(dense) - i), []
+        for k in range(2):
+            col = column[kinds[k]] - i
+            ok = (col >= 0) & (col < n) & (column[kinds[k]] >= 0)
+            m = np.zeros((alike.shape[k], n), np.float32)
+            m[lines[k][ok], col[ok]] = 1
+            held.append(m)
+        alike += (held[0] @ held[1].T).astype(np.int32)
+    sparse = np.flatnonzero((column[kinds[0]] < 0) & (counts[1][kinds[0]] > 0))  # entries of the left whose shingle the right has
+    partners = counts[1][kinds[0][sparse]]
+    upto = np.cumsum(partners)
+    i = 0
+    while i < len(sparse):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + LISTED_AT_ONCE, side="right")))
+        n = partners[i:j]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other = lines[1][np.repeat(begin[1][kinds[0][sparse[i:j]]], n) + inner]
+        np.add.at(alike.ravel(), np.repeat(lines[0][sparse[i:j]], n) * len(right) + other, 1)
+        i = j
+    for i in range(0, len(left), ROWS):
+        part = alike[i : i + ROWS]
+        yield part >= similarity * (sizes[i : i + len(part), None] + sizes[None, len(left) :] - part)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same nodes as the edges (a, b), one fewer for each component than it has nodes."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(low, label[x], least)
+        np.minimum.at(low, label[y], least)
+        while True:
+            deeper = low[low]
+            if (deeper == low).all():
+                break
+            low = deeper
+        low = low[label]
+        if (low == label).all():
+            moved = label != np.arange(len(nodes))
+            return nodes[moved], nodes[label[moved]]
+        label = low
+
+
+def cells(mixed: DataFrame, texts: DataFrame, cell: int) -> DataFrame:
+    """Rows (key, l, r, far, h, root, outer, norm): a large bucket's lines dealt over the cells (l, r) in which they meet.
+
+    The lines outside of the largest component (far) meet all lines of their
+    bucket. A line of the largest one is only a left side of its cells.
+    """
+    sized = mixed.select("key", "h", "root", (F.col("root") != F.col("main")).alias("outer")).join(texts, "h")
+    parts = lambda n, chars: F.greatest(F.ceil(F.col(n) / cell), F.ceil(F.col(chars) / CELL_CHARS)).cast("int")
+    long = F.char_length("norm")
+    sums = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum(long).alias("c")).select("key", parts("n", "c").alias("parts"))
+    dealt = sized.join(sums, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    last = F.col("parts") - 1
+    left = dealt.select("key", F.col("own").alias("l"), F.explode(F.sequence(F.when(F.col("outer"), F.col("own")).otherwise(0), last)).alias("r"), F.lit(False).alias("far"), "h", "root", "outer", "norm")
+    right = dealt.where("outer").select("key", F.explode(F.sequence(F.lit(0), last)).alias("l"), F.col("own").alias("r"), F.lit(True).alias("far"), "h", "root", "outer", "norm")
+    return left.union(right)
+
+
+def links_of_cells(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Rows (ra, rb): roots that links of the cells join, as a forest of each cell."""
+
+    def run(table: pa.Table) -> pa.Table:
+        far = np.asarray(table.column("far"))
+        norm, root = table.column("norm"), np.asarray(table.column("root"))
+        left, right = np.flatnonzero(~far), np.flatnonzero(far)
+        a = b = np.zeros(0, np.int64)
+        if len(left) and len(right):
+            ra, rb = root[left], root[right]
+            for k, yes in enumerate(close_sides(norm.take(pa.array(left)).to_pylist(), norm.take(pa.array(right)).to_pylist(), similarity)):
+                rows = ra[k * ROWS : k * ROWS + len(yes)]
+                x, y = np.nonzero(yes & (rows[:, None] != rb[None, :]))
+                a, b = forest(np.concatenate([a, rows[x]]), np.concatenate([b, rb[y]]))
+        return pa.table({"ra": pa.array(a, pa.int64()), "rb": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "l", "r").applyInArrow(run, "ra long, rb long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, keep: list[str] = ("a", "b")) -> DataFrame:
     """Pairs of at least `similarity` by the Jaccard measure of all their shingles. texts: h, norm."""
     sized = lambda n: texts.select(F.col("h").alias(n), F.col("norm").alias(f"t{n}"))
@@ -362,13 +474,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, keep: list[
     return both.mapInArrow(run, ", ".join(f"{c} long" for c in keep))
 
 
-def joined(member: DataFrame, homes: DataFrame, blocks: DataFrame, scratch: Scratch, similarity: float, cell: int) -> DataFrame:
+def joined(member: DataFrame, homes: DataFrame, blocks: DataFrame, scratch: Scratch, similarity: float, cell: int, few: int) -> DataFrame:
     """Rows (node, root) of the components of all confirmed pairs."""
+    at = homes.select("h", "home")
     rows = scratch.save(buckets(member, homes.select("h", "times"), cell))
     first = scratch.save(likely(rows, similarity))
-    roots = scratch.save(components(confirmed(first, texts_of(first, homes.select("h", "home"), blocks), similarity), scratch))
-    rest = scratch.save(across(rows, roots, similarity, cell))
-    found = confirmed(rest, texts_of(rest, homes.select("h", "home"), blocks), similarity, ["ra", "rb"])
+    roots = scratch.save(components(confirmed(first, texts_of(ends(first), at, blocks), similarity), scratch))
+    mixed = scratch.save(divided(rows, roots))
+    rest = scratch.save(across(mixed.where(F.col("held") <= few), similarity))
+    found = confirmed(rest, texts_of(ends(rest), at, blocks), similarity, ["ra", "rb"])
+    large = mixed.where(F.col("held") > few)
+    found = found.union(links_of_cells(cells(large, scratch.save(texts_of(large.select("h"), at, blocks)), cell), similarity))
     upper = components(found, scratch, "ra", "rb")
     ids = roots.union(upper.join(roots.select("node"), "node", "left_anti"))  # lines that only the second step links
     moved = ids.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
@@ -400,7 +516,7 @@ def places(blocks: DataFrame) -> DataFrame:
     return rows.select("block", "h", "n", F.struct("x", "id", "doc", "no").alias("place"))
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, cell: int = CELL, few: int = FEW_LINES) -> DataFrame:
     """Rows (id, doc, n_lines, gone), one for each row of docs: the numbers of the lines that go; doc: xxhash64 of id and text."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -408,7 +524,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     found = scratch.save(places(blocks))
     lines = scratch.save(found.groupBy("h").agg(F.sum("n").alias("times"), F.min("block").alias("home"), F.min("place").alias("place")))
     member = scratch.save(members(blocks, shared_bands(blocks, parts_for(blocks, F.octet_length("h") * BANDS))))
-    roots = joined(member, lines.select("h", "times", "home"), blocks, scratch, similarity, cell).withColumnRenamed("node", "h")
+    roots = joined(member, lines.select("h", "times", "home"), blocks, scratch, similarity, cell, few).withColumnRenamed("node", "h")
     named = scratch.save(lines.select("h", "place", "times").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
     least = named.groupBy("root").agg(F.min("place").alias("first"), F.sum("times").alias("all")).where(F.col("all") > 1)
     doomed = named.join(least, "root").select("h", "first.*")

@@ -319,8 +319,30 @@ def test_lines_of_a_family_without_a_centre(spark):
         texts.append("copyright " + "".join("%x" % (k // 3 + j) for j in range(30)) + " all rights reserved")
     df = docs_of(spark, texts)
     want = plain_lines(list(enumerate(texts)))
-    for cell in (lines.CELL, 50):
-        assert sum(len(r["gone"]) for r in lines.removed(df, cell=cell).collect()) == sum(g for _, g in want.values())
+    for how in ({}, {"cell": 50}, {"few": 10**6}, {"few": 2, "cell": 50}):  # pairs as rows, in cells, and in many cells
+        assert sum(len(r["gone"]) for r in lines.removed(df, **how).collect()) == sum(g for _, g in want.values())
+
+
+def test_cells_say_what_pairs_say(monkeypatch):
+    rng = random.Random(5)
+    line = lambda letters: "".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 5, 30, 60])))
+    many = [chr(c) for c in range(0x4E00, 0x9000)]  # more letters than five of fit into a word
+    for letters in ("ab", "abcdefgh", many):
+        left, right = [line(letters) for _ in range(70)], [line(letters) for _ in range(50)]
+        right[:20] = [x + "q" for x in left[:20]]
+        sets = [[{x[k : k + 5].ljust(5, "\0") for k in range(max(1, len(x) - 4))} for x in side] for side in (left, right)]
+        want = np.array([[len(x & y) >= 0.8 * len(x | y) for y in sets[1]] for x in sets[0]])
+        for listed in (0, 10, 10**6):
+            monkeypatch.setattr(lines, "LISTED", listed)
+            monkeypatch.setattr(lines, "COLUMNS", 7)
+            monkeypatch.setattr(lines, "LISTED_AT_ONCE", 50)
+            monkeypatch.setattr(lines, "ROWS", 16)
+            assert (np.concatenate(list(lines.close_sides(left, right, 0.8))) == want).all()
+        x, y = np.nonzero(np.ones_like(want))
+        assert (lines.close([left[k] for k in x], [right[k] for k in y], 0.8) == want.ravel()).all()
+    a, b = lines.forest(np.array([5, 7, 9, 5, 1]), np.array([7, 9, 5, 9, 2]))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(2, 1), (7, 5), (9, 5)]
+    assert [len(x) for x in lines.forest(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
 
 
 def test_short_lines_with_edits_are_found(spark):
