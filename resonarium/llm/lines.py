@@ -450,7 +450,8 @@ def links_of_cells(dealt: DataFrame, similarity: float) -> DataFrame:
                 a, b = forest(np.concatenate([a, rows[x]]), np.concatenate([b, rb[y]]))
         return pa.table({"ra": pa.array(a, pa.int64()), "rb": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "l", "r").applyInArrow(run, "ra long, rb long")
+    spread = dealt.repartition("key", "l", "r")  # else all cells of a bucket stay in the task that the join by key has put them in
+    return spread.groupBy("key", "l", "r").applyInArrow(run, "ra long, rb long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, keep: list[str] = ("a", "b")) -> DataFrame:
