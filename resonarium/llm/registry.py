@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from resonarium.llm.audit import OP13_SQL, op13_filters
 from resonarium.llm.decontaminate import OP9_SQL, op9_decontaminate
 from resonarium.llm.embeddings import OP1_SQL, op1_embeddings
 from resonarium.llm.langid import op2_langid
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
+    "op13_filters": op13_filters,
 }
-SQL = {"op1_embeddings": OP1_SQL, "op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL}
+SQL = {"op1_embeddings": OP1_SQL, "op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL, "op13_filters": OP13_SQL}
