@@ -6,6 +6,7 @@ from resonarium.llm.audit import OP13_SQL, op13_filters
 from resonarium.llm.decontaminate import OP9_SQL, op9_decontaminate
 from resonarium.llm.embeddings import OP1_SQL, op1_embeddings
 from resonarium.llm.langid import op2_langid
+from resonarium.llm.leaks import OP12_SQL, op12_secrets
 from resonarium.llm.lines import op5_lines
 from resonarium.llm.mixing import OP4_SQL, op4_mixing
 from resonarium.llm.pii import op8_pii
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
+    "op12_secrets": op12_secrets,
     "op13_filters": op13_filters,
 }
-SQL = {"op1_embeddings": OP1_SQL, "op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL, "op13_filters": OP13_SQL}
+SQL = {"op1_embeddings": OP1_SQL, "op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL, "op12_secrets": OP12_SQL, "op13_filters": OP13_SQL}
