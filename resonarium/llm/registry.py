@@ -13,6 +13,7 @@ from resonarium.llm.pii import op8_pii
 from resonarium.llm.sharding import op7_sharding
 from resonarium.llm.simhash import op6_simhash
 from resonarium.llm.substring import OP3_SQL, op3_substring
+from resonarium.llm.tries import OP11_SQL, op11_prefixes
 from resonarium.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
+    "op11_prefixes": op11_prefixes,
     "op12_secrets": op12_secrets,
     "op13_filters": op13_filters,
 }
-SQL = {"op1_embeddings": OP1_SQL, "op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL, "op12_secrets": OP12_SQL, "op13_filters": OP13_SQL}
+SQL = {"op1_embeddings": OP1_SQL, "op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL, "op11_prefixes": OP11_SQL, "op12_secrets": OP12_SQL, "op13_filters": OP13_SQL}
