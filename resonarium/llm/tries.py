@@ -233,9 +233,9 @@ def trie(turns: DataFrame, fewest: int = FEWEST, most: int = MOST) -> DataFrame:
         stem = F.col("saved") + (F.col("n") - 1) * F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)
         above = done.select(F.col("parent_key").alias("key"), F.lit(1).cast("long").alias("children"), "leaves", stem.alias("saved"))
         up = scratch.save(up.unionByName(above).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("children", "leaves", "saved"))))
-    root = spark.range(1).select(F.lit("").alias("key"), F.lit(whole["n"]).alias("n"), F.lit(whole["least"]).alias("least")).join(up, "key", "left").na.fill({"children": 0, "leaves": 1, "saved": 0})
-    root = root.select(F.col("least").alias("conv_id"), F.lit(0).alias("depth"), F.lit(None).alias("parent_conv_id"), "n", "children", "leaves", "saved", F.lit(whole["sha"] or NOBODY).alias("ends_sha256"))
-    return out.union(root.select(*(F.col(c).cast(f.dataType) for c, f in zip(root.columns, out.schema))))
+    top = up.where("key = ''").first() or {"children": 0, "leaves": 1, "saved": 0}
+    root = [(whole["least"], 0, None, whole["n"], top["children"], top["leaves"], top["saved"], whole["sha"] or NOBODY)]
+    return out.unionByName(spark.createDataFrame(root, NODE))
 
 
 def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
