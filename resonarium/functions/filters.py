@@ -5,8 +5,12 @@ All take arrays whose last axis is time and work on many signals at once.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
+from resonarium.functions import recursive
+
 
 def hann(n: int) -> np.ndarray:
     """Symmetric Hann window; one sample gives 1."""
@@ -56,16 +60,31 @@ def check_band(low: float, high: float, sr: float) -> None:
         raise ValueError("the upper cutoff must be below half the sampling rate")
 
 
+def relative(low: float | None, high: float, sr: float, clamp: bool) -> tuple[float | None, float]:
+    """Cutoffs as shares of half the rate, held within 0.01 and 0.99 if `clamp`."""
+    held = lambda v: None if v is None else min(max(v / (sr / 2), 0.01), 0.99) if clamp else v / (sr / 2)
+    return held(low), held(high)
+
+
+@lru_cache(maxsize=256)
+def _system(order: int, low: float | None, high: float) -> recursive.System:
+    return recursive.System(recursive.butterworth(order, low, high))
+
+
 def bandpass(x: np.ndarray, low: float, high: float, sr: float, order: int = 4, kind: str = "butter", clamp: bool = True) -> np.ndarray:
-    """Zero-phase band-pass. kind: butter (forward and backward), fir (20 x order taps) or fft (ideal, inclusive edges)."""
+    """Zero-phase band-pass. kind: butter or recursive (the same Butterworth gain), fir (20 x order taps) or fft (ideal, inclusive edges).
+
+    butter and fir continue the signal by odd reflection; recursive runs its
+    sections forward and backward from rest, with zeros after the end.
+    """
     x = np.asarray(x, float)
     check_band(low, high, sr)
     if kind == "fft":
         f = lambda k: k * sr / x.shape[-1]
         return _brick(x, lambda k: (f(k) >= low) & (f(k) <= high))
-    lo, hi = low / (sr / 2), high / (sr / 2)
-    if clamp:
-        lo, hi = max(lo, 0.01), min(hi, 0.99)
+    lo, hi = relative(low, high, sr, clamp)
+    if kind == "recursive":
+        return recursive.there_and_back(x, _system(order, lo, hi), recursive.padding(order, True))
     if kind == "butter":
         w1, w2 = np.tan(np.pi * lo / 2), np.tan(np.pi * hi / 2)
 
@@ -95,7 +114,10 @@ def lowpass(x: np.ndarray, cutoff: float, sr: float, order: int = 8, kind: str =
         return x
     if kind == "fft":
         return _brick(x, lambda k: k * sr / x.shape[-1] <= cutoff)
-    w0 = np.tan(np.pi * min(max(cutoff / (sr / 2), 0.01), 0.99) / 2)
+    _, hi = relative(None, cutoff, sr, True)
+    if kind == "recursive":
+        return recursive.there_and_back(x, _system(order, None, hi), recursive.padding(order, False))
+    w0 = np.tan(np.pi * hi / 2)
 
     def gain(size: int) -> np.ndarray:
         return 1 / (1 + (np.tan(np.pi * np.arange(size // 2 + 1) / size - 1e-15) / w0) ** (2 * order))

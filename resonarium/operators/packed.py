@@ -141,3 +141,43 @@ def local_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else v.item() if isinstance(v, np.generic) else v
     names = T.StructType.fromDDL(schema).names
     return spark.createDataFrame([tuple(plain(r.get(c)) for c in names) for r in rows], schema)
+
+
+def lists(arrays) -> pa.Array:
+    """Arrays of doubles as a list column, without going through Python numbers."""
+    arrays = [np.asarray(a, float).ravel() for a in arrays]
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0), *arrays])))
+
+
+def map_groups(df: DataFrame, kernel: Callable[[dict, dict], list[dict] | None], schema: str, keep: list[str], arrays: list[str], rows_each: int = 32) -> DataFrame:
+    """Calls kernel(row) with plain values, columns of doubles as numpy arrays; its dicts become rows of keep + schema.
+
+    Like map_rows, for rows of long arrays: those named in `arrays` leave as
+    numpy arrays too, so no number is made a Python object.
+    """
+    ship(df.sparkSession)
+    named = T.StructType([df.schema[c] for c in keep] + T.StructType.fromDDL(schema).fields)
+    arrow, columns = to_arrow_schema(named), df.columns
+
+    def batch(out: list[dict]) -> pa.RecordBatch:
+        cols = []
+        for f in arrow:
+            values = [r[f.name] for r in out]
+            cols.append(lists(values).cast(f.type) if f.name in arrays else pa.array(values, f.type))
+        return pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+    def run(batches):
+        out: list[dict] = []
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {c: _value(b.column(k), i) for k, c in enumerate(columns)}
+                for r in kernel(**row) or ():
+                    out.append({c: row[c] for c in keep} | r)
+                    if len(out) >= rows_each:
+                        yield batch(out)
+                        out = []
+        if out:
+            yield batch(out)
+
+    return df.mapInArrow(run, named)

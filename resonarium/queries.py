@@ -862,3 +862,6 @@ def make_eeg_emg(spark, sf_dir):
 @query()
 def make_directed_signals(spark, sf_dir):
     return timedom.correlation_peak(timedom.cross_correlation(signals.directed_signals(spark, 3000), 500, 50)).drop("recording")
+
+
+from resonarium import long_queries  # noqa: E402, F401  registers its queries here too

@@ -83,3 +83,15 @@ def directed_signals(spark: SparkSession, n: int = 5000, lag_samples: int = 10,
     x = _grid(spark, "pair", "x", n, noise(i, 0))
     y = F.when(i >= lag_samples, coupling * noise(i - lag_samples, 0) + (1 - coupling) * noise(i, 1)).otherwise(0.0)
     return x.unionByName(_grid(spark, "pair", "y", n, y))
+
+
+def own_grid(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
+    """Events summed in buckets of `minutes` from the first event to the last; every channel has every bucket, empty ones 0."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts IS NOT NULL")
+    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(minutes * 60_000_000)).cast("long")
+    first, last = events.agg(F.min(bucket), F.max(bucket)).first()
+    rows = events.groupBy(F.col("event_type").alias("channel"), (bucket - F.lit(first)).alias("idx")).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+    if first is None:
+        return rows.select(F.lit("events").alias("recording"), "channel", "idx", "value")
+    grid = rows.select("channel").distinct().select("channel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last - first).cast("long"))).alias("idx"))
+    return grid.join(rows, ["channel", "idx"], "left").select(F.lit("events").alias("recording"), "channel", "idx", F.coalesce("value", F.lit(0.0)).alias("value"))
