@@ -480,22 +480,46 @@ def te_effective(spark, sf_dir):
 # ---- time-frequency --------------------------------------------------------
 
 
-@query()
+def morlet_sql(frequencies: list[float], smoothing: float | None) -> str:
+    """wt: wavelet transforms of the 720 samples padded to 2048; wp: products of pairs; wm: these smoothed, mirrored at the ends."""
+    values = ", ".join(f"({f}e0)" for f in frequencies)
+    turn = "2 * pi() * ((k * {i}) % 2048) / 2048"
+    out = f"""{G}, fq AS (SELECT f FROM (VALUES {values}) t(f)),
+wf AS (SELECT channel, k.range AS k, SUM(value * cos(2 * pi() * ((k.range * idx) % 2048) / 2048)) AS a, -SUM(value * sin(2 * pi() * ((k.range * idx) % 2048) / 2048)) AS b FROM g CROSS JOIN range(1025) k GROUP BY channel, k.range),
+wg AS (SELECT f, k.range AS k, exp(-0.5e0 * pow((k.range * 24 / 2048.0e0 - f) / (f / 7), 2)) AS e FROM fq CROSS JOIN range(1025) k),
+wt AS (SELECT channel, f, i.range AS i, SUM(e * (a * cos({turn.format(i='i.range')}) - b * sin({turn.format(i='i.range')}))) / 2048 AS re, SUM(e * (a * sin({turn.format(i='i.range')}) + b * cos({turn.format(i='i.range')}))) / 2048 AS im
+  FROM wf JOIN wg USING (k) CROSS JOIN range(720) i WHERE e > 1e-18 GROUP BY channel, f, i.range),
+wp AS (SELECT x.channel AS channel_x, y.channel AS channel_y, f, i, x.re * y.re + x.im * y.im AS c, x.im * y.re - x.re * y.im AS s, x.re * x.re + x.im * x.im AS xx, y.re * y.re + y.im * y.im AS yy FROM wt x JOIN wt y USING (f, i) WHERE x.channel < y.channel)"""
+    if smoothing is None:
+        return out
+    return out + f""",
+wk AS (SELECT f, d, w / SUM(w) OVER (PARTITION BY f) AS w FROM (SELECT f, d.range AS d, exp(-0.5e0 * pow(d.range / ({smoothing} / f * 24), 2)) AS w FROM fq CROSS JOIN range(-360, 361) d WHERE abs(d.range) <= LEAST(ceil(3 * {smoothing} / f * 24), 360))),
+wi AS (SELECT f, i.range AS i, CASE WHEN i.range + d < 0 THEN -1 - i.range - d WHEN i.range + d > 719 THEN 1439 - i.range - d ELSE i.range + d END AS j, w FROM wk CROSS JOIN range(720) i),
+wm AS (SELECT channel_x, channel_y, wi.f, wi.i, SUM(w * c) AS c, SUM(w * s) AS s, SUM(w * xx) AS xx, SUM(w * yy) AS yy, SUM(w * c / sqrt(c * c + s * s)) AS uc, SUM(w * s / sqrt(c * c + s * s)) AS us FROM wi JOIN wp ON wp.f = wi.f AND wp.i = wi.j GROUP BY channel_x, channel_y, wi.f, wi.i)"""
+
+
+@query(f"WITH {morlet_sql([0.5, 1, 2, 4], 3)} SELECT channel_x, channel_y, {rd('f')} AS frequency, {rd('AVG(LEAST(1, CASE WHEN xx * yy <= 2.220446049250313e-16 THEN 0 ELSE (c * c + s * s) / (xx * yy) END))')} AS coherence, COUNT(*) AS n FROM wm GROUP BY channel_x, channel_y, f")
 def wavelet_coherence(spark, sf_dir):
     return wavelet.wavelet_coherence(hourly(spark, sf_dir), SR, [0.5, 1, 2, 4]).groupBy("channel_x", "channel_y", "frequency").agg(F.avg("coherence").alias("coherence"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {morlet_sql([0.5, 1, 2, 4], 3)} SELECT channel_x, channel_y, {rd('f')} AS frequency, {rd('AVG(LEAST(1, sqrt(uc * uc + us * us)))')} AS plv, COUNT(*) AS n FROM wm GROUP BY channel_x, channel_y, f")
 def wavelet_plv(spark, sf_dir):
     return wavelet.wavelet_plv(hourly(spark, sf_dir), SR, [0.5, 1, 2, 4]).groupBy("channel_x", "channel_y", "frequency").agg(F.avg("plv").alias("plv"), F.count("*").alias("n"))
 
 
+@query(f"WITH {morlet_sql([0.5, 2], None)} SELECT channel_x, channel_y, {rd('f')} AS frequency, i AS idx, {rd('(i + 1) / 24.0e0')} AS time, {rd('c')} AS re, {rd('s')} AS im, {rd('sqrt(c * c + s * s)')} AS power, {rd('sqrt(2.0e0) * 7 / (2 * pi() * GREATEST(LEAST(i, 719 - i) / 24.0e0, 1 / 24.0e0))')} AS coi FROM wp")
+def xwt_values(spark, sf_dir):
+    """Every value of two frequencies; the significance level of `xwt` rests on drawn noise."""
+    return wavelet.cross_wavelet(hourly(spark, sf_dir), SR, [0.5, 2], n_surrogates=0).drop("recording", "phase")
+
+
 @query()
 def xwt(spark, sf_dir):
     return wavelet.cross_wavelet(hourly(spark, sf_dir), SR, [0.5, 1, 2]).groupBy("channel_x", "channel_y", "frequency").agg(F.avg(F.col("significant").cast("double")).alias("share"), F.max("level").alias("level"))
 
 
-@query()
+@query(f"WITH {G} SELECT x.channel || '-' || y.channel AS pair, 1440::BIGINT AS n, {rd('2.0e0')} AS coi FROM (SELECT DISTINCT channel FROM g) x JOIN (SELECT DISTINCT channel FROM g) y ON x.channel < y.channel")
 def wavelet_coherence_frame(spark, sf_dir):
     return plots.wavelet_coherence_frame(wavelet.wavelet_coherence(hourly(spark, sf_dir), SR, [1, 2])).groupBy("pair").agg(F.count("*").alias("n"), F.max("coi").alias("coi"))
 

@@ -115,3 +115,27 @@ def test_ranks_and_iterated_surrogates(spark, tmp_path):
     assert np.allclose(mine, resampling.iaaft(x, Given(), 2), atol=1e-9)
     own = arrays(fourier.iaaft(frame(spark, {"a": x}), seed=3, most=1, row=64), "value")["a"][0]
     assert np.array_equal(np.sort(own), np.sort(x)) and not np.array_equal(own, x)
+
+
+@pytest.mark.parametrize("chunk", [300, 100_000])
+def test_wavelets_in_chunks(spark, chunk):
+    from resonarium.functions import spectra
+    from resonarium.operators import wavelet
+
+    rng = np.random.default_rng(5)
+    signals = {"a": rng.standard_normal(2000), "b": rng.standard_normal(2000), "c": rng.standard_normal(1700), "short": rng.standard_normal(20)}
+    df, f = frame(spark, signals), [2.0, 4.0, 11.0]  # the last is too near half the rate and goes as a whole
+    assert wavelet.split(f, 24.0, 7) == ([2.0, 4.0], [11.0]) and wavelet.split(f, 24.0, 3)[0] == []
+    made = {
+        "coherence": (wavelet.wavelet_coherence(df, 24.0, f, chunk=chunk), spectra.wavelet_coherence),
+        "plv": (wavelet.wavelet_plv(df, 24.0, f, chunk=chunk), spectra.wavelet_plv),
+        "power": (wavelet.cross_wavelet(df, 24.0, f, n_surrogates=0, chunk=chunk), spectra.cross_wavelet),
+    }
+    for name, (got, whole) in made.items():
+        p = got.toPandas()
+        for x, y in (("a", "b"), ("a", "c"), ("c", "short")):
+            want = whole(signals[x], signals[y], 24.0, f)[name]
+            for i, v in enumerate(f):
+                one = p[(p.channel_x == x) & (p.channel_y == y) & (p.frequency == v)].sort_values("idx")
+                assert list(one.idx) == list(range(min(len(signals[x]), len(signals[y]))))
+                assert np.allclose(one[name], want[i], atol=1e-9), (name, x, y, v)
