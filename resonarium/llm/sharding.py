@@ -6,13 +6,15 @@ target size. Each change of the set of files is one new manifest: it is written
 beside the others and renamed to its version number, which fails if another
 writer took that number, so readers see either the old set or the new one.
 Merging needs no shuffle: the files of a tier are packed into reads of the
-target size and each read writes one file.
+target size and each read writes one file. Writes that are not committed yet are
+marked, so that removing what no manifest lists leaves them alone.
 
 Manifests list files, so what the driver holds grows with the number of shards
 (at 128 MB a shard some 8 thousand entries a TB), not with the rows.
 
 Defined results: rows of any content are kept as they are, repeated ones too;
-an empty arrival commits a version without new files; where the rows have a
+an empty arrival commits a version without new files; an arrival whose files
+were removed before its commit raises Expired and commits nothing; where the rows have a
 column of the name of one that `read` adds, the added one gets underscores at
 its end until its name is free.
 """
@@ -21,7 +23,9 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +35,8 @@ from pyspark.sql import types as T
 from resonarium.session import Scratch
 
 TARGET, FANOUT, ARRIVAL_ROWS = 64_000_000, 4, 2_000
+#: Seconds after which the mark of a pending write counts as left by a writer that died.
+ABANDONED = 7 * 86_400.0
 #: Shards up to which the table of shards is broadcast when it is joined to rows.
 BROADCAST_SHARDS = 100_000
 
@@ -52,6 +58,10 @@ class Conflict(RuntimeError):
     """Another writer committed this version first."""
 
 
+class Expired(RuntimeError):
+    """Files of an arrival were removed before it was committed; nothing was committed, and the arrival can be appended again."""
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
@@ -114,15 +124,18 @@ class ShardStore:
             self.manifest()
         if self.schema is None:
             self.schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-        path = f"{self.root}/data/a-{uuid.uuid4().hex}"
-        df.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema.fields)).write.option("maxRecordsPerFile", rows_each).option("compression", "zstd").parquet(path)
-        new = self._written(path)
-        while True:
-            base = (self.versions() or [0])[-1]
-            try:
-                return self.commit(self.manifest(base) + new, base)
-            except Conflict:
-                continue
+        with self._pending("a") as path:
+            df.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema.fields)).write.option("maxRecordsPerFile", rows_each).option("compression", "zstd").parquet(path)
+            new = self._written(path)
+            while True:
+                base = (self.versions() or [0])[-1]
+                gone = [s.path for s in new if not self._fs().exists(self._path(s.path))]
+                if gone:
+                    raise Expired(f"{len(gone)} files were removed before they were committed, {gone[0]} among them")
+                try:
+                    return self.commit(self.manifest(base) + new, base)
+                except Conflict:
+                    continue
 
     @staticmethod
     def tier(size: int, target: int, fanout: int) -> int:
@@ -136,11 +149,21 @@ class ShardStore:
             tiers.setdefault(self.tier(s.bytes, target, fanout), []).append(s)
         return {k: v for k, v in sorted(tiers.items(), reverse=True) if k and len(v) >= fanout}
 
-    def _merged(self, shards: list[Shard], target: int) -> list[Shard]:
+    @contextmanager
+    def _pending(self, kind: str):
+        """A new data folder under a mark, which keeps `expire` off it until what is done here is committed or given up."""
+        name = f"{kind}-{uuid.uuid4().hex}"
+        mark = self._path(f"{self.root}/pending/{name}")
+        self._fs().create(mark, False).close()
+        try:
+            yield f"{self.root}/data/{name}"
+        finally:
+            self._fs().delete(mark, False)
+
+    def _merged(self, shards: list[Shard], target: int, path: str) -> list[Shard]:
         own = self.spark.newSession()
         for k, v in (("spark.sql.files.maxPartitionBytes", target), ("spark.sql.files.openCostInBytes", 0), ("spark.sql.files.minPartitionNum", 1)):
             own.conf.set(k, str(v))
-        path = f"{self.root}/data/m-{uuid.uuid4().hex}"
         own.read.schema(self.schema).parquet(*(s.path for s in shards)).write.option("compression", "zstd").parquet(path)
         return self._written(path)
 
@@ -157,30 +180,39 @@ class ShardStore:
             if not due:
                 return base
             old, gone = due[0], frozenset(s.path for s in due[0])
-            new = self._merged(old, target)
-            if len(new) >= len(old):
-                settled.add(gone)
-                self._remove(new)
-                continue
-            try:
-                self.commit([s for s in before if s.path not in gone] + new, base)
-            except Conflict:
-                self._remove(new)  # an arrival came first; the next round plans anew
+            with self._pending("m") as path:
+                new = self._merged(old, target, path)
+                if len(new) >= len(old):
+                    settled.add(gone)
+                    self._remove(new)
+                    continue
+                try:
+                    self.commit([s for s in before if s.path not in gone] + new, base)
+                except Conflict:
+                    self._remove(new)  # an arrival came first; the next round plans anew
 
     def _remove(self, shards: list[Shard]) -> None:
         for s in shards:
             self._fs().delete(self._path(s.path), False)
 
-    def expire(self, keep: int = 1) -> None:
-        """Removes manifests but the newest `keep`, and data files that none of those lists."""
+    def expire(self, keep: int = 1, abandoned: float = ABANDONED) -> None:
+        """Removes manifests but the newest `keep`, and data files that none of those lists and no pending write has made.
+
+        Folders are listed first, then the marks of pending writes, then the
+        manifests: a folder without a mark is committed by then, or never will be.
+        Marks older than `abandoned` seconds are of writers that died.
+        """
+        data, marks = self._path(f"{self.root}/data"), self._path(f"{self.root}/pending")
+        folders = list(self._fs().listStatus(data)) if self._fs().exists(data) else []
+        before = (time.time() - abandoned) * 1000
+        pending = {m.getPath().getName() for m in self._fs().listStatus(marks) if m.getModificationTime() > before} if self._fs().exists(marks) else set()
         kept = self.versions()[-keep:]
         live = {self._path(s.path).toUri().getPath() for v in kept for s in self.manifest(v)}
         for v in self.versions()[:-keep]:
             self._fs().delete(self._path(f"{self.root}/manifest/v{v:08d}.json"), False)
-        data = self._path(f"{self.root}/data")
-        if not self._fs().exists(data):
-            return
-        for folder in self._fs().listStatus(data):
+        for folder in folders:
+            if folder.getPath().getName() in pending:
+                continue
             inside = self._fs().listStatus(folder.getPath())
             stale = [f for f in inside if f.getPath().toUri().getPath() not in live]
             if len(stale) == len(inside):
