@@ -1,8 +1,8 @@
 """WARC not-modified revisits: as-of join to the latest earlier full response.
 
 Records of one canonical URL are cut into `SLICES` slices of time, at quantiles
-of all records' times, so that an outlier does not put the others into one. Within
-a slice a window finds the latest earlier response; across slices a second
+of all records' times, so that an outlier does not put the others into one; a time
+that many records share is cut by record id as well. Within a slice a window finds the latest earlier response; across slices a second
 window runs over one row a slice. So a URL that holds a third of all records is
 spread over many tasks, and bodies take part only in the last join, by record.
 
@@ -14,7 +14,8 @@ the response.
 Defined results (status): `resolved`; `unverified` where no validator is on
 both sides (resolved all the same); `mismatch` where the validator differs
 (no body); `unresolved` where no earlier response exists or the URL or time is
-null. Earlier means a smaller time, or an equal time and a smaller record id.
+null. Earlier means a smaller time, or an equal time and a smaller record id, null
+first; a response without an id is found like any other and gives its body.
 Repeated records give repeated rows; of responses alike in time and id the one
 of the greatest digest counts, and of those alike in digest too the least body;
 further columns are ignored.
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICES = 1024
+#: Parts of a time that many records share.
+TIES = 256
 #: Header fields that a not-modified answer may update (RFC 9110, 15.4.5, with last-modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query fields that only track a visitor.
@@ -55,11 +58,24 @@ def time_cuts(records: DataFrame, slices: int) -> list[int]:
 
 
 def sliced(df: DataFrame, cuts: list[int]) -> DataFrame:
-    """df with slice: how many of the ascending `cuts` are at most ts, by halving; one projection a step."""
+    """df with slice: how many of the ascending `cuts` are at most ts, by halving; one projection a step.
+
+    Slices follow the order of (ts, record_id). A time that fills several cuts is
+    the first of its slice and is cut on by the quantiles of its record ids.
+    """
+    shared = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    ids = None
+    if shared:
+        at = [k / TIES for k in range(1, TIES)]
+        ids = df.where(F.col("ts").isin(shared)).agg(F.percentile_approx("record_id", at, 10 * TIES).alias("cuts")).first()["cuts"]
     df, known = df.withColumn("slice", F.lit(0)), F.array(*map(F.lit, cuts)).cast("array<long>")
     for k in range(len(cuts).bit_length() - 1, -1, -1):
         step = 1 << k
         df = df.withColumn("slice", F.when(F.get(known, F.col("slice") + step - 1) <= F.col("ts"), F.col("slice") + step).otherwise(F.col("slice")))
+    if ids:
+        below = F.size(F.filter(F.array(*map(F.lit, ids)).cast("array<long>"), lambda c: c <= F.col("record_id")))
+        part = F.when(F.col("ts").isin(shared), F.when(F.col("record_id").isNull(), 0).otherwise(below)).otherwise(TIES)
+        df = df.withColumn("slice", F.col("slice") * (TIES + 1) + part)
     return df
 
 
@@ -95,10 +111,12 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     update = F.map_filter(F.coalesce(new, F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(update, k)), update)
     rows = rows.withColumn("status", status).withColumn("good", F.col("status").isin("resolved", "unverified"))
-    rows = rows.select("record_id", "url_key", F.col("found.record_id").alias("target_id"), "status", F.when(F.col("good"), merged).alias("headers"), F.when(F.col("good"), F.col("found.record_id")).alias("_from"), F.coalesce("found.digest", F.lit("")).alias("_digest"))
-    # rows that take no body have a key of their own, so that they are not all dealt to one task
-    rows = rows.withColumn("_key", F.struct(F.coalesce("_from", "record_id").alias("id"), "_digest", F.col("_from").isNull().alias("none"))).drop("_from", "_digest")
-    bodies = records.where("kind = 'response'").select(F.struct(F.col("record_id").alias("id"), F.coalesce("digest", F.lit("")).alias("_digest"), F.lit(False).alias("none")).alias("_key"), "body")
+    # a body is found by all that tells its response from others; rows that take none have keys of their own, so that they are not all dealt to one task
+    whose = lambda url, r, none: F.struct(url.alias("url"), F.coalesce(r("ts"), F.lit(0)).alias("ts"), r("record_id").isNull().alias("anonymous"), F.coalesce(r("record_id"), F.lit(0)).alias("id"), r("digest").isNull().alias("plain"), F.coalesce(r("digest"), F.lit("")).alias("digest"), F.lit(none).alias("none"))
+    url = F.coalesce("url_key", F.lit(""))
+    own = whose(url, lambda c: F.lit(None).cast("long") if c == "ts" else F.col(c), True)
+    rows = rows.select("record_id", "url_key", F.col("found.record_id").alias("target_id"), "status", F.when(F.col("good"), merged).alias("headers"), F.when(F.col("good"), whose(url, lambda c: F.col(f"found.{c}"), False)).otherwise(own).alias("_key"))
+    bodies = records.where("kind = 'response' AND url IS NOT NULL AND ts IS NOT NULL").select(whose(canonical(F.col("url")), F.col, False).alias("_key"), "body")
     bodies = bodies.groupBy("_key").agg(F.min("body").alias("body"))
     return rows.join(bodies, "_key", "left").drop("_key")
 
