@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from resonarium.functions import directed as D
+from resonarium.operators import neighbours
 from resonarium.operators.packed import map_rows, ordered_pairs, pack
 
 PAIR = ["recording", "channel_x", "channel_y"]
@@ -124,11 +125,18 @@ def te_histogram(samples: DataFrame, bins: int = 8, delay: int = 1) -> DataFrame
 
 
 def transfer_entropy(samples: DataFrame, k: int = 1, l: int = 1, delay: int = 1, estimator: str = "ksg", knn: int = 4, bins: int = 8, effective: bool = False, n_surrogate: int = 19, seed: int = 0) -> DataFrame:  # noqa: E741
-    """Rows (recording, channel_x, channel_y, te_xy, te_yx, net_te[, eff_te_xy, eff_te_yx, null_sd_xy, null_sd_yx])."""
+    """Rows (recording, channel_x, channel_y, te_xy, te_yx, net_te[, eff_te_xy, eff_te_yx, null_sd_xy, null_sd_yx]).
+
+    By nearest neighbours, or by counts of one past sample, signals of any length
+    are spread over tasks; other histories by counts, and `effective` (which draws
+    surrogates of whole signals), take a row a pair.
+    """
     if estimator not in ("ksg", "histogram"):
         raise ValueError(f"unknown estimator {estimator!r}")
     if estimator == "histogram" and k == l == 1 and not effective:
         return te_histogram(samples, bins, delay)
+    if estimator == "ksg" and not effective:
+        return neighbours.te_ksg(samples, k, l, delay, knn)
     names = ["te_xy", "te_yx", "net_te"] + (["eff_te_xy", "eff_te_yx", "null_sd_xy", "null_sd_yx"] if effective else [])
 
     def kernel(x_x, x_y, **_):

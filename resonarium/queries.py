@@ -467,7 +467,14 @@ def te_histogram(spark, sf_dir):
     return directed.te_histogram(hourly(spark, sf_dir)).drop("recording")
 
 
-@query()
+@query(f"""WITH {G}, e AS (SELECT * FROM (SELECT channel, idx AS t, value AS p, lead(value) OVER (PARTITION BY channel ORDER BY idx) AS f FROM g) WHERE f IS NOT NULL),
+d AS MATERIALIZED (SELECT x.channel AS cx, y.channel AS cy, y.t, y.f, y.p, x.p AS s FROM e x JOIN e y ON x.t = y.t AND x.channel <> y.channel),
+q AS MATERIALIZED (SELECT a.cx, a.cy, a.t, min(GREATEST(abs(a.f - b.f), abs(a.p - b.p), abs(a.s - b.s)), 5)[5] AS eps FROM d a JOIN d b ON a.cx = b.cx AND a.cy = b.cy GROUP BY a.cx, a.cy, a.t),
+c AS MATERIALIZED (SELECT a.cx, a.cy, a.t, COUNT(*) FILTER (abs(a.p - b.p) < eps) AS n1, COUNT(*) FILTER (GREATEST(abs(a.p - b.p), abs(a.f - b.f)) < eps) AS n2, COUNT(*) FILTER (GREATEST(abs(a.p - b.p), abs(a.s - b.s)) < eps) AS n3
+  FROM (SELECT d.*, eps FROM d JOIN q USING (cx, cy, t)) a JOIN d b ON a.cx = b.cx AND a.cy = b.cy GROUP BY a.cx, a.cy, a.t),
+h AS (SELECT n, COALESCE(SUM(1.0e0 / n) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.5772156649015329e0 AS psi FROM (SELECT range AS n FROM range(1, 1000))),
+z AS (SELECT cx, cy, (SELECT psi FROM h WHERE n = 4) + AVG(h1.psi - h2.psi - h3.psi) AS te FROM c JOIN h h1 ON h1.n = GREATEST(1, n1) JOIN h h2 ON h2.n = GREATEST(1, n2) JOIN h h3 ON h3.n = GREATEST(1, n3) GROUP BY cx, cy)
+SELECT x.cx AS channel_x, x.cy AS channel_y, {rd('x.te')} AS te_xy, {rd('y.te')} AS te_yx, {rd('x.te - y.te')} AS net_te FROM z x JOIN z y ON y.cx = x.cy AND y.cy = x.cx WHERE x.cx < x.cy""")
 def te_ksg(spark, sf_dir):
     return directed.transfer_entropy(hourly(spark, sf_dir)).drop("recording")
 

@@ -139,3 +139,39 @@ def test_wavelets_in_chunks(spark, chunk):
                 one = p[(p.channel_x == x) & (p.channel_y == y) & (p.frequency == v)].sort_values("idx")
                 assert list(one.idx) == list(range(min(len(signals[x]), len(signals[y]))))
                 assert np.allclose(one[name], want[i], atol=1e-9), (name, x, y, v)
+
+
+def test_neighbours_like_brute_force():
+    from resonarium.functions import neighbours
+
+    rng = np.random.default_rng(6)
+    for d in (1, 2, 3):
+        p = np.unique(np.round(rng.standard_normal((700, d)), 1), axis=0)
+        w = rng.integers(1, 4, len(p))
+        every = neighbours.far(p, p)
+        whole = np.sort(np.repeat(every, w, axis=1), axis=1)[:, 1:6]  # one of each point's own copies is the point
+        assert np.array_equal(neighbours.nearest(p, w, 5), whole[:, :5] if whole.shape[1] >= 5 else np.pad(whole, ((0, 0), (0, 5 - whole.shape[1])), constant_values=np.inf))
+        reach = rng.choice([0.0, 0.1, 0.35, 1.0], len(p))
+        assert np.array_equal(neighbours.within(p, w, p, reach), ((every < reach[:, None]) * w).sum(1))
+        q, bound = rng.standard_normal((50, d)), rng.choice([0.2, 1.0, np.inf], 50)
+        far = np.repeat(neighbours.far(q, p), w, axis=1)
+        far = np.sort(np.where(far < bound[:, None], far, np.inf), axis=1)[:, :3]
+        assert np.array_equal(neighbours.nearest_of(p, w, q, bound, 3), far)
+    assert neighbours.nearest(np.zeros((1, 2)), np.array([1]), 2).tolist() == [[np.inf, np.inf]]
+
+
+@pytest.mark.parametrize("how", [{}, {"slab": 150}, {"slab": 200, "k": 2, "l": 2, "delay": 2, "knn": 3}])
+def test_transfer_entropy_in_slabs(spark, how):
+    from resonarium.functions import directed
+    from resonarium.operators import neighbours
+
+    rng = np.random.default_rng(1)
+    signals = {"a": rng.standard_normal(1500), "b": np.round(rng.standard_normal(1500), 1), "c": np.where(rng.random(1400) < 0.6, 0, np.round(rng.standard_normal(1400), 1)), "flat": np.ones(300)}
+    signals["b"][3:] += np.round(signals["a"][:-3], 1)
+    got = neighbours.te_ksg(frame(spark, signals), **how).collect()
+    assert len(got) == 6
+    plain = {k: v for k, v in how.items() if k != "slab"}
+    for r in got:
+        n = min(len(signals[r.channel_x]), len(signals[r.channel_y]))
+        x, y = signals[r.channel_x][:n], signals[r.channel_y][:n]
+        assert r.te_xy == pytest.approx(directed.te_ksg(x, y, **plain), abs=1e-9) and r.te_yx == pytest.approx(directed.te_ksg(y, x, **plain), abs=1e-9)
