@@ -230,21 +230,30 @@ def mvar_gram(x: np.ndarray, order: int) -> tuple[np.ndarray, int]:
     return z.T @ z, len(z)
 
 
-def best_order(x: np.ndarray, most: int = 20) -> int:
-    """Order of least AIC."""
-    scores, c = {}, x.shape[1]
-    for p in range(1, min(most, (len(x) - 1) // (c + 1)) + 1):
-        g, n = mvar_gram(x, p)
+#: Orders that are tried when none is given.
+MOST_ORDER = 20
+
+
+def least_aic(grams, length: int, channels: int, most: int = MOST_ORDER) -> int:
+    """Order of least AIC; grams(p) gives the sums of products for p lags and their number of rows."""
+    scores = {}
+    for p in range(1, min(most, (length - 1) // (channels + 1)) + 1):
+        g, n = grams(p)
         try:
-            _, sigma = mvar_from_gram(g, n, c, p)
+            _, sigma = mvar_from_gram(g, n, channels, p)
         except np.linalg.LinAlgError:
             continue
         sign, level = np.linalg.slogdet(sigma)
         if sign > 0:
-            scores[p] = n * level + 2 * p * c * c
+            scores[p] = n * level + 2 * p * channels**2
     return min(scores, key=lambda p: scores[p]) if scores else 1
 
 
+def best_order(x: np.ndarray, most: int = MOST_ORDER) -> int:
+    """Order of least AIC of an array, time x channels."""
+    return least_aic(lambda p: mvar_gram(x, p), len(x), x.shape[1], most)
+
+
 def transfer(coef: np.ndarray, f: np.ndarray, sr: float) -> tuple[np.ndarray, np.ndarray]:
     """Per frequency the matrix A = 1 - sum of coefficients and its inverse H."""
     lags = np.arange(1, len(coef) + 1)

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from resonarium.functions import directed as D
 from resonarium.operators import neighbours
-from resonarium.operators.packed import map_rows, ordered_pairs, pack
+from resonarium.operators.packed import lists, map_groups, map_rows, ordered_pairs, pack
+from resonarium.session import ship
 
 PAIR = ["recording", "channel_x", "channel_y"]
+#: Samples of all channels in a chunk, and sums in a row that travels, about.
+CHUNK_NUMBERS, BLOCK_NUMBERS = 2_000_000, 1 << 18
+#: Channels or recordings up to which their lengths and means are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def lag_features(samples: DataFrame, order: int) -> DataFrame:
@@ -67,25 +73,99 @@ def granger_causality(samples: DataFrame, sr: float, order: int = 5, freq_range:
     return map_rows(pair_grams(samples, order), kernel, schema, PAIR)
 
 
+def summed(parts: DataFrame, keys: list[str], name: str, wide: int = 64) -> DataFrame:
+    """Arrays added up by key, in two steps, so that no task gathers the parts of all tasks at once."""
+
+    def add(arrays, size, **_):
+        return [{name: arrays.reshape(-1, int(size)).sum(0)}]
+
+    def step(rows: DataFrame, by: list[str]) -> DataFrame:
+        met = rows.groupBy(*by).agg(F.flatten(F.collect_list(name)).alias("arrays"), F.max(F.size(name)).alias("size"))
+        return map_groups(met, add, f"{name} array<double>", by, [name])
+
+    return step(step(parts.withColumn("share", F.pmod("part", F.lit(wide))).drop("part"), [*keys, "share"]).drop("share"), keys)
+
+
+def network_grams(samples: DataFrame, order: int, chunk_numbers: int = CHUNK_NUMBERS, block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
+    """Rows (recording, channels, n, g, head): sums of products of all channels now and at `order` lags, over times from `order` on.
+
+    n: samples a channel (the shortest one's); head: the first `order` samples,
+    channel by channel, from which sums of lower orders follow. Time is cut into
+    chunks with the `order` samples before them; a task adds up its chunks, and
+    the sums travel in blocks of rows. The samples of all channels meet for a
+    chunk only.
+    """
+    ship(samples.sparkSession)
+    sized = samples.groupBy("recording", "channel").agg((F.max("idx") + 1).alias("n")).groupBy("recording").agg(F.min("n").alias("n"), F.count("*").alias("c"))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    cut = samples.select("recording", "channel", "idx", F.col("value").cast("double").alias("value")).join(small(sized), "recording").where(F.col("idx") < F.col("n"))
+    means = cut.groupBy("recording", "channel").agg(F.avg("value").alias("mean"))
+    cut = cut.join(small(means), ["recording", "channel"]).withColumn("value", F.col("value") - F.col("mean"))
+    size = F.greatest(F.lit(4 * order + 1), F.floor(F.lit(chunk_numbers) / F.col("c")))
+    own = F.floor(F.col("idx") / size)
+    to = F.sequence(own, F.least(F.floor((F.col("n") - 1) / size), F.floor((F.col("idx") + order) / size)))
+    rows = cut.select("recording", "channel", "n", size.alias("size"), "idx", "value", F.explode(to).alias("chunk"))
+    rows = rows.groupBy("recording", "channel", "n", "size", "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s"))
+    rows = rows.groupBy("recording", "n", "size", "chunk").agg(F.array_sort(F.collect_list(F.struct("channel", F.col("s.value").alias("x")))).alias("c"))
+    rows = rows.select("recording", "n", "size", "chunk", F.col("c.channel").alias("channels"), F.flatten("c.x").alias("x"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, sums, heads, names = TaskContext.get().partitionId(), {}, {}, {}
+        for b in batches:
+            for i in range(b.num_rows):
+                recording, n, long, chunk, channels = (b.column(k)[i].as_py() for k in range(5))
+                x = np.asarray(b.column(5)[i].values, float).reshape(len(channels), -1)
+                first = max(order, chunk * long) - max(0, chunk * long - order)  # where in x the chunk's own times begin
+                z = np.concatenate([x[:, first - k : x.shape[1] - k] for k in range(order + 1)])
+                sums[recording] = sums.get(recording, 0) + z @ z.T
+                names[recording] = (channels, n)
+                if chunk == 0:
+                    heads[recording] = x[:, :order]
+        for recording, g in sums.items():
+            channels, n = names[recording]
+            each = max(1, block_numbers // len(g))
+            for k in range(0, len(g), each):
+                head = heads[recording].ravel() if recording in heads and not k else np.zeros(len(channels) * order if not k else 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([recording]), pa.array([channels]), pa.array([n]), pa.array([k], pa.int64()), pa.array([part], pa.int32()), lists([np.concatenate([head, g[k : k + each].ravel()])]).cast(pa.list_(pa.float64()))],
+                    names=["recording", "channels", "n", "row", "part", "g"],
+                )
+
+    parts = rows.mapInArrow(run, "recording string, channels array<string>, n long, row long, part int, g array<double>")
+    total = summed(parts, ["recording", "channels", "n", "row"], "g").groupBy("recording", "channels", "n").agg(F.array_sort(F.collect_list(F.struct("row", "g"))).alias("s"))
+    flat = total.select("recording", "channels", "n", F.flatten("s.g").alias("flat"))
+    heads = F.size("channels") * order
+    return flat.select("recording", "channels", "n", F.slice("flat", heads + 1, F.size("flat") - heads).alias("g"), F.slice("flat", F.lit(1), heads).alias("head"))
+
+
 def _network(samples: DataFrame, sr: float, order: int | None, freqs, band, measure) -> DataFrame:
     """Rows (recording, target, source, value, order): band means of a measure of all channels of a recording."""
     f = np.linspace(0, sr / 2, 128) if freqs is None else np.asarray(freqs, float)
     keep = np.ones(len(f), bool) if band is None else (f >= band[0]) & (f <= band[1])
-    packed = pack(samples).groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("channel", "x"))).alias("c"))
-    packed = packed.select("recording", F.col("c.channel").alias("channels"), F.flatten("c.x").alias("flat"))
+    most = D.MOST_ORDER if order is None else order
+
+    def kernel(recording, channels, n, g, head):
+        c = len(channels)
+        full, head = g.reshape(c * (most + 1), -1), head.reshape(c, most)
+
+        def lower(p: int) -> tuple[np.ndarray, int]:
+            """Sums for p lags: those of all lags cut down, and the times from p on that these leave out."""
+            m = full[: c * (p + 1), : c * (p + 1)]
+            if p < most:
+                z = np.concatenate([head[:, p - k : most - k] for k in range(p + 1)])
+                m = m + z @ z.T
+            return m, n - p
 
-    def kernel(recording, channels, flat):
-        x = np.asarray(flat).reshape(len(channels), -1).T
-        x = x - x.mean(0)
-        p = D.best_order(x) if order is None else order
+        p = D.least_aic(lower, n, c) if order is None else order
         try:
-            g, n = D.mvar_gram(x, p)
-            m = measure(*D.mvar_from_gram(g, n, len(channels), p), f, sr)[keep].mean(0)
+            m = measure(*D.mvar_from_gram(*lower(p), c, p), f, sr)[keep].mean(0)
         except np.linalg.LinAlgError:
-            m = np.full((len(channels),) * 2, np.nan)
-        return [{"target": channels[i], "source": channels[j], "value": m[i, j], "order": p} for i in range(len(channels)) for j in range(len(channels))]
+            m = np.full((c, c), np.nan)
+        return [{"target": channels[i], "source": channels[j], "value": m[i, j], "order": p} for i in range(c) for j in range(c)]
 
-    return map_rows(packed, kernel, "target string, source string, value double, order int", ["recording"])
+    return map_rows(network_grams(samples, most), kernel, "target string, source string, value double, order int", ["recording"])
 
 
 def directed_transfer_function(samples: DataFrame, sr: float, order: int | None = 5, freqs=None, normalized: bool = True, full_frequency: bool = False, band=None) -> DataFrame:

@@ -447,6 +447,31 @@ def granger_nonparametric(spark, sf_dir):
     return directed.granger_causality(hourly(spark, sf_dir), SR, method="nonparametric").drop("recording")
 
 
+#: Two channels with one lag: b11 .. b22 their coefficients, v1 and v2 their residual squares, at 128 frequencies (cosine c).
+ORDER1 = f"""{G}, d AS (SELECT channel, idx, value - AVG(value) OVER (PARTITION BY channel) AS d FROM g WHERE channel IN ('click', 'view')),
+z AS (SELECT x.d AS x, y.d AS y, lag(x.d) OVER (ORDER BY x.idx) AS p, lag(y.d) OVER (ORDER BY x.idx) AS q FROM d x JOIN d y ON x.idx = y.idx WHERE x.channel = 'click' AND y.channel = 'view'),
+m AS (SELECT SUM(p * p) AS pp, SUM(p * q) AS pq, SUM(q * q) AS qq, SUM(x * p) AS xp, SUM(x * q) AS xq, SUM(y * p) AS yp, SUM(y * q) AS yq, SUM(x * x) AS xx, SUM(y * y) AS yy FROM z WHERE p IS NOT NULL),
+b AS (SELECT (xp * qq - xq * pq) / (pp * qq - pq * pq) AS b11, (xq * pp - xp * pq) / (pp * qq - pq * pq) AS b12, (yp * qq - yq * pq) / (pp * qq - pq * pq) AS b21, (yq * pp - yp * pq) / (pp * qq - pq * pq) AS b22, m.* FROM m),
+w AS (SELECT b11, b12, b21, b22, xx - b11 * xp - b12 * xq AS v1, yy - b21 * yp - b22 * yq AS v2, cos(2 * pi() * (i.range * 12.0e0 / 127) / 24) AS c FROM b CROSS JOIN range(128) i),
+a AS (SELECT *, 1 - 2 * b11 * c + b11 * b11 AS a11, b12 * b12 AS a12, b21 * b21 AS a21, 1 - 2 * b22 * c + b22 * b22 AS a22 FROM w)"""
+
+
+def _two(spark, sf_dir):
+    return hourly(spark, sf_dir).where(F.col("channel").isin("click", "view"))
+
+
+@query(f"""WITH {ORDER1}, r AS (SELECT AVG(sqrt(a22 / (a22 + a12))) AS h11, AVG(sqrt(a12 / (a22 + a12))) AS h12, AVG(sqrt(a21 / (a11 + a21))) AS h21, AVG(sqrt(a11 / (a11 + a21))) AS h22 FROM a)
+SELECT 'click' AS target, 'click' AS source, {rd('h11')} AS value FROM r UNION ALL SELECT 'click', 'view', {rd('h12')} FROM r UNION ALL SELECT 'view', 'click', {rd('h21')} FROM r UNION ALL SELECT 'view', 'view', {rd('h22')} FROM r""")
+def dtf_order1(spark, sf_dir):
+    return directed.directed_transfer_function(_two(spark, sf_dir), SR, 1).select("target", "source", "value")
+
+
+@query(f"""WITH {ORDER1}, r AS (SELECT AVG(sqrt(a11 / v1 / (a11 / v1 + a21 / v2))) AS p11, AVG(sqrt(a12 / v1 / (a12 / v1 + a22 / v2))) AS p12, AVG(sqrt(a21 / v2 / (a11 / v1 + a21 / v2))) AS p21, AVG(sqrt(a22 / v2 / (a12 / v1 + a22 / v2))) AS p22 FROM a)
+SELECT 'click' AS target, 'click' AS source, {rd('p11')} AS value FROM r UNION ALL SELECT 'click', 'view', {rd('p12')} FROM r UNION ALL SELECT 'view', 'click', {rd('p21')} FROM r UNION ALL SELECT 'view', 'view', {rd('p22')} FROM r""")
+def gpdc_order1(spark, sf_dir):
+    return directed.partial_directed_coherence(_two(spark, sf_dir), SR, 1).select("target", "source", "value")
+
+
 @query()
 def dtf(spark, sf_dir):
     return directed.directed_transfer_function(hourly(spark, sf_dir), SR).drop("recording")

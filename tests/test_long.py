@@ -175,3 +175,26 @@ def test_transfer_entropy_in_slabs(spark, how):
         n = min(len(signals[r.channel_x]), len(signals[r.channel_y]))
         x, y = signals[r.channel_x][:n], signals[r.channel_y][:n]
         assert r.te_xy == pytest.approx(directed.te_ksg(x, y, **plain), abs=1e-9) and r.te_yx == pytest.approx(directed.te_ksg(y, x, **plain), abs=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 3, None])
+def test_networks_by_chunks(spark, order, monkeypatch):
+    from resonarium.functions import directed as D
+    from resonarium.operators import directed
+
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((900, 4)).cumsum(0) * 0.1 + rng.standard_normal((900, 4))
+    x[2:, 1] += 0.6 * x[:-2, 0]
+    df = frame(spark, {f"c{k}": np.concatenate([x[:, k], [9.0] * (k == 2)]) for k in range(4)})  # the longest channel is cut
+    z = x - x.mean(0)
+    p = D.best_order(z) if order is None else order
+    coef, sigma = D.mvar_from_gram(*D.mvar_gram(z, p), 4, p)
+    f = np.linspace(0, 12, 128)
+    a, h = D.transfer(coef, f, 24.0)
+    for chunk, block in ((400, 30), (2_000_000, 1 << 18)):
+        monkeypatch.setattr(directed.network_grams, "__defaults__", (chunk, block))
+        for got, want in ((directed.directed_transfer_function(df, 24.0, order), D.dtf(h).mean(0)), (directed.partial_directed_coherence(df, 24.0, order), D.pdc(a, sigma).mean(0))):
+            rows = got.collect()
+            assert {r["order"] for r in rows} == {p} and len(rows) == 16
+            for r in rows:
+                assert r["value"] == pytest.approx(want[int(r["target"][1]), int(r["source"][1])], abs=1e-9)
