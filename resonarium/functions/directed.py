@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from resonarium.functions.filters import dpss, hann
@@ -82,28 +84,36 @@ def default_segment(n: int, overlap: float) -> int:
     return size
 
 
-def cross_spectra(x, y, sr: float, estimator: str = "multitaper", n_fft=None, segment_length=None, overlap: float = 0.5, time_bandwidth: float = 4, n_tapers=None):
-    """One-sided spectral matrices (bins x 2 x 2), Hermitian, averaged over segments and tapers."""
+def check_segments(n: int, size: int, n_fft: int, overlap: float, estimator: str, time_bandwidth: float) -> None:
     if not 0 <= overlap < 1:
         raise ValueError("overlap must lie in [0, 1)")
-    n = len(x)
-    size = default_segment(n, overlap) if segment_length is None else int(segment_length)
+    if estimator not in ("multitaper", "welch"):
+        raise ValueError(f"unknown estimator {estimator!r}")
     if size < 16 or size > n:
         raise ValueError("segment_length must lie between 16 and the signal's length")
-    n_fft = 1 << int(np.ceil(np.log2(size))) if n_fft is None else int(n_fft)
     if n_fft % 2 or n_fft < size:
         raise ValueError("n_fft must be even and at least segment_length")
-    at = segment_starts(n, size, overlap)
-    if estimator == "multitaper":
-        if not 1 < time_bandwidth < size / 2:
-            raise ValueError("time_bandwidth must exceed 1 and lie below half the segment")
-        tapers = dpss(size, time_bandwidth, int(np.floor(2 * time_bandwidth)) - 1 if n_tapers is None else n_tapers)
-    elif estimator == "welch":
-        if len(at) < 2:
-            raise ValueError("two complete segments are needed")
-        tapers = hann(size)[None, :]
-    else:
-        raise ValueError(f"unknown estimator {estimator!r}")
+    if estimator == "multitaper" and not 1 < time_bandwidth < size / 2:
+        raise ValueError("time_bandwidth must exceed 1 and lie below half the segment")
+    if estimator == "welch" and len(segment_starts(n, size, overlap)) < 2:
+        raise ValueError("two complete segments are needed")
+
+
+@lru_cache(maxsize=8)
+def tapers_of(estimator: str, size: int, time_bandwidth: float, n_tapers: int | None) -> np.ndarray:
+    """Tapers by rows: Slepian ones, or one Hann window."""
+    if estimator == "welch":
+        return hann(size)[None, :]
+    return dpss(size, time_bandwidth, int(np.floor(2 * time_bandwidth)) - 1 if n_tapers is None else n_tapers)
+
+
+def cross_spectra(x, y, sr: float, estimator: str = "multitaper", n_fft=None, segment_length=None, overlap: float = 0.5, time_bandwidth: float = 4, n_tapers=None):
+    """One-sided spectral matrices (bins x 2 x 2), Hermitian, averaged over segments and tapers."""
+    n = len(x)
+    size = default_segment(n, overlap) if segment_length is None else int(segment_length)
+    n_fft = 1 << int(np.ceil(np.log2(max(2, size)))) if n_fft is None else int(n_fft)
+    check_segments(n, size, n_fft, overlap, estimator, time_bandwidth)
+    at, tapers = segment_starts(n, size, overlap), tapers_of(estimator, size, time_bandwidth, n_tapers)
     z = np.stack([np.asarray(x, float), np.asarray(y, float)])[:, at[:, None] + np.arange(size)]
     z = z - z.mean(-1, keepdims=True)
     f = np.fft.fft(z[:, :, None, :] * tapers, n_fft).reshape(2, -1, n_fft)

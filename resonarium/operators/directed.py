@@ -39,20 +39,137 @@ def pair_grams(samples: DataFrame, order: int) -> DataFrame:
     return out.select(*PAIR, "n", F.array(*(f"s{i}_{j}" for i in range(m) for j in range(i, m))).alias("g"))
 
 
+def cross_spectra(samples: DataFrame, sr: float, estimator: str = "multitaper", n_fft: int | None = None, segment_length: int | None = None, overlap: float = 0.5, time_bandwidth: float = 4, n_tapers: int | None = None) -> DataFrame:
+    """Rows (recording, channels, n, size, n_fft, realizations, re, im): one-sided spectral matrices of all channels, or (.., status) where they cannot be had.
+
+    re, im: bins x channels x channels, averaged over segments and tapers; values
+    are centred and brought to unit power a channel first. Each segment of all
+    channels is one row and each channel of it is transformed once for each
+    taper; a task adds up its segments before the sums travel.
+    """
+    ship(samples.sparkSession)
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    sized = samples.groupBy("recording", "channel").agg((F.max("idx") + 1).alias("n")).groupBy("recording").agg(F.min("n").alias("n"))
+
+    def layout(n, **_):
+        size = D.default_segment(n, overlap) if segment_length is None else int(segment_length)
+        points = 1 << int(np.ceil(np.log2(max(2, size)))) if n_fft is None else int(n_fft)
+        D.check_segments(n, size, points, overlap, estimator, time_bandwidth)
+        return {"n": n, "size": size, "n_fft": points, "step": max(1, int(np.floor(size * (1 - overlap))))}
+
+    table = map_rows(sized, layout, "n long, size int, n_fft int, step int, status string", ["recording"])
+    cut = samples.select("recording", "channel", "idx", F.col("value").cast("double").alias("value")).join(small(table), "recording")
+    good = cut.where((F.col("status") == "ok") & (F.col("idx") < F.col("n")))
+    means = good.groupBy("recording", "channel").agg(F.avg("value").alias("mean"))
+    centred = good.join(small(means), ["recording", "channel"]).withColumn("value", F.col("value") - F.col("mean"))
+    scale = centred.groupBy("recording", "channel").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("scale"))
+    rows = centred.join(small(scale), ["recording", "channel"]).withColumn("value", F.when(F.col("scale") > D.EPS, F.col("value") / F.col("scale")).otherwise(F.lit(float("nan"))))
+    last = F.floor((F.col("n") - F.col("size")) / F.col("step"))
+    to = F.sequence(F.greatest(F.lit(0), F.ceil((F.col("idx") - F.col("size") + 1) / F.col("step"))), F.least(last, F.floor(F.col("idx") / F.col("step"))))
+    inside = F.greatest(F.lit(0), F.ceil((F.col("idx") - F.col("size") + 1) / F.col("step"))) <= F.least(last, F.floor(F.col("idx") / F.col("step")))
+    shape = ["recording", "n", "size", "n_fft"]
+    rows = rows.where(inside).select(*shape, "channel", "idx", "value", F.explode(to).alias("seg"))
+    rows = rows.groupBy(*shape, "channel", "seg").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s"))
+    rows = rows.groupBy(*shape, "seg").agg(F.array_sort(F.collect_list(F.struct("channel", F.col("s.value").alias("x")))).alias("c"))
+    rows = rows.select(*shape, F.col("c.channel").alias("channels"), F.flatten("c.x").alias("x"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, sums, about = TaskContext.get().partitionId(), {}, {}
+        for b in batches:
+            for i in range(b.num_rows):
+                recording, n, size, points, channels = (b.column(k)[i].as_py() for k in range(5))
+                x = np.asarray(b.column(5)[i].values, float).reshape(len(channels), size)
+                tapers = D.tapers_of(estimator, size, time_bandwidth, n_tapers)
+                f = np.fft.fft((x - x.mean(1, keepdims=True))[:, None, :] * tapers, points)[..., : points // 2 + 1] / np.sqrt(sr * (tapers**2).sum(1))[None, :, None]
+                sums[recording] = sums.get(recording, 0) + np.einsum("atf,btf->fab", f, f.conj())
+                about[recording] = (channels, n, size, points, about.get(recording, (0,) * 5)[4] + len(tapers))
+        for recording, s in sums.items():
+            channels, n, size, points, count = about[recording]
+            each = max(1, BLOCK_NUMBERS // (2 * len(channels) ** 2))
+            for k in range(0, len(s), each):
+                z = s[k : k + each]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([recording]), pa.array([channels]), pa.array([n]), pa.array([size], pa.int32()), pa.array([points], pa.int32()), pa.array([k], pa.int64()), pa.array([part], pa.int32()), lists([np.concatenate([[float(count)], z.real.ravel(), z.imag.ravel()])])],
+                    names=["recording", "channels", "n", "size", "n_fft", "row", "part", "g"],
+                )
+
+    parts = rows.mapInArrow(run, "recording string, channels array<string>, n long, size int, n_fft int, row long, part int, g array<double>")
+    keys = ["recording", "channels", "n", "size", "n_fft"]
+    total = summed(parts, [*keys, "row"], "g").select(*keys, "row", F.element_at("g", 1).cast("long").alias("realizations"), F.slice("g", F.lit(2), F.size("g") - 1).alias("g"))
+    half = (F.size("g") / 2).cast("int")
+    total = total.select(*keys, "row", "realizations", F.slice("g", F.lit(1), half).alias("re"), F.slice("g", half + 1, half).alias("im"))
+    total = total.groupBy(*keys, "realizations").agg(F.array_sort(F.collect_list(F.struct("row", "re", "im"))).alias("s"))
+
+    def averaged(n_fft, channels, realizations, re, im, **_):
+        s = (re + 1j * im).reshape(n_fft // 2 + 1, len(channels), -1) / realizations
+        s[1:-1] *= 2
+        s = (s + s.conj().transpose(0, 2, 1)) / 2
+        return [{"re2": s.real, "im2": s.imag}]
+
+    flat = total.select(*keys, "realizations", F.flatten("s.re").alias("re"), F.flatten("s.im").alias("im"))
+    out = map_groups(flat, averaged, "re2 array<double>, im2 array<double>", [*keys, "realizations"], ["re2", "im2"], 1).withColumnsRenamed({"re2": "re", "im2": "im"})
+    bad = table.where("status != 'ok'").select("recording", "status")
+    return out.withColumn("status", F.lit("ok")).unionByName(bad, allowMissingColumns=True)
+
+
+def granger_spectra(samples: DataFrame, sr: float, freq_range: tuple[float, float] | None = None, tolerance: float = 1e-8, most: int = 1000, floor: float = 1e-10, **how) -> DataFrame:
+    """The whole non-parametric result, a row a pair.
+
+    Rows (recording, channel_x, channel_y, gc_xy, gc_yx, net_gc, frequencies,
+    spectrum_xy, spectrum_yx, sigma_xx, sigma_xy, sigma_yy, iterations,
+    reconstruction_error, realizations, segment_length, n_fft, status). The
+    spectral matrices of all channels are made once (cross_spectra); a pair takes
+    its part of them and factorizes that. sigma: covariance of the innovations of
+    the signals at unit power. A status other than ok says why the rest is null.
+    """
+    spectra = cross_spectra(samples, sr, **how)
+    named = samples.select("recording", "channel").distinct()
+    x, y = named.withColumnRenamed("channel", "channel_x"), named.withColumnRenamed("channel", "channel_y")
+    pairs = x.join(y, "recording").where("channel_x < channel_y")
+    at = lambda c: F.array_position("channels", F.col(c)).cast("int") - 1
+    c = F.size("channels")
+    bins = F.sequence(F.lit(0), (F.col("n_fft") / 2).cast("int"))
+    pick = lambda name, i, j: F.transform(bins, lambda b: F.get(name, (b * c + F.col(i)) * c + F.col(j)))
+    met = pairs.join(spectra, "recording").withColumns({"i": at("channel_x"), "j": at("channel_y")})
+    met = met.select(*PAIR, "n", "size", "n_fft", "realizations", "status", pick("re", "i", "i").alias("xx"), pick("re", "j", "j").alias("yy"), pick("re", "i", "j").alias("xy"), pick("im", "i", "j").alias("xyi"))
+
+    def kernel(recording, channel_x, channel_y, n, size, n_fft, realizations, status, xx, yy, xy, xyi):
+        if status != "ok":
+            raise ValueError(status)
+        if n < 32 or not np.isfinite(np.concatenate([xx, yy, xy, xyi])).all():
+            raise ValueError("32 finite samples of signals that are not constant are needed")
+        if realizations < 2:
+            raise ValueError("two realizations are needed")
+        z = np.asarray(xy) + 1j * np.asarray(xyi)
+        s = np.stack([np.stack([xx + 0j, z], -1), np.stack([z.conj(), yy + 0j], -1)], -2)
+        m, full = len(s), D.two_sided(D.regularized(s, floor))
+        w = D.wilson(full, tolerance, most)
+        a, b = D.geweke(full[:m], w["H"][:m], w["Sigma"])
+        f = np.arange(m) * sr / n_fft
+        band = (f[0], f[-1]) if freq_range is None else freq_range
+        p, q = D.trapezoid_mean(a, f, band), D.trapezoid_mean(b, f, band)
+        sigma = w["Sigma"]
+        return {
+            "gc_xy": p, "gc_yx": q, "net_gc": p - q, "frequencies": f, "spectrum_xy": a, "spectrum_yx": b, "sigma_xx": sigma[0, 0], "sigma_xy": sigma[0, 1], "sigma_yy": sigma[1, 1],
+            "iterations": w["iterations"], "reconstruction_error": w["reconstruction_error"], "realizations": realizations, "segment_length": size, "n_fft": n_fft,
+        }
+
+    schema = "gc_xy double, gc_yx double, net_gc double, frequencies array<double>, spectrum_xy array<double>, spectrum_yx array<double>, sigma_xx double, sigma_xy double, sigma_yy double, iterations int, reconstruction_error double, realizations long, segment_length int, n_fft int, status string"
+    return map_rows(met, kernel, schema, PAIR, 16)
+
+
 def granger_causality(samples: DataFrame, sr: float, order: int = 5, freq_range: tuple[float, float] | None = None, method: str = "parametric", **how) -> DataFrame:
     """Rows (recording, channel_x, channel_y, gc_xy, gc_yx, net_gc, status).
 
     parametric: all pairs' lagged sums of products come from one aggregation;
-    nonparametric: spectral factorization of each pair (see functions.directed).
+    nonparametric: spectral factorization, of which granger_spectra gives all.
     """
     schema = "gc_xy double, gc_yx double, net_gc double, status string"
     if method == "nonparametric":
-
-        def kernel_np(x_x, x_y, **_):
-            got = D.granger_nonparametric(x_x, x_y, sr, freq_range, **how)
-            return {k: got[k] for k in ("gc_xy", "gc_yx", "net_gc")}
-
-        return map_rows(ordered_pairs(pack(samples), ["x"]), kernel_np, schema, PAIR)
+        found = granger_spectra(samples, sr, freq_range, **how)
+        return found.select(*PAIR, "gc_xy", "gc_yx", "net_gc", "status")
     if method != "parametric":
         raise ValueError(f"unknown method {method!r}")
     m = 2 * (order + 1)
@@ -76,11 +193,11 @@ def granger_causality(samples: DataFrame, sr: float, order: int = 5, freq_range:
 def summed(parts: DataFrame, keys: list[str], name: str, wide: int = 64) -> DataFrame:
     """Arrays added up by key, in two steps, so that no task gathers the parts of all tasks at once."""
 
-    def add(arrays, size, **_):
-        return [{name: arrays.reshape(-1, int(size)).sum(0)}]
+    def add(_arrays, _width, **_):
+        return [{name: _arrays.reshape(-1, int(_width)).sum(0)}]
 
     def step(rows: DataFrame, by: list[str]) -> DataFrame:
-        met = rows.groupBy(*by).agg(F.flatten(F.collect_list(name)).alias("arrays"), F.max(F.size(name)).alias("size"))
+        met = rows.groupBy(*by).agg(F.flatten(F.collect_list(name)).alias("_arrays"), F.max(F.size(name)).alias("_width"))
         return map_groups(met, add, f"{name} array<double>", by, [name])
 
     return step(step(parts.withColumn("share", F.pmod("part", F.lit(wide))).drop("part"), [*keys, "share"]).drop("share"), keys)

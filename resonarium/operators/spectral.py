@@ -118,6 +118,18 @@ def coherence_matrix(samples: DataFrame, sr: float, nperseg: int = 256, noverlap
     return rows.groupBy("recording", "channel_x", "channel_y").agg(F.max(F.abs("coherence")).alias("peak"), F.max_by("frequency", best).alias("peak_frequency"))
 
 
+def coherence_spectra(samples: DataFrame, sr: float, nperseg: int = 256, noverlap: int | None = None, kind: str = "magnitude", freq_range=None) -> DataFrame:
+    """Rows (recording, channel_x, channel_y, peak, peak_frequency, spectrum): the matrix of peaks with the spectrum behind each.
+
+    spectrum: array of (bin, frequency, coherence, confidence) in order of bin. It
+    comes from the same aggregation as the peak, a row a pair.
+    """
+    rows = coherence(samples, sr, nperseg, noverlap, kind, freq_range)
+    best = F.struct(F.abs("coherence").alias("v"), (-F.col("bin")).alias("b"))
+    spectrum = F.array_sort(F.collect_list(F.struct("bin", "frequency", "coherence", "confidence")))
+    return rows.groupBy("recording", "channel_x", "channel_y").agg(F.max(F.abs("coherence")).alias("peak"), F.max_by("frequency", best).alias("peak_frequency"), spectrum.alias("spectrum"))
+
+
 def phase_slope_index(samples: DataFrame, sr: float, band: tuple[float, float], nperseg: int = 256, noverlap: int | None = None, normalize: bool = True) -> DataFrame:
     """Rows (recording, channel_x, channel_y, psi); above 0 where x leads, null where a channel has no power in a bin of the band."""
     if band[0] >= band[1]:

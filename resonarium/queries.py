@@ -188,6 +188,13 @@ def coherence_matrix(spark, sf_dir):
     return spectral.coherence_matrix(hourly(spark, sf_dir), SR, SEG).select("channel_x", "channel_y", "peak")
 
 
+@query(f"""WITH {SEGS}, c AS (SELECT channel_x, channel_y, bin, (re * re + im * im) / (xx * yy) AS coherence FROM p), k AS (SELECT channel_x, channel_y, MAX(coherence) AS peak, arg_max(bin, coherence) AS best FROM c GROUP BY channel_x, channel_y)
+SELECT channel_x, channel_y, {rd('peak')} AS peak, {rd('best * 24 / 64.0e0')} AS peak_frequency, bin::INT AS bin, {rd('bin * 24 / 64.0e0')} AS frequency, {rd('coherence')} AS coherence, {rd('1 - pow(0.05e0, 1 / 20.0e0)')} AS confidence FROM c JOIN k USING (channel_x, channel_y)""")
+def coherence_matrix_spectra(spark, sf_dir):
+    rows = spectral.coherence_spectra(hourly(spark, sf_dir), SR, SEG)
+    return rows.select("channel_x", "channel_y", "peak", "peak_frequency", F.inline("spectrum"))
+
+
 @query(f"""WITH {SEGS}, c AS (SELECT channel_x, channel_y, bin, re / sqrt(xx * yy) AS re, im / sqrt(xx * yy) AS im FROM p WHERE bin * 12.0e0 / 32 BETWEEN 1 AND 4),
 l AS (SELECT *, lead(re) OVER w AS re2, lead(im) OVER w AS im2 FROM c WINDOW w AS (PARTITION BY channel_x, channel_y ORDER BY bin))
 SELECT channel_x, channel_y, {rd('SUM(re * im2 - im * re2) / SUM(sqrt(re * re + im * im) * sqrt(re2 * re2 + im2 * im2))')} AS psi FROM l WHERE re2 IS NOT NULL GROUP BY channel_x, channel_y""")
@@ -442,6 +449,32 @@ def granger_spectral(spark, sf_dir):
     return directed.granger_causality(hourly(spark, sf_dir), SR, 5, (1, 4)).drop("recording")
 
 
+#: Segments of 64 of signals at unit power, each about its mean, through a Hann window.
+UNIT = f"""{G}, c AS (SELECT channel, idx, value - AVG(value) OVER (PARTITION BY channel) AS v FROM g), n AS (SELECT channel, idx, v / sqrt(AVG(v * v) OVER (PARTITION BY channel)) AS v FROM c),
+s AS (SELECT channel, seg.range AS seg, idx - 32 * seg.range AS m, v FROM n JOIN range(21) seg ON idx >= 32 * seg.range AND idx < 32 * seg.range + 64),
+t AS (SELECT channel, seg, m, (v - AVG(v) OVER (PARTITION BY channel, seg)) * (0.5e0 * (1 - cos(2 * pi() * m / 63))) AS v FROM s),
+f AS (SELECT channel, seg, b.range AS bin, SUM(v * cos(2 * pi() * b.range * m / 64)) AS re, -SUM(v * sin(2 * pi() * b.range * m / 64)) AS im FROM t CROSS JOIN range(33) b GROUP BY channel, seg, b.range)"""
+
+
+@query(f"""WITH {UNIT} SELECT x.channel AS channel_x, y.channel AS channel_y, x.bin, {rd(f'AVG(x.re * y.re + x.im * y.im) / (24 * {W2!r}) * CASE WHEN x.bin IN (0, 32) THEN 1 ELSE 2 END')} AS re, {rd(f'AVG(x.im * y.re - x.re * y.im) / (24 * {W2!r}) * CASE WHEN x.bin IN (0, 32) THEN 1 ELSE 2 END')} AS im
+FROM f x JOIN f y ON x.seg = y.seg AND x.bin = y.bin GROUP BY x.channel, y.channel, x.bin""")
+def granger_cross_spectra(spark, sf_dir):
+    """The matrices that non-parametric causality factorizes, by Hann segments."""
+    s = directed.cross_spectra(hourly(spark, sf_dir), SR, estimator="welch", segment_length=64)
+    c = F.size("channels")
+    rows = s.select("channels", c.alias("c"), F.posexplode(F.arrays_zip("re", "im")).alias("at", "z"))
+    name = lambda k: F.get("channels", k.cast("int"))
+    return rows.select(name(F.floor(F.col("at") / F.col("c")) % F.col("c")).alias("channel_x"), name(F.col("at") % F.col("c")).alias("channel_y"), F.floor(F.col("at") / (F.col("c") * F.col("c"))).alias("bin"), "z.re", "z.im")
+
+
+@query()
+def granger_spectra(spark, sf_dir):
+    """Every bin of every pair, with what tells how well the factor fits."""
+    rows = directed.granger_spectra(hourly(spark, sf_dir), SR)
+    z = F.posexplode(F.arrays_zip("frequencies", "spectrum_xy", "spectrum_yx")).alias("bin", "z")
+    return rows.select("channel_x", "channel_y", "status", "iterations", "reconstruction_error", z).select("channel_x", "channel_y", "status", "iterations", "reconstruction_error", "bin", F.col("z.frequencies").alias("frequency"), "z.spectrum_xy", "z.spectrum_yx")
+
+
 @query()
 def granger_nonparametric(spark, sf_dir):
     return directed.granger_causality(hourly(spark, sf_dir), SR, method="nonparametric").drop("recording")

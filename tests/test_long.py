@@ -198,3 +198,35 @@ def test_networks_by_chunks(spark, order, monkeypatch):
             assert {r["order"] for r in rows} == {p} and len(rows) == 16
             for r in rows:
                 assert r["value"] == pytest.approx(want[int(r["target"][1]), int(r["source"][1])], abs=1e-9)
+
+
+def test_whole_nonparametric_result(spark):
+    from resonarium.functions import directed as D
+    from resonarium.operators import directed
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 3))
+    for t in range(2, 3000):
+        x[t, 1] += 0.5 * x[t - 1, 1] + 0.6 * x[t - 2, 0]
+    df = frame(spark, {"a": x[:, 0], "b": x[:, 1] * 7 + 3, "c": x[:, 2], "flat": np.ones(3000)})
+    for how in ({}, {"estimator": "welch", "segment_length": 100, "n_fft": 128}, {"freq_range": (5, 20), "time_bandwidth": 3}):
+        got = {(r["channel_x"], r["channel_y"]): r for r in directed.granger_spectra(df, 100.0, **how).collect()}
+        assert len(got) == 6 and all(("constant" in r["status"]) == ("flat" in k) for k, r in got.items())
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            want, r = D.granger_nonparametric(x[:, i] * (7 if i == 1 else 1), x[:, j], 100.0, **how), got["abc"[i], "abc"[j]]
+            assert np.allclose(r["spectrum_xy"], want["spectrum_xy"], atol=1e-6) and np.allclose(r["frequencies"], want["frequencies"])
+            assert r["gc_xy"] == pytest.approx(want["gc_xy"], abs=1e-6) and r["gc_yx"] == pytest.approx(want["gc_yx"], abs=1e-6) and r["reconstruction_error"] < 0.02
+    assert got["a", "b"]["gc_xy"] > 5 * got["a", "b"]["gc_yx"]
+    short = directed.granger_spectra(frame(spark, {"a": x[:10, 0], "b": x[:10, 1]}), 100.0).collect()
+    assert len(short) == 1 and "segment_length" in short[0]["status"]
+
+
+def test_spectra_behind_the_peaks(spark):
+    from resonarium.operators import spectral
+
+    x = np.random.default_rng(9).standard_normal((500, 3))
+    df = frame(spark, {"a": x[:, 0], "b": x[:, 0] + x[:, 1], "c": x[:, 2]})
+    plain = {(r["channel_x"], r["channel_y"], r["bin"]): r for r in spectral.coherence(df, 10.0, 64).collect()}
+    for r in spectral.coherence_spectra(df, 10.0, 64).collect():
+        assert [s["bin"] for s in r["spectrum"]] == list(range(33)) and r["peak"] == max(s["coherence"] for s in r["spectrum"])
+        assert all(s["coherence"] == pytest.approx(plain[r["channel_x"], r["channel_y"], s["bin"]]["coherence"]) for s in r["spectrum"])
