@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from resonarium.operators import fourier, recursive
-from resonarium.queries import query, rd
+from resonarium.operators import fourier, permutations, recursive
+from resonarium.queries import _blocks, query, rd
 from resonarium.sources import signals
 
 #: Hourly sums from the first event to the last: channel, idx, value; and their number.
@@ -95,3 +95,33 @@ def surrogate_spectrum_long(spark, sf_dir):
     rows = fourier.spectrum(fourier.phase_randomized(hourly(spark, sf_dir), seed=7))
     n = F.max("k").over(Window.partitionBy("channel")) + 1
     return rows.withColumn("n", n).where(F.col("k") <= F.floor(F.col("n") / 2)).select("channel", "k", F.hypot("re", "im").alias("amplitude"))
+
+
+# ---- permutations ----------------------------------------------------------
+
+
+def _network_sql(replicates: int, seed: int) -> str:
+    """e: rows numbered by id; pm: where row j goes in each replicate, by a Feistel network of eight rounds walked on until below n."""
+    left, right = "(v >> b)", "(v & ((1 << b) - 1))"
+    steps = []
+    for r in range(8):
+        key = f"((({seed * 1_000_003} + rep * 8 + {r + 1}) * 48271 % 2147483647) * 69621 % 2147483647)"
+        steps.append(f"SELECT rep, j, b, n, r AS l, xor(l, ((((r + {key}) % 2147483647) * ((r + {key}) % 2147483647) % 2147483647) >> 5) & ((1 << b) - 1)) AS r FROM ")
+    inner = f"(SELECT rep, j, b, n, {left} AS l, {right} AS r FROM {{source}})"
+    for s in steps:
+        inner = f"({s}{inner})"
+    turn = lambda source: f"SELECT rep, j, b, n, (l << b) | r AS v FROM {inner.format(source=source)}"
+    return f"""e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, list_transform(embedding[1:16], lambda z: z::DOUBLE) AS x, list_transform(embedding[17:32], lambda z: z::DOUBLE) AS y FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+z AS (SELECT COUNT(*) AS n, GREATEST(1, CEIL(LENGTH(LTRIM(bin(COUNT(*) - 1), '0')) / 2.0))::BIGINT AS b FROM e),
+w AS ({turn(f'(SELECT rep, i AS j, i AS v, b, n FROM e, z, (SELECT unnest(range({replicates})) AS rep))')} UNION ALL {turn('(SELECT * FROM w WHERE v >= n)')}),
+pm AS (SELECT rep, j, v AS i FROM w WHERE v < n UNION ALL SELECT -1, i, i FROM e)"""
+
+
+@query(f"""WITH RECURSIVE {_network_sql(199, 3)},
+xs AS (SELECT i, k, x[k + 1] - AVG(x[k + 1]) OVER (PARTITION BY k) AS v FROM e, (SELECT unnest(range(16)) AS k)), ys AS (SELECT i, k, y[k + 1] - AVG(y[k + 1]) OVER (PARTITION BY k) AS v FROM e, (SELECT unnest(range(16)) AS k)),
+q AS (SELECT sqrt((SELECT SUM(s * s) FROM (SELECT SUM(a.v * b.v) AS s FROM xs a JOIN xs b ON a.i = b.i GROUP BY a.k, b.k)) * (SELECT SUM(s * s) FROM (SELECT SUM(a.v * b.v) AS s FROM ys a JOIN ys b ON a.i = b.i GROUP BY a.k, b.k))) AS q),
+g AS (SELECT rep, xs.k AS a, ys.k AS b, SUM(xs.v * ys.v) AS s FROM pm JOIN xs ON xs.i = pm.i JOIN ys ON ys.i = pm.j GROUP BY rep, xs.k, ys.k)
+SELECT rep::INT AS rep, {rd('SUM(s * s) / q')} AS rv FROM g, q GROUP BY rep, q""")
+def association_rv_permuted(spark, sf_dir):
+    """The coefficient of two blocks of 16 dimensions, as it is and with 199 given permutations."""
+    return permutations.permuted_rv(_blocks(spark, sf_dir), "a", "b", seed=3)

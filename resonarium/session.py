@@ -41,12 +41,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder, spark.checkpoint.dir; in local mode a temporary one where the session names none.
+
+    On a cluster a folder of the driver's own would be read by executors that
+    cannot see it, so a missing setting is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     made = spark.sparkContext.getConf().get("spark.resonarium.scratch")
     if made is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         key = spark.sparkContext.applicationId
         made = _OWN.setdefault(key, "file://" + tempfile.mkdtemp(prefix="resonarium-"))
     return made
