@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from resonarium.operators import fourier, permutations, recursive
+from resonarium.operators import fourier, fusion, permutations, recursive
 from resonarium.queries import _blocks, query, rd
 from resonarium.sources import signals
 
@@ -125,3 +125,23 @@ SELECT rep::INT AS rep, {rd('SUM(s * s) / q')} AS rv FROM g, q GROUP BY rep, q""
 def association_rv_permuted(spark, sf_dir):
     """The coefficient of two blocks of 16 dimensions, as it is and with 199 given permutations."""
     return permutations.permuted_rv(_blocks(spark, sf_dir), "a", "b", seed=3)
+
+
+#: Distances of the first three blocks of 16 dimensions: i, j, d0, d1, d2.
+DISTANCES = """b AS (SELECT vec_id AS i, list_transform(embedding[1:16], lambda z: z::DOUBLE) AS x, list_transform(embedding[17:32], lambda z: z::DOUBLE) AS y, list_transform(embedding[33:48], lambda z: z::DOUBLE) AS z FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+d AS (SELECT p.i, q.i AS j, list_distance(p.x, q.x) AS d0, list_distance(p.y, q.y) AS d1, list_distance(p.z, q.z) AS d2 FROM b p, b q)"""
+
+
+@query(f"""WITH {DISTANCES}, r AS (SELECT *, AVG(d0) OVER p AS r0, AVG(d1) OVER p AS r1, AVG(d0) OVER q AS c0, AVG(d1) OVER q AS c1, AVG(d0) OVER () AS m0, AVG(d1) OVER () AS m1 FROM d WINDOW p AS (PARTITION BY i), q AS (PARTITION BY j)),
+c AS (SELECT i, d0 - r0 - c0 + m0 AS a, d1 - r1 - c1 + m1 AS b FROM r)
+SELECT {rd('sqrt(AVG(a * b)) / sqrt(sqrt(AVG(a * a)) * sqrt(AVG(b * b)))')} AS dcor, {rd('sqrt(AVG(a * b))')} AS dcov, COUNT(DISTINCT i) AS n FROM c""")
+def distance_correlation_blocks(spark, sf_dir):
+    """Two whole blocks of 16 dimensions."""
+    return fusion.distance_correlation(_blocks(spark, sf_dir), "a", "b")
+
+
+@query(f"""WITH {DISTANCES}, k AS (SELECT corr(d0, d1) AS ab, corr(d0, d2) AS ac, corr(d1, d2) AS bc FROM d WHERE i > j)
+SELECT 'a' AS block_x, 'b' AS block_y, {rd('ab')} AS similarity FROM k UNION ALL SELECT 'a', 'c', {rd('ac')} FROM k UNION ALL SELECT 'b', 'c', {rd('bc')} FROM k""")
+def rsa_pearson_blocks(spark, sf_dir):
+    """Three whole blocks of 16 dimensions."""
+    return fusion.representational_similarity(_blocks(spark, sf_dir), ["a", "b", "c"], compare="pearson")

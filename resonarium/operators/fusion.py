@@ -141,8 +141,12 @@ def rv_coefficient(df: DataFrame, x: str, y: str, id_col: str = "obs_id", center
     return local_frame(df.sparkSession, [{"rv": rv, "n": n}], "rv double, n long")
 
 
-def _distances(df: DataFrame, blocks: list[str], id_col: str, metric: str = "euclidean", tile: int = 256) -> DataFrame:
-    """Rows (i, j, d0, d1, ..) for all ordered pairs of observations, in tiles of rows; inherently n squared values."""
+def _tiles(df: DataFrame, blocks: list[str], id_col: str, kernel, schema: str, metric: str = "euclidean", tile: int = 256) -> DataFrame:
+    """Rows that kernel(ids of rows, ids of columns, distances a block) gives for each tile of the blocks' distance matrices.
+
+    All n squared distances are computed, tile by tile, but only what the kernel
+    makes of a tile leaves its task.
+    """
     n = df.count()
     parts = max(1, -(-n // tile))
     part = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
@@ -151,7 +155,7 @@ def _distances(df: DataFrame, blocks: list[str], id_col: str, metric: str = "euc
     flat = packed.select("part", F.col("r.id").alias("ids"), *(F.flatten(f"r.b{k}").alias(f"b{k}") for k in range(len(blocks))))
     left, right = flat.select(*(F.col(c).alias(f"{c}_l") for c in cols), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")), flat.select("part", *(F.col(c).alias(f"{c}_r") for c in cols))
 
-    def kernel(ids_l, ids_r, **row):
+    def run(ids_l, ids_r, **row):
         ids_l, ids_r = np.asarray(ids_l).astype(int), np.asarray(ids_r).astype(int)
         d = []
         for k in range(len(blocks)):
@@ -161,19 +165,38 @@ def _distances(df: DataFrame, blocks: list[str], id_col: str, metric: str = "euc
             else:
                 za, zb = (v - v.mean(1, keepdims=True) for v in (a, b))
                 d.append(1 - (za @ zb.T) / np.outer(np.sqrt((za**2).sum(1)), np.sqrt((zb**2).sum(1))))
+        return kernel(ids_l, ids_r, d)
+
+    return map_rows(left.join(right, "part").select(*(f"{c}_l" for c in cols), *(f"{c}_r" for c in cols)), run, schema)
+
+
+def _distances(df: DataFrame, blocks: list[str], id_col: str, metric: str = "euclidean", tile: int = 256) -> DataFrame:
+    """Rows (i, j, d0, d1, ..) for all ordered pairs of observations; inherently n squared values, which ranks need."""
+
+    def kernel(ids_l, ids_r, d):
         for i, u in enumerate(ids_l):
             yield {"i": u, "j": ids_r, "d": np.stack(d, 1)[i].ravel()}
 
-    rows = map_rows(left.join(right, "part").select(*(f"{c}_l" for c in cols), *(f"{c}_r" for c in cols)), kernel, "i long, j array<long>, d array<double>")
+    rows = _tiles(df, blocks, id_col, kernel, "i long, j array<long>, d array<double>", metric, tile)
     m = len(blocks)
     each = F.transform(F.col("j"), lambda v, k: F.struct(v.alias("j"), *(F.get("d", k + F.size("j") * b).alias(f"d{b}") for b in range(m))))
     return rows.select("i", F.explode(each).alias("z")).select("i", "z.*")
 
 
-def distance_correlation(df: DataFrame, x: str, y: str, id_col: str = "obs_id") -> DataFrame:
-    """One row (dcor, dcov, n). Double centring needs row means and cross sums only: mean AB = mean ab - 2 mean(a_i b_i) + mean a mean b."""
-    d = _distances(df, [x, y], id_col)
-    by_row = d.groupBy("i").agg(F.avg("d0").alias("a"), F.avg("d1").alias("b"), F.avg(F.col("d0") * F.col("d1")).alias("ab"), F.avg(F.col("d0") ** 2).alias("aa"), F.avg(F.col("d1") ** 2).alias("bb"))
+def distance_correlation(df: DataFrame, x: str, y: str, id_col: str = "obs_id", tile: int = 256) -> DataFrame:
+    """One row (dcor, dcov, n). Double centring needs row means and cross sums only: mean AB = mean ab - 2 mean(a_i b_i) + mean a mean b.
+
+    A tile leaves five sums for each of its rows, so n squared / tile rows meet.
+    """
+    names = ["a", "b", "ab", "aa", "bb"]
+
+    def kernel(ids_l, ids_r, d):
+        a, b = d
+        sums = np.stack([m.sum(1) for m in (a, b, a * b, a * a, b * b)], 1)
+        return [{"i": i, "m": len(ids_r)} | dict(zip(names, row)) for i, row in zip(ids_l, sums)]
+
+    rows = _tiles(df, [x, y], id_col, kernel, "i long, m long, " + ", ".join(f"{c} double" for c in names), tile=tile)
+    by_row = rows.groupBy("i").agg(*((F.sum(c) / F.sum("m")).alias(c) for c in names))
     t = by_row.agg(F.count("*").alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"), *(F.avg(c).alias(c) for c in ("ab", "aa", "bb")), F.avg(F.col("a") * F.col("b")).alias("rab"), F.avg(F.col("a") ** 2).alias("raa"), F.avg(F.col("b") ** 2).alias("rbb"))
     cov = lambda m, r, u, v: F.greatest(F.lit(0.0), F.col(m) - 2 * F.col(r) + F.col(u) * F.col(v))
     t = t.select("n", F.sqrt(cov("ab", "rab", "a", "b")).alias("dcov"), F.sqrt(F.sqrt(cov("aa", "raa", "a", "a")) * F.sqrt(cov("bb", "rbb", "b", "b"))).alias("den"))
@@ -227,22 +250,39 @@ def average_ranks(df: DataFrame, column: str, slices: int = 1024) -> DataFrame:
 
 def representational_similarity(df: DataFrame, blocks: list[str], id_col: str = "obs_id", method: str = "euclidean", compare: str = "spearman") -> DataFrame:
     """Rows (block_x, block_y, similarity) of the blocks' distance matrices, below the diagonal."""
-    d = _distances(df, blocks, id_col, method).where("i > j")
-    cols = [f"d{k}" for k in range(len(blocks))]
-    if compare == "spearman":
+    pairs = [(i, j) for i in range(len(blocks)) for j in range(i + 1, len(blocks))]
+    if compare == "pearson":
+        one = _similar_by_tiles(df, blocks, pairs, id_col, method)
+    elif compare == "spearman":
         from resonarium.session import Scratch
 
-        d = Scratch(df.sparkSession, "ranks").save(d)  # read once for each block and once for the join
-        for c in cols:
-            d = d.join(average_ranks(d, c).withColumnRenamed("rank", f"r{c}"), c)
-        cols = [f"r{c}" for c in cols]
-    elif compare != "pearson":
+        d = Scratch(df.sparkSession, "ranks").save(_distances(df, blocks, id_col, method).where("i > j"))  # read once for each block and once for the join
+        for k in range(len(blocks)):
+            d = d.join(average_ranks(d, f"d{k}").withColumnRenamed("rank", f"r{k}"), f"d{k}")
+        one = d.agg(*(correlation(f"r{i}", f"r{j}").alias(f"s{i}_{j}") for i, j in pairs))
+    else:
         raise ValueError(f"unknown comparison {compare!r}")
-    pairs = [(i, j) for i in range(len(blocks)) for j in range(i + 1, len(blocks))]
-    one = d.agg(*(correlation(cols[i], cols[j]).alias(f"s{i}_{j}") for i, j in pairs))
     return one.select(F.explode(F.array(*(F.struct(F.lit(blocks[i]).alias("block_x"), F.lit(blocks[j]).alias("block_y"), F.col(f"s{i}_{j}").alias("similarity")) for i, j in pairs))).alias("z")).select("z.*")
 
 
+def _similar_by_tiles(df: DataFrame, blocks: list[str], pairs, id_col: str, metric: str) -> DataFrame:
+    """One row of correlations of the distances below the diagonal. A tile leaves its count, means and products about these; tiles are put together exactly."""
+    m = len(blocks)
+
+    def kernel(ids_l, ids_r, d):
+        below = ids_l[:, None] > ids_r[None, :]
+        if below.any():
+            v = np.stack([x[below] for x in d])
+            mean = v.mean(1)
+            c = v - mean[:, None]
+            yield {"n": int(v.shape[1]), "mean": mean, "p": (c @ c.T).ravel()}
+
+    rows = _tiles(df, blocks, id_col, kernel, "n long, mean array<double>, p array<double>", metric)
+    total, at = F.sum("n"), lambda k: F.sum(F.col("n") * F.get("mean", F.lit(k)))
+    between = lambda i, j: F.sum(F.get("p", F.lit(i * m + j)) + F.col("n") * F.get("mean", F.lit(i)) * F.get("mean", F.lit(j))) - at(i) * at(j) / total
+    return rows.agg(*(F.try_divide(between(i, j), F.sqrt(F.greatest(F.lit(0.0), between(i, i) * between(j, j)))).alias(f"s{i}_{j}") for i, j in pairs))
+
+
 def deviation_index(features: DataFrame, reference: DataFrame, column: str, blocks: dict[str, tuple[int, int]] | None = None, id_col: str = "obs_id", ve: float = 0.95, mean_index: float = 100, sd_index: float = 10) -> DataFrame:
     """Rows (id, part, index, distance): part 'all' and each block (a range of features, from 0, end exclusive).
 
