@@ -23,6 +23,8 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,11 @@ def time_cuts(records: DataFrame, slices: int) -> list[int]:
     return (records.agg(F.percentile_approx("ts", at, 10 * slices).alias("cuts")).first()["cuts"] or []) if at else []
 
 
+def _numbers(values: list[int]) -> Column:
+    """Whole numbers as one constant; a thousand literals in each projection would take the planner seconds."""
+    return F.from_json(F.lit(json.dumps(values)), "array<long>")
+
+
 def sliced(df: DataFrame, cuts: list[int]) -> DataFrame:
     """df with slice: how many of the ascending `cuts` are at most ts, by halving; one projection a step.
 
@@ -68,12 +75,12 @@ def sliced(df: DataFrame, cuts: list[int]) -> DataFrame:
     if shared:
         at = [k / TIES for k in range(1, TIES)]
         ids = df.where(F.col("ts").isin(shared)).agg(F.percentile_approx("record_id", at, 10 * TIES).alias("cuts")).first()["cuts"]
-    df, known = df.withColumn("slice", F.lit(0)), F.array(*map(F.lit, cuts)).cast("array<long>")
+    df, known = df.withColumn("slice", F.lit(0)), _numbers(cuts)
     for k in range(len(cuts).bit_length() - 1, -1, -1):
         step = 1 << k
         df = df.withColumn("slice", F.when(F.get(known, F.col("slice") + step - 1) <= F.col("ts"), F.col("slice") + step).otherwise(F.col("slice")))
     if ids:
-        below = F.size(F.filter(F.array(*map(F.lit, ids)).cast("array<long>"), lambda c: c <= F.col("record_id")))
+        below = F.size(F.filter(_numbers(ids), lambda c: c <= F.col("record_id")))
         part = F.when(F.col("ts").isin(shared), F.when(F.col("record_id").isNull(), 0).otherwise(below)).otherwise(TIES)
         df = df.withColumn("slice", F.col("slice") * (TIES + 1) + part)
     return df
