@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from resonarium.operators import fourier, fusion, permutations, recursive
-from resonarium.queries import _blocks, query, rd
+from resonarium.operators import fourier, fusion, permutations, phase, recursive
+from resonarium.plans import summaries
+from resonarium.queries import STATES, _blocks, _states, query, rd
 from resonarium.sources import signals
 
 #: Hourly sums from the first event to the last: channel, idx, value; and their number.
@@ -145,3 +146,42 @@ SELECT 'a' AS block_x, 'b' AS block_y, {rd('ab')} AS similarity FROM k UNION ALL
 def rsa_pearson_blocks(spark, sf_dir):
     """Three whole blocks of 16 dimensions."""
     return fusion.representational_similarity(_blocks(spark, sf_dir), ["a", "b", "c"], compare="pearson")
+
+
+# ---- accounts of results ---------------------------------------------------
+
+
+@query(f"""WITH {STATES}, h AS (SELECT channel, state, -SUM(p * log2(p)) AS h FROM tp GROUP BY 1, 2), o AS (SELECT channel, state, COUNT(*) / 720.0e0 AS o FROM st GROUP BY 1, 2),
+e AS (SELECT o.channel, SUM(o.o * COALESCE(h.h, 0)) AS entropy FROM o LEFT JOIN h ON h.channel = o.channel AND h.state = o.state GROUP BY 1),
+s AS (SELECT channel, COUNT(*) AS steps, COUNT(DISTINCT state) AS k, AVG((state <> nxt)::INT) AS r FROM nx WHERE nxt IS NOT NULL GROUP BY 1)
+SELECT (row_number() OVER (ORDER BY channel) - 1)::INT AS position, channel || ': ' || steps || ' steps between ' || k || ' states, ' || printf('%.3f', r) || ' of them to another state, entropy ' || printf('%.3f', entropy) || ' bits' AS line FROM s JOIN e USING (channel)""")
+def summary_leida(spark, sf_dir):
+    s = _states(spark, sf_dir)
+    return summaries.transitions(phase.leida_transitions(s, ["channel"]), phase.leida_summary(s, 24.0, ["channel"]), "channel")
+
+
+@query(f"""WITH {DISTANCES}, k AS (SELECT corr(d0, d1) AS ab, corr(d0, d2) AS ac, corr(d1, d2) AS bc FROM d WHERE i > j)
+SELECT 0 AS position, 'distances of a and b: ' || printf('%.3f', ab) || ' alike' AS line FROM k UNION ALL SELECT 1, 'distances of a and c: ' || printf('%.3f', ac) || ' alike' FROM k UNION ALL SELECT 2, 'distances of b and c: ' || printf('%.3f', bc) || ' alike' FROM k""")
+def summary_similarity(spark, sf_dir):
+    return summaries.similarity(fusion.representational_similarity(_blocks(spark, sf_dir), ["a", "b", "c"], compare="pearson"))
+
+
+@query()
+def summary_fusion(spark, sf_dir):
+    """What each fusion of two blocks of 16 dimensions came to, one after the other."""
+    b = _blocks(spark, sf_dir)
+    told = [
+        summaries.joint_and_individual(fusion.jive(b, ["a", "b"])[1]),
+        summaries.factors(fusion.multiple_factor_analysis(b, ["a", "b"])[1]),
+        summaries.canonical(fusion.cca(b, "a", "b", ncomp=3)[1]),
+        summaries.components(fusion.pls_blocks(b, "a", "b")[1]),
+        summaries.shared_factors(fusion.cross_block_factor(b, ["a", "b"], 2)[1]),
+        summaries.fused(*fusion.fuse_blocks(b, ["a", "b"]), "zscore"),
+        summaries.association(fusion.rv_coefficient(b, "a", "b"), "rv", "RV coefficient"),
+        summaries.association(fusion.distance_correlation(b, "a", "b"), "dcor", "distance correlation"),
+    ]
+    out = None
+    for k, t in enumerate(told):
+        t = t.withColumn("position", F.col("position") + 10 * k)
+        out = t if out is None else out.unionByName(t)
+    return out
