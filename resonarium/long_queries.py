@@ -10,8 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from resonarium.operators import fourier, fusion, permutations, phase, recursive
-from resonarium.plans import summaries
-from resonarium.queries import STATES, _blocks, _states, query, rd
+from resonarium.plans import sql, summaries
+from resonarium.queries import SQL, STATES, _blocks, _states, query, rd
+from resonarium.queries import hourly as _hourly
 from resonarium.sources import signals
 
 #: Hourly sums from the first event to the last: channel, idx, value; and their number.
@@ -185,3 +186,25 @@ def summary_fusion(spark, sf_dir):
         t = t.withColumn("position", F.col("position") + 10 * k)
         out = t if out is None else out.unionByName(t)
     return out
+
+
+# ---- table functions of SQL ------------------------------------------------
+
+
+def _view(spark, sf_dir) -> str:
+    sql.register(spark)
+    _hourly(spark, sf_dir).createOrReplaceTempView("hourly_samples")
+    return sql.PAIRS.format(samples="hourly_samples")
+
+
+@query(SQL["coherence_magnitude"])
+def sql_coherence(spark, sf_dir):
+    pairs = _view(spark, sf_dir)
+    rows = spark.sql(f"SELECT * FROM coherence(24.0D, 64, TABLE({pairs}) PARTITION BY (recording, channel_x, channel_y) ORDER BY idx)")
+    return rows.drop("recording")
+
+
+@query(SQL["granger_order1"])
+def sql_granger(spark, sf_dir):
+    pairs = _view(spark, sf_dir)
+    return spark.sql(f"SELECT channel_x, channel_y, gc_xy, gc_yx FROM granger(1, TABLE({pairs}) PARTITION BY (recording, channel_x, channel_y) ORDER BY idx)")
