@@ -167,9 +167,10 @@ def grid_arrays(x: np.ndarray, y: np.ndarray, p, a, sr: float, method: str, n_bi
 def modulation_index(samples_x: DataFrame, samples_y: DataFrame, sr: float, phase_freqs, amp_freqs, phase_bw: float = 2, amp_bw: float = 10, method: str = "tort", n_bins: int = 18, n_surrogates: int = 199, surrogate: str = "timeshift", p_adjust: str = "BH", alpha: float = 0.05, seed: int = 0, order: int = 4, kind: str = "butter") -> DataFrame:
     """Rows (phase_freq, amp_freq, pac, p_value, p_adjusted, threshold, null_mean, null_sd, significant).
 
-    One surrogate of y a replicate serves the whole grid; replicates are rows
-    that carry a seed, not data, and the two signals go along once a task.
-    Draws depend on (seed, replicate) alone.
+    One surrogate of y a replicate serves the whole grid. Each replicate is a row
+    that carries its seed and both signals, so what is sent grows with the
+    replicates; both signals must fit a task. Draws depend on (seed, replicate)
+    alone.
     """
     if method not in METHODS[:3]:
         raise ValueError(f"method must be one of {METHODS[:3]}")
@@ -182,7 +183,7 @@ def modulation_index(samples_x: DataFrame, samples_y: DataFrame, sr: float, phas
     ship(spark)
     one = lambda df, name: pack(df.select(F.lit(0).alias("k"), "idx", "value"), ["k"], name=name)
     reps = spark.range(-1, n_surrogates).select(F.col("id").alias("rep"))
-    # the pair is one row; it meets every replicate
+    # the pair is one row, of which every replicate gets a copy
     rows = reps.repartition(max(1, min(n_surrogates + 1, 4 * spark.sparkContext.defaultParallelism)), "rep").crossJoin(one(samples_x, "x").join(one(samples_y, "y"), "k").select("x", "y"))
 
     def kernel(rep, x, y):

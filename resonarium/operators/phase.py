@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from resonarium.functions import filters
 from resonarium.operators.packed import correlation, map_rows, pack
+from resonarium.session import Scratch
 
 PAIR = ["recording", "channel_x", "channel_y"]
 EPS = float(np.finfo(float).eps)
@@ -128,7 +129,9 @@ def leida_states(samples: DataFrame, sr: float, band: tuple[float, float], n_sta
     from pyspark.ml.functions import array_to_vector
 
     v = leida_vectors(samples, sr, band, order, kind)
-    rows = v.groupBy("recording", "idx").agg(F.array_sort(F.collect_list(F.struct("channel", "v"))).alias("c")).select("recording", "idx", array_to_vector(F.col("c.v")).alias("features"))
+    rows = v.groupBy("recording", "idx").agg(F.array_sort(F.collect_list(F.struct("channel", "v"))).alias("c")).select("recording", "idx", F.col("c.v").alias("v"))
+    rows = Scratch(samples.sparkSession, "states").save(rows)  # every fit reads them, none makes them again
+    rows = rows.select("recording", "idx", array_to_vector("v").alias("features"))
     best = min((KMeans(k=n_states, seed=seed + r, initMode="random", featuresCol="features", predictionCol="cluster").fit(rows) for r in range(nstart)), key=lambda m: m.summary.trainingCost)
     order_of = sorted(range(len(best.clusterCenters())), key=lambda k: tuple(best.clusterCenters()[k]))
     place = F.element_at(F.array(*(F.lit(order_of.index(k) + 1) for k in range(len(order_of)))), F.col("cluster") + 1)
