@@ -60,12 +60,12 @@ def time_cuts(records: DataFrame, slices: int) -> list[int]:
 
 
 def _numbers(values: list[int]) -> Column:
-    """Whole numbers as one constant; a thousand literals in each projection would take the planner seconds."""
+    """Whole numbers as one constant; a thousand literals would take the planner seconds and the driver memory."""
     return F.from_json(F.lit(json.dumps(values)), "array<long>")
 
 
 def sliced(df: DataFrame, cuts: list[int]) -> DataFrame:
-    """df with slice: how many of the ascending `cuts` are at most ts, by halving; one projection a step.
+    """df with slice: how many of the ascending `cuts` are at most ts, by halving.
 
     Slices follow the order of (ts, record_id). A time that fills several cuts is
     the first of its slice and is cut on by the quantiles of its record ids.
@@ -75,10 +75,9 @@ def sliced(df: DataFrame, cuts: list[int]) -> DataFrame:
     if shared:
         at = [k / TIES for k in range(1, TIES)]
         ids = df.where(F.col("ts").isin(shared)).agg(F.percentile_approx("record_id", at, 10 * TIES).alias("cuts")).first()["cuts"]
-    df, known = df.withColumn("slice", F.lit(0)), _numbers(cuts)
-    for k in range(len(cuts).bit_length() - 1, -1, -1):
-        step = 1 << k
-        df = df.withColumn("slice", F.when(F.get(known, F.col("slice") + step - 1) <= F.col("ts"), F.col("slice") + step).otherwise(F.col("slice")))
+    known, steps = _numbers(cuts), F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
+    place = F.aggregate(steps, F.lit(0), lambda s, k: s + F.when(F.get(known, s + k - 1) <= F.col("ts"), k).otherwise(0)) if cuts else F.lit(0)
+    df = df.withColumn("slice", F.coalesce(place, F.lit(0)))
     if ids:
         below = F.size(F.filter(_numbers(ids), lambda c: c <= F.col("record_id")))
         part = F.when(F.col("ts").isin(shared), F.when(F.col("record_id").isNull(), 0).otherwise(below)).otherwise(TIES)
