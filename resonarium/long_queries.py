@@ -14,6 +14,7 @@ from resonarium.plans import sql, summaries
 from resonarium.queries import SQL, STATES, _blocks, _states, query, rd
 from resonarium.queries import hourly as _hourly
 from resonarium.sources import signals
+from resonarium.streaming import lagged
 
 #: Hourly sums from the first event to the last: channel, idx, value; and their number.
 OWN = """o_b AS (SELECT event_type AS channel, epoch_us(ts) // 3600000000 AS b, value FROM events WHERE ts IS NOT NULL),
@@ -208,3 +209,18 @@ def sql_coherence(spark, sf_dir):
 def sql_granger(spark, sf_dir):
     pairs = _view(spark, sf_dir)
     return spark.sql(f"SELECT channel_x, channel_y, gc_xy, gc_yx FROM granger(1, TABLE({pairs}) PARTITION BY (recording, channel_x, channel_y) ORDER BY idx)")
+
+
+# ---- streams ---------------------------------------------------------------
+
+
+@query(f"""WITH e AS (SELECT epoch_us(ts) // 3600000000 AS step, event_type = 'click' AS first, value FROM events WHERE event_type IN ('click', 'view') AND ts IS NOT NULL AND value IS NOT NULL),
+w AS (SELECT DISTINCT unnest(range(CEIL((step - 23) / 12.0)::BIGINT, step // 12 + 1)) AS win FROM e),
+v AS (SELECT step, SUM(CASE WHEN first THEN value ELSE 0 END) AS x, SUM(CASE WHEN first THEN 0 ELSE value END) AS y FROM e GROUP BY step),
+g AS (SELECT win, t, COALESCE(x, 0) AS x, COALESCE(y, 0) AS y FROM (SELECT win, unnest(range(24)) AS t FROM w) LEFT JOIN v ON step = win * 12 + t),
+p AS (SELECT a.win, l.lag, a.x, b.y FROM g a CROSS JOIN (SELECT unnest(range(-3, 4)) AS lag) l JOIN g b ON b.win = a.win AND b.t = a.t + l.lag)
+SELECT win, lag::INT AS lag, COUNT(*)::INT AS n, CASE WHEN stddev_pop(x) * stddev_pop(y) > 0 THEN {rd('covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y))')} END AS correlation FROM p GROUP BY win, lag""")
+def stream_lagged(spark, sf_dir):
+    """The stateful operator over a finished table, which gives what a stream of it does."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("event_type").alias("channel"), "value")
+    return lagged.lagged_correlation(events, "click", "view", 3600, 24, 12, 3)
