@@ -68,7 +68,7 @@ def test_null_and_repeated_ids_are_judged_by_row(spark, folder):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "mix", "shards"]
-    assert len(registry.QUERIES) == 10 and set(registry.SQL) <= set(registry.QUERIES)
+    assert len(registry.QUERIES) == 13 and set(registry.SQL) <= set(registry.QUERIES)
 
 
 def test_extra_columns_of_any_name_travel_along(spark, folder):
