@@ -176,3 +176,42 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["rank"] < len(BASE))
     scores = F.array_join(F.transform("spans", lambda x: F.round(x["score"], 2).cast("string")), ",")  # one for each of spans
     return found.select(F.col("id").alias("doc_id"), *map(count, BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), scores.alias("scores"))
+
+
+def _sql() -> str:
+    """The same over DuckDB: pieces and matches by the plain patterns, account numbers by word boundaries.
+
+    Its engine has no look-behind. A boundary there takes an underline for a
+    letter, so these are put out of the way first; context is put in lower case
+    before it is searched.
+    """
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b(?:" + "|".join(map(_account, sorted(LENGTHS))) + r")\b",
+    }
+    words = {k: v.removeprefix("(?i)") for k, v in CONTEXT.items()}
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = ", ".join(f"('{k}', {i}, '{plain[k]}', '{words[k]}', {SCORE[k]}e0)" for i, k in enumerate(KINDS))
+    counts = ", ".join(f"COUNT(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS t FROM documents),
+p AS (SELECT * FROM (VALUES {kinds}) v(kind, rank, pattern, words, base)),
+y AS (SELECT r, kind, rank, words, base, regexp_extract_all(CASE kind WHEN 'iban' THEN translate(t, '_', '-') ELSE t END, pattern) AS found, string_split_regex(CASE kind WHEN 'iban' THEN translate(t, '_', '-') ELSE t END, pattern) AS rest FROM d, p),
+u AS (SELECT r, kind, rank, words, base, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS m, unnest(rest[1:len(found)]) AS before, unnest(rest[2:len(found) + 1]) AS after FROM y WHERE len(found) > 0),
+x AS (SELECT *, SUM(length(m) + length(before)) OVER (PARTITION BY r, rank ORDER BY i)::BIGINT AS stop, regexp_replace(m, '[^0-9]', '', 'g') AS n,
+  regexp_matches(translate(right(before, {REACH}) || ' ' || left(after, {REACH}), '{upper}', '{upper.lower()}'), words) AS near FROM u),
+c AS (SELECT *, CASE kind WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda s: length(ltrim(s, '0')) > 3 OR COALESCE(TRY_CAST(NULLIF(right(ltrim(s, '0'), 4), '') AS INT), 0) > 255)) = 0
+  WHEN 'card' THEN length(n) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(n)), lambda k: CASE WHEN k % 2 = 0 THEN n[length(n) - k]::INT WHEN n[length(n) - k]::INT > 4 THEN 2 * n[length(n) - k]::INT - 9 ELSE 2 * n[length(n) - k]::INT END)) % 10 = 0
+  WHEN 'phone' THEN length(n) BETWEEN 10 AND 15
+  WHEN 'iban' THEN list_reduce([0] || list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda s: CASE WHEN s BETWEEN '0' AND '9' THEN ascii(s) - 48 ELSE ascii(s) - 55 END), lambda a, b: CASE WHEN b < 10 THEN (a * 10 + b) % 97 ELSE (a * 100 + b) % 97 END) = 1
+  ELSE TRUE END AS ok FROM x),
+s AS (SELECT r, kind, rank, stop - length(m) AS start, kind || ':' || (stop - length(m)) || ':' || stop AS span, round(base + CASE WHEN near THEN {CONTEXT_SCORE}e0 ELSE 0 END, 2)::VARCHAR AS score FROM c WHERE ok),
+b AS (SELECT r, {counts}, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans, string_agg(score, ',' ORDER BY start, rank) AS scores FROM s GROUP BY r)
+SELECT doc_id, {', '.join(f'COALESCE(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans, COALESCE(scores, '') AS scores FROM d LEFT JOIN b USING (r)
+"""
+
+
+OP8_SQL = _sql()

@@ -9,7 +9,7 @@ from resonarium.llm.langid import op2_langid
 from resonarium.llm.leaks import OP12_SQL, op12_secrets
 from resonarium.llm.lines import op5_lines
 from resonarium.llm.mixing import OP4_SQL, op4_mixing
-from resonarium.llm.pii import op8_pii
+from resonarium.llm.pii import OP8_SQL, op8_pii
 from resonarium.llm.sharding import op7_sharding
 from resonarium.llm.simhash import op6_simhash
 from resonarium.llm.substring import OP3_SQL, op3_substring
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_secrets": op12_secrets,
     "op13_filters": op13_filters,
 }
-SQL = {"op1_embeddings": OP1_SQL, "op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL, "op11_prefixes": OP11_SQL, "op12_secrets": OP12_SQL, "op13_filters": OP13_SQL}
+SQL = {"op1_embeddings": OP1_SQL, "op3_substring": OP3_SQL, "op4_mixing": OP4_SQL, "op8_pii": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL, "op11_prefixes": OP11_SQL, "op12_secrets": OP12_SQL, "op13_filters": OP13_SQL}
