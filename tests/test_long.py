@@ -230,3 +230,26 @@ def test_spectra_behind_the_peaks(spark):
     for r in spectral.coherence_spectra(df, 10.0, 64).collect():
         assert [s["bin"] for s in r["spectrum"]] == list(range(33)) and r["peak"] == max(s["coherence"] for s in r["spectrum"])
         assert all(s["coherence"] == pytest.approx(plain[r["channel_x"], r["channel_y"], s["bin"]]["coherence"]) for s in r["spectrum"])
+
+
+def test_lagged_sums_by_chunks(spark):
+    from resonarium.operators import timedom
+
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((500, 3)).cumsum(0)
+    signals = {c: x[:, k] for k, c in enumerate("abc")} | {"flat": np.full(500, 0.1)}
+    df = frame(spark, signals)
+    for max_lag, chunk in ((7, 40), (30, 20), (0, 64), (2000, 100), (12, 65_536)):
+        m = min(max_lag, 499)
+        got = {(r["channel_x"], r["channel_y"]): r["v"] for r in timedom.lagged_sums(df, max_lag, chunk).collect()}
+        assert len(got) == 6
+        for (p, q), v in got.items():
+            want = timedom.ccf(signals[p], signals[q], m, normalize=False) * 500
+            assert np.allclose(v[: 2 * m + 1], want, atol=1e-6) and v[-2] == pytest.approx(((signals[p] - signals[p].mean()) ** 2).sum())
+    rows = timedom.cross_correlation(df.where("channel != 'flat'"), 10.0, 5).collect()
+    assert len(rows) == 33
+    for r in rows:
+        assert r["correlation"] == pytest.approx(timedom.ccf(signals[r["channel_x"]], signals[r["channel_y"]], 5)[r["lag"] + 5], abs=1e-9) and r["lag_sec"] == r["lag"] / 10
+    unequal = frame(spark, {"a": x[:, 0], "b": x[:300, 1]})
+    got = [r["correlation"] for r in timedom.cross_correlation(unequal, 10.0, 3).orderBy("lag").collect()]
+    assert np.allclose(got, timedom.ccf(x[:, 0], x[:300, 1], 3))
