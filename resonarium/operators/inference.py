@@ -42,14 +42,16 @@ def adjusted(df: DataFrame, p: str, keys: list[str], method: str = "BH", name: s
         return (df.groupBy(*keys) if keys else df.groupBy()).applyInPandas(run, schema)
     order = F.when(F.col(p).isNotNull(), F.row_number().over(part.orderBy(F.col(p).asc_nulls_last())))
     ranked = df.withColumn("_r", order).withColumn("_m", m)
+    if method == "BY":
+        ranked = ranked.withColumn("_h", F.sum(1 / F.col("_r")).over(part))  # once for a group
     if method in ("holm",):
         value = F.max((F.col("_m") - F.col("_r") + 1) * F.col(p)).over(part.orderBy(F.col("_r").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
     else:
-        factor = {"BH": F.col("_m") / F.col("_r"), "fdr": F.col("_m") / F.col("_r"), "hochberg": F.col("_m") - F.col("_r") + 1, "BY": F.col("_m") / F.col("_r") * F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda s, i: s + 1 / i)}.get(method)
+        factor = {"BH": F.col("_m") / F.col("_r"), "fdr": F.col("_m") / F.col("_r"), "hochberg": F.col("_m") - F.col("_r") + 1, "BY": F.col("_m") / F.col("_r") * F.col("_h")}.get(method)
         if factor is None:
             raise ValueError(f"unknown method {method!r}")
         value = F.min(factor * F.col(p)).over(part.orderBy(F.col("_r").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), value))).drop("_r", "_m")
+    return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), value))).drop("_r", "_m", "_h")
 
 
 def shifted(samples: DataFrame, shifts: DataFrame, n: int) -> DataFrame:

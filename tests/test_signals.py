@@ -231,6 +231,18 @@ def test_adjustments_match_arrays(spark):
         assert all((g is None or np.isnan(g)) if np.isnan(w) else np.isclose(g, w) for g, w in zip(got, want)), m
 
 
+def test_by_adjustment_of_large_and_of_empty_groups(spark):
+    """The harmonic sum is made once for a group, not for each row; a group of nulls only has none."""
+    from resonarium.functions.resampling import adjust
+
+    p = [(k * 7919 % 40009 + 1) / 40010 for k in range(40000)]
+    df = spark.createDataFrame([("large", i, v) for i, v in enumerate(p)] + [("empty", i, None) for i in range(3)], "g string, i int, p double")
+    rows = inference.adjusted(df, "p", ["g"], "BY")
+    assert rows.columns == ["g", "i", "p", "p_adjusted"] and "sequence(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["g"], r["i"]): r["p_adjusted"] for r in rows.collect()}
+    assert np.allclose([got["large", i] for i in range(40000)], adjust(p, "BY")) and [got["empty", i] for i in range(3)] == [None] * 3
+
+
 @pytest.fixture(scope="module")
 def blocks(spark):
     rng = np.random.default_rng(6)
