@@ -8,12 +8,14 @@ scores are one more pass.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from resonarium.functions import fusion as M
 from resonarium.functions.resampling import rng_of
-from resonarium.operators.packed import centred, correlation, gram, local_frame, map_rows, project
+from resonarium.operators.packed import centred, correlation, gram, lists, local_frame, map_rows, project
+from resonarium.session import ship
 
 
 def block_sizes(df: DataFrame, blocks: list[str]) -> list[int]:
@@ -98,7 +100,7 @@ def coupled_nmf(df: DataFrame, x: str, y: str, rank: int, id_col: str = "obs_id"
 
 def coupled_nmf_rows(df: DataFrame, x: str, y: str, rank: int, id_col: str = "obs_id", max_iter: int = 100, seed: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(rows (id, w), Hx, Hy) with the rows of W left distributed: each iteration is one pass that updates W and sums W'X, W'Y, W'W."""
-    from resonarium.session import Scratch, ship
+    from resonarium.session import Scratch
 
     spark = df.sparkSession
     ship(spark)
@@ -141,63 +143,139 @@ def rv_coefficient(df: DataFrame, x: str, y: str, id_col: str = "obs_id", center
     return local_frame(df.sparkSession, [{"rv": rv, "n": n}], "rv double, n long")
 
 
-def _tiles(df: DataFrame, blocks: list[str], id_col: str, kernel, schema: str, metric: str = "euclidean", tile: int = 256) -> DataFrame:
-    """Rows that kernel(ids of rows, ids of columns, distances a block) gives for each tile of the blocks' distance matrices.
-
-    All n squared distances are computed, tile by tile, but only what the kernel
-    makes of a tile leaves its task.
+#: Rows a side of the pieces of a distance matrix that are held at once; least and most rows of a part of the observations, and parts wanted.
+SIDE, LEAST_PART, MOST_PART, PARTS = 512, 2048, 32768, 16
+#: Squared distances below this share of the largest squared norms are made anew from the differences, as sums of products cancel there.
+NEAR = 1e-6
+
+
+def _filler(a: np.ndarray, b: np.ndarray, metric: str, exact: bool):
+    """fill(i, j, out) writes the distances of the rows a[i] and b[j]; exact ones from differences, so that equal distances stay equal."""
+    if metric != "euclidean":
+        x, y = (v - v.mean(1, keepdims=True) for v in (a, b))
+        x, y = (v / np.sqrt((v**2).sum(1, keepdims=True)) for v in (x, y))
+        left, right = np.column_stack([-x, np.ones(len(x))]), np.ascontiguousarray(np.column_stack([y, np.ones(len(y))]).T)
+        return lambda i, j, out: np.matmul(left[i], right[:, j], out=out)
+    if exact:
+
+        def fill(i, j, out):
+            out[...] = 0
+            for k in range(a.shape[1]):
+                t = a[i, k][:, None] - b[j, k]
+                t *= t
+                out += t
+            np.sqrt(out, out=out)
+
+        return fill
+    middle = a.mean(0)
+    x, y = a - middle, b - middle
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    left, right = np.column_stack([-2 * x, nx, np.ones(len(x))]), np.ascontiguousarray(np.column_stack([y, np.ones(len(y)), ny]).T)
+
+    def fill(i, j, out):
+        np.matmul(left[i], right[:, j], out=out)
+        near = out <= NEAR * (nx[i].max() + ny[j].max())
+        if near.any():
+            u, v = np.nonzero(near)
+            out[u, v] = ((a[i][u] - b[j][v]) ** 2).sum(1)
+        np.sqrt(out, out=out)
+
+    return fill
+
+
+def _pieces(left: list[np.ndarray], right: list[np.ndarray], same: bool, metric: str, exact: bool):
+    """(i, j, distances a block) of pieces of SIDE x SIDE; of the same rows on both sides those on and below the diagonal. Arrays hold until the next piece."""
+    if not len(left[0]) or not len(right[0]):
+        return
+    with np.errstate(all="ignore"):
+        fill = [_filler(a, b, metric, exact) for a, b in zip(left, right)]
+        room = [np.empty(SIDE * SIDE) for _ in fill]
+        for i in range(0, len(left[0]), SIDE):
+            for j in range(0, i + 1 if same else len(right[0]), SIDE):
+                at, to = slice(i, min(i + SIDE, len(left[0]))), slice(j, min(j + SIDE, len(right[0])))
+                shape = at.stop - i, to.stop - j
+                d = [r[: shape[0] * shape[1]].reshape(shape) for r in room]
+                for f, out in zip(fill, d):
+                    f(at, to, out)
+                yield at, to, d
+
+
+def _tiles(df: DataFrame, blocks: list[str], id_col: str, kernel, schema: str, metric: str = "euclidean", tile: int | None = None, exact: bool = False) -> DataFrame:
+    """Rows of the tables that kernel(number, ids of rows, ids of columns, same, pieces) gives for each tile of the blocks' distance matrices.
+
+    Observations are dealt into parts of `tile` rows; each two parts meet in one
+    task, once, and a part meets itself (same), its rows in order of id. All
+    distances are computed, piece by piece, but only what the kernel makes of
+    them leaves its task. Each row travels once for each part.
     """
     n = df.count()
-    parts = max(1, -(-n // tile))
+    parts = max(1, -(-n // tile) if tile else max(min(-(-n // LEAST_PART), PARTS), -(-n // MOST_PART)))
     part = F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int")
-    packed = df.select(part.alias("part"), F.struct(F.col(id_col).cast("long").alias("id"), *(F.col(b).cast("array<double>").alias(f"b{k}") for k, b in enumerate(blocks))).alias("r")).groupBy("part").agg(F.collect_list("r").alias("r"))
-    cols = ["ids", *(f"b{k}" for k in range(len(blocks)))]
-    flat = packed.select("part", F.col("r.id").alias("ids"), *(F.flatten(f"r.b{k}").alias(f"b{k}") for k in range(len(blocks))))
-    left, right = flat.select(*(F.col(c).alias(f"{c}_l") for c in cols), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")), flat.select("part", *(F.col(c).alias(f"{c}_r") for c in cols))
-
-    def run(ids_l, ids_r, **row):
-        ids_l, ids_r = np.asarray(ids_l).astype(int), np.asarray(ids_r).astype(int)
-        d = []
-        for k in range(len(blocks)):
-            a, b = np.reshape(row[f"b{k}_l"], (len(ids_l), -1)), np.reshape(row[f"b{k}_r"], (len(ids_r), -1))
-            if metric == "euclidean":
-                d.append(np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(2), 0)))
-            else:
-                za, zb = (v - v.mean(1, keepdims=True) for v in (a, b))
-                d.append(1 - (za @ zb.T) / np.outer(np.sqrt((za**2).sum(1)), np.sqrt((zb**2).sum(1))))
-        return kernel(ids_l, ids_r, d)
+    rows = df.select(part.alias("part"), F.col(id_col).cast("long").alias("id"), *(F.col(b).cast("array<double>").alias(f"b{k}") for k, b in enumerate(blocks)))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = met.select(F.least("part", "other").alias("l"), F.greatest("part", "other").alias("r"), (F.col("other") < F.col("part")).alias("far"), "id", *(f"b{k}" for k in range(len(blocks))))
+    ship(df.sparkSession)
 
-    return map_rows(left.join(right, "part").select(*(f"{c}_l" for c in cols), *(f"{c}_r" for c in cols)), run, schema)
+    def run(table):
+        ids, far = np.asarray(table.column("id")), np.asarray(table.column("far"))
+        order = np.argsort(ids, kind="stable")
+        l, r = table.column("l")[0].as_py(), table.column("r")[0].as_py()
+        at, to = order[~far[order]], order[far[order]]
+        if l == r:
+            to = at
+        m = [np.asarray(table.column(f"b{k}").combine_chunks().flatten(), float).reshape(len(ids), -1) for k in range(len(blocks))]
+        left = [x[at] for x in m]
+        return kernel(l * parts + r, ids[at], ids[to], l == r, _pieces(left, left if l == r else [x[to] for x in m], l == r, metric, exact))
 
+    return met.repartition(parts * (parts + 1) // 2, "l", "r").groupBy("l", "r").applyInArrow(run, schema)
 
-def _distances(df: DataFrame, blocks: list[str], id_col: str, metric: str = "euclidean", tile: int = 256) -> DataFrame:
-    """Rows (i, j, d0, d1, ..) for all ordered pairs of observations; inherently n squared values, which ranks need."""
 
-    def kernel(ids_l, ids_r, d):
-        for i, u in enumerate(ids_l):
-            yield {"i": u, "j": ids_r, "d": np.stack(d, 1)[i].ravel()}
+def _below(ids_l: np.ndarray, ids_r: np.ndarray, same: bool, at: slice, to: slice, d: list[np.ndarray]) -> list[np.ndarray]:
+    """The piece's distances of pairs that are to be counted, each unordered pair of different ids once."""
+    if not same or ids_l[at.start] > ids_r[to.stop - 1]:
+        return [x.ravel() for x in d]
+    below = ids_l[at, None] > ids_r[None, to]
+    return [x[below] for x in d]
 
-    rows = _tiles(df, blocks, id_col, kernel, "i long, j array<long>, d array<double>", metric, tile)
-    m = len(blocks)
-    each = F.transform(F.col("j"), lambda v, k: F.struct(v.alias("j"), *(F.get("d", k + F.size("j") * b).alias(f"d{b}") for b in range(m))))
-    return rows.select("i", F.explode(each).alias("z")).select("i", "z.*")
 
+def _distances(df: DataFrame, blocks: list[str], id_col: str, metric: str = "euclidean") -> DataFrame:
+    """Rows (d0, d1, ..) for all pairs of different observations; for tables whose n squared values may be rows."""
+
+    def kernel(number, ids_l, ids_r, same, pieces):
+        found = [[x.copy() for x in _below(ids_l, ids_r, same, at, to, d)] for at, to, d in pieces]
+        return pa.table({f"d{k}": np.concatenate([np.zeros(0), *(x[k] for x in found)]) for k in range(len(blocks))})
 
-def distance_correlation(df: DataFrame, x: str, y: str, id_col: str = "obs_id", tile: int = 256) -> DataFrame:
+    return _tiles(df, blocks, id_col, kernel, ", ".join(f"d{k} double" for k in range(len(blocks))), metric, exact=True)
+
+
+def distance_correlation(df: DataFrame, x: str, y: str, id_col: str = "obs_id", tile: int | None = None) -> DataFrame:
     """One row (dcor, dcov, n). Double centring needs row means and cross sums only: mean AB = mean ab - 2 mean(a_i b_i) + mean a mean b.
 
-    A tile leaves five sums for each of its rows, so n squared / tile rows meet.
+    A tile leaves two sums for each of its rows and three for itself, which its first row carries.
     """
     names = ["a", "b", "ab", "aa", "bb"]
 
-    def kernel(ids_l, ids_r, d):
-        a, b = d
-        sums = np.stack([m.sum(1) for m in (a, b, a * b, a * a, b * b)], 1)
-        return [{"i": i, "m": len(ids_r)} | dict(zip(names, row)) for i, row in zip(ids_l, sums)]
+    def kernel(number, ids_l, ids_r, same, pieces):
+        rows, cols, whole = np.zeros((2, len(ids_l))), np.zeros((2, len(ids_r))), np.zeros(3)
+        for at, to, (a, b) in pieces:
+            both = not same or at != to
+            for k, d in enumerate((a, b)):
+                rows[k, at] += d.sum(1)
+                if both:
+                    cols[k, to] += d.sum(0)
+            whole += (1 + both) * np.array([np.vdot(a, b), np.vdot(a, a), np.vdot(b, b)])
+        if same:
+            ids, sums, m = ids_l, rows + cols, np.full(len(ids_l), len(ids_l))
+        else:
+            ids, sums, m = np.concatenate([ids_l, ids_r]), np.hstack([rows, cols]), np.repeat([len(ids_r), len(ids_l)], [len(ids_l), len(ids_r)])
+        first = np.zeros((3, len(ids)))
+        first[:, 0] = whole
+        return pa.table(dict(zip(["i", "m", *names], [ids, m, *sums, *first])))
 
     rows = _tiles(df, [x, y], id_col, kernel, "i long, m long, " + ", ".join(f"{c} double" for c in names), tile=tile)
-    by_row = rows.groupBy("i").agg(*((F.sum(c) / F.sum("m")).alias(c) for c in names))
-    t = by_row.agg(F.count("*").alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"), *(F.avg(c).alias(c) for c in ("ab", "aa", "bb")), F.avg(F.col("a") * F.col("b")).alias("rab"), F.avg(F.col("a") ** 2).alias("raa"), F.avg(F.col("b") ** 2).alias("rbb"))
+    by_row = rows.groupBy("i").agg(F.sum("m").alias("m"), *(F.sum(c).alias(c) for c in names))
+    mean = lambda v: F.sum(v) / F.sum("m")
+    t = by_row.agg(F.count("*").alias("n"), *(mean(c).alias(c) for c in names), *(mean(F.col(u) * F.col(v) / F.col("m")).alias(f"r{u}{v}") for u, v in ("ab", "aa", "bb")))
     cov = lambda m, r, u, v: F.greatest(F.lit(0.0), F.col(m) - 2 * F.col(r) + F.col(u) * F.col(v))
     t = t.select("n", F.sqrt(cov("ab", "rab", "a", "b")).alias("dcov"), F.sqrt(F.sqrt(cov("aa", "raa", "a", "a")) * F.sqrt(cov("bb", "rbb", "b", "b"))).alias("den"))
     return t.select(F.when(F.col("den") > 0, F.least(F.lit(1.0), F.col("dcov") / F.col("den"))).otherwise(0.0).alias("dcor"), "dcov", "n")
@@ -256,7 +334,7 @@ def representational_similarity(df: DataFrame, blocks: list[str], id_col: str =
     elif compare == "spearman":
         from resonarium.session import Scratch
 
-        d = Scratch(df.sparkSession, "ranks").save(_distances(df, blocks, id_col, method).where("i > j"))  # read once for each block and once for the join
+        d = Scratch(df.sparkSession, "ranks").save(_distances(df, blocks, id_col, method))  # read once for each block and once for the join
         for k in range(len(blocks)):
             d = d.join(average_ranks(d, f"d{k}").withColumnRenamed("rank", f"r{k}"), f"d{k}")
         one = d.agg(*(correlation(f"r{i}", f"r{j}").alias(f"s{i}_{j}") for i, j in pairs))
@@ -266,16 +344,25 @@ def representational_similarity(df: DataFrame, blocks: list[str], id_col: str =
 
 
 def _similar_by_tiles(df: DataFrame, blocks: list[str], pairs, id_col: str, metric: str) -> DataFrame:
-    """One row of correlations of the distances below the diagonal. A tile leaves its count, means and products about these; tiles are put together exactly."""
+    """One row of correlations of the distances below the diagonal. A tile leaves its count, means and products about these; pieces and tiles are put together exactly."""
     m = len(blocks)
 
-    def kernel(ids_l, ids_r, d):
-        below = ids_l[:, None] > ids_r[None, :]
-        if below.any():
-            v = np.stack([x[below] for x in d])
-            mean = v.mean(1)
-            c = v - mean[:, None]
-            yield {"n": int(v.shape[1]), "mean": mean, "p": (c @ c.T).ravel()}
+    def kernel(number, ids_l, ids_r, same, pieces):
+        n, mean, p = 0, np.zeros(m), np.zeros((m, m))
+        for at, to, d in pieces:
+            v = _below(ids_l, ids_r, same, at, to, d)
+            k = len(v[0])
+            if k:
+                here = np.array([x.sum() / k for x in v])
+                for x, c in zip(v, here):
+                    x -= c
+                apart = here - mean
+                for i in range(m):
+                    for j in range(i, m):
+                        p[i, j] += v[i] @ v[j] + apart[i] * apart[j] * n * k / (n + k)
+                n, mean = n + k, mean + apart * k / (n + k)
+        p = np.triu(p) + np.triu(p, 1).T
+        return pa.table({"n": pa.array([n] if n else [], pa.int64()), "mean": lists([mean] if n else []), "p": lists([p] if n else [])})
 
     rows = _tiles(df, blocks, id_col, kernel, "n long, mean array<double>, p array<double>", metric)
     total, at = F.sum("n"), lambda k: F.sum(F.col("n") * F.get("mean", F.lit(k)))
