@@ -95,8 +95,9 @@ def permuted_rv(df: DataFrame, x: str, y: str, id_col: str = "obs_id", permutati
                     yield pa.RecordBatch.from_arrays([pa.array(to // BLOCK), pa.array(np.full(len(i), rep, np.int32)), pa.array(to), b.column(1)], names=["block", "rep", "to", "y"])
 
         sent = rows.select("i", "y").mapInArrow(deal, "block long, rep int, to long, y array<double>")
+        sent = sent.repartition("block")  # the one exchange: grouping and join go by it
         sent = sent.groupBy("block", "rep").agg(F.array_sort(F.collect_list(F.struct("to", "y"))).alias("s")).select("block", "rep", F.flatten("s.y").alias("y"))
-        met = blocks.join(sent, "block").select("rep", "x", "y")
+        met = blocks.hint("merge").join(sent, "block").select("rep", "x", "y")  # blocks are the whole table: never sent to the driver as a broadcast
 
         def products(batches):
             from pyspark import TaskContext

@@ -61,3 +61,11 @@ def test_p_values(spark):
         assert r["permutations"] == 99 and least <= r["p_value"] <= most
     flat = blocks(spark, 50, 1)[2].withColumn("y", F.array(F.lit(1.0), F.lit(2.0)))
     assert {r["rv"] for r in P.permuted_rv(flat, "x", "y", permutations=2).collect()} == {None}
+
+
+def test_blocks_are_never_broadcast(spark):
+    """Adaptive plans take small blocks for a broadcast by the size that they have after compression."""
+    df = blocks(spark, 3000, 0.5)[2]
+    rows = P.permuted_rv(df, "x", "y", permutations=3)
+    assert len(rows.collect()) == 4
+    assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
