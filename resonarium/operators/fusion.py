@@ -282,7 +282,15 @@ def distance_correlation(df: DataFrame, x: str, y: str, id_col: str = "obs_id",
 
 
 def association_p(df: DataFrame, x: str, y: str, which: str = "rv", id_col: str = "obs_id", permutations: int = 199, seed: int = 0) -> DataFrame:
-    """One row (statistic, p_value): rows of y permuted, one permutation a task row. which: rv, dcor, or rsa (Mantel, Spearman)."""
+    """One row (statistic, p_value): rows of y permuted. which: rv, dcor, or rsa (Mantel, Spearman).
+
+    For rv a task row draws the numbers of a permutation and no task holds all
+    rows; for the others a permutation's task row holds both blocks.
+    """
+    if which == "rv":
+        from resonarium.operators.permutations import drawn, rv_test
+
+        return rv_test(df, x, y, id_col, permutations, seed, drawn(seed)).select(F.col("rv").alias("statistic"), "p_value")
     both = df.agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y")))).alias("r"))
     both = both.select(F.size("r").alias("n"), F.flatten("r.x").alias("xs"), F.flatten("r.y").alias("ys"), F.explode(F.sequence(F.lit(-1), F.lit(permutations - 1))).alias("rep"))
 
@@ -297,10 +305,7 @@ def association_p(df: DataFrame, x: str, y: str, which: str = "rv", id_col: str
         a, b = np.reshape(xs, (n, -1)), np.reshape(ys, (n, -1))
         if rep >= 0:
             b = b[rng_of(seed, rep).permutation(n)]
-        if which == "rv":
-            a, b = a - a.mean(0), b - b.mean(0)
-            stat = ((a.T @ b) ** 2).sum() / np.sqrt(((a.T @ a) ** 2).sum() * ((b.T @ b) ** 2).sum())
-        elif which == "dcor":
+        if which == "dcor":
             u, v = distances(a), distances(b)
             u, v = (m - m.mean(0) - m.mean(1)[:, None] + m.mean() for m in (u, v))
             den = np.sqrt(np.sqrt((u * u).mean()) * np.sqrt((v * v).mean()))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from resonarium.functions.resampling import rng_of
 from resonarium.operators.fusion import block_sizes
 from resonarium.operators.packed import gram, lists, map_groups
 from resonarium.session import Scratch, ship
@@ -62,10 +63,44 @@ def moved(i: np.ndarray, n: int, seed: int, rep: int) -> np.ndarray:
     return out
 
 
-def permuted_rv(df: DataFrame, x: str, y: str, id_col: str = "obs_id", permutations: int = 199, seed: int = 0) -> DataFrame:
+def drawn(seed: int):
+    """The permutations of numpy's generator: places(n, rep), a task row each; 8 bytes for each row of the table."""
+
+    def places(n: int, rep: int) -> np.ndarray:
+        to = np.arange(n)
+        to[rng_of(seed, rep).permutation(n)] = np.arange(n)
+        return to
+
+    return places
+
+
+def _dealt(rows: DataFrame, n: int, reps: range, places) -> DataFrame:
+    """Rows (block, rep, to, y) under permutations that a task draws whole: their pieces meet the rows that they place."""
+    spark = rows.sparkSession
+
+    def draw(batches):
+        for b in batches:
+            for rep in b.column(0).to_pylist():
+                to = places(n, rep) if rep >= 0 else np.arange(n)
+                for first in range(0, n, BLOCK):
+                    yield pa.RecordBatch.from_arrays([pa.array([first // BLOCK]), pa.array([rep], pa.int32()), pa.array([to[first : first + BLOCK]], pa.list_(pa.int64()))], names=["own", "rep", "to"])
+
+    def deal(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                y, to = np.asarray(b.column(0)[r].values, float), np.asarray(b.column(2)[r].values)
+                values = pa.FixedSizeListArray.from_arrays(pa.array(y), len(y) // len(to)).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(to // BLOCK), pa.array(np.full(len(to), b.column(1)[r].as_py(), np.int32)), pa.array(to), values], names=["block", "rep", "to", "y"])
+
+    pieces = spark.range(reps.start, reps.stop, 1, len(reps)).mapInArrow(draw, "own long, rep int, to array<long>")
+    own = rows.groupBy(F.floor(F.col("i") / BLOCK).alias("own")).agg(F.array_sort(F.collect_list(F.struct("i", "y"))).alias("s")).select("own", F.flatten("s.y").alias("y"))
+    return own.hint("merge").join(pieces, "own").select("y", "rep", "to").mapInArrow(deal, "block long, rep int, to long, y array<double>")
+
+
+def permuted_rv(df: DataFrame, x: str, y: str, id_col: str = "obs_id", permutations: int = 199, seed: int = 0, places=None) -> DataFrame:
     """Rows (rep, rv): the RV coefficient as observed (rep -1) and with the rows of y permuted, `permutations` times.
 
-    Only the sums of products of x with y change; the others are made once. Ids
+    places(n, rep), where given, says where the rows go instead of the keyed bijections. Only the sums of products of x with y change; the others are made once. Ids
     must not be null, and blocks must be of equal sizes in all rows.
     """
     if permutations < 1:
@@ -94,7 +129,7 @@ def permuted_rv(df: DataFrame, x: str, y: str, id_col: str = "obs_id", permutati
                     to = i if rep < 0 else moved(i, n, seed, rep)
                     yield pa.RecordBatch.from_arrays([pa.array(to // BLOCK), pa.array(np.full(len(i), rep, np.int32)), pa.array(to), b.column(1)], names=["block", "rep", "to", "y"])
 
-        sent = rows.select("i", "y").mapInArrow(deal, "block long, rep int, to long, y array<double>")
+        sent = rows.select("i", "y").mapInArrow(deal, "block long, rep int, to long, y array<double>") if places is None else _dealt(rows, n, reps, places)
         sent = sent.repartition("block")  # the one exchange: grouping and join go by it
         sent = sent.groupBy("block", "rep").agg(F.array_sort(F.collect_list(F.struct("to", "y"))).alias("s")).select("block", "rep", F.flatten("s.y").alias("y"))
         met = blocks.hint("merge").join(sent, "block").select("rep", "x", "y")  # blocks are the whole table: never sent to the driver as a broadcast
@@ -120,8 +155,8 @@ def permuted_rv(df: DataFrame, x: str, y: str, id_col: str = "obs_id", permutati
     return map_groups(total, lambda g, **_: [{"rv": float((g**2).sum() / scale) if scale > 0 else None}], "rv double", ["rep"], [])
 
 
-def rv_test(df: DataFrame, x: str, y: str, id_col: str = "obs_id", permutations: int = 199, seed: int = 0) -> DataFrame:
+def rv_test(df: DataFrame, x: str, y: str, id_col: str = "obs_id", permutations: int = 199, seed: int = 0, places=None) -> DataFrame:
     """One row (rv, p_value, permutations): how often a permuted pairing reaches the observed one, itself counted."""
-    rows = permuted_rv(df, x, y, id_col, permutations, seed)
+    rows = permuted_rv(df, x, y, id_col, permutations, seed, places)
     one = rows.agg(F.max(F.when(F.col("rep") < 0, F.col("rv"))).alias("rv"), F.array_sort(F.collect_list(F.when(F.col("rep") >= 0, F.col("rv")))).alias("null"))
     return one.select("rv", ((F.size(F.filter("null", lambda v: v >= F.col("rv"))) + 1) / (F.size("null") + 1)).alias("p_value"), F.size("null").alias("permutations"))

@@ -69,3 +69,21 @@ def test_blocks_are_never_broadcast(spark):
     rows = P.permuted_rv(df, "x", "y", permutations=3)
     assert len(rows.collect()) == 4
     assert "BroadcastExchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rv_association_holds_no_table_in_a_task(spark, monkeypatch):
+    """The draws are those of the array form: b[rng.permutation(n)]."""
+    from resonarium.functions.resampling import rng_of
+    from resonarium.operators import fusion
+
+    monkeypatch.setattr(P, "BLOCK", 64)
+    x, y, df = blocks(spark, 300, 0.05)
+    a, b = x - x.mean(0), y - y.mean(0)
+    stats = [((a.T @ z) ** 2).sum() for z in [b, *(b[rng_of(2, rep).permutation(300)] for rep in range(39))]]
+    got = fusion.association_p(df, "x", "y", "rv", permutations=39, seed=2)
+    assert "named_struct(id," not in got._jdf.queryExecution().optimizedPlan().toString()
+    r = got.first()
+    assert r["p_value"] == (1 + sum(s >= stats[0] for s in stats[1:])) / 40
+    assert r["statistic"] == pytest.approx(stats[0] / np.sqrt(((a.T @ a) ** 2).sum() * ((b.T @ b) ** 2).sum()))
+    places = P.drawn(2)(300, 5)
+    assert np.array_equal(b[rng_of(2, 5).permutation(300)][places], b)
