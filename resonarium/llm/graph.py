@@ -25,7 +25,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", m
     e = scratch.save(e)
     seen = None
     for _ in range(most_rounds):
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFFFFF)))).first())
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())  # edges are distinct; a sum of hashes overflows at a million
         if now == seen or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         seen = now

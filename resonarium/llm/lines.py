@@ -524,7 +524,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     blocks = scratch.save_by(line_blocks(docs, id_col, text_col), "block")
     found = scratch.save(places(blocks))
     lines = scratch.save(found.groupBy("h").agg(F.sum("n").alias("times"), F.min("block").alias("home"), F.min("place").alias("place")))
-    member = scratch.save(members(blocks, shared_bands(blocks, parts_for(blocks, F.octet_length("h") * BANDS))))
+    member = scratch.save(members(blocks, shared_bands(blocks, parts_for(blocks, F.octet_length("h").cast("long") * BANDS))))
     roots = joined(member, lines.select("h", "times", "home"), blocks, scratch, similarity, cell, few).withColumnRenamed("node", "h")
     named = scratch.save(lines.select("h", "place", "times").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
     least = named.groupBy("root").agg(F.min("place").alias("first"), F.sum("times").alias("all")).where(F.col("all") > 1)

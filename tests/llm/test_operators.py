@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from resonarium.llm import decontaminate, embeddings, langid, lines, mixing, pii, sharding, simhash, substring, warc
+from resonarium.llm.graph import components
+from resonarium.session import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, size int, fp string, spans int"
 
@@ -583,3 +585,11 @@ def test_long_words_of_like_bytes_stay_apart():
     starts, ends, _ = kernels.word_bounds(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     codes = kernels.word_codes(np.frombuffer(text, np.uint8), starts, ends)
     assert codes[0] != codes[1]
+
+
+def test_components_of_more_edges_than_a_sum_of_hashes_holds(spark):
+    n = 1_100_000  # a sum of 44-bit hashes overflows at about 1,048,576 edges
+    edges = spark.range(n).selectExpr("2 * id as a", "2 * id + 1 as b").union(spark.range(9).selectExpr("2 * id as a", "2 * id + 2 as b"))
+    found = components(edges, Scratch(spark, "many"))
+    assert found.count() == 2 * n
+    assert found.agg(F.count_distinct("root")).first()[0] == n - 9 and found.where("node <= 19").agg(F.max("root")).first()[0] == 0
