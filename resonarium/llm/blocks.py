@@ -84,7 +84,7 @@ def parts_for(blocks: DataFrame, fingerprint_bytes: Column) -> int:
     return max(4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
 
 
-def ask(entries: Callable, blocks: DataFrame, verdict: Callable, parts: int, width: int = 8) -> DataFrame:
+def ask(entries: Callable, blocks: DataFrame, verdict: Callable, parts: int, width: int = 8, small: bool = False) -> DataFrame:
     """Rows (block, answer[, vals]): packed fingerprints of the block for which `verdict` holds, with their values.
 
     entries(batches) yields each block's number with its distinct fingerprints
@@ -93,30 +93,31 @@ def ask(entries: Callable, blocks: DataFrame, verdict: Callable, parts: int, wid
     verdict(fingerprints, values, owners) gets all entries of a bucket in order
     of fingerprint and gives a mask. Buckets are as many as `parts`; one holds
     the share 1/parts of all blocks' distinct fingerprints. width: how many low
-    bytes of a fingerprint are sent; the others are zero.
+    bytes of a fingerprint are sent; the others are zero. small: values are sent in
+    as few bytes as the largest of a bucket needs, instead of being compressed.
     """
     names = ["bucket", "block", "fps", "vals", "sure"]
-    packed = lambda x: pa.compress(x, codec="zstd", asbytes=True)  # noqa: E731  values of one block lie close together
+    packed, unpacked = (narrowed, widest) if small else (deflated, inflated)
 
     def send(batches):
         for number, found, *sure in entries(batches):
             fps = found[0]
-            bucket = (K.mixed(fps) % np.uint64(parts)).astype(np.int64)
+            bucket = (K.mixed(fps) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # short numbers are sorted by radix
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=parts))])
             keep = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
             narrow = fps[order].view(np.uint8).reshape(-1, 8)[:, :width]
             cols = [[narrow[cuts[k] : cuts[k + 1]].tobytes() for k in keep]]
             if len(found) == 2:
                 values = found[1][order]
-                cols.append([packed(values[cuts[k] : cuts[k + 1]].tobytes()) for k in keep])
+                cols.append([packed(values[cuts[k] : cuts[k + 1]]) for k in keep])
             else:
                 cols.append([None] * len(keep))
             flags = [False] * len(keep)
             if sure and len(sure[0][0]):
                 keep, flags = [*keep, number % parts], [*flags, True]
                 cols[0].append(sure[0][0].view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
-                cols[1].append(packed(sure[0][1].tobytes()))
+                cols[1].append(packed(sure[0][1]))
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([number] * len(keep), pa.int64()), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(flags)], names=names)
 
@@ -128,7 +129,7 @@ def ask(entries: Callable, blocks: DataFrame, verdict: Callable, parts: int, wid
         sizes = np.array([len(x) for x in each], np.int64)
         fps = np.concatenate([np.zeros(0, np.uint64), *each])
         vals = table.column("vals").to_pylist()
-        values = np.concatenate([np.frombuffer(pa.decompress(x, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64) for x, n in zip(vals, sizes.tolist())]) if vals and vals[0] is not None else None
+        values = np.concatenate([unpacked(x, n) for x, n in zip(vals, sizes.tolist())]) if vals and vals[0] is not None else None
         owner = np.repeat(np.arange(len(each)), sizes)
         order = np.argsort(fps)
         fps, owner = fps[order], owner[order]
@@ -143,13 +144,32 @@ def ask(entries: Callable, blocks: DataFrame, verdict: Callable, parts: int, wid
             cols.append([None] * len(cols[0]))
         else:
             values = values[order]
-            cols.append([packed(values[cuts[k] : cuts[k + 1]].tobytes()) for k in keep] + sure.column("vals").to_pylist())
+            cols.append([packed(values[cuts[k] : cuts[k + 1]]) for k in keep] + sure.column("vals").to_pylist())
         return pa.table({"block": pa.array(cols[0], pa.int64()), "answer": pa.array(cols[1], pa.binary()), "vals": pa.array(cols[2], pa.binary())})
 
     sent = blocks.mapInArrow(send, "bucket int, block long, fps binary, vals binary, sure boolean")
     return sent.groupBy("bucket").applyInArrow(reply, "block long, answer binary, vals binary")
 
 
+def deflated(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)  # values of one block lie close together
+
+
+def inflated(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
+
+
+def narrowed(values: np.ndarray) -> bytes:
+    """int64 values in as few low bytes as all of them need; the first byte is their number."""
+    width = 8 if len(values) and values.min() < 0 else max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widest(packed: bytes, n: int) -> np.ndarray:
+    """What `narrowed` was given."""
+    return widened(packed[1:], packed[0]).view(np.int64)
+
+
 def widened(packed: bytes, width: int) -> np.ndarray:
     """Fingerprints of which the low `width` bytes are given."""
     out = np.zeros((len(packed) // width, 8), np.uint8)

@@ -44,14 +44,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from resonarium.llm import kernels as K
-from resonarium.llm.blocks import LAST, ask, parts_for
+from resonarium.llm.blocks import LAST, ask, parts_for, widest
 from resonarium.llm.graph import components
 from resonarium.session import Scratch, ship
 
 SIMILARITY, SHINGLE, CELL = 0.8, 5, 2048
 #: Lines of a bucket whose pairs become rows; characters of a side of a cell.
-FEW_LINES, CELL_CHARS = 64, 1_000_000
-#: Pairs of lines that share a shingle: counted one by one up to so many a shingle, by matrix product beyond, in so many columns, pairs or rows at once.
+FEW_LINES, CELL_CHARS = 24, 1_000_000
+#: Pairs of lines that share a shingle: counted one by one up to so many a shingle (fewer in small cells), by matrix product beyond, in so many columns, pairs or rows at once.
 LISTED, COLUMNS, LISTED_AT_ONCE, ROWS = 1 << 14, 1024, 1 << 20, 256
 WIDTH, BANDS = 6, 32
 BINS = WIDTH * BANDS
@@ -60,7 +60,8 @@ FEW, FEW_APART = 64, 84
 SLICE_BYTES = 2_000_000
 #: Distinct lines and characters that are sketched at once.
 SKETCH_LINES, SKETCH_CHARS = 1 << 18, 1 << 21
-LOW = np.uint64((1 << 44) - 1)
+#: An empty bin; MinHashes have 44 bits.
+NONE = np.int64(1 << 44)
 #: Bytes of a band's key that are kept.
 KEY_BYTES = 5
 
@@ -93,50 +94,87 @@ def starts_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[ok], owner[ok]
 
 
-def minima(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """MinHashes (lines x BINS, all filled) and numbers of distinct shingles."""
+def minima(lines: list[str], counted: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """MinHashes (lines x BINS, all filled) and, if counted, numbers of distinct shingles."""
     cps, offsets = code_points(lines)
     x = cps.astype(np.uint64)
     n = len(x) - SHINGLE + 1
-    h = scattered(sum(x[k : k + n] * PLACE[k] for k in range(SHINGLE)))
-    at, owner = starts_of(offsets)
-    keys = np.sort((owner.astype(np.uint64) << np.uint64(44)) | (h[at] >> np.uint64(20)))
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    place = ((keys >> np.uint64(44)) * np.uint64(BINS) + ((keys & LOW) * np.uint64(BINS) >> np.uint64(44))).astype(np.int64)  # line and bin
-    first = np.concatenate([[True], place[1:] != place[:-1]])
-    out = np.full((len(lines), BINS), -1, np.int64)
-    out.ravel()[place[first]] = (keys[first] & LOW).astype(np.int64)
-    runs = np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=len(lines))
-    own = out.copy()
-    row, col = np.nonzero(out < 0)
-    turn = np.uint64(0)
+    h, one = x[:n] * PLACE[0], np.empty(n, np.uint64)
+    for k in range(1, SHINGLE):
+        h += np.multiply(x[k : k + n], PLACE[k], out=one)
+    h = scattered(h)
+    h >>= np.uint64(20)
+    owner = np.repeat(np.arange(len(lines)), np.diff(offsets))[:n]
+    place = (np.multiply(h, np.uint64(BINS), out=one) >> np.uint64(44)).astype(np.int64)
+    place += owner * BINS
+    h = h.view(np.int64)
+    across = (offsets[1:-1, None] - np.arange(1, SHINGLE)).ravel()  # positions from which a shingle would reach into the next line
+    h[across] = NONE
+    out = np.full(len(lines) * BINS, NONE, np.int64)
+    np.minimum.at(out, place, h)
+    out = filled(out.reshape(-1, BINS))
+    if not counted:
+        return out, None
+    keys = np.sort(((owner << 44) | h)[h != NONE])
+    return out, np.bincount(keys[np.concatenate([[True], keys[1:] != keys[:-1]])] >> 44, minlength=len(lines))
+
+
+def filled(own: np.ndarray) -> np.ndarray:
+    """Each empty bin with the MinHash of the first of its line's bins, in an order of its own, that is not empty."""
+    out = own.copy()
+    row, col = np.nonzero(own == NONE)
+    turn, n = 1, 1
     while len(row):
-        turn += np.uint64(1)
-        pick = (K.mixed(BORROW[col] * turn) % np.uint64(BINS)).astype(np.int64)
-        got = own[row, pick]
+        turns = np.arange(turn, turn + n, dtype=np.uint64)[:, None]
+        pick = (K.mixed(BORROW * turns) % np.uint64(BINS)).astype(np.int64)
+        if n == 1:
+            got = own[row, pick[0, col]]
+        else:  # few are left
+            got = own[row, pick[:, col]]
+            got = got[(got != NONE).argmax(0), np.arange(len(row))]
         out[row, col] = got
-        row, col = row[got < 0], col[got < 0]
-    return out, runs
+        left = got == NONE
+        row, col = row[left], col[left]
+        turn += n
+        n = n if turn < 16 else max(1, min(256, (1 << 20) // max(1, len(row))))
+    return out
+
 
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """lines x BANDS keys, of KEY_BYTES bytes each."""
+    of_band = least.view(np.uint64).reshape(len(least), BANDS, WIDTH)
+    keys = of_band[:, :, 0] * BAND[0]
+    for k in range(1, WIDTH):
+        keys += of_band[:, :, k] * BAND[k]
+    keys += np.arange(BANDS, dtype=np.uint64)
+    return scattered(keys) >> np.uint64(64 - 8 * KEY_BYTES)
 
-def sketched(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """runs (lines), bits (lines x 3) and band keys (lines x BANDS)."""
-    runs, bits, bands = [], [], []
+
+def slices(lines: list[str]) -> Iterator[list[str]]:
+    """lines by what is sketched at once."""
     i = 0
     while i < len(lines):
         j, used = i, 0
         while j < len(lines) and j - i < SKETCH_LINES and (j == i or used + len(lines[j]) <= SKETCH_CHARS):
             used += len(lines[j])
             j += 1
-        least, n = minima(lines[i:j])
+        yield lines[i:j]
+        i = j
+
+
+def sketched(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """runs (lines) and bits (lines x 3)."""
+    runs, bits = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
+    for part in slices(lines):
+        least, n = minima(part)
         runs.append(n)
         bits.append(np.packbits((least & 1).astype(np.uint8), axis=1).view(np.int64))
-        of_band = least.astype(np.uint64).reshape(len(least), BANDS, WIDTH)
-        bands.append(scattered((of_band * BAND).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) >> np.uint64(64 - 8 * KEY_BYTES))
-        i = j
-    if not lines:
-        return np.zeros(0, np.int64), np.zeros((0, 3), np.int64), np.zeros((0, BANDS), np.uint64)
-    return np.concatenate(runs), np.concatenate(bits), np.concatenate(bands)
+    return np.concatenate(runs), np.concatenate(bits)
+
+
+def banded(lines: list[str]) -> np.ndarray:
+    """Band keys, lines x BANDS."""
+    return np.concatenate([np.zeros((0, BANDS), np.uint64), *(band_keys(minima(part, counted=False)[0]) for part in slices(lines))])
 
 
 BLOCK = "block long, ids array<long>, docs binary, counts binary, lines binary, h binary, payload binary"
@@ -191,9 +229,9 @@ def shared_bands(blocks: DataFrame, parts: int) -> DataFrame:
 
     def entries(batches):
         for block, h, payload in rows_of(batches):
-            keys = sketched(lines_of(payload))[2].ravel()
+            keys = banded(lines_of(payload)).ravel()
             line = np.repeat(np.arange(len(keys) // BANDS), BANDS)
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             keys, line = keys[order], line[order]
             head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
             at = np.flatnonzero(head)
@@ -210,7 +248,7 @@ def shared_bands(blocks: DataFrame, parts: int) -> DataFrame:
         low, high = np.minimum.reduceat(short, at), np.maximum.reduceat(short, at)
         return ((high == 0xFFFF) | (low != high))[run]
 
-    return ask(entries, blocks.select("block", "h", "payload"), verdict, parts, KEY_BYTES)
+    return ask(entries, blocks.select("block", "h", "payload"), verdict, parts, KEY_BYTES, small=True)
 
 
 MEMBER = "key long, h long, runs int, lo long, mid long, hi long"
@@ -222,10 +260,10 @@ def members(blocks: DataFrame, shared: DataFrame) -> DataFrame:
     def run(batches):
         for h, payload, told in rows_of(batches):
             keys = np.concatenate([np.frombuffer(x["answer"], np.uint64) for x in told])
-            line = np.concatenate([np.frombuffer(pa.decompress(x["vals"], decompressed_size=len(x["answer"]), codec="zstd", asbytes=True), np.int64) for x in told]) >> 16
+            line = np.concatenate([widest(x["vals"], len(x["answer"]) // 8) for x in told]) >> 16
             lines = lines_of(payload)
             wanted, place = np.unique(line, return_inverse=True)
-            runs, bits, _ = sketched([lines[k] for k in wanted.tolist()])
+            runs, bits = sketched([lines[k] for k in wanted.tolist()])
             cols = [keys.view(np.int64), np.frombuffer(h, np.int64)[line], runs.astype(np.int32)[place], *(bits[place, k] for k in range(3))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "h", "runs", "lo", "mid", "hi"])
 
@@ -367,7 +405,7 @@ def close_sides(left: list[str], right: list[str], similarity: float) -> Iterato
     begin = [np.cumsum(n) - n for n in counts]
     work = counts[0] * counts[1]
     alike = np.zeros((len(left), len(right)), np.int32)
-    dense = np.flatnonzero(work > LISTED)
+    dense = np.flatnonzero(work > min(LISTED, 16 + alike.size // 256))  # one by one costs a few hundred times what a product costs for a pair
     column = np.full(wide, -1)
     column[dense] = np.arange(len(dense))
     for i in range(0, len(dense), COLUMNS):
@@ -388,7 +426,7 @@ def close_sides(left: list[str], right: list[str], similarity: float) -> Iterato
         n = partners[i:j]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         other = lines[1][np.repeat(begin[1][kinds[0][sparse[i:j]]], n) + inner]
-        np.add.at(alike.ravel(), np.repeat(lines[0][sparse[i:j]], n) * len(right) + other, 1)
+        alike += np.bincount(np.repeat(lines[0][sparse[i:j]], n) * len(right) + other, minlength=alike.size).reshape(alike.shape).astype(np.int32)
         i = j
     for i in range(0, len(left), ROWS):
         part = alike[i : i + ROWS]
@@ -420,17 +458,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def cells(mixed: DataFrame, texts: DataFrame, cell: int) -> DataFrame:
     """Rows (key, l, r, far, h, root, outer, norm): a large bucket's lines dealt over the cells (l, r) in which they meet.
 
-    The lines outside of the largest component (far) meet all lines of their
-    bucket. A line of the largest one is only a left side of its cells.
+    All lines of a bucket are dealt into the left parts l, those outside of the
+    largest component (far) into right parts r of their own, mostly one, and
+    meet all lines of their bucket; of two outer lines the one of the lesser
+    right part is on the left. So a line of the largest component is copied for
+    each right part only, however many lines its bucket holds.
     """
     sized = mixed.select("key", "h", "root", (F.col("root") != F.col("main")).alias("outer")).join(texts, "h")
     parts = lambda n, chars: F.greatest(F.ceil(F.col(n) / cell), F.ceil(F.col(chars) / CELL_CHARS)).cast("int")
     long = F.char_length("norm")
-    sums = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum(long).alias("c")).select("key", parts("n", "c").alias("parts"))
-    dealt = sized.join(sums, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
-    last = F.col("parts") - 1
-    left = dealt.select("key", F.col("own").alias("l"), F.explode(F.sequence(F.when(F.col("outer"), F.col("own")).otherwise(0), last)).alias("r"), F.lit(False).alias("far"), "h", "root", "outer", "norm")
-    right = dealt.where("outer").select("key", F.explode(F.sequence(F.lit(0), last)).alias("l"), F.col("own").alias("r"), F.lit(True).alias("far"), "h", "root", "outer", "norm")
+    sums = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum(long).alias("c"), F.count_if("outer").alias("no"), F.sum(F.when(F.col("outer"), long).otherwise(0)).alias("co"))
+    sums = sums.select("key", parts("n", "c").alias("lefts"), parts("no", "co").alias("rights"))
+    dealt = sized.join(sums, "key").withColumn("own", F.pmod(F.xxhash64("h"), "lefts").cast("int")).withColumn("at", F.pmod(F.xxhash64("h", F.lit(1)), "rights").cast("int"))
+    rest = ["h", "root", "outer", "norm"]
+    left = dealt.select("key", F.col("own").alias("l"), F.explode(F.sequence(F.when(F.col("outer"), F.col("at")).otherwise(0), F.col("rights") - 1)).alias("r"), F.lit(False).alias("far"), *rest)
+    right = dealt.where("outer").select("key", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.col("at").alias("r"), F.lit(True).alias("far"), *rest)
     return left.union(right)
 
 
@@ -450,7 +492,8 @@ def links_of_cells(dealt: DataFrame, similarity: float) -> DataFrame:
                 a, b = forest(np.concatenate([a, rows[x]]), np.concatenate([b, rb[y]]))
         return pa.table({"ra": pa.array(a, pa.int64()), "rb": pa.array(b, pa.int64())})
 
-    spread = dealt.repartition("key", "l", "r")  # else all cells of a bucket stay in the task that the join by key has put them in
+    n = 4 * int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = dealt.repartition(n, "key", "l", "r")  # else all cells of a bucket stay in the task that the join by key has put them in
     return spread.groupBy("key", "l", "r").applyInArrow(run, "ra long, rb long")
 
 
@@ -479,9 +522,12 @@ def joined(member: DataFrame, homes: DataFrame, blocks: DataFrame, scratch: Scra
     """Rows (node, root) of the components of all confirmed pairs."""
     at = homes.select("h", "home")
     rows = scratch.save(buckets(member, homes.select("h", "times"), cell))
+    scratch.drop(member)
     first = scratch.save(likely(rows, similarity))
     roots = scratch.save(components(confirmed(first, texts_of(ends(first), at, blocks), similarity), scratch))
+    scratch.drop(first)
     mixed = scratch.save(divided(rows, roots))
+    scratch.drop(rows)
     rest = scratch.save(across(mixed.where(F.col("held") <= few), similarity))
     found = confirmed(rest, texts_of(ends(rest), at, blocks), similarity, ["ra", "rb"])
     large = mixed.where(F.col("held") > few)

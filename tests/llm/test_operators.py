@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from resonarium.llm import decontaminate, embeddings, langid, lines, mixing, pii, sharding, simhash, substring, warc
+from resonarium.llm import blocks, decontaminate, embeddings, langid, lines, mixing, pii, sharding, simhash, substring, warc
 from resonarium.llm.graph import components
 from resonarium.session import Scratch
 
@@ -593,3 +593,21 @@ def test_components_of_more_edges_than_a_sum_of_hashes_holds(spark):
     found = components(edges, Scratch(spark, "many"))
     assert found.count() == 2 * n
     assert found.agg(F.count_distinct("root")).first()[0] == n - 9 and found.where("node <= 19").agg(F.max("root")).first()[0] == 0
+
+
+def test_few_outer_lines_do_not_copy_a_family(spark):
+    n, outer = 400, 3  # one bucket: a component of 397 lines and three lines outside
+    mixed = spark.range(n).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("h"), F.when(F.col("id") < outer, F.col("id")).otherwise(10**6).alias("root"), F.lit(10**6).alias("main"))
+    texts = spark.range(n).select(F.col("id").alias("h"), F.format_string("line %d", "id").alias("norm"))
+    rows = lines.cells(mixed, texts, 50).collect()
+    assert len(rows) <= n + 8 * outer  # eight copies of each line before
+    met = Counter()
+    for far in (r for r in rows if r["far"]):
+        met.update({(r["h"], far["h"]) for r in rows if not r["far"] and (r["l"], r["r"]) == (far["l"], far["r"])})
+    assert all(met[(h, o)] or met[(o, h)] for h in range(n) for o in range(outer) if h != o)
+
+
+def test_small_values_come_back():
+    for values in ([], [0], [255, 3], [1 << 40, 5], [-1, 7]):
+        x = np.array(values, np.int64)
+        assert (blocks.widest(blocks.narrowed(x), len(x)) == x).all()
