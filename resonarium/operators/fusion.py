@@ -7,6 +7,8 @@ scores are one more pass.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from resonarium.functions import fusion as M
 from resonarium.functions.resampling import rng_of
-from resonarium.operators.packed import centred, correlation, gram, lists, local_frame, map_rows, project
+from resonarium.operators.packed import centred, gram, lists, local_frame, map_rows, project
 from resonarium.session import ship
 
 
@@ -238,16 +240,6 @@ def _below(ids_l: np.ndarray, ids_r: np.ndarray, same: bool, at: slice, to: slic
     return [x[below] for x in d]
 
 
-def _distances(df: DataFrame, blocks: list[str], id_col: str, metric: str = "euclidean") -> DataFrame:
-    """Rows (d0, d1, ..) for all pairs of different observations; for tables whose n squared values may be rows."""
-
-    def kernel(number, ids_l, ids_r, same, pieces):
-        found = [[x.copy() for x in _below(ids_l, ids_r, same, at, to, d)] for at, to, d in pieces]
-        return pa.table({f"d{k}": np.concatenate([np.zeros(0), *(x[k] for x in found)]) for k in range(len(blocks))})
-
-    return _tiles(df, blocks, id_col, kernel, ", ".join(f"d{k} double" for k in range(len(blocks))), metric, exact=True)
-
-
 def distance_correlation(df: DataFrame, x: str, y: str, id_col: str = "obs_id", tile: int | None = None) -> DataFrame:
     """One row (dcor, dcov, n). Double centring needs row means and cross sums only: mean AB = mean ab - 2 mean(a_i b_i) + mean a mean b.
 
@@ -337,17 +329,109 @@ def representational_similarity(df: DataFrame, blocks: list[str], id_col: str =
     if compare == "pearson":
         one = _similar_by_tiles(df, blocks, pairs, id_col, method)
     elif compare == "spearman":
-        from resonarium.session import Scratch
-
-        d = Scratch(df.sparkSession, "ranks").save(_distances(df, blocks, id_col, method))  # read once for each block and once for the join
-        for k in range(len(blocks)):
-            d = d.join(average_ranks(d, f"d{k}").withColumnRenamed("rank", f"r{k}"), f"d{k}")
-        one = d.agg(*(correlation(f"r{i}", f"r{j}").alias(f"s{i}_{j}") for i, j in pairs))
+        found = [_ranks_alike(df, blocks[i], blocks[j], id_col, method).select(F.lit(blocks[i]).alias("block_x"), F.lit(blocks[j]).alias("block_y"), "similarity") for i, j in pairs]
+        return reduce(DataFrame.unionByName, found)
     else:
         raise ValueError(f"unknown comparison {compare!r}")
     return one.select(F.explode(F.array(*(F.struct(F.lit(blocks[i]).alias("block_x"), F.lit(blocks[j]).alias("block_y"), F.col(f"s{i}_{j}").alias("similarity")) for i, j in pairs))).alias("z")).select("z.*")
 
 
+#: Pairs of a slice of the distances, about, which one task sorts; pairs of a piece from which bounds of slices are estimated; tasks for one frequent distance.
+SLICE_PAIRS, SEEN, SALTS = 1 << 21, 32, 64
+
+
+def _slices(bounds: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Number of the slice of each value: even ones lie between bounds, odd ones hold values that equal a bound."""
+    at = np.searchsorted(bounds, v)
+    return 2 * at + (np.append(bounds, np.nan)[at] == v)
+
+
+def _dealt(s: np.ndarray, u: np.ndarray, v: np.ndarray, salt: int) -> pa.Table:
+    """A row (s, salt, u, v) of packed values for each slice; odd slices need no sorting and are spread by salt."""
+    order = np.argsort(s, kind="stable")
+    s, u, v = s[order], u[order], v[order]
+    names, at = np.unique(s, return_index=True)
+    cuts = np.append(at, len(s)).tolist()
+    packed = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())
+    return pa.table({"s": pa.array(names, pa.int64()), "salt": pa.array(names % 2 * (salt % SALTS), pa.int64()), "u": packed(u), "v": packed(v)})
+
+
+def _ranks(s: int, v: np.ndarray, below: dict, held: dict) -> np.ndarray:
+    """Ranks among all distances, ties averaged, of values v of slice s, all of them if it is even."""
+    if s % 2:
+        return np.full(len(v), below[s] + (held[s] + 1) / 2)
+    order = np.argsort(v)
+    x = v[order]
+    head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    n = np.diff(np.append(head, len(x)))
+    out = np.empty(len(v))
+    out[order] = np.repeat(below[s] + head + (n + 1) / 2, n)
+    return out
+
+
+def _ranks_alike(df: DataFrame, x: str, y: str, id_col: str, metric: str) -> DataFrame:
+    """One row (similarity): Spearman's of the two blocks' distances below the diagonal, exact.
+
+    Bounds of slices are estimated, slices are counted, and each pair's two
+    distances travel twice, 16 bytes each time: to the slice of the first, where
+    its rank is known from the counts of the slices below, and with that rank to
+    the slice of the second. Undefined distances count as equal and largest.
+    """
+    n = df.count()
+    total = n * (n - 1) // 2
+    tiles = lambda kernel, schema: _tiles(df, [x, y], id_col, kernel, schema, metric, tile=LEAST_PART, exact=True)
+
+    def values(ids_l, ids_r, same, pieces):
+        for at, to, d in pieces:
+            yield [np.where(np.isnan(v), np.inf, v) for v in _below(ids_l, ids_r, same, at, to, d)]
+
+    def seen(number, ids_l, ids_r, same, pieces):
+        some = [np.stack([v[:: max(1, len(v) // SEEN)] for v in two]) for two in values(ids_l, ids_r, same, pieces)]
+        both = np.concatenate([np.zeros((2, 0)), *some], axis=1)
+        return pa.table({"x": both[0], "y": both[1]})
+
+    wanted, bounds = -(-total // SLICE_PAIRS), [np.zeros(0), np.zeros(0)]
+    if wanted > 1:
+        at = [k / wanted for k in range(1, wanted)]
+        got = tiles(seen, "x double, y double").agg(*(F.percentile_approx(c, at, max(10_000, 4 * wanted)).alias(c) for c in "xy")).first()
+        bounds = [np.unique(got[c]) for c in "xy"]
+
+    def counted(number, ids_l, ids_r, same, pieces):
+        counts = [np.zeros(2 * len(b) + 1, np.int64) for b in bounds]
+        for two in values(ids_l, ids_r, same, pieces):
+            for k in range(2):
+                counts[k] += np.bincount(_slices(bounds[k], two[k]), minlength=len(counts[k]))
+        held = [np.flatnonzero(c) for c in counts]
+        return pa.table({"k": np.repeat(np.arange(2), [len(h) for h in held]), "s": np.concatenate(held), "n": np.concatenate([c[h] for c, h in zip(counts, held)])})
+
+    held = [{}, {}]
+    for r in tiles(counted, "k long, s long, n long").groupBy("k", "s").agg(F.sum("n").alias("n")).orderBy("k", "s").collect():
+        held[r["k"]][r["s"]] = r["n"]
+    below = [dict(zip(h, np.cumsum([0, *h.values()]).tolist())) for h in held]
+    middle = (total + 1) / 2
+
+    def sent(number, ids_l, ids_r, same, pieces):
+        two = np.concatenate([np.zeros((2, 0)), *(np.stack(v) for v in values(ids_l, ids_r, same, pieces))], axis=1)
+        return _dealt(_slices(bounds[0], two[0]), two[0], two[1], number)
+
+    def read(table):
+        return table.column("s")[0].as_py(), *(np.concatenate([np.frombuffer(z.as_buffer(), float) for z in table.column(c)]) for c in "uv")
+
+    def first(table):
+        s, u, v = read(table)
+        return _dealt(_slices(bounds[1], v), _ranks(s, u, below[0], held[0]), v, s)
+
+    def second(table):
+        s, r, v = read(table)
+        a, b = r - middle, _ranks(s, v, below[1], held[1]) - middle
+        return pa.table({"ab": [float(a @ b)], "aa": [float(a @ a)], "bb": [float(b @ b)]})
+
+    schema = "s long, salt long, u binary, v binary"
+    ranked = tiles(sent, schema).groupBy("s", "salt").applyInArrow(first, schema)
+    sums = ranked.groupBy("s", "salt").applyInArrow(second, "ab double, aa double, bb double").agg(*(F.sum(c).alias(c) for c in ("ab", "aa", "bb")))
+    return sums.select(F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")).alias("similarity"))
+
+
 def _similar_by_tiles(df: DataFrame, blocks: list[str], pairs, id_col: str, metric: str) -> DataFrame:
     """One row of correlations of the distances below the diagonal. A tile leaves its count, means and products about these; pieces and tiles are put together exactly."""
     m = len(blocks)

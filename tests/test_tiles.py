@@ -62,3 +62,18 @@ def test_flat_blocks_have_no_distances(spark):
     df = table(spark, x, np.full((N, 2), 0.1))
     assert tuple(fusion.distance_correlation(df, "a", "b").first()) == (0.0, 0.0, N)
     assert fusion.representational_similarity(df, ["a", "b"], compare="pearson").first()["similarity"] is None
+
+
+def test_ranks_of_distances_by_slices(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "SLICE_PAIRS", 500)  # some 22 slices; before, no slices and a row for each pair
+    x, y = drawn()
+    x = np.round(x, 1)  # many equal distances
+    low = np.tril_indices(N, -1)
+
+    def ranks(v):
+        _, inverse, count = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(count) - (count - 1) / 2)[inverse]
+
+    got = fusion.representational_similarity(table(spark, x, y), ["a", "b"]).first()["similarity"]
+    assert np.isclose(got, np.corrcoef(ranks(dist(x)[low]), ranks(dist(y)[low]))[0, 1], rtol=1e-9)
+    assert fusion.representational_similarity(table(spark, np.zeros((9, 2)), y[:9]), ["a", "b"]).first()["similarity"] is None
