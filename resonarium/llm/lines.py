@@ -13,9 +13,9 @@ component only the first line stays (smallest doc_id, null last, then line
 number).
 
 The texts are read once, into blocks: the distinct lines of a run of documents,
-written to the shared folder. Each block asks which of its bands different lines
-share; only those become rows, and a line or a band that a third of all rows
-hold costs one entry a block. Each candidate is first confirmed against one likely
+written to the shared folder. Of the blocks that hold a line one answers for it
+and asks which of its bands different lines share; only those become rows, and a
+band that a third of all lines have costs one entry a block. Each candidate is first confirmed against one likely
 partner: the most frequent line of a bucket or the next in order of size. After
 that all pairs of a bucket that lie in different components are compared,
 whatever its size. Those of a bucket of at most `few` lines become rows; a pair
@@ -36,6 +36,7 @@ with probability n**2 / 2**65.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -58,8 +59,12 @@ BINS = WIDTH * BANDS
 #: Lines of fewer shingles borrow so many MinHashes that their bits are few independent ones; FEW_APART of them may differ.
 FEW, FEW_APART = 64, 84
 SLICE_BYTES = 2_000_000
-#: Distinct lines and characters that are sketched at once.
-SKETCH_LINES, SKETCH_CHARS = 1 << 18, 1 << 21
+#: Distinct lines and characters that are sketched at once, and characters that are hashed at once, whose arrays stay in a core's cache.
+SKETCH_LINES, SKETCH_CHARS, HASHED_CHARS = 1 << 18, 1 << 21, 1 << 17
+#: Characters of pairs that are confirmed at once.
+CONFIRMED_CHARS = 1 << 18
+#: Up to so many filled bins, a line's empty bins are filled by order of the filled ones, beyond turn by turn.
+SPARSE = 64
 #: An empty bin; MinHashes have 44 bits.
 NONE = np.int64(1 << 44)
 #: Bytes of a band's key that are kept.
@@ -86,16 +91,13 @@ def code_points(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def starts_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where all shingles begin, and the line of each."""
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = np.arange(len(owner))
-    ok = at + SHINGLE <= offsets[1:][owner]
-    return at[ok], owner[ok]
+def across_lines(offsets: np.ndarray) -> np.ndarray:
+    """Positions from which a shingle would reach into the next line."""
+    return (offsets[1:-1, None] - np.arange(1, SHINGLE)).ravel()
 
 
-def minima(lines: list[str], counted: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """MinHashes (lines x BINS, all filled) and, if counted, numbers of distinct shingles."""
+def least_of_bins(lines: list[str], counted: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The least hash of each bin (lines x BINS, NONE where a bin is empty) and, if counted, numbers of distinct shingles."""
     cps, offsets = code_points(lines)
     x = cps.astype(np.uint64)
     n = len(x) - SHINGLE + 1
@@ -108,35 +110,66 @@ def minima(lines: list[str], counted: bool = True) -> tuple[np.ndarray, np.ndarr
     place = (np.multiply(h, np.uint64(BINS), out=one) >> np.uint64(44)).astype(np.int64)
     place += owner * BINS
     h = h.view(np.int64)
-    across = (offsets[1:-1, None] - np.arange(1, SHINGLE)).ravel()  # positions from which a shingle would reach into the next line
-    h[across] = NONE
+    h[across_lines(offsets)] = NONE
     out = np.full(len(lines) * BINS, NONE, np.int64)
     np.minimum.at(out, place, h)
-    out = filled(out.reshape(-1, BINS))
     if not counted:
-        return out, None
+        return out.reshape(-1, BINS), None
     keys = np.sort(((owner << 44) | h)[h != NONE])
-    return out, np.bincount(keys[np.concatenate([[True], keys[1:] != keys[:-1]])] >> 44, minlength=len(lines))
+    return out.reshape(-1, BINS), np.bincount(keys[np.concatenate([[True], keys[1:] != keys[:-1]])] >> 44, minlength=len(lines))
+
+
+def minima(lines: list[str], counted: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """MinHashes (lines x BINS, all filled) and, if counted, numbers of distinct shingles."""
+    each = [least_of_bins(part, counted) for part in slices(lines, HASHED_CHARS)]
+    return filled(np.concatenate([x for x, _ in each])), np.concatenate([n for _, n in each]) if counted else None
+
+
+def asked(turn: int) -> np.ndarray:
+    """The bin that each empty bin asks in a turn, from 1."""
+    return (K.mixed(BORROW * np.uint64(turn)) % np.uint64(BINS)).astype(np.int64)
+
+
+@cache
+def lenders() -> tuple[np.ndarray, np.ndarray]:
+    """For each bin all bins in the order in which it asks them first, one bin after the other, and the place of bin b in the order of bin c, at [b, c]."""
+    rows = np.arange(BINS)
+    first = np.zeros((BINS, BINS), np.int64)
+    turn = 0
+    while not first.all():
+        pick = asked(turn := turn + 1)
+        first[rows, pick] = np.where(first[rows, pick] == 0, turn, first[rows, pick])
+    order = first.argsort(axis=1)
+    place = np.empty((BINS, BINS), np.uint8)
+    place[order, rows[:, None]] = rows
+    return order.ravel(), place
 
 
 def filled(own: np.ndarray) -> np.ndarray:
     """Each empty bin with the MinHash of the first of its line's bins, in an order of its own, that is not empty."""
-    out = own.copy()
-    row, col = np.nonzero(own == NONE)
-    turn, n = 1, 1
-    while len(row):
-        turns = np.arange(turn, turn + n, dtype=np.uint64)[:, None]
-        pick = (K.mixed(BORROW * turns) % np.uint64(BINS)).astype(np.int64)
-        if n == 1:
-            got = own[row, pick[0, col]]
-        else:  # few are left
-            got = own[row, pick[:, col]]
-            got = got[(got != NONE).argmax(0), np.arange(len(row))]
-        out[row, col] = got
-        left = got == NONE
-        row, col = row[left], col[left]
-        turn += n
-        n = n if turn < 16 else max(1, min(256, (1 << 20) // max(1, len(row))))
+    order, place = lenders()
+    out, empty = own.copy(), own == NONE
+    values, n = own.ravel(), BINS - empty.sum(1)
+    by_n = np.argsort(n, kind="stable")
+    cuts = np.searchsorted(n[by_n], np.arange(1, SPARSE + 2))
+    for k in range(1, SPARSE + 1):  # lines of k filled bins: the one that comes first in the order of each bin
+        some = by_n[cuts[k - 1] : cuts[k]]
+        if len(some):
+            has = np.nonzero(~empty[some])[1].reshape(-1, k)
+            least = place[has[:, 0]]
+            for c in range(1, k):
+                np.minimum(least, place[has[:, c]], out=least)
+            lent = values.take(order.take(least + np.arange(BINS) * BINS) + some[:, None] * BINS)
+            out[some] = np.where(empty[some], lent, own[some])
+    empty &= (n > SPARSE)[:, None]
+    at, turn, flat = np.flatnonzero(empty), 0, out.ravel()
+    col = at % BINS
+    line = at - col
+    while len(at):
+        got = values.take(line + asked(turn := turn + 1).take(col))
+        hit, left = np.flatnonzero(got != NONE), np.flatnonzero(got == NONE)
+        flat[at.take(hit)] = got.take(hit)
+        at, col, line = at.take(left), col.take(left), line.take(left)
     return out
 
 
@@ -150,12 +183,12 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return scattered(keys) >> np.uint64(64 - 8 * KEY_BYTES)
 
 
-def slices(lines: list[str]) -> Iterator[list[str]]:
-    """lines by what is sketched at once."""
+def slices(lines: list[str], chars: int) -> Iterator[list[str]]:
+    """lines by what is sketched at once: of so many characters, if one alone has not more."""
     i = 0
     while i < len(lines):
         j, used = i, 0
-        while j < len(lines) and j - i < SKETCH_LINES and (j == i or used + len(lines[j]) <= SKETCH_CHARS):
+        while j < len(lines) and j - i < SKETCH_LINES and (j == i or used + len(lines[j]) <= chars):
             used += len(lines[j])
             j += 1
         yield lines[i:j]
@@ -165,7 +198,7 @@ def slices(lines: list[str]) -> Iterator[list[str]]:
 def sketched(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """runs (lines) and bits (lines x 3)."""
     runs, bits = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
-    for part in slices(lines):
+    for part in slices(lines, SKETCH_CHARS):
         least, n = minima(part)
         runs.append(n)
         bits.append(np.packbits((least & 1).astype(np.uint8), axis=1).view(np.int64))
@@ -174,7 +207,7 @@ def sketched(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def banded(lines: list[str]) -> np.ndarray:
     """Band keys, lines x BANDS."""
-    return np.concatenate([np.zeros((0, BANDS), np.uint64), *(band_keys(minima(part, counted=False)[0]) for part in slices(lines))])
+    return np.concatenate([np.zeros((0, BANDS), np.uint64), *(band_keys(minima(part, counted=False)[0]) for part in slices(lines, SKETCH_CHARS))])
 
 
 BLOCK = "block long, ids array<long>, docs binary, counts binary, lines binary, h binary, payload binary"
@@ -224,51 +257,70 @@ def lines_of(payload: bytes) -> list[str]:
     return pa.decompress(payload[8:], decompressed_size=size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") if size else []
 
 
+def homed(lines: DataFrame) -> DataFrame:
+    """Rows (block, own): the lines that a block answers for, with how often they occur in all. lines: h, times, home."""
+    return lines.groupBy(F.col("home").alias("block")).agg(F.collect_list(F.struct("h", "times")).alias("own"))  # of one block's lines
+
+
+def own_lines(h: bytes, own: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a block's own lines, and how often they occur."""
+    of_block = np.frombuffer(h, np.int64)
+    order = np.argsort(of_block)
+    return order[np.searchsorted(of_block[order], np.asarray(own.values.field(0)))], np.asarray(own.values.field(1))
+
+
 def shared_bands(blocks: DataFrame, parts: int) -> DataFrame:
-    """Rows (block, answer, vals): band keys that different lines have, and the numbers of the block's lines that have them, above 16 other bits."""
+    """Rows (block, answer, vals): band keys that different lines have, and the numbers of the block's own lines that have them, above one other bit."""
 
     def entries(batches):
-        for block, h, payload in rows_of(batches):
-            keys = banded(lines_of(payload)).ravel()
-            line = np.repeat(np.arange(len(keys) // BANDS), BANDS)
-            order = np.argsort(keys)
-            keys, line = keys[order], line[order]
-            head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-            at = np.flatnonzero(head)
-            several = np.diff(np.concatenate([at, [len(keys)]])) > 1
-            # 16 bits of the line's hash tell lines of different blocks apart; -1 says that the block has several
-            short = np.where(several, -1, (np.frombuffer(h, np.uint64)[line[at]] >> np.uint64(48)).astype(np.int64) >> 1)
-            yield block, [keys[at], (line[at] << 16) | (short & 0xFFFF)], [keys[~head], line[~head] << 16]
+        for b in batches:
+            for r in range(b.num_rows):
+                lines = lines_of(b.column(2)[r].as_py())
+                mine, _ = own_lines(b.column(1)[r].as_py(), b.column(3)[r])
+                keys = banded([lines[k] for k in mine.tolist()]).ravel()
+                line = np.repeat(mine, BANDS)
+                order = np.argsort(keys)
+                keys, line = keys[order], line[order]
+                head = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+                at = np.flatnonzero(head)
+                several = np.diff(np.concatenate([at, [len(keys)]])) > 1  # then the block itself has different lines of this key
+                yield b.column(0)[r].as_py(), [keys[at], (line[at] << 1) | several], [keys[~head], line[~head] << 1]
 
     def verdict(keys, values, owners):
         if not len(keys):
             return np.zeros(0, bool)
         head = np.concatenate([[True], keys[1:] != keys[:-1]])
-        at, run, short = np.flatnonzero(head), np.cumsum(head) - 1, values & 0xFFFF
-        low, high = np.minimum.reduceat(short, at), np.maximum.reduceat(short, at)
-        return ((high == 0xFFFF) | (low != high))[run]
+        at, run = np.flatnonzero(head), np.cumsum(head) - 1
+        return ((np.bincount(run) > 1) | (np.maximum.reduceat(values & 1, at) > 0))[run]
 
-    return ask(entries, blocks.select("block", "h", "payload"), verdict, parts, KEY_BYTES, small=True)
+    return ask(entries, blocks.select("block", "h", "payload", "own"), verdict, parts, KEY_BYTES, small=True)
 
 
-MEMBER = "key long, h long, runs int, lo long, mid long, hi long"
+MEMBER = "h long, times long, runs int, lo long, mid long, hi long, norm string, keys array<long>"
 
 
 def members(blocks: DataFrame, shared: DataFrame) -> DataFrame:
-    """Rows of MEMBER: each line under each of its shared band keys."""
+    """Rows of MEMBER: each line that shares a band with another line, with the keys of these bands."""
 
     def run(batches):
-        for h, payload, told in rows_of(batches):
-            keys = np.concatenate([np.frombuffer(x["answer"], np.uint64) for x in told])
-            line = np.concatenate([widest(x["vals"], len(x["answer"]) // 8) for x in told]) >> 16
-            lines = lines_of(payload)
-            wanted, place = np.unique(line, return_inverse=True)
-            runs, bits = sketched([lines[k] for k in wanted.tolist()])
-            cols = [keys.view(np.int64), np.frombuffer(h, np.int64)[line], runs.astype(np.int32)[place], *(bits[place, k] for k in range(3))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "h", "runs", "lo", "mid", "hi"])
+        for b in batches:
+            for r in range(b.num_rows):
+                h, told = b.column(0)[r].as_py(), b.column(3)[r].as_py()
+                lines, (mine, times) = lines_of(b.column(1)[r].as_py()), own_lines(h, b.column(2)[r])
+                often = np.zeros(len(lines), np.int64)
+                often[mine] = times
+                keys = np.concatenate([np.frombuffer(x["answer"], np.int64) for x in told])
+                line = np.concatenate([widest(x["vals"], len(x["answer"]) // 8) for x in told]) >> 1
+                order = np.argsort(line, kind="stable")
+                wanted, at = np.unique(line[order], return_index=True)
+                texts = [lines[k] for k in wanted.tolist()]
+                runs, bits = sketched(texts)
+                held = pa.ListArray.from_arrays(pa.array(np.append(at, len(line)), pa.int32()), pa.array(keys[order]))
+                cols = [pa.array(np.frombuffer(h, np.int64)[wanted]), pa.array(often[wanted]), pa.array(runs.astype(np.int32)), *(pa.array(bits[:, k]) for k in range(3)), pa.array(texts, pa.string()), held]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "times", "runs", "lo", "mid", "hi", "norm", "keys"])
 
     told = shared.groupBy("block").agg(F.collect_list(F.struct("answer", "vals")).alias("told"))
-    return blocks.select("block", "h", "payload").join(told, "block").select("h", "payload", "told").mapInArrow(run, MEMBER).distinct()
+    return blocks.select("block", "h", "payload", "own").join(told, "block").select("h", "payload", "own", "told").mapInArrow(run, MEMBER)
 
 
 def most_apart(similarity: float) -> int:
@@ -281,14 +333,15 @@ def most_apart(similarity: float) -> int:
     return BINS
 
 
-def buckets(member: DataFrame, times: DataFrame, cell: int) -> DataFrame:
-    """member with held, chief and prev: the size of a bucket, its most frequent line, and the next smaller line of the same part of it."""
-    named = member.join(times, "h")
-    sums = named.groupBy("key").agg(F.count("*").alias("held"), F.max(F.struct("times", "h")).alias("chief")).where("held > 1")
-    rows = member.join(sums.select("key", "held", F.col("chief.h").alias("chief")), "key")
-    part = F.pmod(F.xxhash64("h"), F.ceil(F.col("held") / cell)).cast("int")
-    order = Window.partitionBy("key", "part").orderBy("runs", "h")
-    return rows.withColumn("part", part).withColumn("prev", F.lag("h").over(order)).drop("part")
+def buckets(member: DataFrame) -> DataFrame:
+    """Rows (key, h, chief, prev): each line in each of its buckets, the bucket's most frequent line, and the next smaller line of it."""
+    rows = member.select(F.explode("keys").alias("key"), "h", "runs", "times")
+    order = Window.partitionBy("key").orderBy("runs", "h")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return rows.select("key", "h", F.max(F.struct("times", "h")).over(whole)["h"].alias("chief"), F.lag("h").over(order).alias("prev"))
+
+
+SKETCH = ["h", "runs", "lo", "mid", "hi"]
 
 
 def bits_apart(a: str, b: str) -> Column:
@@ -303,21 +356,23 @@ def may_reach(similarity: float, a: str, b: str) -> Column:
     return (least >= similarity * most) & (apart <= F.when(least < FEW, max(FEW_APART, most_apart(similarity))).otherwise(most_apart(similarity)))
 
 
-def likely(rows: DataFrame, similarity: float) -> DataFrame:
+def likely(rows: DataFrame, member: DataFrame, similarity: float) -> DataFrame:
     """One pair (a, b) for each line of a bucket: of its buckets' chiefs and its neighbours the one with most bits alike."""
-    met = F.explode(F.array("chief", "prev")).alias("o")
-    found = rows.select("h", "runs", "lo", "mid", "hi", met).where("o is not null and o != h").distinct()
-    others = rows.select(F.col("h").alias("o"), F.col("runs").alias("runs_o"), F.col("lo").alias("lo_o"), F.col("mid").alias("mid_o"), F.col("hi").alias("hi_o")).distinct()
-    found = found.join(others, "o").where(may_reach(similarity, "", "_o"))
+    found = rows.select("h", F.explode(F.array("chief", "prev")).alias("o")).where("o is not null and o != h").distinct()
+    sketch = member.select(*SKETCH)
+    found = found.join(sketch.select(F.col("h").alias("o"), *(F.col(c).alias(f"{c}_o") for c in SKETCH[1:])), "o").join(sketch, "h").where(may_reach(similarity, "", "_o"))
     best = found.groupBy("h").agg(F.max_by("o", F.struct(-bits_apart("", "_o"), "o")).alias("o"))
     return best.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
 
 
-def divided(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows of the buckets whose lines lie in several components, with root and main, the largest component. roots: node, root."""
-    named = rows.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    sums = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main"))
-    return named.join(sums.where("roots > 1").select("key", "main"), "key")
+def divided(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, h, held, root, main) of the buckets whose lines lie in several components: how many lines the bucket holds, and its largest component. roots: node, root."""
+    named = member.select("h", "keys").join(roots.withColumnRenamed("node", "h"), "h", "left")
+    rows = named.select(F.explode("keys").alias("key"), "h", F.coalesce("root", "h").alias("root"))
+    bucket, component = Window.partitionBy("key"), Window.partitionBy("key", "root")
+    rows = rows.withColumns({"held": F.count("*").over(bucket), "low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low != high")
+    rows = rows.withColumn("n", F.count("*").over(component))
+    return rows.select("key", "h", "held", "root", F.max(F.struct("n", "root")).over(bucket)["root"].alias("main"))
 
 
 def across(mixed: DataFrame, similarity: float) -> DataFrame:
@@ -333,53 +388,39 @@ def across(mixed: DataFrame, similarity: float) -> DataFrame:
     return both.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb")).distinct()
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("h"))
-
-
-def texts_of(named: DataFrame, homes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows (h, norm) of the lines in `named` (h), each from one block that has it. homes: h, home."""
-    wanted = named.distinct().join(homes, "h")
-    wanted = wanted.groupBy(F.col("home").alias("block")).agg(F.collect_list("h").alias("wanted"))  # of one block's lines
-
-    def run(batches):
-        for h, payload, want in rows_of(batches):
-            lines = lines_of(payload)
-            at = {x: k for k, x in enumerate(np.frombuffer(h, np.int64).tolist())}
-            yield pa.RecordBatch.from_arrays([pa.array(want, pa.int64()), pa.array([lines[at[x]] for x in want], pa.string())], names=["h", "norm"])
-
-    return blocks.select("block", "h", "payload").join(wanted, "block").select("h", "payload", "wanted").mapInArrow(run, "h long, norm string")
-
-
-def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """The distinct shingles of each line: line and number of the shingle, in order of both, and how many numbers there are."""
+def shingle_codes(lines: list[str], among: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """All shingles of the lines: the line of each and its code, and a bound of the codes, of which `among` fit into 63 bits."""
     cps, offsets = code_points(lines)
-    seen = np.zeros(0x110000, np.int64)
+    seen = np.zeros(int(cps.max(initial=0)) + 1, np.int64)
     seen[cps] = 1
     letters = int(seen.sum())
     symbol = (np.cumsum(seen) - 1)[cps]
     size = len(symbol) - SHINGLE + 1
     code, most = symbol[:size], letters
     for k in range(1, SHINGLE):
-        if most * letters >= 2**63:  # many letters: number the heads anew
+        if most * letters * among >= 2**63:  # many letters: number the heads anew
             known, code = np.unique(code, return_inverse=True)
             most = len(known)
         code, most = code * letters + symbol[k : k + size], most * letters
-    at, owner = starts_of(offsets)
-    code = code[at]
-    known = np.sort(code)
-    known = known[np.concatenate([[True], known[1:] != known[:-1]])]
-    wide = np.int64(len(known))
-    sets = np.sort(owner * wide + np.searchsorted(known, code))
-    sets = sets[np.concatenate([[True], sets[1:] != sets[:-1]])]
-    return sets // wide, sets % wide, len(known)
+    inside = np.ones(size, bool)
+    inside[across_lines(offsets)] = False
+    return np.repeat(np.arange(len(lines)), np.diff(offsets))[:size][inside], code[inside], most
+
+
+def once(x: np.ndarray) -> np.ndarray:
+    """The different values of x in order."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def close(left: list[str], right: list[str], similarity: float) -> np.ndarray:
     """Which pairs of lines have at least this Jaccard measure, by their exact sets of shingles."""
     place: dict[str, int] = {}
     sides = [np.array([place.setdefault(x, len(place)) for x in side], np.int64) for side in (left, right)]
-    of_line, shingle, wide = shingle_sets(list(place))
+    of_line, code, wide = shingle_codes(list(place), max(len(place), len(left)))
+    sets = once(of_line * wide + code)
+    of_line = sets // wide
+    shingle = sets - of_line * wide
     cuts = np.searchsorted(of_line, np.arange(len(place) + 1))
     sizes = np.diff(cuts)
     both = []
@@ -394,10 +435,14 @@ def close(left: list[str], right: list[str], similarity: float) -> np.ndarray:
 
 def close_sides(left: list[str], right: list[str], similarity: float) -> Iterator[np.ndarray]:
     """Which of all left x right pairs have at least this Jaccard measure: what `close` says, counted shingle by shingle. Masks of ROWS lines of the left."""
-    of_line, shingle, wide = shingle_sets(left + right)
-    sizes = np.bincount(of_line, minlength=len(left) + len(right))
-    order = np.argsort(shingle, kind="stable")
-    line, shingle = of_line[order], shingle[order]
+    n = len(left) + len(right)
+    line, code, _ = shingle_codes(left + right, n)
+    sets = once(code * n + line)
+    code = sets // n
+    line = sets - code * n
+    sizes = np.bincount(line, minlength=n)
+    shingle = np.cumsum(np.concatenate([[0], code[1:] != code[:-1]]))
+    wide = int(shingle[-1]) + 1
     first = line < len(left)
     lines, kinds, counts = [line[first], line[~first] - len(left)], [shingle[first], shingle[~first]], []
     for kind in kinds:
@@ -508,7 +553,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, keep: list[
             sizes = np.cumsum([len(x) + len(y) for x, y in zip(left, right)])
             i = 0
             while i < len(left):
-                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + SKETCH_CHARS, side="right")))
+                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + CONFIRMED_CHARS, side="right")))
                 yes = close(left[i:j], right[i:j], similarity)
                 if yes.any():
                     got = b.slice(i, j - i).filter(pa.array(yes))
@@ -518,20 +563,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: float, keep: list[
     return both.mapInArrow(run, ", ".join(f"{c} long" for c in keep))
 
 
-def joined(member: DataFrame, homes: DataFrame, blocks: DataFrame, scratch: Scratch, similarity: float, cell: int, few: int) -> DataFrame:
-    """Rows (node, root) of the components of all confirmed pairs."""
-    at = homes.select("h", "home")
-    rows = scratch.save(buckets(member, homes.select("h", "times"), cell))
-    scratch.drop(member)
-    first = scratch.save(likely(rows, similarity))
-    roots = scratch.save(components(confirmed(first, texts_of(ends(first), at, blocks), similarity), scratch))
-    scratch.drop(first)
-    mixed = scratch.save(divided(rows, roots))
-    scratch.drop(rows)
-    rest = scratch.save(across(mixed.where(F.col("held") <= few), similarity))
-    found = confirmed(rest, texts_of(ends(rest), at, blocks), similarity, ["ra", "rb"])
-    large = mixed.where(F.col("held") > few)
-    found = found.union(links_of_cells(cells(large, scratch.save(texts_of(large.select("h"), at, blocks)), cell), similarity))
+def joined(member: DataFrame, scratch: Scratch, similarity: float, cell: int, few: int) -> DataFrame:
+    """Rows (node, root) of the components of all confirmed pairs. member: as MEMBER, saved by h."""
+    texts = member.select("h", "norm")
+    first = likely(buckets(member), member, similarity)
+    roots = scratch.save(components(confirmed(first, texts, similarity), scratch))
+    mixed = scratch.save(divided(member, roots))
+    small = mixed.where(F.col("held") <= few).join(member.select(*SKETCH), "h")
+    found = confirmed(across(small, similarity), texts, similarity, ["ra", "rb"])
+    found = found.union(links_of_cells(cells(mixed.where(F.col("held") > few), texts, cell), similarity))
     upper = components(found, scratch, "ra", "rb")
     ids = roots.union(upper.join(roots.select("node"), "node", "left_anti"))  # lines that only the second step links
     moved = ids.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
@@ -568,14 +608,17 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "lines")
     blocks = scratch.save_by(line_blocks(docs, id_col, text_col), "block")
-    found = scratch.save(places(blocks))
-    lines = scratch.save(found.groupBy("h").agg(F.sum("n").alias("times"), F.min("block").alias("home"), F.min("place").alias("place")))
-    member = scratch.save(members(blocks, shared_bands(blocks, parts_for(blocks, F.octet_length("h").cast("long") * BANDS))))
-    roots = joined(member, lines.select("h", "times", "home"), blocks, scratch, similarity, cell, few).withColumnRenamed("node", "h")
-    named = scratch.save(lines.select("h", "place", "times").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))
-    least = named.groupBy("root").agg(F.min("place").alias("first"), F.sum("times").alias("all")).where(F.col("all") > 1)
-    doomed = named.join(least, "root").select("h", "first.*")
-    verdict = found.select("block", "h").join(doomed, "h").groupBy("block").agg(F.collect_list(F.struct("h", "id", "doc", "no")).alias("doomed"))  # of one block's lines
+    found = scratch.save_by(places(blocks), "h", deal=True)
+    lines = scratch.save_by(found.groupBy("h").agg(F.sum("n").alias("times"), F.min("block").alias("home")), "h")
+    owned = blocks.select("block", "h", "payload").join(scratch.save_by(homed(lines), "block"), "block")
+    shared = shared_bands(owned, parts_for(blocks, F.octet_length("h").cast("long") * BANDS))
+    member = scratch.save_by(members(owned, shared), "h", deal=True)
+    roots = joined(member, scratch, similarity, cell, few).withColumnRenamed("node", "h")
+    # lines that occur twice or are linked: all places of their component but the first go
+    known = lines.where("times > 1").select("h").join(roots, "h", "full").select("h", F.coalesce("root", "h").alias("root"))
+    seats = scratch.save(found.select("block", "h", "place").join(known, "h"))
+    least = seats.groupBy("root").agg(F.min("place").alias("first"))
+    verdict = seats.select("block", "h", "root").join(least, "root").groupBy("block").agg(F.collect_list(F.struct("h", "first.id", "first.doc", "first.no")).alias("doomed"))  # of one block's lines
 
     def run(batches):
         for ids, docs, counts, lines, told in rows_of(batches):

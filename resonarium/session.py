@@ -79,11 +79,12 @@ class Scratch:
         self._keep = [*getattr(self, "_keep", []), out]
         return out
 
-    def save_by(self, df: DataFrame, key: str) -> DataFrame:
-        """Like save, in buckets of `key`, so that joins by this one column don't shuffle the table."""
+    def save_by(self, df: DataFrame, key: str, deal: bool = False) -> DataFrame:
+        """Like save, in buckets of `key`, so that joins by this one column don't shuffle the table. deal: rows are shuffled by bucket before, so that a bucket is one file."""
         self.n += 1
         path, name = f"{self.root}/{self.n}", f"scratch_{uuid.uuid4().hex}"
         buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        df = df.repartition(buckets, key) if deal else df
         df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
         out = self.spark.table(name)
         self.paths[id(out)], self._tables = path, [*getattr(self, "_tables", []), name]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import itertools
 import random
 import re
 from collections import Counter
@@ -611,3 +612,30 @@ def test_small_values_come_back():
     for values in ([], [0], [255, 3], [1 << 40, 5], [-1, 7]):
         x = np.array(values, np.int64)
         assert (blocks.widest(blocks.narrowed(x), len(x)) == x).all()
+
+
+def test_near_lines_alike_in_hash_bits_of_two_blocks(spark):
+    tops, pair = {}, None  # lines of one family, two of which agree in the 15 highest bits of their hashes
+    for k in itertools.count(10**6):
+        x = "a notice of some length that all of its copies share but for a number %d at their ends" % k
+        h = xxhash.xxh3_64_intdigest(x.encode()) >> 49
+        if h in tops:
+            pair = (tops[h], x)
+            break
+        tops[h] = x
+    docs = docs_of(spark, [pair[0]], [1]).union(docs_of(spark, [pair[1]], [2]))  # a block each
+    assert {r["id"]: list(r["gone"]) for r in lines.removed(docs).collect()} == {1: [], 2: [0]}
+
+
+def test_empty_bins_borrow_turn_by_turn():
+    rng = np.random.default_rng(3)
+    own = rng.integers(0, 1 << 44, (40, lines.BINS))
+    for row, n in zip(own, [1, 2, 3, 30, 63, 64, 65, 66, 100, 190, 191, 192] * 4):
+        row[rng.permutation(lines.BINS)[n:]] = lines.NONE
+    want = own.copy()
+    for row, col in zip(*np.nonzero(own == lines.NONE)):
+        turn = 1
+        while want[row, col] == lines.NONE:
+            want[row, col] = own[row, int(lines.K.mixed(lines.BORROW[col : col + 1] * np.uint64(turn))[0] % np.uint64(lines.BINS))]
+            turn += 1
+    assert (lines.filled(own) == want).all()
