@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from resonarium.functions import fusion as M
+from resonarium.functions import paired
 from resonarium.functions.resampling import rng_of
 from resonarium.operators.packed import centred, gram, lists, local_frame, map_rows, project
 from resonarium.session import ship
@@ -151,24 +152,13 @@ SIDE, LEAST_PART, MOST_PART, PARTS = 512, 2048, 32768, 16
 NEAR = 1e-6
 
 
-def _filler(a: np.ndarray, b: np.ndarray, metric: str, exact: bool):
-    """fill(i, j, out) writes the distances of the rows a[i] and b[j]; exact ones from differences, so that equal distances stay equal."""
+def _filler(a: np.ndarray, b: np.ndarray, metric: str):
+    """fill(i, j, out) writes the distances of the rows a[i] and b[j]."""
     if metric != "euclidean":
         x, y = (v - v.mean(1, keepdims=True) for v in (a, b))
         x, y = (v / np.sqrt((v**2).sum(1, keepdims=True)) for v in (x, y))
         left, right = np.column_stack([-x, np.ones(len(x))]), np.ascontiguousarray(np.column_stack([y, np.ones(len(y))]).T)
         return lambda i, j, out: np.matmul(left[i], right[:, j], out=out)
-    if exact:
-
-        def fill(i, j, out):
-            out[...] = 0
-            for k in range(a.shape[1]):
-                t = a[i, k][:, None] - b[j, k]
-                t *= t
-                out += t
-            np.sqrt(out, out=out)
-
-        return fill
     middle = a.mean(0)
     x, y = a - middle, b - middle
     nx, ny = (x * x).sum(1), (y * y).sum(1)
@@ -185,12 +175,12 @@ def _filler(a: np.ndarray, b: np.ndarray, metric: str, exact: bool):
     return fill
 
 
-def _pieces(left: list[np.ndarray], right: list[np.ndarray], same: bool, metric: str, exact: bool):
+def _pieces(left: list[np.ndarray], right: list[np.ndarray], same: bool, metric: str):
     """(i, j, distances a block) of pieces of SIDE x SIDE; of the same rows on both sides those on and below the diagonal. Arrays hold until the next piece."""
     if not len(left[0]) or not len(right[0]):
         return
     with np.errstate(all="ignore"):
-        fill = [_filler(a, b, metric, exact) for a, b in zip(left, right)]
+        fill = [_filler(a, b, metric) for a, b in zip(left, right)]
         room = [np.empty(SIDE * SIDE) for _ in fill]
         for i in range(0, len(left[0]), SIDE):
             for j in range(0, i + 1 if same else len(right[0]), SIDE):
@@ -202,7 +192,7 @@ def _pieces(left: list[np.ndarray], right: list[np.ndarray], same: bool, metric:
                 yield at, to, d
 
 
-def _tiles(df: DataFrame, blocks: list[str], id_col: str, kernel, schema: str, metric: str = "euclidean", tile: int | None = None, exact: bool = False) -> DataFrame:
+def _tiles(df: DataFrame, blocks: list[str], id_col: str, kernel, schema: str, metric: str = "euclidean", tile: int | None = None) -> DataFrame:
     """Rows of the tables that kernel(number, ids of rows, ids of columns, same, pieces) gives for each tile of the blocks' distance matrices.
 
     Observations are dealt into parts of `tile` rows; each two parts meet in one
@@ -227,7 +217,7 @@ def _tiles(df: DataFrame, blocks: list[str], id_col: str, kernel, schema: str, m
             to = at
         m = [np.asarray(table.column(f"b{k}").combine_chunks().flatten(), float).reshape(len(ids), -1) for k in range(len(blocks))]
         left = [x[at] for x in m]
-        return kernel(l * parts + r, ids[at], ids[to], l == r, _pieces(left, left if l == r else [x[to] for x in m], l == r, metric, exact))
+        return kernel(l * parts + r, ids[at], ids[to], l == r, _pieces(left, left if l == r else [x[to] for x in m], l == r, metric))
 
     return met.repartition(parts * (parts + 1) // 2, "l", "r").groupBy("l", "r").applyInArrow(run, schema)
 
@@ -336,99 +326,81 @@ def representational_similarity(df: DataFrame, blocks: list[str], id_col: str =
     return one.select(F.explode(F.array(*(F.struct(F.lit(blocks[i]).alias("block_x"), F.lit(blocks[j]).alias("block_y"), F.col(f"s{i}_{j}").alias("similarity")) for i, j in pairs))).alias("z")).select("z.*")
 
 
-#: Pairs of a slice of the distances, about, which one task sorts; pairs of a piece from which bounds of slices are estimated; tasks for one frequent distance.
-SLICE_PAIRS, SEEN, SALTS = 1 << 21, 32, 64
-
+#: Pairs that one task makes and sorts at once, at most; tasks that count pairs; bytes of both blocks up to which they are broadcast, beyond they are shuffled to each task.
+SLICE_PAIRS, COUNTERS, MOST_BROADCAST = 1 << 25, 48, 64 << 20
 
-def _slices(bounds: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Number of the slice of each value: even ones lie between bounds, odd ones hold values that equal a bound."""
-    at = np.searchsorted(bounds, v)
-    return 2 * at + (np.append(bounds, np.nan)[at] == v)
 
+def _met_whole(df: DataFrame, x: str, y: str, id_col: str, metric: str, width: int, tasks: int, kernel, schema: str) -> DataFrame:
+    """Rows of the tables that kernel(number, ids, x, y) gives for each of the tasks, all of which have all observations, in one order; no pairs travel."""
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), *(F.col(b).cast("array<double>").alias(c) for b, c in ((x, "x"), (y, "y"))))
+    ship(df.sparkSession)
 
-def _dealt(s: np.ndarray, u: np.ndarray, v: np.ndarray, salt: int) -> pa.Table:
-    """A row (s, salt, u, v) of packed values for each slice; odd slices need no sorting and are spread by salt."""
-    order = np.argsort(s, kind="stable")
-    s, u, v = s[order], u[order], v[order]
-    names, at = np.unique(s, return_index=True)
-    cuts = np.append(at, len(s)).tolist()
-    packed = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())
-    return pa.table({"s": pa.array(names, pa.int64()), "salt": pa.array(names % 2 * (salt % SALTS), pa.int64()), "u": packed(u), "v": packed(v)})
+    def packed(batches):
+        for b in batches:
+            if b.num_rows:
+                two = []
+                for k in (1, 2):
+                    if b.column(k).null_count or len(set(b.column(k).value_lengths().to_pylist())) > 1:
+                        raise ValueError("all rows need the same features in every block")
+                    two.append(np.asarray(b.column(k).flatten(), float).tobytes())
+                yield pa.RecordBatch.from_pydict({"i": [np.asarray(b.column(0)).tobytes()], "x": two[:1], "y": two[1:]})
 
+    def run(table):
+        read = lambda c, kind: np.concatenate([np.frombuffer(z.as_buffer(), kind) for z in table.column(c)])
+        ids = read("i", np.int64)
+        two = [read(c, float).reshape(len(ids), -1) for c in "xy"]
+        order = np.lexsort([*two[1].T, *two[0].T, ids])
+        return kernel(table.column("id")[0].as_py(), ids[order], *(paired.ready(z[order], metric) for z in two))
 
-def _ranks(s: int, v: np.ndarray, below: dict, held: dict) -> np.ndarray:
-    """Ranks among all distances, ties averaged, of values v of slice s, all of them if it is even."""
-    if s % 2:
-        return np.full(len(v), below[s] + (held[s] + 1) / 2)
-    order = np.argsort(v)
-    x = v[order]
-    head = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    n = np.diff(np.append(head, len(x)))
-    out = np.empty(len(v))
-    out[order] = np.repeat(below[s] + head + (n + 1) / 2, n)
-    return out
+    whole = rows.mapInArrow(packed, "i binary, x binary, y binary")
+    whole = F.broadcast(whole) if width <= MOST_BROADCAST else whole
+    return df.sparkSession.range(0, tasks, 1, max(1, tasks)).crossJoin(whole).groupBy("id").applyInArrow(run, schema)
 
 
 def _ranks_alike(df: DataFrame, x: str, y: str, id_col: str, metric: str) -> DataFrame:
-    """One row (similarity): Spearman's of the two blocks' distances below the diagonal, exact.
-
-    Bounds of slices are estimated, slices are counted, and each pair's two
-    distances travel twice, 16 bytes each time: to the slice of the first, where
-    its rank is known from the counts of the slices below, and with that rank to
-    the slice of the second. Undefined distances count as equal and largest.
+    """One row (similarity): Spearman's of the two blocks' distances below the diagonal. Undefined distances count as equal and largest.
+
+    Pairs are never kept or sent: a task holds the observations, makes the
+    pairs of one range of the distances of a block and sorts them, so their
+    ranks are exact. Beside such a rank stands the middle rank of the pair's
+    slice in the other block, of up to 65,534 slices whose pairs are counted
+    before; with r = middle + rest, sum rr' = sum r middle' + sum middle r' -
+    sum middle middle' + sum rest rest'. The last sum is left out. It is 0 as
+    long as slices are single distances (65,535 distinct ones or fewer), else by
+    Cauchy and Schwarz no more than about 3e-10 of the coefficient's scale.
     """
-    n = df.count()
-    total = n * (n - 1) // 2
-    tiles = lambda kernel, schema: _tiles(df, [x, y], id_col, kernel, schema, metric, tile=LEAST_PART, exact=True)
-
-    def values(ids_l, ids_r, same, pieces):
-        for at, to, d in pieces:
-            yield [np.where(np.isnan(v), np.inf, v) for v in _below(ids_l, ids_r, same, at, to, d)]
-
-    def seen(number, ids_l, ids_r, same, pieces):
-        some = [np.stack([v[:: max(1, len(v) // SEEN)] for v in two]) for two in values(ids_l, ids_r, same, pieces)]
-        both = np.concatenate([np.zeros((2, 0)), *some], axis=1)
-        return pa.table({"x": both[0], "y": both[1]})
-
-    wanted, bounds = -(-total // SLICE_PAIRS), [np.zeros(0), np.zeros(0)]
-    if wanted > 1:
-        at = [k / wanted for k in range(1, wanted)]
-        got = tiles(seen, "x double, y double").agg(*(F.percentile_approx(c, at, max(10_000, 4 * wanted)).alias(c) for c in "xy")).first()
-        bounds = [np.unique(got[c]) for c in "xy"]
-
-    def counted(number, ids_l, ids_r, same, pieces):
-        counts = [np.zeros(2 * len(b) + 1, np.int64) for b in bounds]
-        for two in values(ids_l, ids_r, same, pieces):
-            for k in range(2):
-                counts[k] += np.bincount(_slices(bounds[k], two[k]), minlength=len(counts[k]))
-        held = [np.flatnonzero(c) for c in counts]
-        return pa.table({"k": np.repeat(np.arange(2), [len(h) for h in held]), "s": np.concatenate(held), "n": np.concatenate([c[h] for c, h in zip(counts, held)])})
-
-    held = [{}, {}]
-    for r in tiles(counted, "k long, s long, n long").groupBy("k", "s").agg(F.sum("n").alias("n")).orderBy("k", "s").collect():
-        held[r["k"]][r["s"]] = r["n"]
-    below = [dict(zip(h, np.cumsum([0, *h.values()]).tolist())) for h in held]
-    middle = (total + 1) / 2
-
-    def sent(number, ids_l, ids_r, same, pieces):
-        two = np.concatenate([np.zeros((2, 0)), *(np.stack(v) for v in values(ids_l, ids_r, same, pieces))], axis=1)
-        return _dealt(_slices(bounds[0], two[0]), two[0], two[1], number)
-
-    def read(table):
-        return table.column("s")[0].as_py(), *(np.concatenate([np.frombuffer(z.as_buffer(), float) for z in table.column(c)]) for c in "uv")
-
-    def first(table):
-        s, u, v = read(table)
-        return _dealt(_slices(bounds[1], v), _ranks(s, u, below[0], held[0]), v, s)
-
-    def second(table):
-        s, r, v = read(table)
-        a, b = r - middle, _ranks(s, v, below[1], held[1]) - middle
-        return pa.table({"ab": [float(a @ b)], "aa": [float(a @ a)], "bb": [float(b @ b)]})
-
-    schema = "s long, salt long, u binary, v binary"
-    ranked = tiles(sent, schema).groupBy("s", "salt").applyInArrow(first, schema)
-    sums = ranked.groupBy("s", "salt").applyInArrow(second, "ab double, aa double, bb double").agg(*(F.sum(c).alias(c) for c in ("ab", "aa", "bb")))
+    n, p, q = df.where(F.col(id_col).isNotNull()).agg(F.count("*"), F.coalesce(F.max(F.size(x)), F.lit(0)), F.coalesce(F.max(F.size(y)), F.lit(0))).first()
+    met = lambda tasks, kernel, schema: _met_whole(df, x, y, id_col, metric, n * (p + q + 1) * 8, tasks, kernel, schema)
+    blobs = lambda arrays: pa.array([a.tobytes() for a in arrays], pa.binary())
+
+    def bounded(number, ids, a, b):
+        return pa.table({"k": [0, 1], "v": blobs(paired.bounds_of(a, b, ids, metric))})
+
+    bounds = [np.zeros(0), np.zeros(0)]
+    for r in met(1, bounded, "k long, v binary").collect():
+        bounds[r["k"]] = np.frombuffer(r["v"])
+    tasks = max(1, min(COUNTERS, n * n // (1 << 20)))
+
+    def counted(number, ids, a, b):
+        return pa.table({"k": [0, 1], "v": blobs(paired.counted(a, b, ids, metric, bounds, number, tasks))})
+
+    def added(table):
+        return pa.table({"k": table.column("k")[:1], "v": blobs([sum(np.frombuffer(z.as_buffer(), np.int64) for z in table.column("v"))])})
+
+    counts = [np.zeros(2 * len(b) + 1, np.int64) for b in bounds]
+    for r in met(tasks, counted, "k long, v binary").groupBy("k").applyInArrow(added, "k long, v binary").collect():
+        counts[r["k"]] = np.frombuffer(r["v"], np.int64)
+    if paired.left_out(counts) > 1e-9:
+        raise ArithmeticError("slices of the distances are too large")
+    most = min(SLICE_PAIRS, max(1 << 21, n * n // 64))
+    pieces = [(k, *r) for k in range(2) for r in paired.ranges(counts[k], most)]
+
+    def summed(number, ids, a, b):
+        k, *piece = pieces[number]
+        rr, rm, mm = paired.products(*((b, a) if k else (a, b)), ids, metric, bounds[::-1] if k else bounds, counts[::-1] if k else counts, *piece)
+        return pa.table({"ab": [rm if k else rm - mm], "aa": [0.0 if k else rr], "bb": [rr if k else 0.0]})
+
+    sums = met(len(pieces), summed, "ab double, aa double, bb double").agg(*(F.sum(c).alias(c) for c in ("ab", "aa", "bb")))
     return sums.select(F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb")).alias("similarity"))
 
 
