@@ -285,7 +285,7 @@ def products(x: np.ndarray, y: np.ndarray, ids: np.ndarray, metric: str, bounds:
         for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
             k = int(part[i])
             if k in loose:
-                loose[k].append((d[i:j], at[i:j]))
+                loose[k].append((d[i:j].copy(), at[i:j].copy()))
             elif filled[k] + j - i <= begins[k + 1]:
                 packed = keys[filled[k] : filled[k] + j - i]
                 np.subtract(numbers(d[i:j]), base[k], out=packed)
